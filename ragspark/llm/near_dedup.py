@@ -11,7 +11,9 @@ How groups of thousands of copies stay linear in rows:
   similarity of at most (n - u) / n with anything, and two sets of at most t / (t + u1 + u2),
   t = min(n1 - u1, n2 - u2). This exact bound removes the far members of a group;
 * the rest of each bucket is compared with two pivots, not with each other; only pairs that are then still in
-  different components, and pass the bound, are compared one by one, so that no link is lost.
+  different components are compared one by one, so that no link is lost. Most of these fail a sharper bound: of sets
+  that share i1 and i2 shingles with a common pivot, the first has max(0, i1 - i2) shingles of the pivot that the
+  second lacks, beside its u1 own ones.
 """
 
 from __future__ import annotations
@@ -151,17 +153,23 @@ def components(ws: Workspace, links: DataFrame, tag: str, most: int = 60) -> Dat
     return stars.union(stars.select("component", "component").distinct())
 
 
-def _may_link(percent: int, n1: str, u1: str, n2: str, u2: str):
-    t = F.least(F.col(n1) - F.col(u1), F.col(n2) - F.col(u2))
-    return 100 * t >= percent * (t + F.col(u1) + F.col(u2))
+def _may_link(percent: int, n1: str, only1, n2: str, only2):
+    """only1, only2: columns that bound from below what each set has beyond the other."""
+    t = F.least(F.col(n1) - only1, F.col(n2) - only2)
+    return 100 * t >= percent * (t + only1 + only2)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with na, nb and both: the sizes of the sets and of their intersection."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    met = _shared(pairs, sets)
+    return met.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -192,7 +200,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
     )
     sizes = sets.groupBy("doc_id").agg(F.min("n").alias("n"), F.max("n").alias("top"))
     # a doc_id with rows of several sizes is not bounded by u
-    near = sizes.join(alone, "doc_id", "left").select("doc_id", "n", F.when(F.col("n") == F.col("top"), F.coalesce("u", F.lit(0))).otherwise(0).alias("u"))
+    near = sizes.join(alone, "doc_id", "left").select("doc_id", F.col("top").alias("n"), F.when(F.col("n") == F.col("top"), F.coalesce("u", F.lit(0))).otherwise(0).alias("u"))
     near = ws.put(near.where(f"100 * (n - u) >= {percent} * n"), "near")
     posted = ws.put(posted.join(near, "doc_id"), "near-posted")
     ws.drop("candidates")
@@ -203,21 +211,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
     ).where("c > 1")
     pivots = pivots.select("key", F.explode(F.array(F.struct("first.doc_id", "first.n", "first.u"), F.struct("second.doc_id", "second.n", "second.u"))).alias("p"))
     pairs = posted.join(pivots.select("key", F.col("p.doc_id").alias("b"), F.col("p.n").alias("pn"), F.col("p.u").alias("pu")).distinct(), "key")
-    pairs = pairs.where((F.col("doc_id") != F.col("b")) & _may_link(percent, "n", "u", "pn", "pu"))
+    pairs = pairs.where((F.col("doc_id") != F.col("b")) & _may_link(percent, "n", F.col("u"), "pn", F.col("pu")))
     pairs = pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
     links = ws.put(_confirmed(pairs, sets, percent), "links")
     found = ws.put(components(ws, links, "cc"), "found")
 
     placed = posted.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = ws.put(placed.join(mixed, "key"), "mixed")
-    other = left.select("key", *[F.col(c).alias(f"{c}_2") for c in ("doc_id", "n", "u", "component")])
-    rest = left.join(other, "key").where((F.col("component") < F.col("component_2")) & _may_link(percent, "n", "u", "n_2", "u_2"))
+    left = placed.join(mixed, "key").select("key", "doc_id", "n", "u", "component")
+    left = ws.put(left.join(left.groupBy("key").agg(F.min(me).alias("p")).select("key", F.col("p.doc_id").alias("pivot")), "key"), "mixed")
+    met = _shared(left.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), sets)
+    met = met.groupBy(F.col("a").alias("doc_id"), F.col("b").alias("pivot")).agg(F.min("both").alias("low"), F.max("both").alias("high"))
+    left = ws.put(left.join(met, ["doc_id", "pivot"]), "measured")
+    other = left.select("key", *[F.col(c).alias(f"{c}_2") for c in ("doc_id", "n", "u", "low", "high", "component")])
+    only1 = F.col("u") + F.greatest(F.col("low") - F.col("high_2"), F.lit(0))
+    only2 = F.col("u_2") + F.greatest(F.col("low_2") - F.col("high"), F.lit(0))
+    rest = left.join(other, "key").where((F.col("component") < F.col("component_2")) & _may_link(percent, "n", only1, "n_2", only2))
     rest = rest.select(F.greatest("doc_id", "doc_id_2").alias("a"), F.least("doc_id", "doc_id_2").alias("b")).distinct()
-    more = ws.put(_confirmed(rest.join(links, ["a", "b"], "left_anti"), sets, percent), "more")
+    more = ws.put(_confirmed(rest, sets, percent), "more")
     if more.take(1):
         found = ws.put(components(ws, links.union(more), "cc2"), "found2")
-    ws.drop("sets", "near-posted", "mixed", "near")
+    ws.drop("sets", "near-posted", "mixed", "measured", "near")
 
     named_reps = equal.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named_reps = named_reps.where("copies > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("component"))
