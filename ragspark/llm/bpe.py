@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import itertools
 import json
 import re
 import unicodedata
@@ -27,6 +28,8 @@ from .workspace import Workspace
 KEPT_WORDS = 500_000
 #: Ids decoded at a time.
 DECODE_BLOCK = 1 << 16
+#: Texts whose words are looked up together.
+GROUP = 512
 NONE = np.int64(1) << 40
 
 
@@ -52,7 +55,7 @@ class MergeList:
         self.lookahead = self._lookahead()
 
     def _index(self) -> None:
-        bits = max(12, (len(self.rules) * 16).bit_length())
+        bits = max(12, (len(self.rules) * 8).bit_length())
         self.shift = np.uint64(64 - bits)
         keys, ranks, made = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         seen, self.probes = set(), 1
@@ -227,14 +230,20 @@ class Encoder:
                 self.pieces[p] = raw[a:b]
 
     def _learn(self, words: set[str]) -> None:
-        split = {}
+        split: dict[str, list[str]] = {}
+        alone: dict[str, str] = {}
         for w in words:
-            x = w if w.isascii() else unicodedata.normalize("NFC", w).replace("Σ", "σ")
-            split[w] = self.pattern.findall(x.lower())
+            x = w.lower() if w.isascii() else unicodedata.normalize("NFC", w).replace("Σ", "σ").lower()
+            if x.isalpha():  # letters only are one piece
+                alone[w] = x
+            else:
+                split[w] = self.pattern.findall(x)
         pieces = {p for found in split.values() for p in found}
+        pieces.update(alone.values())
         if new := [p for p in pieces if p not in self.pieces]:
             self._learn_pieces(new)
         get = self.pieces.__getitem__
+        self.words.update(zip(alone, map(get, alone.values()), strict=True))
         for w, found in split.items():
             self.words[w] = b"".join(map(get, found))
 
@@ -242,41 +251,37 @@ class Encoder:
         """White-space delimited words: no piece spans white space."""
         return text.split() if not self.odd.search(text) else [w for w in self.white.split(text) if w]
 
+    def _segments(self, text: str) -> list[str | bytes]:
+        """The words of a text, with the ids of added tokens (as bytes) between them."""
+        if not (self.added_pattern and self.added_pattern.search(text)):
+            return self._plain(text)
+        out, at = [], 0
+        for m in self.added_pattern.finditer(text):
+            out += [*self._plain(text[at : m.start()]), np.array([self.added[m[0]]], self.kind).tobytes()]
+            at = m.end()
+        return out + self._plain(text[at:])
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian integers of ``kind``; null counts as empty."""
-        for text in texts:
-            text = text or ""
-            if self.added_pattern and self.added_pattern.search(text):
-                out, at = [], 0
-                for m in self.added_pattern.finditer(text):
-                    out += [self._ids(text[at : m.start()]), np.array([self.added[m[0]]], self.kind).tobytes()]
-                    at = m.end()
-                yield b"".join([*out, self._ids(text[at:])])
-            else:
-                yield self._ids(text)
-
-    def _ids(self, text: str) -> bytes:
-        words = self._plain(text)
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            self._learn({w for w in words if w not in self.words})
-            return b"".join(map(self.words.__getitem__, words))
-
-    def learn(self, texts: Iterable[str | None]) -> None:
-        """Encodes the unknown words of many texts in one go."""
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-            self.pieces.clear()
-        new: set[str] = set()
-        known = self.words
-        for text in texts:
-            new.update(w for w in self._plain(text or "") if w not in known)
-            if len(new) > KEPT_WORDS // 4:
+        """The ids of each text as little-endian integers of ``kind``; null counts as empty. Unknown words of up to
+        GROUP texts are merged in one go."""
+        texts = iter(texts)
+        while group := list(itertools.islice(texts, GROUP)):
+            if len(self.words) > KEPT_WORDS:
+                self.words.clear()
+                self.pieces.clear()
+            look, new, held = self.words.get, set(), []
+            for text in group:
+                words = self._segments(text or "")
+                got = list(map(look, words))
+                if None in got:
+                    new.update(w for w, g in zip(words, got, strict=True) if g is None and type(w) is str)
+                    held.append((words, got))
+                else:
+                    held.append((None, got))
+            if new:
                 self._learn(new)
-                new = set()
-        if new:
-            self._learn(new)
+            for words, got in held:
+                yield b"".join(got) if words is None else b"".join([g if g is not None else w if type(w) is bytes else self.words[w] for w, g in zip(words, got, strict=True)])
 
 
 class Decoder:
@@ -341,7 +346,6 @@ def encode_column(spark: SparkSession, docs: DataFrame, tokenizer: str, keep: li
         encoder, _ = loaded(content.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            encoder.learn(texts)
             ids = pa.array(list(encoder.encode(texts)), pa.binary())
             width = pa.array(np.full(len(texts), encoder.kind.itemsize, np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids, width], [*keep, "ids", "width"])
@@ -361,7 +365,6 @@ def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFram
         encoder, decoder = loaded(content.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            encoder.learn(texts)
             n, encoded, decoded = [], [], []
             for raw in encoder.encode(texts):
                 ids = np.frombuffer(raw, encoder.kind).astype("<u4")
