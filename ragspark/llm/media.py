@@ -25,7 +25,7 @@ from .workspace import Workspace
 
 MIN, MAX, CUT_BITS = 4096, 65536, 14
 UNIT = 64
-LEVEL = 3
+LEVEL = 9
 #: Digests that a task remembers to send a chunk once.
 REMEMBERED = 200_000
 _GEAR = np.random.Generator(np.random.PCG64(29)).integers(0, 1 << 64, 256, np.uint64)
@@ -68,7 +68,8 @@ def chunks(payload: bytes) -> list[bytes]:
 
 
 def manifests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload, digests, lengths): the ordered chunk list of each row."""
+    """(doc_id, n_bytes, payload_bytes, payload, digests): the ordered chunk list of each row; empty where the payload is
+    one chunk, whose digest is the payload's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -77,12 +78,12 @@ def manifests(docs: DataFrame) -> DataFrame:
                 n, payload = payload_of(text.as_py())
                 parts = chunks(payload)
                 whole = hashlib.sha256(payload).digest()
-                made.append((n, len(payload), whole, [hashlib.sha256(p).digest() for p in parts] if len(parts) > 1 else [whole], list(map(len, parts))))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+                made.append((n, len(payload), whole, [hashlib.sha256(p).digest() for p in parts] if len(parts) > 1 else []))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary())]
             cols = [pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_bytes", "payload_bytes", "payload", "digests", "lengths"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_bytes", "payload_bytes", "payload", "digests"])
 
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload binary, digests array<binary>, lengths array<int>")
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload binary, digests array<binary>")
 
 
 def stored_chunks(docs: DataFrame) -> DataFrame:
@@ -214,6 +215,6 @@ def store_media(spark: SparkSession, docs: DataFrame) -> DataFrame:
     one, many = rebuilt(listed, store)
     one, many = ws.put(one, "one"), ws.put(many, "many")
     # a payload of one chunk has that chunk's digest; a chunk that is no payload of its own matches no list
-    single = listed.where(F.size("digests") == 1).join(one, "payload")
+    single = listed.where(F.size("digests") == 0).join(one, "payload")
     several = listed.where(F.size("digests") > 1).join(many, "payload")
     return single.unionByName(several).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
