@@ -11,9 +11,8 @@ How groups of thousands of copies stay linear in rows:
   similarity of at most (n - u) / n with anything, and two sets of at most t / (t + u1 + u2),
   t = min(n1 - u1, n2 - u2). This exact bound removes the far members of a group;
 * the rest of each bucket is compared with two pivots, not with each other; only pairs that are then still in
-  different components are compared one by one, so that no link is lost. Most of these fail a sharper bound: of sets
-  that share i1 and i2 shingles with a common pivot, the first has max(0, i1 - i2) shingles of the pivot that the
-  second lacks, beside its u1 own ones.
+  different components are compared one by one, so that no link is lost. Most of these fail a sharper bound: sets
+  that share i1 and i2 shingles with the bucket's pivot share min(i1, i2) + min(n1 - i1 - u1, n2 - i2 - u2) at most.
 """
 
 from __future__ import annotations
@@ -186,8 +185,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
     equal = ws.put(equal, "equal")
     reps = named.join(equal.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     posted = ws.put(reps.select("doc_id", F.explode("keys").alias("key")).distinct(), "posted")
-    shared = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     posted = ws.put(posted.join(shared, "key"), "candidates")
+    # members of a doc_id's buckets: the middle of a group of near copies has the most
+    weights = posted.groupBy("doc_id").agg(F.sum("c").alias("w"))
     ids = posted.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     sets = ws.put(_sets(texts), "sets", codec="none")
@@ -200,12 +201,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
     )
     sizes = sets.groupBy("doc_id").agg(F.min("n").alias("n"), F.max("n").alias("top"))
     # a doc_id with rows of several sizes is not bounded by u
-    near = sizes.join(alone, "doc_id", "left").select("doc_id", F.col("top").alias("n"), F.when(F.col("n") == F.col("top"), F.coalesce("u", F.lit(0))).otherwise(0).alias("u"))
+    near = sizes.join(weights, "doc_id").join(alone, "doc_id", "left").select("doc_id", "w", F.col("n").alias("least"), F.col("top").alias("n"), F.when(F.col("n") == F.col("top"), F.coalesce("u", F.lit(0))).otherwise(0).alias("u"))
     near = ws.put(near.where(f"100 * (n - u) >= {percent} * n"), "near")
-    posted = ws.put(posted.join(near, "doc_id"), "near-posted")
+    posted = ws.put(posted.drop("c").join(near, "doc_id"), "near-posted")
     ws.drop("candidates")
 
-    me = F.struct((F.col("u") / F.col("n")).alias("far"), "doc_id", "n", "u")
+    me = F.struct((-F.col("w")).alias("far"), "doc_id", "n", "u")
     pivots = posted.groupBy("key").agg(
         F.count("*").alias("c"), F.min(me).alias("first"), F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id", "n", "u")).alias("second")
     ).where("c > 1")
@@ -218,15 +219,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
 
     placed = posted.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = placed.join(mixed, "key").select("key", "doc_id", "n", "u", "component")
+    left = placed.join(mixed, "key").select("key", "doc_id", "n", "least", "u", "w", "component")
     left = ws.put(left.join(left.groupBy("key").agg(F.min(me).alias("p")).select("key", F.col("p.doc_id").alias("pivot")), "key"), "mixed")
     met = _shared(left.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), sets)
     met = met.groupBy(F.col("a").alias("doc_id"), F.col("b").alias("pivot")).agg(F.min("both").alias("low"), F.max("both").alias("high"))
     left = ws.put(left.join(met, ["doc_id", "pivot"]), "measured")
-    other = left.select("key", *[F.col(c).alias(f"{c}_2") for c in ("doc_id", "n", "u", "low", "high", "component")])
-    only1 = F.col("u") + F.greatest(F.col("low") - F.col("high_2"), F.lit(0))
-    only2 = F.col("u_2") + F.greatest(F.col("low_2") - F.col("high"), F.lit(0))
-    rest = left.join(other, "key").where((F.col("component") < F.col("component_2")) & _may_link(percent, "n", only1, "n_2", only2))
+    # at most: shared with the pivot, and what each has beyond it and beyond its own shingles
+    left = left.withColumn("beyond", F.greatest(F.col("n") - F.col("low") - F.col("u"), F.lit(0)))
+    other = left.select("key", *[F.col(c).alias(f"{c}_2") for c in ("doc_id", "n", "least", "u", "high", "beyond", "component")])
+    most = F.least(F.least("high", "high_2") + F.least("beyond", "beyond_2"), F.col("n") - F.col("u"), F.col("n_2") - F.col("u_2"))
+    able = 100 * most >= percent * (F.col("least") + F.col("least_2") - most)
+    rest = left.join(other, "key").where((F.col("component") < F.col("component_2")) & able)
     rest = rest.select(F.greatest("doc_id", "doc_id_2").alias("a"), F.least("doc_id", "doc_id_2").alias("b")).distinct()
     more = ws.put(_confirmed(rest, sets, percent), "more")
     if more.take(1):
