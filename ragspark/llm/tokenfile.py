@@ -16,9 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .bpe import encode_column
+from .bpe import loaded, read_spec
 from .workspace import Workspace
 
 MAGIC = b"RPG1"
@@ -27,14 +28,13 @@ SHARD_IDS = 1 << 18
 ROUNDS = 6
 LEAST = 12
 END_ID = 1
-#: Ranges of doc_id; each is a sorted run of shards.
-RANGES = 96
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
-    """(symbols, rules, first nonterminal). In a round, all pairs seen ``least`` times or more become rules,
-    commonest first while the alphabet stays in 16 bits where it began there, and their occurrences are replaced from left to right."""
-    seq = ids.astype(np.int64)
+    """(symbols, rules, first nonterminal). In a round, all pairs seen ``least`` times or more become rules, commonest
+    first while the alphabet stays in 16 bits (20 where ids alone pass 16), and their occurrences are replaced from
+    left to right. A table of counts by hash leaves only pairs that may be frequent to the exact count."""
+    seq = ids.astype(np.uint32)
     first = int(seq.max(initial=0)) + 1
     limit = (1 << 16) - first if first <= 1 << 16 else 1 << 20
     rules: list[np.ndarray] = []
@@ -42,31 +42,36 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple
     for _ in range(rounds):
         if len(seq) < 2 or made >= limit:
             break
-        wide = first + made
-        key = seq[:-1] * wide + seq[1:]
-        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        often = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= least)
+        slot = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA77))) >> np.uint32(14)
+        counts = np.bincount(slot, minlength=1 << 18)
+        often = np.flatnonzero((counts >= least)[slot])
         if not len(often):
             break
-        pairs, inverse, count = np.unique(key[often], return_inverse=True, return_counts=True)
+        key = seq[often].astype(np.uint64) << np.uint64(32) | seq[often + 1]
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+        begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        count = np.diff(np.append(begin, len(ordered)))
         good = np.flatnonzero(count >= least)
         if not len(good):
             break
         good = good[np.argsort(-count[good], kind="stable")][: limit - made]
-        name = np.full(len(pairs), -1, np.int64)
+        name = np.full(len(begin), -1, np.int64)
         name[good] = first + made + np.arange(len(good))
-        named = name[inverse]
+        named = np.empty(len(key), np.int64)
+        named[order] = np.repeat(name, count)
         hit = named >= 0
         at, named = often[hit], named[hit]
         run = np.append(True, np.diff(at) != 1)
-        begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - begin) % 2 == 0
+        lead = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+        take = (np.arange(len(at)) - lead) % 2 == 0
         at, named = at[take], named[take]
         seq[at] = named
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules.append(np.stack([pairs[good] // wide, pairs[good] % wide], axis=1))
+        pairs = ordered[begin[good]]
+        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64))
         made += len(good)
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), first
 
@@ -83,7 +88,7 @@ class Grammar:
             for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
                 lengths[i] = (lengths[a - first] if a >= first else 1) + (lengths[b - first] if b >= first else 1)
         self.lengths = lengths.astype(np.int64)
-        self.left, self.right = left, right
+        self.left, self.right, self.flat = left, right, None
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         out = np.ones(len(symbols), np.int64)
@@ -92,18 +97,31 @@ class Grammar:
         return out
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Replaces all nonterminals by their rules until none is left; a rule's parts are older than it."""
-        seq = symbols.astype(np.int64)
-        while True:
-            big = seq >= self.first
-            if not big.any():
-                return seq
-            at = np.arange(len(seq)) + np.cumsum(big) - big
-            out = np.empty(len(seq) + int(big.sum()), np.int64)
-            rule = seq[big] - self.first
-            out[at[~big]] = seq[~big]
-            out[at[big]], out[at[big] + 1] = self.left[rule], self.right[rule]
-            seq = out
+        """The ids of symbols: each symbol's expansion is copied from one flat table of all rules' expansions."""
+        if self.flat is None:
+            at = np.append(0, np.cumsum(self.lengths))
+            self.flat, self.at = np.empty(int(at[-1]), np.uint32), at
+            cuts = at.tolist()
+            for i, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True)):  # parts are older than their rule
+                mid = cuts[i]
+                for x in (a, b):
+                    if x < self.first:
+                        self.flat[mid] = x
+                        mid += 1
+                    else:
+                        j = x - self.first
+                        n = cuts[j + 1] - cuts[j]
+                        self.flat[mid : mid + n] = self.flat[cuts[j] : cuts[j + 1]]
+                        mid += n
+        sizes = self.sizes(symbols)
+        ends = np.cumsum(sizes)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        big = symbols >= self.first
+        out[(ends - sizes)[~big]] = symbols[~big]
+        n, to, source = sizes[big], (ends - sizes)[big], self.at[symbols[big] - self.first]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(to, n) + step] = self.flat[np.repeat(source, n) + step]
+        return out
 
 
 def write_block(doc_ids: list, parts: list[np.ndarray]) -> bytes:
@@ -158,32 +176,27 @@ class Block:
 
 
 def write_files(spark: SparkSession, docs: DataFrame, tokenizer: str, ws: Workspace) -> DataFrame:
-    """The shards (part, before, n_ids, block) of ``docs``, written and reread. part numbers ranges of ascending
-    doc_id (null first), before counts the ids of the part's earlier shards."""
-    key = F.col("doc_id").cast("long")
-    cuts = docs.agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
-    edges = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
-    encoded = encode_column(spark, docs.select(key.alias("doc_id"), "text"), tokenizer, ["doc_id"])
-    part = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(edges, lambda c: c < F.col("doc_id"))))
-    dealt = encoded.withColumn("part", part).repartition("part").sortWithinPartitions("part", "doc_id", "ids")
+    """The shards (part, before, n_ids, block) of ``docs``, written and reread. part numbers ranges of ascending doc_id
+    (null first), before counts the ids of the part's earlier shards. Spark samples the ranges, so their number
+    follows its shuffle settings and each holds about as many documents."""
+    content = spark.sparkContext.broadcast(read_spec(tokenizer))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, _ = loaded(content.value)
+        part, before, n = TaskContext.get().partitionId(), 0, 0
         held: tuple[list, list] = ([], [])
-        now, before, n = None, 0, 0
+        end = np.array([END_ID], encoder.kind).tobytes()
 
         def flush() -> pa.RecordBatch:
             nonlocal held, before, n
-            out = pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([write_block(*held)], pa.binary())], ["part", "before", "n_ids", "block"])
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([write_block(*held)], pa.binary())], ["part", "before", "n_ids", "block"])
             held, before, n = ([], []), before + n, 0
             return out
 
         for b in batches:
-            for doc, raw, width, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if p != now:
-                    if held[0]:
-                        yield flush()
-                    now, before = p, 0
-                ids = np.append(np.frombuffer(raw, f"<u{width}").astype(np.int64), END_ID)
+            for doc, raw in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
+                ids = np.frombuffer(raw + end, encoder.kind)
                 held[0].append(doc)
                 held[1].append(ids)
                 n += len(ids)
@@ -192,7 +205,7 @@ def write_files(spark: SparkSession, docs: DataFrame, tokenizer: str, ws: Worksp
         if held[0]:
             yield flush()
 
-    return ws.put(dealt.select("doc_id", "ids", "width", "part").mapInArrow(run, "part int, before long, n_ids long, block binary"), "shards", codec="none")
+    return ws.put(rows.mapInArrow(run, "part int, before long, n_ids long, block binary"), "shards", codec="none")
 
 
 def read_files(shards: DataFrame) -> DataFrame:
@@ -209,14 +222,14 @@ def read_files(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(block.doc_ids, pa.int64()), pa.array(before + block.starts), pa.array(block.lengths), pa.array(crc, pa.int64())], ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = shards.select("part", "before", "block").mapInArrow(run, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
-    sums = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))  # RANGES + 1 rows at most
+    sums = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a range
     earlier = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    return rows.join(F.broadcast(earlier), "part").select("doc_id", (F.col("offset") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(earlier, "part").select("doc_id", (F.col("offset") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
     """Encodes ``docs`` (doc_id, text, ...), appends END_ID to each document, writes the files and reads them back.
 
-    Null and empty texts are the end id alone. Rows of one doc_id follow each other in the order of their ids;
+    Null and empty texts are the end id alone. Rows of one doc_id follow each other in the order of their texts;
     rows without doc_id come first. Other columns are ignored; an empty table gives no rows."""
     return read_files(write_files(spark, docs, tokenizer, Workspace(spark, "tokens")))
