@@ -119,7 +119,8 @@ def cross_encoded(pairs: DataFrame, model, batch: int = 16) -> DataFrame:
 def judged_scores(replies: DataFrame) -> DataFrame:
     """The first number of a model's reply, held to 0..1; 0.5 without one."""
     number = F.regexp_extract("reply", r"(-?\d+(?:\.\d+)?)", 1)
-    return replies.withColumn("score", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nullif(number, F.lit("")).try_cast("double"))), F.lit(0.5)))
+    value = F.nullif(number, F.lit("")).try_cast("double")  # least and greatest would skip its null
+    return replies.withColumn("score", F.when(value.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))))
 
 
 def reranked(hits: DataFrame, scores: DataFrame, k: int, least: float = 0.0) -> DataFrame:
