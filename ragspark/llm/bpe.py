@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import codecs
 import hashlib
-import itertools
 import json
 import re
 import unicodedata
@@ -25,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .workspace import Workspace
 
 #: Words and pieces whose ids a worker keeps; full tables are emptied before the next batch.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 #: Ids decoded at a time.
 DECODE_BLOCK = 1 << 16
-#: Texts whose words are looked up together.
-GROUP = 512
+#: Characters of the texts whose words are looked up together, at least one text.
+GROUP_CHARS = 2_000_000
 NONE = np.int64(1) << 40
 
 
@@ -186,6 +185,18 @@ class Transducer:
         return self._merge(symbols)
 
 
+def _groups(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
+    group, n = [], 0
+    for text in texts:
+        group.append(text)
+        n += len(text or "")
+        if n >= GROUP_CHARS:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
+
+
 class Encoder:
     """Encodes texts as the tokenizer file describes: added tokens, normalizer, word pattern, byte-level merges."""
 

@@ -22,7 +22,7 @@ BITS = 18
 FIT_ROWS = 20_000
 EPOCHS, COST = 15, 1.0
 _SHAPES: dict[str, int] = {}
-_KEPT = 300_000
+_KEPT = 100_000
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _AGAIN, _LINE_AGAIN, _END = 3, 7, 5
 

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of whole texts in one Arrow batch; bounds a Python worker's memory.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 
 def shared_root(spark: SparkSession) -> str:
