@@ -273,10 +273,9 @@ class Encoder:
         return out + self._plain(text[at:])
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian integers of ``kind``; null counts as empty. Unknown words of up to
-        GROUP texts are merged in one go."""
-        texts = iter(texts)
-        while group := list(itertools.islice(texts, GROUP)):
+        """The ids of each text as little-endian integers of ``kind``; null counts as empty. Unknown words of texts of up
+        to GROUP_CHARS are merged in one go."""
+        for group in _groups(texts):
             if len(self.words) > KEPT_WORDS:
                 self.words.clear()
                 self.pieces.clear()
