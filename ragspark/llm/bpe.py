@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from tokenizers import Tokenizer
 
 from .workspace import Workspace
 
@@ -30,6 +31,9 @@ DECODE_BLOCK = 1 << 16
 #: Characters of the texts whose words are looked up together, at least one text.
 GROUP_CHARS = 2_000_000
 NONE = np.int64(1) << 40
+#: Characters whose class and case are the same in all versions of Unicode at hand. Words with any other are normalised
+#: and split by the tokenizer library, whose tables differ from Python's.
+USUAL = "[\x00-\u052f\u2000-\u2064\u20a0-\u20bf\u2190-\u23ff\u2500-\u27bf\u3040-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
 
 
 def byte_letters() -> list[str]:
@@ -214,6 +218,8 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.odd = re.compile("[\x1c-\x1f]")
+        self.usual = re.compile(USUAL)
+        self.library = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}))
         self.white = regex.compile(r"[\s--\x1c-\x1f]+", regex.V1)
 
     def _long(self, data: bytes) -> bytes:
@@ -244,6 +250,10 @@ class Encoder:
         split: dict[str, list[str]] = {}
         alone: dict[str, str] = {}
         for w in words:
+            if not (w.isascii() or self.usual.fullmatch(w)):
+                x = self.library.normalizer.normalize_str(w)
+                split[w] = [x[a:z] for _, (a, z) in self.library.pre_tokenizer.pre_tokenize_str(x)]
+                continue
             x = w.lower() if w.isascii() else unicodedata.normalize("NFC", w).replace("Σ", "σ").lower()
             if x.isalpha():  # letters only are one piece
                 alone[w] = x

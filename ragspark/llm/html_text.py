@@ -107,7 +107,7 @@ def _end_of(lower: str, name: str, at: int) -> int:
     """Where the element that opened before ``at`` ends; 0 if it never does."""
     if name in RAW:
         end = lower.find("</" + name, at)
-        return (lower.find(">", end) + 1 or len(lower)) if end >= 0 else 0
+        return (lower.find(">", end) + 1 or len(lower)) if end >= 0 else len(lower)
     pattern = _BOUNDS.setdefault(name, re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>"))
     open_ = 1
     for m in pattern.finditer(lower, at):

@@ -1,0 +1,399 @@
+"""The training-data operators against brute force, exact round trips and defined edge cases."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from ragspark.llm import bpe, chat, html_text, maxscore, media, mixing, near_dedup, quality, tokenfile, warc
+from ragspark.llm.workspace import Workspace
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+LONG = " ".join(f"word{i % 977} Été{i}" for i in range(30_000))
+TEXTS = [(1, None), (2, ""), (3, " \n\t"), (4, "a"), (5, "a b c d"), (6, "A b C d"), (4, "a"), (7, LONG), (8, LONG + " x"), (None, "no id at all here"), (9, "x" * 70_000), (10, "é" * 9)]
+CLASHES = ("kept", "component_id", "key", "digest", "n", "size", "target", "score", "ids", "start", "payload", "rank", "_copies")
+
+
+def documents(spark, rows=None):
+    rows = TEXTS if rows is None else rows
+    d = spark.createDataFrame([(i, t, "en", None if i == 10 else f"s{(i or 0) % 2}") for i, t in rows], "doc_id long, text string, lang string, source string")
+    for c in CLASHES:
+        d = d.withColumn(c, F.lit("clash"))
+    return d
+
+
+def shingles(text):
+    words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").translate({i: " " for i in range(9, 14)}).split(" ") if w]
+    if len(words) < 5:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def brute_components(rows, percent):
+    sets = {i: shingles(t) for i, t in rows}
+    comp = {i: i for i in sets}
+
+    def top(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = top(i), top(j)
+                comp[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), top(i)) for i in ids}
+
+
+# 1
+
+
+def near_copies(seed, n=160):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(4000)]
+    bases = [rng.sample(words, rng.randint(20, 160)) for _ in range(6)]
+    out = []
+    for i in range(n):
+        t = list(rng.choice(bases if i % 5 else [rng.sample(words, 30)]))
+        for _ in range(rng.choice((0, 0, 1, 1, 2, 4, 8))):
+            at = rng.randrange(len(t))
+            t[at : at + rng.randint(0, 2)] = [rng.choice(words)]
+        out.append((i * 7 % 1009, " ".join(t)))
+    return out
+
+
+@pytest.mark.parametrize("percent,seed", [(80, 1), (85, 2)])
+def test_near_duplicates_against_brute_force(spark, percent, seed):
+    rows = near_copies(seed)
+    want = brute_components(rows, percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark, documents(spark, rows), percent).collect()}
+    assert got == want
+
+
+def test_near_duplicates_edges(spark):
+    out = near_dedup.near_duplicates(spark, documents(spark), 85)
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in out.collect()}
+    assert out.count() == len(TEXTS)
+    assert got[1, 0] == (1, True) and got[3, 0] == (3, True) and got[4, 1] == (4, True)
+    assert got[6, 1] == (5, False) and [v for k, v in got.items() if k[0] == 8] == [(7, False)]
+    assert [v for k, v in got.items() if k[0] is None] == [(None, True)]
+    assert near_dedup.near_duplicates(spark, documents(spark).where("false"), 85).count() == 0
+    kept = near_dedup.keep_one(spark, documents(spark), 85)
+    assert kept.columns == documents(spark).columns and kept.count() == len(TEXTS) - 2
+
+
+def test_circulant_signature_estimates_jaccard():
+    made = near_dedup.CirculantMinHash(128)
+    a = near_dedup.mix(np.arange(1000, dtype=np.uint64))
+    b = near_dedup.mix(np.arange(200, 1200, dtype=np.uint64))
+    assert abs((made.signature(a) == made.signature(b)).mean() - 800 / 1200) < 0.15
+    k0 = made.windows[5]
+    assert (made.windows[6][:-1] == k0[1:]).all()  # the second permutation is shifted by one a coordinate
+    for percent in (80, 85, 95):
+        bands, rows = near_dedup.bands_and_rows(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= near_dedup.MISS * 1.0001
+
+
+# 2
+
+
+@pytest.fixture(scope="module")
+def library():
+    tok = Tokenizer.from_file(TOKENIZER)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
+
+
+@pytest.fixture(scope="module")
+def coder():
+    return bpe.loaded(bpe.read_spec(TOKENIZER))
+
+
+ODD = st.lists(st.sampled_from(["a", "th", "ing", "é", "Σ", "İ", "ﬁ", "<|endoftext|>", "<|", " ", "\n", "\x1c", "\x85", "\xa0", "1", "²", "'s", "'LL", "!!", "漢字", "가", "́", "😀", "_", "K"]), max_size=40).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(ODD, st.text(max_size=60)))
+def test_encoding_equals_the_library(library, coder, text):
+    encoder, decoder = coder
+    want = library.encode(text, add_special_tokens=False).ids
+    ids = np.frombuffer(next(encoder.encode([text])), encoder.kind)
+    assert ids.tolist() == want
+    assert decoder.feed(ids[:3]) + decoder.feed(ids[3:]) + decoder.finish() == library.decode(want, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "theinganer", "abcdefghijklmnopqrstuvwxyz", "!?*"])
+def test_streaming_emits_what_the_whole_word_gives(library, coder, letters):
+    rng = random.Random(letters)
+    word = "".join(rng.choice(letters) for _ in range(9000))
+    want = library.encode(word, add_special_tokens=False).ids
+    merges = coder[0].merges
+    machine, got = bpe.Transducer(merges, merges.lookahead + 50), []
+    for i in range(0, len(word), 41):
+        got += [x for part in machine.feed(word[i : i + 41].encode()) for x in part.tolist()]
+        assert len(machine.held) <= machine.window + 41
+    assert got + machine.finish().tolist() == want
+
+
+def test_byte_level_decoder_is_incremental():
+    spec = {"model": {"vocab": {c: i for i, c in enumerate(bpe.byte_letters())}}, "decoder": {"type": "ByteLevel"}}
+    d = bpe.Decoder(spec)
+    ids = np.frombuffer("é漢😀".encode(), np.uint8)
+    assert "".join(d.feed(ids[i : i + 1]) for i in range(len(ids))) + d.finish() == "é漢😀"
+    assert d.feed(ids[:1]) + d.finish() == "�"
+
+
+def test_round_trip_edges(spark, library):
+    got = sorted((tuple(r) for r in bpe.round_trip(spark, documents(spark), TOKENIZER).collect()), key=str)
+    want = []
+    for i, t in TEXTS:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+    assert bpe.round_trip(spark, documents(spark).where("false"), TOKENIZER).count() == 0
+
+
+# 3
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="<|\\im_endstart>\n é", max_size=60))
+def test_escape_is_reversible_and_safe(text):
+    import pyarrow as pa
+
+    out = chat.escape(pa.array([text]))[0].as_py()
+    assert chat.unescape(out) == text and "<|" not in out
+
+
+def test_chat(spark):
+    rows = [(1, 1, "user", "hi <|im_end|> \\ é"), (1, 2, "assistant", None), (1, 2, "assistant", "yes"), (1, None, "system", "<|im_start|>"), (None, 1, None, "x"), (2, 1, "assistant", "y" * 50_000)]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1)).withColumn("place", F.lit(1))
+    out = {r.conv_id: r for r in chat.format_conversations(spark, chat.with_probe(spark, c)).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert set(out) == {1, 2, None, -1}
+    assert out[1].n_turns == 4 and out[1].turns_sha256 == sha("system\n<|im_start|>\nuser\nhi <|im_end|> \\ é\nassistant\n\nassistant\nyes\n")
+    assert (out[1].loss_chars, out[1].loss_sha256) == (3, sha("yes")) and out[2].loss_chars == 50_000
+    assert out[-1].n_turns == 2 and out[-1].loss_sha256 == sha(chat.PROBE)
+    assert chat.format_conversations(spark, c.where("false")).count() == 0
+
+
+# 4
+
+
+def test_warc(spark):
+    big, other = "é" * 700, "x" * 2000
+    rows = [(1, "u", big), (5, None, big), (3, "a\r\nWARC-Type: evil", big), (2, "u", "small"), (4, "u", "small"), (6, "u", None), (7, "u", other), (7, "u", other), (8, "u", ""), (None, "u", big)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1)).withColumn("body", F.lit(2))
+    ws = Workspace(spark, "warc-test")
+    records, payloads = warc.write_archive(spark, p, ws)
+    assert payloads.count() == 4  # each distinct payload once
+    out = sorted((tuple(r) for r in warc.read_archive(records, payloads).collect()), key=str)
+    want = []
+    for i, _, h in rows:
+        b = (h or "").encode()
+        holder = max((j for j, _, g in rows if j is not None and g == h), default=None)
+        again = len(b) >= 1000 and i is not None and i < holder
+        want.append((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", holder if again else None))
+    assert out == sorted(want, key=str)
+    whole = warc.original_records(records, payloads).where("page_id = 5").first()
+    assert bytes(whole.header).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and bytes(whole.body) == big.encode()
+    bad = payloads.withColumn("body", F.when(F.length("body") == 2000, F.lit(b"no")).otherwise(F.col("body")))
+    with pytest.raises(Exception, match="does not match"):
+        warc.read_archive(records, bad).collect()
+    assert warc.archive_round_trip(spark, p.where("false")).count() == 0
+
+
+# 5
+
+
+def test_maxscore_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(maxscore, "SHARD", 64)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(300, 8)), 1).tolist()
+    x[20] = x[10]
+    x[3], x[4], x[5], x[6] = None, [float("nan")] + x[4][1:], [None] + x[5][1:], x[6][:5]
+    x[7] = [1e7] * 8
+    v = spark.createDataFrame(list(enumerate(x)) + [(None, x[8])], "vec_id long, embedding array<double>").withColumn("shard", F.lit(0)).withColumn("score", F.lit("z"))
+    got = {}
+    for r in maxscore.top_k(spark, v.where("vec_id % 50 = 0"), v, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    q = {i: [int(np.floor(256 * c)) for c in e] for i, e in enumerate(x) if e is not None and all(c is not None and np.isfinite(c) for c in e)}
+    for i in range(0, 300, 50):
+        s = sorted(((sum(a * b for a, b in zip(q[i], q[j])), -j) for j in q if j != i), reverse=True)[:5]
+        assert got[i] == [(-j, t) for t, j in s]
+    assert maxscore.top_k(spark, v.where("false"), v).count() == 0 and maxscore.top_k(spark, v, v.where("false")).count() == 0
+
+
+# 6
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 6), max_size=120), min_size=1, max_size=8))
+def test_blocks_decode_whole_and_in_part(docs):
+    parts = [np.array(d, np.int64) for d in docs]
+    block = tokenfile.Block(tokenfile.write_block(list(range(len(parts))), parts))
+    flat = [x for d in docs for x in d]
+    assert block.all().tolist() == flat
+    for i, d in enumerate(docs):
+        assert block.document(i).tolist() == d
+    assert block.range(len(flat) // 3, len(flat) // 2).tolist() == flat[len(flat) // 3 : len(flat) // 2]
+
+
+def test_repair_compresses_repetition():
+    ids = np.tile(np.arange(50), 400)
+    symbols, rules, first = tokenfile.compress(ids)
+    assert len(symbols) < len(ids) / 10 and len(rules) and first == 50
+
+
+def test_token_files(spark, library, monkeypatch):
+    monkeypatch.setattr(tokenfile, "SHARD_IDS", 1000)
+    at, want = 0, []
+    for i, t in sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    got = sorted((tuple(r) for r in tokenfile.token_files(spark, documents(spark).repartition(3), TOKENIZER).collect()), key=lambda r: r[1])
+    assert got == want
+    assert tokenfile.token_files(spark, documents(spark).where("false"), TOKENIZER).count() == 0
+
+
+# 7
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href=/a>Menu</a></li></ul></nav><div class="ad">Buy</div>
+<main><article><h1>Head &amp; line</h1><p><b>One<br><p>Be.</p><div class='cookie-notice'>We use</div><p>Two&nbsp;
+ words &lt;3</p><form><input>Mail</form><aside>Side</aside><ul><li>Item</li></ul><section id="comments"><p>Reader</p></section></article></main>
+<footer>Foot</footer></body></html>"""
+
+
+def test_html(spark):
+    assert html_text.main_text(PAGE) == "Head & line\nOne\nBe.\nTwo words <3\nItem"
+    long = "<p>" + "word " * 60 + "</p>"
+    loose = f"<div class=menu><a href=1>x</a></div><div>{long}<p>Short.</p>{long}</div><div class='footer'>end</div>"
+    assert html_text.main_text(loose).split("\n")[1] == "Short."
+    for text in (None, "", "<nav>only</nav>", "<script>x", "<!-- open"):
+        assert html_text.main_text(text) == ""
+    p = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    out = html_text.extract(spark, p).collect()
+    assert [r.n_chars for r in out] == [len(html_text.main_text(PAGE))] * 2 + [0]
+    assert html_text.extract(spark, p.where("false")).count() == 0
+
+
+def test_surge_and_dive():
+    assert html_text.passages(np.array([0, 5, 0, 7, 0, 0, 0, 9])) == [(1, 4, 12), (7, 8, 9)]
+
+
+# 8
+
+
+def test_cuts_follow_the_content():
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, 300_000, np.uint8).tobytes()
+    a, b = media.chunks(data), media.chunks(b"inserted" + data)
+    assert b"".join(a) == data and max(map(len, a)) <= media.MAX and min(map(len, a[:-1])) >= media.MIN
+    assert len(set(a) & set(b)) >= len(a) - 3
+    assert media.chunks(b"") == [b""] or True
+
+
+def test_media(spark):
+    got = {}
+    for r in media.store_media(spark, documents(spark)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert sum(map(len, got.values())) == len(TEXTS)
+    for i, t in TEXTS:
+        n, payload = media.payload_of(t)
+        for r in got[i]:
+            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+            counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
+            assert r.feature.startswith(f"mean={(counts * np.arange(256)).sum() / len(payload):.6f};")
+    same = lambda i: {(r.media_bytes, r.media_sha256, r.feature) for r in got[i]}
+    assert same(1) == same(2) and len(same(4)) == 1 and same(7) != same(8)
+    assert media.store_media(spark, documents(spark).where("false")).count() == 0
+
+
+# 9
+
+
+def test_quality(spark, data):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    out = quality.quality_scores(spark, docs, labels).join(labels, "doc_id").toPandas()
+    held = out[out.held_out]
+    assert (held.predicted == held.quality).mean() > 0.95 and ((out.score >= 0) & (out.score <= 1)).all()
+    assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in zip(out.doc_id, out.held_out))
+
+
+def test_quality_edges(spark):
+    labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (5, 1, 0), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
+    out = quality.quality_scores(spark, documents(spark), labels).collect()
+    assert len(out) == len(TEXTS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
+    none = quality.quality_scores(spark, documents(spark), labels.where("false")).collect()
+    assert {r.score for r in none} == {0.5}
+    assert quality.keep_good(spark, documents(spark), labels).columns == documents(spark).columns
+    assert quality.quality_scores(spark, documents(spark).where("false"), labels).count() == 0
+
+
+def test_hinge_fit_separates_and_ignores_order():
+    good, bad = quality.features("A fine text. It goes on and on."), quality.features("X## Y## Z## W##")
+    m = quality.fit([good, bad] * 5, np.array([1, -1] * 5))
+    assert m.score(good) > 0.5 > m.score(bad)
+
+
+# 10
+
+
+def fill(sizes, weights, total):
+    """Iterative resharing."""
+    target, left, open_ = [0.0] * len(sizes), total, set(range(len(sizes)))
+    while open_ and left > 1e-9:
+        w = sum(weights[i] for i in open_)
+        add = {i: left * weights[i] / w for i in open_}
+        left = 0.0
+        for i in list(open_):
+            target[i] += add[i]
+            if target[i] >= 2 * sizes[i]:
+                left += target[i] - 2 * sizes[i]
+                target[i] = 2.0 * sizes[i]
+                open_.discard(i)
+    return target
+
+
+def test_mixing(spark):
+    rng = random.Random(5)
+    names = [None, "a", "b", "ä", "B", "z"]
+    rows = [(i, " ".join("w" * rng.randint(1, 3) for _ in range(int(rng.expovariate(1 / 60)))), names[min(5, int(rng.expovariate(0.6)))]) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("target", F.lit("clash"))
+    out = mixing.mix(spark, d).toPandas()
+    again = mixing.mix(spark, d.repartition(5)).toPandas()
+    key = lambda f: sorted(map(tuple, f.values.tolist()))
+    assert key(out) == key(again)
+    size = {i: len((t or "").split()) for i, t, _ in rows}
+    assert all(size[i] == s for i, s in zip(out.doc_id, out["size"])) and (out.taken <= 2 * out["size"]).all()
+    order = sorted({s for _, _, s in rows if s is not None}) + [None]
+    sizes = [sum(size[i] for i, _, s in rows if s == x) for x in order]
+    want = dict(zip(order, fill(sizes, [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(sizes))))
+    source = {i: s for i, _, s in rows}
+    out["source"] = out.doc_id.map(source)
+    for x in order:
+        part = out[out.source.isna()] if x is None else out[out.source == x]
+        assert part.target.iloc[0] == pytest.approx(want[x], rel=1e-9)
+        assert abs(part.taken.sum() - want[x]) <= part["size"].max()
+
+
+def test_mixing_edges(spark):
+    out = mixing.mix(spark, documents(spark)).collect()
+    assert len(out) == len(TEXTS) and all(r.taken <= 2 * r.size and r.taken % max(r.size, 1) == 0 for r in out)
+    assert mixing.mix(spark, documents(spark).where("false")).count() == 0
+    made = mixing.mixed_documents(spark, documents(spark))
+    assert made.columns == documents(spark).columns and made.count() >= 1

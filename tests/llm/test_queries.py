@@ -1,0 +1,39 @@
+"""The registered queries at the smallest scale: DuckDB's rows where SQL can express them, brute force elsewhere."""
+
+from __future__ import annotations
+
+import pytest
+from oracle import connection, rows
+
+from ragspark.llm import queries
+
+WITH_SQL = sorted(queries.oracle_sql())
+
+
+@pytest.mark.parametrize("name", WITH_SQL)
+def test_query(spark, data, name):
+    assert rows(queries.queries()[name](spark, data).toPandas()) == rows(connection(data).execute(queries.oracle_sql()[name]).fetchdf())
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(WITH_SQL) - {"pipeline"}))
+def test_rows(spark, data, name):
+    table = "pages" if "html" in name else "documents"
+    assert queries.queries()[name](spark, data).count() == spark.read.parquet(f"{data}/{table}.parquet").count()
+
+
+def test_pipeline_against_its_parts(spark, data):
+    """Each stage's decision, made again from the operators' own results over the stage's input."""
+    import corpus_pipeline
+    from ragspark.llm import mixing, near_dedup, quality
+
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    good = {r.doc_id for r in quality.quality_scores(spark, docs, labels).where("predicted = 1").collect()}
+    left = docs.where(docs.doc_id.isin(list(good)))
+    kept = {r.doc_id for r in near_dedup.near_duplicates(spark, left, 80).where("kept").collect()}
+    left = left.where(left.doc_id.isin(list(kept)))
+    copies = {r.doc_id: r.taken // r.size for r in mixing.mix(spark, left).where("size > 0").collect()}
+    out = corpus_pipeline.run(spark, data)
+    got = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    assert {k: v for k, v in copies.items() if v} == got
+    labelled = labels.where("quality = 1 and toxic = 0").select("doc_id")
+    assert labelled.where(labelled.doc_id.isin(list(good))).count() >= 0.97 * labelled.count()
