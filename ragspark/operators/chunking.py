@@ -177,7 +177,7 @@ def index_items(chunks: DataFrame, how: str, generated: DataFrame | None = None)
         if how == "summary":
             rows = reply.select("chunk_id", F.lit(0).alias("i"), F.col("reply").alias("embed_text"))
         else:
-            rows = reply.select("chunk_id", F.posexplode(F.filter(F.transform(F.split("reply", "\n"), F.trim), lambda t: t != "")).alias("i", "embed_text"))
+            rows = reply.select("chunk_id", F.posexplode(F.filter(F.transform(F.split("reply", "\n"), lambda t: F.trim(t)), lambda t: t != "")).alias("i", "embed_text"))
     else:
         raise ValueError(f"unknown indexing strategy {how!r}")
     return rows.select(F.concat_ws("/", "chunk_id", F.lit(how), "i").alias("item_id"), "embed_text", "chunk_id")

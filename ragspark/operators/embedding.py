@@ -198,7 +198,7 @@ def ivf(corpus: DataFrame, cells: int, sample_rows: int = 20_000, seed: int = 5)
     return centres
 
 
-def approximate_neighbours(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, probes: int = 8) -> DataFrame:
+def approximate_neighbours(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, probes: int = 12) -> DataFrame:
     """As :func:`neighbours`, over the ``probes`` cells nearest to each query. All rows are indexed; cells are joined by
     key, and a cell that holds many rows is split like any skewed join."""
     centres = ivf(corpus, cells)

@@ -41,7 +41,7 @@ def hyde(queries: DataFrame, passages: DataFrame) -> DataFrame:
 
 def variants(queries: DataFrame, replies: DataFrame, most: int = 3) -> DataFrame:
     """(query_id, variant, text): the query itself as variant 0 and up to ``most`` non-blank lines of the reply."""
-    lines = F.slice(F.filter(F.transform(F.split("reply", "\n"), F.trim), lambda t: t != ""), 1, most)
+    lines = F.slice(F.filter(F.transform(F.split("reply", "\n"), lambda t: F.trim(t)), lambda t: t != ""), 1, most)
     more = replies.select("query_id", F.posexplode(lines).alias("i", "text")).select("query_id", (F.col("i") + 1).alias("variant"), "text")
     return queries.select("query_id", F.lit(0).alias("variant"), "text").unionByName(more)
 

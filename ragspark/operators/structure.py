@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ragspark.operators.graph import cut
+
 HEADING = r"^(#{1,6})\s+(.*)$"
 # fixed values: formal ids of headings and references, and how they are written as ids
 FORMAL = r"(?i)\b(article|section|rfc)\s+(\d+(?:\.\d+)*)|§\s*(\d+(?:\.\d+)*)"
@@ -51,7 +53,8 @@ def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = named.select("doc_id", F.col("line").alias("parent_line"), F.col("node_id").alias("parent_id"))
     rows = named.join(ids, ["doc_id", "parent_line"], "left")
     first = F.row_number().over(Window.partitionBy("doc_id", "node_id").orderBy("line"))
-    rows = rows.withColumn("_n", first).select("doc_id", "node_id", "parent_id", "path", "level", "title", "text", "line", "_n")
+    # walks join this table again and again: its plan is cut here
+    rows = cut(rows.withColumn("_n", first).select("doc_id", "node_id", "parent_id", "path", "level", "title", "text", "line", "_n"))
     return rows.where("_n = 1").drop("_n"), rows.where("_n > 1").select("doc_id", "node_id", "line")
 
 

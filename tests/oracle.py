@@ -18,7 +18,7 @@ def rows(frame) -> list:
     def cell(v):
         if v is None or (isinstance(v, float) and v != v):
             return ""
-        return f"{v:.6f}" if isinstance(v, float) else str(v)
+        return f"{v:.6f}" if isinstance(v, (float, int)) and not isinstance(v, bool) else str(v)
 
     names = sorted(frame.columns)
     return [names, *sorted([cell(v) for v in r] for r in frame[names].astype(object).where(frame[names].notna(), None).itertuples(index=False))]
