@@ -32,6 +32,31 @@ def hashed_words(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     return summed.join(size, "doc_id").select("doc_id", "bucket", (F.col("n") / F.col("size")).alias("weight"))
 
 
+def bow_vectors(rows: DataFrame, key: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(key, embedding array<double>): :func:`hashed_words` as dense vectors, made in one pass without a shuffle. Words are
+    cut by Spark's expression; rows without words are left out."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for f in frames:
+            made = []
+            for words in f.w:
+                if len(known) > 500_000:
+                    known.clear()
+                for t in words:
+                    if t not in known:
+                        h = T.FNV_BASIS
+                        for c in t.encode():
+                            h = (h ^ c) * T.FNV_PRIME & T.U32
+                        known[t] = h % dimensions
+                n = np.bincount([known[t] for t in words], minlength=dimensions).astype(np.float64)
+                made.append(n / np.sqrt((n * n).sum()))
+            yield pd.DataFrame({key: f[key], "embedding": made})
+
+    words = rows.select(F.col(key).cast("long").alias(key), T.bow_tokens("text").alias("w")).where(F.size("w") > 0)
+    return words.mapInPandas(run, f"{key} long, embedding array<double>")
+
+
 def sparse_counts(rows: DataFrame, key: str, dimensions: int = SPARSE_DIMENSIONS) -> DataFrame:
     """(key, slot, n): term frequencies at FNV-1a of the term; colliding terms add up."""
     words = rows.select(key, F.explode(T.bow_tokens("text")).alias("token"))
@@ -58,7 +83,7 @@ def neighbours(queries: DataFrame, corpus: DataFrame, k: int, least: float | Non
     Blocks of queries are sent to slots that hold the corpus's blocks; each meeting is one matrix product whose k
     best survive, so the shuffle to the final ranking holds k rows a query and block."""
     blocks = _packed(corpus, "chunk_id", "embedding", BLOCK_ROWS)
-    slots = max(1, corpus.rdd.getNumPartitions())
+    slots = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = blocks.select("width", F.col("ids").alias("ids_c"), F.col("matrix").alias("m_c"), F.pmod(F.xxhash64("ids"), F.lit(slots)).alias("slot"))
     asked = _packed(queries, "query_id", "embedding", QUERY_ROWS).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"))
 

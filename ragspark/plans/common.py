@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ragspark.operators import embedding, lexical
+from ragspark.operators.embedding import bow_vectors
 from ragspark.sources.tables import CORPUS_SQL, corpus, table
 
 K = 10
-__all__ = ["CORPUS_SQL", "corpus", "table"]
+__all__ = ["CORPUS_SQL", "bow_vectors", "corpus", "table"]
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,14 +33,6 @@ def nearest(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     return embedding.neighbours(asked_vectors(spark, sf_dir), vectors(spark, sf_dir), k)
 
 
-def bow_vectors(rows: DataFrame, key: str) -> DataFrame:
-    """Dense arrays of the hashed bag of words; rows without words are left out."""
-    w = embedding.hashed_words(rows.select(F.col(key).alias("doc_id"), "text"))
-    cells = w.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(embedding.DIMENSIONS - 1).cast("long")), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return cells.select(F.col("doc_id").alias(key), dense.alias("embedding"))
-
-
 def dense(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     return embedding.neighbours(bow_vectors(questions(spark, sf_dir), "query_id"), bow_vectors(chunks(spark, sf_dir), "chunk_id"), k)
 
