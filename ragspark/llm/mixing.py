@@ -7,7 +7,8 @@ many entries as distinct sizes), each source in a row of its own, so sources are
 
 Rates become copies by a threshold on hash(document) - fraction(rate), chosen a source so that the words taken
 come nearest to the target. The threshold is a weighted quantile, found by two histograms of 4096 bins: partial
-sums only, no sort, and no task that holds a source.
+sums only, no sort, and no task that holds a source. One document a source, the nearest in size to what is then
+over or under, is taken once more or once less.
 """
 
 from __future__ import annotations
@@ -114,7 +115,17 @@ def plan(spark: SparkSession, sized: DataFrame, ws: Workspace) -> DataFrame:
     first = ws.put(_with(rates, first, "left"), "first")
     inner = _rated(_with(sized, first)).where("_bin = _b1").groupBy("_source", "_fine").agg(F.sum("_size").alias("_sum"), F.first("_left").alias("_left"))
     second = _crossing(inner, "_fine", "_left").select("_source", F.col("hit.at").alias("_b2"), (F.col("hit.left") * 2 >= F.col("hit.sum")).alias("_in"))
-    return ws.put(_with(first, second, "left"), "plan")
+    cut = ws.put(_with(first, second, "left").withColumns({"_at": F.lit(None).cast("double"), "_of": F.lit(None).cast("long"), "_by": F.lit(0).cast("long")}), "cut")
+
+    # what the threshold leaves over or under is met best by one document more or less, the one nearest to it in size
+    taken = copies(sized, cut)
+    short = taken.groupBy("_source").agg((F.first("target") - F.sum(F.col("_copies") * F.col("_size"))).alias("_short"))
+    short = ws.put(short, "short")
+    gap = F.abs(F.abs("_short") - F.col("_size"))
+    able = (F.col("_size") > 0) & (gap < F.abs("_short")) & F.when(F.col("_short") > 0, F.col("_copies") < MOST).otherwise(F.col("_copies") > 0)
+    best = _with(taken, short).where(able).groupBy("_source").agg(F.min(F.struct(gap.alias("gap"), place().alias("at"), F.col("_size").alias("of"), F.signum("_short").cast("long").alias("by"))).alias("b"))
+    best = best.select("_source", F.col("b.at").alias("_at"), F.col("b.of").alias("_of"), F.col("b.by").alias("_by"))
+    return ws.put(_with(cut.drop("_at", "_of", "_by"), best, "left"), "plan")
 
 
 def _with(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
@@ -130,7 +141,8 @@ def copies(rows: DataFrame, planned: DataFrame) -> DataFrame:
     below = F.col("_b1").isNull() | (F.col("_bin") < F.col("_b1"))
     inside = (F.col("_bin") == F.col("_b1")) & (F.col("_b2").isNull() | (F.col("_fine") < F.col("_b2")) | ((F.col("_fine") == F.col("_b2")) & F.col("_in")))
     more = F.col("_v").isNotNull() & (below | inside)
-    return rated.withColumn("_copies", F.col("_base") + F.coalesce(more, F.lit(False)).cast("long")).drop("_rate", "_base", "_v", "_bin", "_fine", "_b1", "_b2", "_in", "_left", "_lambda", "_docs")
+    last = F.when((place() == F.col("_at")) & (F.col("_size") == F.col("_of")), F.col("_by")).otherwise(0)
+    return rated.withColumn("_copies", F.col("_base") + F.coalesce(more, F.lit(False)).cast("long") + last).drop("_at", "_of", "_by", "_rate", "_base", "_v", "_bin", "_fine", "_b1", "_b2", "_in", "_left", "_lambda", "_docs")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
