@@ -10,7 +10,9 @@ window, all leftmost occurrences of its pair of least rank. Whole-word results a
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
+import itertools
 import json
 import re
 import unicodedata
@@ -24,8 +26,10 @@ from tokenizers import Tokenizer
 
 from .workspace import Workspace
 
-#: Words and pieces whose ids a worker keeps; full tables are emptied before the next batch.
-KEPT_WORDS = 250_000
+#: Words in each of two generations whose ids a worker keeps; words in use move on when the younger one is full.
+KEPT_WORDS = 150_000
+#: Longest words that are cut and merged many at once.
+FAST_CHARS = 256
 #: Ids decoded at a time.
 DECODE_BLOCK = 1 << 16
 #: Characters of the texts whose words are looked up together, at least one text.
@@ -189,6 +193,12 @@ class Transducer:
         return self._merge(symbols)
 
 
+@functools.cache
+def classes() -> np.ndarray:
+    """By code point of the basic plane: 0 for the blank, 1 letters, 2 numbers, 3 others."""
+    return np.array([0 if c == 32 else {"L": 1, "N": 2}.get(unicodedata.category(chr(c))[0], 3) for c in range(1 << 16)], np.uint8)
+
+
 def _groups(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
     group, n = [], 0
     for text in texts:
@@ -216,57 +226,53 @@ class Encoder:
         self.pattern = regex.compile(pre[0]["pattern"]["Regex"])
         self.kind = np.dtype("<u2" if max(self.merges.n, *(i + 1 for i in self.added.values())) <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.odd = re.compile("[\x1c-\x1f]")
         self.usual = re.compile(USUAL)
         self.library = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}))
         self.white = regex.compile(r"[\s--\x1c-\x1f]+", regex.V1)
 
-    def _long(self, data: bytes) -> bytes:
+    def _learn(self, words: Iterable[str]) -> None:
+        fast = []
+        for w in words:
+            if len(w) <= FAST_CHARS and "'" not in w and (w.isascii() or self.usual.fullmatch(w)):
+                fast.append(w)
+            else:
+                self.words[w] = self._slow(w)
+        for i in range(0, len(fast), 100_000):
+            self._learn_fast(fast[i : i + 100_000])
+
+    def _slow(self, word: str) -> bytes:
+        """Words with apostrophes (contractions), rare characters or of great length, piece by piece."""
+        if word.isascii() or self.usual.fullmatch(word):
+            pieces = self.pattern.findall(unicodedata.normalize("NFC", word).replace("Σ", "σ").lower())
+        else:
+            x = self.library.normalizer.normalize_str(word)
+            pieces = [x[a:z] for _, (a, z) in self.library.pre_tokenizer.pre_tokenize_str(x)]
+        return b"".join(self._piece(p.encode("utf-8")) for p in pieces)
+
+    def _piece(self, data: bytes) -> bytes:
         machine = Transducer(self.merges)
         out = [ids for i in range(0, len(data), machine.window) for ids in machine.feed(data[i : i + machine.window])]
         return np.concatenate([*out, machine.finish()]).astype(self.kind).tobytes()
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        data = [p.encode("utf-8") for p in pieces]
-        longest = max(4 * self.merges.lookahead, 1024)
-        for p, d in zip(pieces, data, strict=True):
-            if len(d) > longest:
-                self.pieces[p] = self._long(d)
-        short = [(p, d) for p, d in zip(pieces, data, strict=True) if len(d) <= longest]
-        for i in range(0, len(short), 50_000):
-            part = short[i : i + 50_000]
-            flat = np.frombuffer(b"".join(d for _, d in part), np.uint8)
-            ends = np.cumsum([len(d) for _, d in part])
-            symbols = self.merges.inner[flat]
-            symbols[ends - 1] = self.merges.last[flat[ends - 1]]
-            ids, starts = self.merges.merge(symbols, np.append(0, ends[:-1]))
-            raw, width = ids.astype(self.kind).tobytes(), self.kind.itemsize
-            cuts = [*(starts * width).tolist(), len(raw)]
-            for (p, _), a, b in zip(part, cuts, cuts[1:], strict=False):
-                self.pieces[p] = raw[a:b]
-
-    def _learn(self, words: set[str]) -> None:
-        split: dict[str, list[str]] = {}
-        alone: dict[str, str] = {}
-        for w in words:
-            if not (w.isascii() or self.usual.fullmatch(w)):
-                x = self.library.normalizer.normalize_str(w)
-                split[w] = [x[a:z] for _, (a, z) in self.library.pre_tokenizer.pre_tokenize_str(x)]
-                continue
-            x = w.lower() if w.isascii() else unicodedata.normalize("NFC", w).replace("Σ", "σ").lower()
-            if x.isalpha():  # letters only are one piece
-                alone[w] = x
-            else:
-                split[w] = self.pattern.findall(x)
-        pieces = {p for found in split.values() for p in found}
-        pieces.update(alone.values())
-        if new := [p for p in pieces if p not in self.pieces]:
-            self._learn_pieces(new)
-        get = self.pieces.__getitem__
-        self.words.update(zip(alone, map(get, alone.values()), strict=True))
-        for w, found in split.items():
-            self.words[w] = b"".join(map(get, found))
+    def _learn_fast(self, words: list[str]) -> None:
+        """Many words at once: where the class of characters changes, and around each number, a piece ends."""
+        joined = unicodedata.normalize("NFC", " ".join(words)).replace("Σ", "σ").lower()
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        data = np.frombuffer(joined.encode("utf-8"), np.uint8)
+        kind = classes()[points]
+        follows = np.append(kind[1:], 0)
+        ends = np.flatnonzero((kind != 0) & ((kind != follows) | (kind == 2)))
+        last = np.cumsum(1 + (points >= 0x80) + (points >= 0x800))[ends] - 1  # the last byte of each piece
+        word = np.cumsum(kind == 0)[ends]
+        symbols = self.merges.inner[data]
+        symbols[last] = self.merges.last[data[last]]
+        begin = np.append(0, (last - word + 1)[:-1])  # one blank before each word but the first is left out
+        ids, at = self.merges.merge(symbols[data != 0x20], begin)
+        raw, width = ids.astype(self.kind).tobytes(), self.kind.itemsize
+        cuts = [*(at[np.searchsorted(word, np.arange(len(words)))] * width).tolist(), len(raw)]
+        self.words.update(zip(words, [raw[a:z] for a, z in itertools.pairwise(cuts)], strict=True))
 
     def _plain(self, text: str) -> list[str]:
         """White-space delimited words: no piece spans white space."""
@@ -287,21 +293,23 @@ class Encoder:
         to GROUP_CHARS are merged in one go."""
         for group in _groups(texts):
             if len(self.words) > KEPT_WORDS:
-                self.words.clear()
-                self.pieces.clear()
-            look, new, held = self.words.get, set(), []
+                self.words, self.older = {}, self.words
+            look, older, new, held = self.words.get, self.older.get, set(), []
             for text in group:
                 words = self._segments(text or "")
                 got = list(map(look, words))
-                if None in got:
-                    new.update(w for w, g in zip(words, got, strict=True) if g is None and type(w) is str)
-                    held.append((words, got))
-                else:
-                    held.append((None, got))
-            if new:
-                self._learn(new)
-            for words, got in held:
-                yield b"".join(got) if words is None else b"".join([g if g is not None else w if type(w) is bytes else self.words[w] for w, g in zip(words, got, strict=True)])
+                gaps = [i for i, ids in enumerate(got) if ids is None]
+                new.update([words[i] for i in gaps])
+                held.append((words, got, gaps) if gaps else (None, got, gaps))
+            plain = {w for w in new if type(w) is str}
+            again = {w: ids for w in plain if (ids := older(w)) is not None}
+            self.words.update(again)
+            self._learn(plain - again.keys())
+            for words, got, gaps in held:
+                for i in gaps:
+                    w = words[i]
+                    got[i] = w if type(w) is bytes else self.words[w]
+                yield b"".join(got)
 
 
 class Decoder:
