@@ -189,7 +189,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
     posted = ws.put(posted.join(shared, "key"), "candidates")
     # members of a doc_id's buckets: the middle of a group of near copies has the most
     weights = posted.groupBy("doc_id").agg(F.sum("c").alias("w"))
-    ids = posted.select("doc_id").distinct()
+    # candidates grow with the data: their texts are always met by a shuffle, without a sort, not by a broadcast at some sizes
+    ids = posted.select("doc_id").distinct().hint("shuffle_hash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     sets = ws.put(_sets(texts), "sets", codec="none")
     ws.drop("posted")
