@@ -381,6 +381,24 @@ def encode_column(spark: SparkSession, docs: DataFrame, tokenizer: str, keep: li
     return docs.select(*keep, F.col(text).alias("_whole_text")).mapInArrow(run, schema)
 
 
+def decode_column(spark: SparkSession, encoded: DataFrame, tokenizer: str, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` and text of rows with ids and width, as :func:`encode_column` gives them; null ids give the empty text."""
+    Workspace(spark, "bpe")
+    content = spark.sparkContext.broadcast(read_spec(tokenizer))
+    schema = encoded.select(*keep).schema.add("text", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, decoder = loaded(content.value)
+        for batch in batches:
+            texts = []
+            for raw, width in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                ids = np.frombuffer(raw or b"", f"<u{width or 4}")
+                texts.append("".join([decoder.feed(ids[i : i + DECODE_BLOCK]) for i in range(0, len(ids), DECODE_BLOCK)]) + decoder.finish())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string())], [*keep, "text"])
+
+    return encoded.select(*keep, "ids", "width").mapInArrow(run, schema)
+
+
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs`` (doc_id, text, ...).
 

@@ -155,6 +155,13 @@ def test_byte_level_decoder_is_incremental():
     assert d.feed(ids[:1]) + d.finish() == "�"
 
 
+def test_columns_of_ids_and_texts(spark, library):
+    encoded = bpe.encode_column(spark, documents(spark).drop("ids"), TOKENIZER, ["doc_id", "lang"])
+    got = sorted(((r.doc_id, r.text) for r in bpe.decode_column(spark, encoded, TOKENIZER, ["doc_id"]).collect()), key=str)
+    want = [(i, library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)) for i, t in TEXTS]
+    assert got == sorted(want, key=str)
+
+
 def test_round_trip_edges(spark, library):
     got = sorted((tuple(r) for r in bpe.round_trip(spark, documents(spark), TOKENIZER).collect()), key=str)
     want = []
