@@ -1,13 +1,15 @@
 """Quality classifier: naive Bayes log-count ratios scale n-gram indicators of a linear support vector machine.
 
 A text's features are the 1- to 3-grams of its word shapes (runs of letters, digits and signs; a mark where a word
-repeats the one before or a line repeats an earlier one). Indicators are multiplied by the class log-count ratio of
+repeats the one before or a line repeats an earlier one) and the 1- and 2-grams of its words. Long words are cut into
+pieces, so every character of a text without spaces counts. Indicators are multiplied by the class log-count ratio of
 their n-gram and divided by the square root of their number; dual coordinate descent fits the hinge loss, and a
 logistic curve turns margins into scores. Labels, ids, languages and sources are never inputs of a score.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,30 +19,65 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .workspace import Workspace
 
-BITS = 18
+BITS, WORD_BITS = 18, 20
+FEATURES = (1 << BITS) + (1 << WORD_BITS)
+#: Symbols of a piece of a shape; characters of a word that is one piece, and of a run in longer ones.
+PIECE, LONG, RUN = 12, 64, 16
 #: Labelled rows that are fitted at most (about; drawn by hash). Bounds the driver's memory, not the rows scored.
 FIT_ROWS = 20_000
 EPOCHS, COST = 15, 1.0
-_SHAPES: dict[str, int] = {}
+_CODES: dict[str, tuple[list[int], list[int]]] = {}
 _KEPT = 100_000
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _AGAIN, _LINE_AGAIN, _END = 3, 7, 5
 
 
-def shape_code(word: str) -> int:
-    out, prev, run = [], "", 0
-    for c in word[:64]:
+class _Kinds(dict):
+    """Character codes to kinds, for str.translate."""
+
+    def __missing__(self, n: int) -> str:
+        c = chr(n)
         kind = "x" if c.islower() else "X" if c.isupper() else "9" if c.isdigit() else "a" if c.isalpha() else c
-        run = run + 1 if kind == prev else 1
-        if run <= 2:
-            out.append(kind)
-        prev = kind
-    return zlib.crc32("".join(out[:12]).encode("utf-8", "surrogatepass"))
+        self[n] = kind
+        return kind
+
+
+_KINDS = _Kinds()
+_RUNS = re.compile(r"(.)\1+", re.S)
+#: What a long word is cut into: single letters without case, runs of other kinds.
+_CUTS = re.compile(rf"a|(.)\1{{0,{RUN - 1}}}", re.S)
+
+
+def _code(piece: str) -> int:
+    return zlib.crc32(piece.encode("utf-8", "surrogatepass"))
+
+
+def codes_of(word: str) -> tuple[list[int], list[int]]:
+    """Codes of the shape and of the characters of a whole word; long words and shapes give several in order."""
+    kinds = word.translate(_KINDS)
+    shape = _RUNS.sub(r"\1\1", kinds)
+    shapes = [_code(shape[i : i + PIECE]) for i in range(0, len(shape), PIECE)]
+    if len(word) <= LONG:
+        return shapes, [_code(word)]
+    return shapes, [_code(word[m.start() : m.end()]) for m in _CUTS.finditer(kinds)]
+
+
+def _grams(codes: list[int], most: int, bits: int) -> np.ndarray:
+    """Numbers under 2^bits of the 1- to ``most``-grams of ``codes``."""
+    a = np.array(codes, np.uint64)
+    grams = [a * _GOLD]
+    for n in range(1, most):
+        last = grams[-1]
+        grams.append((last[: len(a) - n] * np.uint64(31) + a[n:] + np.uint64(n)) * _GOLD if len(a) > n else a[:0])
+    f = np.concatenate(grams)
+    f ^= f >> np.uint64(29)
+    return ((f * _MIX) >> np.uint64(64 - bits)).astype(np.int32)
 
 
 def features(text: str | None) -> np.ndarray:
-    """Sorted distinct feature numbers of the whole text."""
+    """Sorted distinct feature numbers of the whole text: shapes' from 0, words' from 2^BITS."""
     codes: list[int] = []
+    words: list[int] = []
     seen: set[int] = set()
     prev = None
     for line in (text or "").split("\n"):
@@ -52,22 +89,18 @@ def features(text: str | None) -> np.ndarray:
             if w == prev:
                 codes.append(_AGAIN)
                 continue
-            code = _SHAPES.get(w)
-            if code is None:
-                if len(_SHAPES) >= _KEPT:
-                    _SHAPES.clear()
-                code = _SHAPES[w] = shape_code(w)
-            codes.append(code)
+            got = _CODES.get(w)
+            if got is None:
+                got = codes_of(w)
+                if len(w) <= LONG:
+                    if len(_CODES) >= _KEPT:
+                        _CODES.clear()
+                    _CODES[w] = got
+            codes += got[0]
+            words += got[1]
             prev = w
         codes.append(_END)
-    a = np.array(codes, np.uint64)
-    grams = [a * _GOLD]
-    for n in (1, 2):
-        last = grams[-1]
-        grams.append((last[: len(a) - n] * np.uint64(31) + a[n:] + np.uint64(n)) * _GOLD if len(a) > n else a[:0])
-    f = np.concatenate(grams)
-    f ^= f >> np.uint64(29)
-    return np.unique(((f * _MIX) >> np.uint64(64 - BITS)).astype(np.int32))
+    return np.unique(np.concatenate([_grams(codes, 3, BITS), _grams(words, 2, WORD_BITS) + np.int32(1 << BITS)]))
 
 
 class Model:
@@ -89,25 +122,26 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = COST, epochs:
     positive = y > 0
     if not len(y) or positive.all() or not positive.any():
         share = (positive.sum() + 1) / (len(y) + 2) if len(y) else 0.5
-        return Model(np.zeros(1 << BITS), 0.0, 0.0, float(np.log(share / (1 - share))))
-    p, q = np.ones(1 << BITS), np.ones(1 << BITS)
+        return Model(np.zeros(FEATURES), 0.0, 0.0, float(np.log(share / (1 - share))))
+    p, q = np.ones(FEATURES), np.ones(FEATURES)
     for f, yes in zip(rows, positive, strict=True):
         (p if yes else q)[f] += 1
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    values = [ratio[f] / max(1.0, np.sqrt(len(f))) for f in rows]
-    square = np.array([v @ v + 1 for v in values])
-    weights, bias, dual, rng = np.zeros(1 << BITS), 0.0, np.zeros(len(y)), np.random.Generator(np.random.PCG64(3))
+    value = lambda f: ratio[f] / max(1.0, np.sqrt(len(f)))  # noqa: E731  # made anew each time: rows are many and long
+    square = np.array([(v := value(f)) @ v + 1 for f in rows])
+    weights, bias, dual, rng = np.zeros(FEATURES), 0.0, np.zeros(len(y)), np.random.Generator(np.random.PCG64(3))
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            slope = y[i] * (weights[rows[i]] @ values[i] + bias) - 1
+            v = value(rows[i])
+            slope = y[i] * (weights[rows[i]] @ v + bias) - 1
             new = min(max(dual[i] - slope / square[i], 0.0), cost)
             if (step := (new - dual[i]) * y[i]) != 0:
-                weights[rows[i]] += step * values[i]
+                weights[rows[i]] += step * v
                 bias, dual[i], moved = bias + step, new, max(moved, abs(step))
         if moved < 1e-4:
             break
-    margin = np.array([weights[f] @ v + bias for f, v in zip(rows, values, strict=True)])
+    margin = np.array([weights[f] @ value(f) + bias for f in rows])
     goal = np.where(positive, (positive.sum() + 1) / (positive.sum() + 2), 1 / ((~positive).sum() + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
@@ -147,7 +181,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = F
 
 def scored(spark: SparkSession, docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """Columns ``columns`` of ``docs`` and _score, from whole texts; a null text scores as an empty one."""
-    shared = spark.sparkContext.broadcast(model)  # 2^BITS weights, whatever the input
+    shared = spark.sparkContext.broadcast(model)  # FEATURES weights, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -357,6 +357,16 @@ def test_hinge_fit_separates_and_ignores_order():
     assert m.score(good) > 0.5 > m.score(bad)
 
 
+def test_all_of_a_text_without_spaces_counts():
+    start = "天地玄黄宇宙洪荒" * 9
+    for good, bad in (("日月盈昃辰宿列张", "寒来暑往秋收冬藏"), ("abcdefgh", "qrstuvwx"), ("ab,cd.", "#1$2%3")):
+        clean, junk = quality.features(start + good * 40), quality.features(start + bad * 40)
+        m = quality.fit([clean, junk] * 5, np.array([1, -1] * 5))
+        assert m.score(clean) > 0.5 > m.score(junk)
+    late = "aB3-" * 5
+    assert not np.array_equal(quality.features(late + "x9x9"), quality.features(late + "--==")) and quality.features("fine words").tolist() != quality.features("poor words").tolist()
+
+
 # 10
 
 
