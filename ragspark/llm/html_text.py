@@ -4,7 +4,7 @@ Markup is stripped into lines, one a block. What never belongs to an article (sc
 reader comments, ...) leaves a gap of empty lines, and so does each border of an article or main element.
 Text lengths are summed over sliding windows of lines: where sums rise from zero is a surge point, where they fall
 back to zero a dive point, and the lines between them are a passage. Passages inside an article element are kept;
-without such an element, those from the first to the last whose window sums come near the page's peak.
+without such an element, all that are not menus by their share of link text.
 """
 
 from __future__ import annotations
@@ -20,13 +20,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .workspace import Workspace
 
 WINDOW = 3
-#: Share of the highest window sum that marks the main passages of a page without an article element.
-NEAR_PEAK = 0.3
 #: Share of link text from which a passage outside an article is a menu.
 LINKS = 0.6
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # fixed values: elements by how they are treated
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 SILENT = frozenset("applet audio button canvas datalist embed form head iframe map math nav noembed noframes noscript object script select style svg template textarea title video aside footer menu".split())
@@ -34,20 +32,33 @@ RAW = frozenset("script style textarea title".split())
 CONTENT = frozenset("article main".split())
 SPACES = frozenset("br td th img wbr input".split())
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disclaimer discussion disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notices overlay popup promo promoted promotion related replies respond search share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Names of noise that an id inside an article gives to a section of the text as well.
+TOPICS = frozenset("banner consent cookie cookies disclaimer discussion menu navigation notice notices promotion related replies search share sharing social subscription".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORDS = re.compile(r"[a-z]+")
+_HOLDS = re.compile(r"<(?:article|main|h1)(?=[\s/>])")
 
 
-def _is_noise(name: str, attributes: str) -> bool:
-    if name in ("body", "html", "article", "main") or not attributes:
-        return False
-    return any(w in NOISE for m in _NAMED.finditer(attributes) for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()))
+def _noise(name: str, attributes: str, inside: bool) -> int:
+    """2 if all words of a class, id or role name noise, 1 if some word does outside an article, else 0."""
+    if name in ("body", "html", "article", "main") or not attributes or inside and name in HEADINGS:
+        return 0
+    found = 0
+    for m in _NAMED.finditer(attributes):
+        for token in (m[2] or m[3] or m[4] or "").split():
+            words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+            if words and all(w in NOISE for w in words) and not (inside and m[1].lower() == "id" and len(words) == 1 and words[0] in TOPICS):
+                return 2
+            if not inside and any(w in NOISE for w in words):
+                found = 1
+    return found
 
 
 def lines_of(page: str) -> list[tuple[str, bool, int]]:
     """(text, inside an article element, characters of link text) of each line; gaps are WINDOW empty lines."""
     out: list[tuple[str, bool, int]] = []
     held: list[str] = []
-    linked, in_link, depth, at = 0, False, 0, 0
+    linked, in_link, in_title, depth, met, at = 0, False, False, 0, False, 0
     lower = None
     gap = [("", False, 0)] * WINDOW
 
@@ -64,7 +75,7 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
         nonlocal linked
         if text:
             held.append(text)
-            if in_link:
+            if in_link and not in_title:
                 linked += len(text.strip())
 
     while m := _TOKEN.search(page, at):
@@ -74,12 +85,15 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
         if not name:
             continue
         shut = m[1] == "/"
-        if not shut and (name in SILENT or name == "header" and not depth or _is_noise(name, m[3])) and not m[3].endswith("/"):
+        noise = 0 if shut else _noise(name, m[3], depth > 0)
+        if not shut and (name in SILENT or name == "header" and not depth or noise) and not m[3].endswith("/"):
             if lower is None:
                 lower = page.lower()
                 lower = lower if len(lower) == len(page) else re.sub("[A-Z]", lambda c: c[0].lower(), page)
             end = _end_of(lower, name, at)
-            if end:
+            # a form, header or named wrapper around the text is not noise; after an article, one named so in full is
+            wraps = not depth and (name not in SILENT or name == "form") and (noise < 2 or not met)
+            if end and not (wraps and _HOLDS.search(lower, at, end)):
                 if name in BLOCKS or name not in ("button", "select", "svg"):
                     close()
                     out.extend(gap)
@@ -89,8 +103,12 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
             close()
             out.extend(gap)
             depth = max(0, depth + (-1 if shut else 1))
+            in_title, met = False, True
         elif name in BLOCKS:
             close()
+            in_title = name == "h1" and not shut
+            if name == "h1" and not depth:
+                out.extend(gap)
         elif name in SPACES:
             say(" ")
         elif name == "a":
@@ -137,9 +155,6 @@ def main_text(page: str | None) -> str:
     elif found:
         links = lambda p: sum(n for _, _, n in lines[p[0] : p[1]]) >= LINKS * lengths[p[0] : p[1]].sum()
         found = [p for p in found if not links(p)]
-        peak = max((p[2] for p in found), default=0)
-        high = [i for i, p in enumerate(found) if p[2] >= NEAR_PEAK * peak]
-        found = found[high[0] : high[-1] + 1] if high else []
     return "\n".join(t for a, z, _ in found for t, _, _ in lines[a:z] if t)
 
 

@@ -298,6 +298,25 @@ def test_html(spark):
     assert html_text.extract(spark, p.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", ['<div class="content has-sidebar">', '<div id="page-with-comments">', '<div class="no-header">', '<div class="widget">', '<form id="search">', "<header>"])
+def test_html_wrappers(wrapper):
+    name = wrapper[1:].split()[0].rstrip(">")
+    for kind in ("article", "main"):
+        assert html_text.main_text(f"{wrapper}<div class=sidebar>Side</div><{kind}><h1>T</h1><p>Text</p></{kind}></{name}><div class=comments><article>Reader</article></div>") == "T\nText"
+    assert html_text.main_text(f"{wrapper}<h1><a href=1>T</a></h1><p>Text</p></{name}>") == "T\nText"
+
+
+def test_html_sections_of_an_article():
+    for i in ("discussion", "related-work", "search", "notices"):
+        assert html_text.main_text(f'<article><h2 id="{i}">H</h2><section id="{i}"><p>S</p></section><div class="ad">Ad</div></article>') == "H\nS"
+
+
+def test_html_first_and_last_passages_around_adverts():
+    for size in (2_000, 30_000):
+        page = f"<h1>Title</h1><div class=ad>Ad</div><p>One.</p><div class=ad>Ad</div><p>{'x' * size}</p><form>Mail</form><p>End.</p><ul><li><a href=1>Menu</a></ul>"
+        assert html_text.main_text(page.replace("<ul>", "<aside>Side</aside><ul>")) == f"Title\nOne.\n{'x' * size}\nEnd."
+
+
 def test_surge_and_dive():
     assert html_text.passages(np.array([0, 5, 0, 7, 0, 0, 0, 9])) == [(1, 4, 12), (7, 8, 9)]
 
