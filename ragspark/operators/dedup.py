@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ragspark.functions import text as T
-from ragspark.operators.graph import cut
+from ragspark.operators.graph import components, cut
 
 PERMUTATIONS, THRESHOLD = 64, 0.85
 U32 = (1 << 32) - 1
@@ -79,8 +79,8 @@ def similar_pairs(signed: DataFrame, threshold: float = THRESHOLD, n: int = PERM
 def kept(signed: DataFrame, threshold: float = THRESHOLD, most_rounds: int = 100) -> DataFrame:
     """(doc_id, kept) as if documents came by ascending doc_id and each stayed iff no earlier kept one is similar.
 
-    A representative is settled once no earlier similar one is unsettled; rounds run until all are. Each round is cut
-    by a checkpoint in the shared folder."""
+    A representative is settled once no earlier similar one is unsettled. Each round is cut by a checkpoint in the
+    shared folder; what ``most_rounds`` leave open (long chains) goes through one ordered pass a component."""
     signed = cut(signed)
     pairs = cut(similar_pairs(signed, threshold).select("a", "b"))
     reps = classes(signed)
@@ -91,9 +91,31 @@ def kept(signed: DataFrame, threshold: float = THRESHOLD, most_rounds: int = 100
         state = cut(state.join(seen.withColumnRenamed("b", "doc_id"), "doc_id", "left").select("doc_id", new.alias("kept")))
         if not state.where("kept is null").take(1):
             break
+    else:
+        state = finished(state, pairs)
     return signed.select("doc_id").join(state, "doc_id", "left").select("doc_id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
+def finished(state: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``state`` (doc_id, kept) with its nulls settled in order of doc_id, by components of unsettled similar ones."""
+    open_ = cut(state.where("kept is null").select("doc_id"))
+    met = pairs.join(state.select(F.col("doc_id").alias("a"), F.col("kept").alias("ka")), "a").join(open_.withColumnRenamed("doc_id", "b"), "b")
+    links = cut(met.where("ka is null").select(F.col("a").alias("from_id"), F.col("b").alias("to_id")))
+    groups = components(open_.withColumnRenamed("doc_id", "id"), links, 1 << 30).withColumnRenamed("id", "doc_id")
+    earlier = met.groupBy(F.col("b").alias("doc_id")).agg(F.bool_or(F.coalesce("ka", F.lit(False))).alias("beaten"), F.collect_list(F.when(F.col("ka").isNull(), F.col("a"))).alias("earlier"))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f, stay = f.sort_values("doc_id"), set()
+        for i, beaten, before in zip(f.doc_id, f.beaten, f.earlier, strict=True):
+            if not beaten and stay.isdisjoint(before):
+                stay.add(i)
+        return pd.DataFrame({"doc_id": f.doc_id, "kept": f.doc_id.isin(stay)})
+
+    kind = state.schema["doc_id"].dataType.simpleString()
+    settled = groups.join(earlier, "doc_id").groupBy("component").applyInPandas(run, f"doc_id {kind}, kept boolean")
+    return cut(state.where("kept is not null").unionByName(settled))
+
+
 def blank_signature(n: int = PERMUTATIONS) -> list[int]:
     return [U32] * n
 

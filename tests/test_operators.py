@@ -324,6 +324,16 @@ def test_greedy_dedup_against_brute_force(spark):
     assert sorted(r.doc_id for r in dedup.kept(signed).where("kept").collect()) == kept
 
 
+def test_greedy_dedup_of_a_long_chain(spark):
+    signature, rows = list(range(64)), []
+    for i in range(300):  # each resembles the one before and the one after only
+        for p in range(5 * i, 5 * i + 5):
+            signature[p % 64] = 1000 + p
+        rows.append((i, list(signature)))
+    signed = spark.createDataFrame(rows, "doc_id long, signature array<long>")
+    assert sorted(r.doc_id for r in dedup.kept(signed, most_rounds=3).where("kept").collect()) == list(range(0, 300, 2))
+
+
 # graphs, structure, routing
 
 
