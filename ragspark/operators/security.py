@@ -15,8 +15,21 @@ GENESIS = "0" * 64
 
 
 def scanned(rows: DataFrame) -> DataFrame:
-    """Adds findings, flags, score and safe to rows with text."""
-    return rows.withColumns({"findings": T.findings("text"), "flags": T.output_flags("text"), "score": T.injection_score("text")}).withColumn("safe", T.is_safe(F.col("findings")))
+    """Adds findings, flags, score and safe to rows with text. The visible text is a column of its own, made once."""
+    rows = rows.withColumn("_clean", T.visible("text"))
+    rows = rows.withColumns({"findings": T.findings("text", F.col("_clean")), "flags": T.output_flags("text"), "safe_text": F.substring("_clean", 1, T.MOST_CHARS)}).drop("_clean")
+    hard = T.is_hard(F.concat("findings", "flags"))
+    return rows.withColumns({"safe": T.is_safe(F.col("findings")), "score": F.when(hard, 1.0).otherwise(0.0)})
+
+
+def detected(prompts: DataFrame) -> DataFrame:
+    """Adds findings and detected to (prompt, documents array<string>): the prompt's and each retrieved document's
+    telltales, named by where they stand (prompt:..., document[i]:...)."""
+    named = lambda found, where: F.transform(found, lambda f: F.concat(where, f))
+    documents = F.transform("documents", lambda d, i: named(T.telltales(d), F.concat(F.lit("document["), i.cast("string"), F.lit("]:"))))
+    rows = prompts.withColumn("findings", F.concat(named(T.telltales("prompt"), F.lit("prompt:")), F.coalesce(F.flatten(documents), F.array().cast("array<string>"))))
+    bare = F.transform("findings", lambda f: F.regexp_replace(f, r"^(prompt|document\[\d+\]):", ""))
+    return rows.withColumn("detected", T.is_hard(bare))
 
 
 def gated(chunks: DataFrame, key: bytes, least: float = QUARANTINE) -> tuple[DataFrame, DataFrame]:
@@ -30,14 +43,6 @@ def signed(chunks: DataFrame, key: bytes) -> DataFrame:
     return chunks.withColumn("provenance", T.hmac_sha256(F.concat_ws("|", "chunk_id", "document_id", "text"), key))
 
 
-def redacted(rows: DataFrame) -> DataFrame:
-    """Masks e-mail addresses, then social security numbers, then valid card numbers. Only rows with a card-shaped
-    number pass through Python."""
-    rows = rows.withColumn("text", T.redacted("text"))
-    shaped = F.coalesce(F.regexp_like("text", F.lit(T.CARD)), F.lit(False))
-    return rows.where(~shaped).unionByName(rows.where(shaped).withColumn("text", T.mask_cards()("text")))
-
-
 def citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
     """(answer_id, place, rank, chunk_id, claim) of each [Source n] whose n is a source's rank. The claim is the text
     between the nearest full stops or line ends around the mark, trimmed."""
