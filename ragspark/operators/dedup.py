@@ -101,7 +101,7 @@ def finished(state: DataFrame, pairs: DataFrame) -> DataFrame:
     open_ = cut(state.where("kept is null").select("doc_id"))
     met = pairs.join(state.select(F.col("doc_id").alias("a"), F.col("kept").alias("ka")), "a").join(open_.withColumnRenamed("doc_id", "b"), "b")
     links = cut(met.where("ka is null").select(F.col("a").alias("from_id"), F.col("b").alias("to_id")))
-    groups = components(open_.withColumnRenamed("doc_id", "id"), links, 1 << 30).withColumnRenamed("id", "doc_id")
+    groups = components(open_.withColumnRenamed("doc_id", "id"), links).withColumnRenamed("id", "doc_id")
     earlier = met.groupBy(F.col("b").alias("doc_id")).agg(F.bool_or(F.coalesce("ka", F.lit(False))).alias("beaten"), F.collect_list(F.when(F.col("ka").isNull(), F.col("a"))).alias("earlier"))
 
     def run(f: pd.DataFrame) -> pd.DataFrame:

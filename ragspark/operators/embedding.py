@@ -24,12 +24,9 @@ def prompted(text: Column, model: str, query: bool = False) -> Column:
 
 
 def hashed_words(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(doc_id, bucket, weight): L2-normalised counts of tokens hashed by FNV-1a. Each distinct token is hashed once."""
-    counts = docs.select("doc_id", F.explode(T.bow_tokens("text")).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    tokens = counts.select("token").distinct().select("token", F.pmod(T.fnv1a(F.col("token")), F.lit(dimensions)).alias("bucket"))
-    summed = counts.join(tokens, "token").groupBy("doc_id", "bucket").agg(F.sum("n").alias("n"))
-    size = summed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
-    return summed.join(size, "doc_id").select("doc_id", "bucket", (F.col("n") / F.col("size")).alias("weight"))
+    """(doc_id, bucket, weight): L2-normalised counts of tokens hashed by FNV-1a, without a shuffle."""
+    rows = bow_vectors(docs, "doc_id", dimensions).select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
+    return rows.where("weight > 0").withColumn("bucket", F.col("bucket").cast("long"))
 
 
 def bow_vectors(rows: DataFrame, key: str, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -39,7 +36,7 @@ def bow_vectors(rows: DataFrame, key: str, dimensions: int = DIMENSIONS) -> Data
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         for f in frames:
-            made = []
+            f, made = f[f.w.map(len) > 0], []
             for words in f.w:
                 if len(known) > 500_000:
                     known.clear()
@@ -53,7 +50,7 @@ def bow_vectors(rows: DataFrame, key: str, dimensions: int = DIMENSIONS) -> Data
                 made.append(n / np.sqrt((n * n).sum()))
             yield pd.DataFrame({key: f[key], "embedding": made})
 
-    words = rows.select(F.col(key).cast("long").alias(key), T.bow_tokens("text").alias("w")).where(F.size("w") > 0)
+    words = rows.select(F.col(key).cast("long").alias(key), T.bow_tokens("text").alias("w"))
     return words.mapInPandas(run, f"{key} long, embedding array<double>")
 
 

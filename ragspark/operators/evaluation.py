@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ragspark.functions.stats import mcnemar, wilson
 
-# fixed values: words without content, verdict thresholds, gate tolerances
-STOP_WORDS = ("the", "and", "for", "are", "was", "were", "with", "that", "this", "from", "have", "has", "not", "you", "your", "will", "can", "may", "must")
+# fixed values: words without content, separators of words, the prompt whose words count as context, verdict thresholds,
+# gate tolerances
+STOP_WORDS = ("the", "a", "an", "of", "to", "and", "or", "for", "in", "on", "is", "are", "you", "your", "per", "up", "at", "i", "do")
+SEPARATORS = r"[ .,\n\r\[\]'\"]+"
+JUDGE_PROMPT = "Grade the claim against the context. Reply EXACTLY one token: SUPPORTED, PARTIALLY_SUPPORTED, or NOT_SUPPORTED.\n\nContext:\n"
 SUPPORTED, UNSUPPORTED = 0.6, 0.2
 HIT_TOLERANCE, FAITH_TOLERANCE = 0.02, 0.03
 ITERATIONS = 2000
@@ -37,19 +40,19 @@ def retrieval_metrics(hits: DataFrame, gold: DataFrame, k: int, dedup_docs: bool
 
 
 def content_words(column):
-    from ragspark.functions.text import word_tokens
-
-    words = F.array_distinct(word_tokens(column))
+    """Distinct lower-cased words of three characters and more that are not stop words."""
+    words = F.array_distinct(F.split(F.lower(column), SEPARATORS))
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
 
 
 def faithfulness(answers: DataFrame) -> DataFrame:
     """(answer_id, sentences, score) of (answer_id, text, context): each sentence of more than three characters is
-    SUPPORTED, PARTIAL or NOT by the share of its content words in the context; 1, 0.5 and 0 points. 1.0 without sentences."""
+    SUPPORTED, PARTIAL or NOT by the share of its content words in the judge's prompt and context; 1, 0.5 and 0 points. A
+    sentence without content words is PARTIAL; 1.0 without sentences."""
     parts = F.filter(F.transform(F.split("text", "[.!?]"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 3)
-    rows = answers.select("answer_id", content_words("context").alias("c"), F.explode_outer(parts).alias("s"))
+    rows = answers.select("answer_id", content_words(F.concat(F.lit(JUDGE_PROMPT), "context")).alias("c"), F.explode_outer(parts).alias("s"))
     rows = rows.select("answer_id", "c", "s", content_words("s").alias("w"))
-    share = F.when(F.size("w") > 0, F.size(F.array_intersect("w", "c")) / F.size("w")).otherwise(1.0)
+    share = F.when(F.size("w") > 0, F.size(F.array_intersect("w", "c")) / F.size("w")).otherwise(0.5)
     points = F.when(F.col("s").isNull(), None).when(share >= SUPPORTED, 1.0).when(share <= UNSUPPORTED, 0.0).otherwise(0.5)
     return rows.select("answer_id", points.alias("p")).groupBy("answer_id").agg(F.count("p").alias("sentences"), F.round(F.coalesce(F.avg("p"), F.lit(1.0)), 6).alias("score"))
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 RRF_K = 60
-LAMBDA = 0.7
+LAMBDA = 0.5
 DIGITS = 9
 
 

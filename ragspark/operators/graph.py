@@ -87,20 +87,19 @@ def seeds_in(queries: DataFrame, vertices: DataFrame) -> DataFrame:
     return asked.join(names, "term").groupBy("query_id", "id", "n").agg(F.count("*").alias("c")).where("c = n").select("query_id", "id")
 
 
-def components(vertices: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each vertex reaches, by min-label steps that also jump to the label's own
-    label. Each round is a checkpoint."""
+    label. Each round is a checkpoint; they end when no label changes, which a label's descent makes sure of."""
     both = cut(undirected(edges))
     state = cut(vertices.select("id", F.col("id").alias("component")))
-    for _ in range(most):
+    while True:
         near = both.join(state, F.col("a") == F.col("id")).groupBy("b").agg(F.min("component").alias("m"))
         step = state.join(near, F.col("id") == F.col("b"), "left").select("id", "component", F.least("component", F.coalesce("m", "component")).alias("low"))
         jump = step.join(state.select(F.col("id").alias("l"), F.col("component").alias("further")), F.col("low") == F.col("l"), "left")
         new = cut(jump.select("id", F.least("low", F.coalesce("further", "low")).alias("component"), F.col("component").alias("old")))
         state = new.select("id", "component")
         if not new.where("component <> old").take(1):
-            break
-    return state
+            return state
 
 
 def communities(vertices: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -1,35 +1,53 @@
-"""BM25 over a postings table."""
+"""BM25 over an index of the query terms' postings."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ragspark.functions import text as T
+from ragspark.operators.graph import cut
 
 K1, B = 1.5, 0.75
 DIGITS = 9
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, length): one row a distinct term of a chunk (chunk_id, text)."""
-    cut = docs.select("chunk_id", T.word_tokens("text").alias("words"))
-    rows = cut.select("chunk_id", F.size("words").alias("length"), F.explode("words").alias("term"))
-    return rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, times): query terms count with their multiplicity."""
+    words = queries.select("query_id", F.explode_outer(T.word_tokens("text")).alias("term")).where("term is not null")
+    return words.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
+class Index:
+    """What BM25 needs of ``docs`` (chunk_id, text) for the terms of ``asked`` (query_id, text), read off the texts once and
+    written: a row a chunk and query term, and one a chunk (without a term) that holds its length. Words that no query
+    has collapse into that row before anything is moved. Searches share the index."""
+
+    def __init__(self, asked: DataFrame, docs: DataFrame):
+        terms = asked.select(F.explode_outer(T.word_tokens("text")).alias("term")).where("term is not null").distinct().withColumn("known", F.lit(True))
+        cut_ = docs.select("chunk_id", F.concat(F.array(F.lit(None).cast("string")), T.word_tokens("text")).alias("words"))
+        # explode_outer: after explode, Spark would cut every text a second time to see whether it is empty
+        rows = cut_.select("chunk_id", (F.size("words") - 1).alias("length"), F.explode_outer("words").alias("term")).join(terms, "term", "left")
+        rows = rows.groupBy("chunk_id", F.when(F.col("known"), F.col("term")).alias("term")).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+        self.rows = cut(rows)
+
+    def scores(self, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+        """(query_id, chunk_id, score) of all chunks that share a term; only positive scores stay."""
+        found = self.rows.where("term is not null")
+        stats = self.rows.where("term is null").agg(F.count("*").alias("docs"), F.greatest(F.avg("length"), F.lit(1.0)).alias("mean"))
+        df = found.groupBy("term").agg(F.count("*").alias("df"))
+        # one row: corpus size and mean length
+        idf = df.crossJoin(F.broadcast(stats)).select("term", "mean", F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+        part = F.col("times") * F.col("idf") * (k1 + 1) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+        # scores are summed map-side before the shuffle
+        return found.join(idf.join(query_terms(queries), "term"), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("score")).where("score > 0")
+
+    def search(self, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+        """(query_id, rank, chunk_id, score); ties at DIGITS digits go to the smaller chunk_id. The terms of ``queries`` must
+        be among those the index was made for."""
+        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
+        return self.scores(queries, k1, b).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, rank, chunk_id, score). queries (query_id, text), docs (chunk_id, text); query terms count with
-    their multiplicity, only positive scores stay, ties at DIGITS digits go to the smaller chunk_id.
-
-    Only postings of query terms reach the scoring join; scores are summed map-side before the shuffle."""
-    posted = postings(docs)
-    stats = docs.select(F.size(T.word_tokens("text")).alias("n")).agg(F.count("*").alias("docs"), F.greatest(F.avg("n"), F.lit(1.0)).alias("mean"))
-    asked = queries.select("query_id", F.explode(T.word_tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    found = posted.join(asked.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    # one row: corpus size and mean length
-    idf = df.crossJoin(F.broadcast(stats)).select("term", "mean", F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    part = F.col("times") * F.col("idf") * (k1 + 1) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = found.join(idf.join(asked, "term"), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("score")).where("score > 0")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+    """One search over an index of its own."""
+    return Index(queries, docs).search(queries, k, k1, b)

@@ -75,27 +75,31 @@ def corrective(hits: DataFrame, grades: DataFrame, fallback: DataFrame, k: int)
 def relaxed(candidates: DataFrame, constraints: list[Column], security: Column, k: int) -> DataFrame:
     """Self-query with relaxation in one pass. ``candidates`` are scored rows (query_id, chunk_id, score, ...);
     constraints come in order, the last is dropped first, security never. A row's level is the number of constraints
-    that must be dropped for it to pass; each query keeps the rows of its least level and ranks them."""
+    that must be dropped for it to pass; each query keeps the rows of its least level and ranks them. All rows take
+    part: the k first by level and score hold the k best of the least level, so no more than k a query and partition are
+    moved."""
     n = len(constraints)
     need = F.lit(0)
     for i, c in enumerate(constraints):
         need = F.when(~F.coalesce(c, F.lit(False)), F.greatest(need, F.lit(n - i))).otherwise(need)
     rows = candidates.where(security).withColumn("level", need)
-    best = rows.groupBy("query_id").agg(F.min("level").alias("best"))
-    rows = rows.join(best, "query_id").where(F.col("level") == F.col("best"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score", "level")
+    order = Window.partitionBy("query_id").orderBy("level", F.col("score").desc(), "chunk_id")
+    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    least = F.min("level").over(Window.partitionBy("query_id"))
+    return rows.withColumn("least", least).where("level = least").select("query_id", "rank", "chunk_id", "score", "level")
 
 
-# fixed values: references that select structural lookup
-REFERENCE = r"(?i)(§\s*\d+(?:\.\d+)*|\b(?:article|section|rfc)\s+\d+(?:\.\d+)*)"
+# fixed values: references that select structural lookup, words, and how many other words make a topic
+REFERENCE = r"§\s*\d+(?:\.\d+)*[a-z]?|Article\s+\d+|RFC\s+\d+"
+TOPIC_WORD = r"[\p{L}\d]+"
+TOPIC_WORDS = 4
 
 
 def structural_route(text) -> Column:
-    """vector without a reference, both with more than four other words, else structural."""
+    """vector without a reference, both with more than TOPIC_WORDS other words, else structural."""
     has = F.regexp_like(text, F.lit(REFERENCE))
-    rest = F.filter(F.split(F.regexp_replace(text, REFERENCE, " "), r"\s+"), lambda w: w != "")
-    return F.when(~has, "vector").when(F.size(rest) > 4, "both").otherwise("structural")
+    rest = F.regexp_count(F.regexp_replace(text, REFERENCE, " "), F.lit(TOPIC_WORD))
+    return F.when(~has, "vector").when(rest > TOPIC_WORDS, "both").otherwise("structural")
 
 
 def cache_key(text, k: int, prefix: str = "retr") -> Column:

@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ragspark.functions.vector import cosine
 from ragspark.operators.filters import DEPARTMENTS, DOCUMENT_TYPES, OFFICES, SILOS, cleaned, cleaned_year
 
+# fixed values: keywords of each silo
+KEYWORDS = {
+    "hr-policies": ("policy", "leave", "vacation", "sick", "remote", "parental", "salary", "probation", "onboarding"),
+    "technical-docs": ("api", "endpoint", "deploy", "service", "runbook", "adr", "architecture", "rate limit"),
+    "financial-reports": ("revenue", "q1", "q2", "q3", "q4", "budget", "forecast", "fiscal", "operating margin"),
+    "legal-contracts": ("contract", "nda", "sow", "clause", "terminate", "termination", "agreement", "license"),
+    "product-catalog": ("pricing", "tier", "feature", "starter", "team", "business", "enterprise", "specification"),
+    "release-notes-tickets": ("release notes", "release", "ticket", "regression", "hotfix", "support ticket"),
+}
 THRESHOLD, RULES_ENOUGH, PER_HIT = 0.35, 0.5, 0.25
 TURNS = 8
 
 
-def by_rules(queries: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(query_id, silos, confidence). Keywords (silo, keyword) count where the lower-cased query contains them; all silos
-    at the highest count are chosen. The keyword table is a fixed vocabulary, joined by containment."""
-    hits = queries.join(F.broadcast(keywords), F.contains(F.lower("text"), F.col("keyword"))).groupBy("query_id", "silo").agg(F.count("*").alias("n"))
-    best = hits.groupBy("query_id").agg(F.max("n").alias("top"))
-    chosen = hits.join(best, "query_id").where("n = top").groupBy("query_id").agg(F.array_sort(F.collect_list("silo")).alias("silos"), F.least(F.lit(1.0), PER_HIT * F.max("top")).alias("confidence"))
-    return queries.select("query_id").join(chosen, "query_id", "left").select("query_id", F.coalesce("silos", F.array().cast("array<string>")).alias("silos"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+def by_rules(queries: DataFrame, keywords: Mapping[str, Sequence[str]] = KEYWORDS) -> DataFrame:
+    """(query_id, silos, confidence). A silo's keywords count where the lower-cased query contains them; all silos at the
+    highest count are chosen. The vocabulary is part of the plan: rows are neither joined nor moved."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    counts = [F.struct(F.lit(silo).alias("silo"), sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)).alias("n")) for silo, words in keywords.items()]
+    rows = queries.select("query_id", F.array(*counts).alias("c"))
+    rows = rows.withColumn("top", F.array_max(F.transform("c", lambda x: x["n"])))
+    silos = F.array_sort(F.transform(F.filter("c", lambda x: (x["n"] > 0) & (x["n"] == F.col("top"))), lambda x: x["silo"]))
+    return rows.select("query_id", silos.alias("silos"), F.least(F.lit(1.0), PER_HIT * F.col("top")).cast("double").alias("confidence"))
 
 
 def by_meaning(queries: DataFrame, exemplars: DataFrame, least: float = THRESHOLD) -> DataFrame:
     """As :func:`by_rules` by the highest cosine with a silo's exemplars (silo, embedding), at least 0: every silo at
-    ``least`` or more, else the single best. Exemplars are a fixed handful a silo."""
+    ``least`` or more, else the single best. Exemplars are a handful a silo; Spark copies them to every task only where it
+    knows that they are small."""
     near = F.round(F.greatest(F.lit(0.0), cosine("embedding", "e")), 9)
-    scores = queries.crossJoin(F.broadcast(exemplars.select("silo", F.col("embedding").alias("e")))).select("query_id", "silo", near.alias("s")).groupBy("query_id", "silo").agg(F.max("s").alias("s"))
+    scores = queries.crossJoin(exemplars.select("silo", F.col("embedding").alias("e"))).select("query_id", "silo", near.alias("s")).groupBy("query_id", "silo").agg(F.max("s").alias("s"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("s").desc(), "silo"))
     rows = scores.withColumn("place", place).where((F.col("s") >= least) | (F.col("place") == 1))
     return rows.groupBy("query_id").agg(F.array_sort(F.collect_list("silo")).alias("silos"), F.max("s").alias("confidence"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ragspark.functions import text as T
 from ragspark.operators import evaluation, operations, security
 from ragspark.operators.graph import shared_folder
-from ragspark.plans.common import POSTINGS_SQL, WORDS, questions, sparse, sparse_sql, table
+from ragspark.plans.common import POSTINGS_SQL, questions, sparse, sparse_sql, table
 from ragspark.sources.tables import manifest
 from ragspark.streaming import state
 
@@ -207,16 +207,18 @@ def eval_metrics(spark, sf_dir):
     return evaluation.retrieval_metrics(_hits(spark, sf_dir), _gold(spark, sf_dir), 10)
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in evaluation.STOP_WORDS) + "]"
+# the judge's stop words and prompt as the SQL side states them
+_STOP = "['the', 'a', 'an', 'of', 'to', 'and', 'or', 'for', 'in', 'on', 'is', 'are', 'you', 'your', 'per', 'up', 'at', 'i', 'do']"
+_PROMPT = "'Grade the claim against the context. Reply EXACTLY one token: SUPPORTED, PARTIALLY_SUPPORTED, or NOT_SUPPORTED.' || chr(10) || chr(10) || 'Context:' || chr(10)"
 
 
 def _content(t: str) -> str:
-    return f"list_filter(list_distinct({WORDS.format(t=t)}), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w))"
+    return rf"list_filter(list_distinct(regexp_split_to_array(lower({t}), '[ .,\n\r\[\]''\"]+')), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w))"
 
 
 @query(rf"""WITH a AS (SELECT conv_id * 100000 + turn AS answer_id, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS context, role FROM conversations),
-s AS (SELECT answer_id, {_content("context")} AS c, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 3)) AS s FROM a WHERE role = 'assistant' AND context IS NOT NULL),
-p AS (SELECT answer_id, CASE WHEN len(w) = 0 THEN 1.0 ELSE len(list_intersect(w, c)) / len(w) END AS p FROM (SELECT *, {_content("s")} AS w FROM s)),
+s AS (SELECT answer_id, {_content(_PROMPT + " || context")} AS c, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 3)) AS s FROM a WHERE role = 'assistant' AND context IS NOT NULL),
+p AS (SELECT answer_id, CASE WHEN len(w) = 0 THEN 0.5 ELSE len(list_intersect(w, c)) / len(w) END AS p FROM (SELECT *, {_content("s")} AS w FROM s)),
 v AS (SELECT answer_id, count(*) AS sentences, avg(CASE WHEN p >= 0.6 THEN 1.0 WHEN p <= 0.2 THEN 0.0 ELSE 0.5 END) AS score FROM p GROUP BY answer_id)
 SELECT a.answer_id, coalesce(sentences, 0) AS sentences, round(CAST(coalesce(score, 1.0) AS DOUBLE), 6) AS score FROM a LEFT JOIN v USING (answer_id) WHERE role = 'assistant' AND context IS NOT NULL""")
 def faithfulness_overlap(spark, sf_dir):

@@ -22,10 +22,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _bm25(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    return lexical.bm25(asked, docs, k)
-
-
 @query(f"WITH {POSTINGS_SQL}, {sparse_sql()} {hits_sql('sparse')}")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(sparse(spark, sf_dir))
@@ -37,7 +33,7 @@ _TURNS = "(SELECT conv_id * 100000 + turn AS query_id, text FROM conversations W
 @query(f"WITH {POSTINGS_SQL}, {sparse_sql(3, source=_TURNS)} {hits_sql('sparse')}")
 def bm25_batch(spark, sf_dir):
     asked = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 100000 + F.col("turn")).alias("query_id"), "text")
-    return shown(_bm25(asked, chunks(spark, sf_dir), 3))
+    return shown(lexical.bm25(asked, chunks(spark, sf_dir), 3))
 
 
 @query(f"WITH {dense_sql()} {hits_sql('dense')}")
@@ -111,8 +107,6 @@ def rerank_overlap(spark, sf_dir):
 @query(f"WITH {dense_sql(15)}, {POSTINGS_SQL}, {sparse_sql(15)}, {rrf_sql('dense', 'sparse', 5, 'f')} {hits_sql('f')}")
 def hybrid_rrf(spark, sf_dir):
     q, c = questions(spark, sf_dir), chunks(spark, sf_dir)
-
-
     return shown(retrieval.hybrid(q, c, bow_vectors(q, "query_id"), bow_vectors(c, "chunk_id"), 5, times=3))
 
 
@@ -132,23 +126,23 @@ def _halves(spark, sf_dir):
 {rrf_sql('v0', 'v1', 10, 'f1')}, {rrf_sql('f1', 'v2', 10, 'f2')} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM f2 WHERE rank <= 5""")
 def rag_fusion_fold(spark, sf_dir):
     q, replies = _halves(spark, sf_dir)
-    c = chunks(spark, sf_dir)
-    return shown(retrieval.rag_fusion(lambda asked, k: _bm25(asked, c, k), retrieval.variants(q, replies), 5, most=2))
+    asked = retrieval.variants(q, replies)
+    return shown(retrieval.rag_fusion(lexical.Index(asked, chunks(spark, sf_dir)).search, asked, 5, most=2))
 
 
 @query(f"""WITH {POSTINGS_SQL}, {sparse_sql(10, 'v0')}, {sparse_sql(10, 'v1', _V1)}, {rrf_sql('v0', 'v1', 5, 'f')} {hits_sql('f')}""")
 def stepback_fuse(spark, sf_dir):
     q, replies = _halves(spark, sf_dir)
-    c = chunks(spark, sf_dir)
     broader = replies.select("query_id", F.substring_index("reply", "\n", 1).alias("reply"))
-    return shown(retrieval.step_back(lambda asked, k: _bm25(asked, c, k), q, broader, 5))
+    index = lexical.Index(q.unionByName(broader.withColumnRenamed("reply", "text")), chunks(spark, sf_dir))
+    return shown(retrieval.step_back(index.search, q, broader, 5))
 
 
 @query(f"WITH {POSTINGS_SQL}, {sparse_sql(5, 'v1', _V2)} {hits_sql('v1')}")
 def hyde_topk(spark, sf_dir):
     q, replies = _halves(spark, sf_dir)
     passages = replies.select("query_id", F.substring_index("reply", "\n", -1).alias("reply"))
-    return shown(_bm25(retrieval.hyde(q, passages), chunks(spark, sf_dir), 5))
+    return shown(lexical.bm25(retrieval.hyde(q, passages), chunks(spark, sf_dir), 5))
 
 
 @query(f"""WITH {dense_sql(5)}, {POSTINGS_SQL}, {sparse_sql(10)},
@@ -162,22 +156,30 @@ def crag_filter(spark, sf_dir):
     return shown(retrieval.corrective(hits, grades, dense(spark, sf_dir, 5), 5))
 
 
-@query(f"""WITH {POSTINGS_SQL}, {sparse_sql(100)}, c AS (SELECT query_id, chunk_id, score, CASE WHEN confidentiality IS DISTINCT FROM 'Internal' THEN 4 WHEN silo <> 'src3' THEN 3 WHEN office <> 'en' THEN 2 WHEN fiscal_year <= 2020 THEN 1 ELSE 0 END AS level
+@query(f"""WITH {POSTINGS_SQL}, {sparse_sql(1_000_000_000)}, c AS (SELECT query_id, chunk_id, score, CASE WHEN confidentiality IS DISTINCT FROM 'Internal' THEN 4 WHEN silo <> 'src3' THEN 3 WHEN office <> 'en' THEN 2 WHEN fiscal_year <= 2020 THEN 1 ELSE 0 END AS level
   FROM sparse JOIN {CORPUS_SQL} d ON d.doc_id = chunk_id WHERE confidentiality IN ('Public', 'Internal', 'Restricted')),
 b AS (SELECT *, min(level) OVER (PARTITION BY query_id) AS best FROM c)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, round(score, 6) AS score, level FROM b WHERE level = best QUALIFY rank <= 5""")
 def self_query_relax(spark, sf_dir):
-    rows = sparse(spark, sf_dir, 100).drop("rank").join(corpus(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id").drop("text"), "chunk_id")
+    asked = questions(spark, sf_dir)
+    rows = lexical.Index(asked, chunks(spark, sf_dir)).scores(asked).join(corpus(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id").drop("text"), "chunk_id")
     constraints = [F.col("confidentiality") == "Internal", F.col("silo") == "src3", F.col("office") == "en", F.col("fiscal_year") > 2020]
     return shown(retrieval.relaxed(rows, constraints, within_clearance("Restricted"), 5))
 
 
-@query("""WITH q AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 3 = 0 THEN 'Article ' || doc_id WHEN doc_id % 3 = 1 THEN 'what does section ' || doc_id || '.1 say about leave days' ELSE source END AS text FROM documents)
-SELECT query_id, CASE query_id % 3 WHEN 0 THEN 'structural' WHEN 1 THEN 'both' ELSE 'vector' END AS route FROM q""")
+# questions by id, and the route that each must take
+_ROUTED = (
+    ("Article {}", "structural"), ("what does section {}.1 say about leave days", "vector"), ("what does § {}.1b say about leave days", "both"), ("article {}", "vector"),
+    ("please show me §{}", "structural"), ("please kindly show me RFC {}", "structural"), ("now please kindly show me RFC {}", "both"), ("leave days", "vector"),
+)
+_ROUTE_CASES = " ".join(f"WHEN {i} THEN '{route}'" for i, (_, route) in enumerate(_ROUTED))
+
+
+@query(f"SELECT doc_id AS query_id, CASE doc_id % {len(_ROUTED)} {_ROUTE_CASES} END AS route FROM documents")
 def structural_route(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Article "), "doc_id")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("what does section "), "doc_id", F.lit(".1 say about leave days"))).otherwise(F.col("source"))
-    return d.select(F.col("doc_id").alias("query_id"), retrieval.structural_route(text).alias("route"))
+    texts = F.array(*[F.replace(F.lit(t), F.lit("{}"), F.col("doc_id").cast("string")) for t, _ in _ROUTED])
+    text = F.element_at(texts, (F.col("doc_id") % len(_ROUTED) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), retrieval.structural_route(text).alias("route"))
 
 
 @query(f"""WITH {POSTINGS_SQL}, {sparse_sql(5)}, c AS (SELECT 'retr:5:' || lower(trim(text)) AS key, chunk_id FROM sparse JOIN benchmark ON item_id = query_id),
@@ -245,50 +247,68 @@ def summary_key(spark, sf_dir):
 
 
 def _handbook(spark, sf_dir):
-    """A Markdown document a region, with a section a nation that refers to the next one."""
+    """A Markdown document a region, with an article a nation that refers to the next one."""
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    part = F.concat(F.lit("## Section "), "n_nationkey", F.lit("\n"), "n_name", F.lit(" refers to section "), F.col("n_nationkey") + 1, F.lit(" and Section "), "n_nationkey")
+    part = F.concat(F.lit("## Article "), "n_nationkey", F.lit("\n"), "n_name", F.lit(" refers to Article "), F.col("n_nationkey") + 1, F.lit(" and article "), F.col("n_nationkey") + 2)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", part.alias("t")))), lambda s: s["t"]), "\n")
-    return n.groupBy("r_regionkey", "r_name").agg(body.alias("b")).select(F.col("r_regionkey").cast("long").alias("doc_id"), F.concat(F.lit("# "), "r_name", F.lit("\nPreface\n"), "b").alias("text"))
+    return n.groupBy("r_regionkey", "r_name").agg(body.alias("b")).select(F.col("r_regionkey").cast("long").alias("doc_id"), F.lit("Hand Book").alias("title"), F.concat(F.lit("About\n# "), "r_name", F.lit("\nPreface\n"), "b").alias("text"))
 
 
-@query("""SELECT CAST(r_regionkey AS BIGINT) AS doc_id, replace(lower(r_name), ' ', '-') AS node_id, CAST(NULL AS VARCHAR) AS parent_id, r_name AS path, CAST(1 AS INTEGER) AS level, 'Preface' AS text FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
-UNION ALL SELECT n_regionkey, 'S' || n_nationkey, replace(lower(r_name), ' ', '-'), r_name || '/Section ' || n_nationkey, 2, n_name || ' refers to section ' || (n_nationkey + 1) || ' and Section ' || n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey""")
+@query("""WITH r AS (SELECT CAST(r_regionkey AS BIGINT) AS doc_id, r_name, regexp_replace(lower(r_name), '[^a-z0-9]+', '-', 'g') AS slug FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation))
+SELECT doc_id, 'hand-book' AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 'Hand Book' AS path, CAST(0 AS INTEGER) AS level, 'About' AS text FROM r
+UNION ALL SELECT doc_id, 'hand-book-' || slug, 'hand-book', 'Hand Book/' || r_name, 1, 'Preface' FROM r
+UNION ALL SELECT n_regionkey, 'Art' || n_nationkey, 'hand-book-' || slug, 'Hand Book/' || r_name || '/Article ' || n_nationkey, 2, n_name || ' refers to Article ' || (n_nationkey + 1) || ' and article ' || (n_nationkey + 2) FROM nation JOIN r ON n_regionkey = doc_id""")
 def heading_tree(spark, sf_dir):
     return structure.nodes(_handbook(spark, sf_dir))[0].select("doc_id", "node_id", "parent_id", "path", "level", "text")
 
 
-@query("""WITH RECURSIVE l AS (SELECT CAST(a.n_regionkey AS BIGINT) AS doc_id, 'S' || a.n_nationkey AS a, 'S' || b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey = a.n_nationkey + 1),
-w AS (SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 'S' || n_nationkey AS start, 'S' || n_nationkey AS node_id, 0 AS depth FROM nation UNION ALL SELECT w.doc_id, start, b, depth + 1 FROM w JOIN l ON w.doc_id = l.doc_id AND w.node_id = l.a WHERE depth < 3)
+@query("""WITH RECURSIVE l AS (SELECT CAST(a.n_regionkey AS BIGINT) AS doc_id, 'Art' || a.n_nationkey AS a, 'Art' || b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey = a.n_nationkey + 1),
+w AS (SELECT CAST(n_regionkey AS BIGINT) AS doc_id, 'Art' || n_nationkey AS start, 'Art' || n_nationkey AS node_id, 0 AS depth FROM nation UNION ALL SELECT w.doc_id, start, b, depth + 1 FROM w JOIN l ON w.doc_id = l.doc_id AND w.node_id = l.a WHERE depth < 3)
 SELECT doc_id, start, node_id, CAST(depth AS INTEGER) AS depth FROM w""")
 def xref_walk(spark, sf_dir):
     sections = structure.nodes(_handbook(spark, sf_dir))[0]
     return structure.walked(sections.where("level = 2").select("doc_id", "node_id"), structure.references(sections), 3)
 
 
-@query("""SELECT CAST(a.n_regionkey AS BIGINT) AS doc_id, 'S' || a.n_nationkey AS node_id, 'S' || b.n_nationkey AS sibling FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey""")
+@query("""SELECT CAST(a.n_regionkey AS BIGINT) AS doc_id, 'Art' || a.n_nationkey AS node_id, 'Art' || b.n_nationkey AS sibling FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey""")
 def section_siblings(spark, sf_dir):
     return structure.siblings(structure.nodes(_handbook(spark, sf_dir))[0])
 
 
-@query("""WITH q AS (SELECT n_nationkey AS query_id, n_regionkey AS r FROM nation), h AS (SELECT query_id, CAST(r AS BIGINT) AS doc_id, 'S' || query_id AS node_id, 0 AS depth FROM q UNION ALL
-SELECT a.query_id, a.r, 'S' || b.query_id, 1 FROM q a JOIN q b ON a.r = b.r AND b.query_id = a.query_id + 1)
-SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, node_id, CAST(depth AS INTEGER) AS depth, round(1.0 / row_number() OVER w, 6) AS score FROM h WINDOW w AS (PARTITION BY query_id ORDER BY depth, doc_id, node_id)""")
+# every other question names no article and takes what the fallback finds
+@query(f"""WITH {POSTINGS_SQL}, q AS (SELECT n_nationkey AS query_id, n_regionkey AS r, n_name FROM nation WHERE n_nationkey % 2 = 0), {sparse_sql(3, 'f', "(SELECT n_nationkey AS query_id, 'about the ' || n_name || ' and the rest' AS text FROM nation WHERE n_nationkey % 2 = 1)")},
+h AS (SELECT query_id, query_id AS n, r, 0 AS depth FROM q UNION ALL SELECT q.query_id, b.n_nationkey, r, 1 FROM q JOIN nation b ON b.n_regionkey = r AND b.n_nationkey = query_id + 1),
+t AS (SELECT query_id, depth, 'Art' || n AS chunk_id, '/Hand Book/' || r_name || '/Article ' || n || chr(10) || chr(10) || n_name || ' refers to Article ' || (n + 1) || ' and article ' || (n + 2) AS text FROM h JOIN nation ON n_nationkey = n JOIN region ON r_regionkey = r)
+SELECT query_id, CAST(depth + 1 AS INTEGER) AS rank, chunk_id, text, round(1.0 / (depth + 1), 6) AS score FROM t
+UNION ALL SELECT query_id, rank, CAST(chunk_id AS VARCHAR), text, round(score, 6) FROM f JOIN documents ON doc_id = chunk_id""")
 def structural_retrieve(spark, sf_dir):
-    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("Show section "), "n_nationkey").alias("text"))
-    return shown(structure.structural_hits(asked, structure.nodes(_handbook(spark, sf_dir))[0]))
-
-
-# fixed values: keywords of a small rule router
-KEYWORDS = (("english", " the "), ("english", "and"), ("german", " der "), ("german", "sch"), ("french", " les "), ("french", "eau"), ("spanish", " que "), ("spanish", "ción"))
-_KEYWORDS_SQL = "k(silo, word) AS (VALUES " + ", ".join(f"('{s}', '{w}')" for s, w in KEYWORDS) + ")"
-_RULES_SQL = f"""{_KEYWORDS_SQL}, h AS (SELECT item_id AS query_id, silo, count(*) AS n FROM benchmark JOIN k ON contains(lower(text), word) GROUP BY ALL),
+    named = F.col("n_nationkey") % 2 == 0
+    text = F.when(named, F.concat(F.lit("Show Article "), "n_nationkey")).otherwise(F.concat(F.lit("about the "), "n_name", F.lit(" and the rest")))
+    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), text.alias("text"))
+    c = chunks(spark, sf_dir)
+    fallback = lexical.bm25(asked.where(~F.contains("text", F.lit("Article"))), c, 3).join(c, "chunk_id")
+    return shown(structure.structural_retrieve(asked, structure.nodes(_handbook(spark, sf_dir))[0], 3, fallback))
+
+
+# The keywords as the SQL side states them, and what stands behind every passage by its id
+_KEYWORDS = {
+    "hr-policies": "policy|leave|vacation|sick|remote|parental|salary|probation|onboarding",
+    "technical-docs": "api|endpoint|deploy|service|runbook|adr|architecture|rate limit",
+    "financial-reports": "revenue|q1|q2|q3|q4|budget|forecast|fiscal|operating margin",
+    "legal-contracts": "contract|nda|sow|clause|terminate|termination|agreement|license",
+    "product-catalog": "pricing|tier|feature|starter|team|business|enterprise|specification",
+    "release-notes-tickets": "release notes|release|ticket|regression|hotfix|support ticket",
+}
+_TAILS = ("How much parental leave?", "Deploy the API service by the runbook", "Q3 budget and fiscal forecast", "Terminate the NDA", "Pricing of the enterprise tier", "Which hotfix closed the support ticket?", "policy and contract", "")
+_KEYWORDS_SQL = "k(silo, word) AS (VALUES " + ", ".join(f"('{s}', '{w}')" for s, ws in _KEYWORDS.items() for w in ws.split("|")) + ")"
+_TAILED_SQL = "(SELECT item_id, text || ' ' || [" + ", ".join(f"'{t}'" for t in _TAILS) + f"][CAST(item_id % {len(_TAILS)} + 1 AS INTEGER)] AS text FROM benchmark)"
+_RULES_SQL = f"""{_KEYWORDS_SQL}, h AS (SELECT item_id AS query_id, silo, count(*) AS n FROM {_TAILED_SQL} JOIN k ON contains(lower(text), word) GROUP BY ALL),
 rules AS (SELECT query_id, list(silo ORDER BY silo) AS silos, least(1.0, 0.25 * max(n)) AS confidence FROM (SELECT *, max(n) OVER (PARTITION BY query_id) AS top FROM h) WHERE n = top GROUP BY query_id)"""
 
 
 def _rules(spark, sf_dir):
-    keywords = spark.createDataFrame(list(KEYWORDS), "silo string, keyword string")
-    return routing.by_rules(questions(spark, sf_dir), keywords)
+    tail = F.element_at(F.array(*map(F.lit, _TAILS)), (F.col("query_id") % len(_TAILS) + 1).cast("int"))
+    return routing.by_rules(questions(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" "), tail)))
 
 
 @query(f"WITH {_RULES_SQL} SELECT item_id AS query_id, coalesce(array_to_string(silos, ','), '') AS silos, CAST(coalesce(confidence, 0) AS DOUBLE) AS confidence FROM benchmark LEFT JOIN rules ON item_id = query_id")

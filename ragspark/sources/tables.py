@@ -7,8 +7,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 FRONT_MATTER = ("id", "silo", "department", "office", "confidentiality", "document_type", "fiscal_year", "author", "last_modified", "title")
 
 
+#: Tables up to this size are dealt over all cores: one small file, however many rows it has, is one task otherwise.
+DEALT_BYTES = 64 << 20
+#: Tables of texts, whose rows cost far more than their bytes.
+TEXTS = ("documents", "pages")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` of a small table over all cores. The shuffle is bounded by DEALT_BYTES; larger tables stay as their files are
+    split. Filters and projections still reach the scan."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= DEALT_BYTES else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(rows) if name in TEXTS else rows
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
