@@ -17,10 +17,3 @@ def cosine(a, b) -> Column:
     """0 for vectors of unequal length, empty or zero."""
     size = norm(a) * norm(b)
     return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / size).otherwise(F.lit(0.0))
-
-
-def quantised(a) -> Column:
-    """(scale, int8 codes): symmetric scalar quantisation by the largest magnitude."""
-    top = F.aggregate(a, F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x.cast("double"))))
-    scale = F.when(top > 0, top / 127).otherwise(1.0)
-    return F.struct(scale.alias("scale"), F.transform(a, lambda x: F.floor(x.cast("double") / scale + 0.5).cast("tinyint")).alias("codes"))

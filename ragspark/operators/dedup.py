@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ragspark.functions import text as T
-from ragspark.operators.graph import components, cut
+from ragspark.operators.graph import components
+from ragspark.sources.shared import cut
 
 PERMUTATIONS, THRESHOLD = 64, 0.85
 U32 = (1 << 32) - 1
@@ -79,7 +80,7 @@ def similar_pairs(signed: DataFrame, threshold: float = THRESHOLD, n: int = PERM
 def kept(signed: DataFrame, threshold: float = THRESHOLD, most_rounds: int = 100) -> DataFrame:
     """(doc_id, kept) as if documents came by ascending doc_id and each stayed iff no earlier kept one is similar.
 
-    A representative is settled once no earlier similar one is unsettled. Each round is cut by a checkpoint in the
+    A representative is settled once no earlier similar one is unsettled. Each round is a table in the
     shared folder; what ``most_rounds`` leave open (long chains) goes through one ordered pass a component."""
     signed = cut(signed)
     pairs = cut(similar_pairs(signed, threshold).select("a", "b"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ragspark.functions import text as T
-from ragspark.functions.vector import cosine, norm
+from ragspark.functions.vector import cosine
 
 DIMENSIONS = 256
 SPARSE_DIMENSIONS = 1_000_000
@@ -101,6 +101,13 @@ def neighbours(queries: DataFrame, corpus: DataFrame, k: int, least: float | Non
     return ranked(found, k)
 
 
+def postfiltered(queries: DataFrame, corpus: DataFrame, k: int, keep: Column, times: int = 4) -> DataFrame:
+    """The mode for filters that a store cannot take: ``times * k`` neighbours, then the filter over the corpus's columns,
+    then the first k. Fewer than k may be left."""
+    wide = neighbours(queries, corpus, times * k).join(corpus.where(keep).select("chunk_id"), "chunk_id", "left_semi")
+    return ranked(wide, k)
+
+
 def ranked(hits: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
@@ -115,10 +122,10 @@ def quantised_search(queries: DataFrame, corpus: DataFrame, k: int, wider: int =
             for v in f.embedding:
                 x = np.asarray(v, np.float64)
                 top = np.abs(x).max(initial=0) / 127 or 1.0
-                rows.append(np.floor(x / top + 0.5).tolist())
+                rows.append(np.floor(x / top + 0.5).astype(np.int8))
             yield pd.DataFrame({f.columns[0]: f.iloc[:, 0], "embedding": rows})
 
-    small = corpus.where("embedding is not null").select("chunk_id", "embedding").mapInPandas(codes, "chunk_id long, embedding array<double>")
+    small = corpus.where("embedding is not null").select("chunk_id", "embedding").mapInPandas(codes, "chunk_id long, embedding array<tinyint>")
     wide = neighbours(queries, small, wider * k).select("query_id", "chunk_id")
     exact = wide.join(corpus.select("chunk_id", F.col("embedding").alias("v")), "chunk_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
     return ranked(exact.select("query_id", "chunk_id", F.round(cosine("q", "v"), DIGITS).alias("score")), k)
@@ -246,6 +253,3 @@ def approximate_neighbours(queries: DataFrame, corpus: DataFrame, k: int, cells:
         return pd.Series(np.round(np.divide((x * y).sum(axis=1), size, out=np.zeros(len(x)), where=size > 0), DIGITS))
 
     return ranked(met.select("query_id", "chunk_id", score("embedding", "q").alias("score")), k)
-
-
-__all__ = ["norm", "neighbours", "approximate_neighbours"]

@@ -45,6 +45,28 @@ def compiled(spec: Mapping | bool) -> Column:
     raise ValueError(f"unknown filter {kind!r}")
 
 
+def odata(spec: Mapping | bool) -> str | None:
+    """A filter specification as OData text, or None where it has no such form (in), as the caller then filters hits itself."""
+    if isinstance(spec, bool):
+        return "true" if spec else "false"
+    (kind, value), = spec.items()
+    if kind in ("and", "or"):
+        parts = [odata(s) for s in value]
+        if None in parts or not parts:
+            return None
+        out = parts[0]
+        for p in parts[1:]:
+            out = f"({out} {kind} {p})"
+        return out
+    if kind == "null":
+        return f"{value} eq null"
+    if kind not in _COMPARE:
+        return None
+    field, v = value
+    said = "null" if v is None else ("true" if v else "false") if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return f"{field} {kind} {said}"
+
+
 def within_clearance(clearance: str, office: str | None = None, silo: str | None = None) -> Column:
     """Rows up to a clearance; an unknown clearance sees Public only, an unknown label is never seen."""
     allowed = LEVELS[: LEVELS.index(clearance) + 1] if clearance in LEVELS else LEVELS[:1]

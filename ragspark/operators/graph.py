@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from ragspark.sources.shared import cut
 
 EXTRACTION = "entities array<struct<id string, type string, name string, properties map<string,string>>>, relations array<struct<`from` string, `to` string, type string, properties map<string,string>>>"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset (local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="ragspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
-
-
 def extracted(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, relations) of model replies (chunk_id, reply): the JSON between the first { and the last }.
     Types default to Unknown and RELATED_TO, entities without a name and relations without an end are skipped."""
@@ -89,7 +72,7 @@ def seeds_in(queries: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each vertex reaches, by min-label steps that also jump to the label's own
-    label. Each round is a checkpoint; they end when no label changes, which a label's descent makes sure of."""
+    label. Each round is a written table; they end when no label changes, which a label's descent makes sure of."""
     both = cut(undirected(edges))
     state = cut(vertices.select("id", F.col("id").alias("component")))
     while True:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ragspark.functions import text as T
-from ragspark.operators.graph import cut
+from ragspark.sources.shared import cut
 
 K1, B = 1.5, 0.75
 DIGITS = 9
@@ -38,8 +38,10 @@ class Index:
         # one row: corpus size and mean length
         idf = df.crossJoin(F.broadcast(stats)).select("term", "mean", F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
         part = F.col("times") * F.col("idf") * (k1 + 1) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-        # scores are summed map-side before the shuffle
-        return found.join(idf.join(query_terms(queries), "term"), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("score")).where("score > 0")
+        # written, so that Spark copies the weights to every task where they are small; a chunk's scores are then summed where
+        # its postings lie
+        weights = cut(idf.join(query_terms(queries), "term"))
+        return found.repartition("chunk_id").join(weights, "term").groupBy("chunk_id", "query_id").agg(F.round(F.sum(part), DIGITS).alias("score")).where("score > 0").select("query_id", "chunk_id", "score")
 
     def search(self, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
         """(query_id, rank, chunk_id, score); ties at DIGITS digits go to the smaller chunk_id. The terms of ``queries`` must

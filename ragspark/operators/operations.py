@@ -13,6 +13,11 @@ from ragspark.functions import text as T
 SAMPLE_RATE, ALERT = 0.005, 0.82
 
 
+def _shown(number, pattern: str):
+    """A number by a decimal pattern, such as 0.### or 0.##%."""
+    return F.call_function("format_number", F.col(number) if isinstance(number, str) else number, F.lit(pattern))
+
+
 def nearest_rank(rows: DataFrame, column: str, share: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
     """The nearest-rank percentile of a column; nulls are ignored."""
     return rows.groupBy(*by).agg(F.expr(f"percentile_disc({share}) within group (order by {column})").alias(f"p{round(share * 100)}"), F.count(column).alias("samples"))
@@ -36,6 +41,12 @@ def consent_coverage(grants: DataFrame, population: DataFrame, scope: str) -> Da
     return out.select("covered", "people", F.round(F.when(F.col("people") > 0, F.col("covered") / F.col("people")).otherwise(1.0), 6).alias("coverage"))
 
 
+def load_report(rows: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """p50, p95 and p99 by nearest rank, the largest value and the number of samples; nulls are ignored."""
+    parts = [F.expr(f"percentile_disc({s}) within group (order by {column})").alias(f"p{round(s * 100)}") for s in (0.5, 0.95, 0.99)]
+    return rows.groupBy(*by).agg(*parts, F.max(column).alias("longest"), F.count(column).alias("samples"))
+
+
 def incident_report(incidents: DataFrame) -> DataFrame:
     """(severity, incidents, open, first_detected)."""
     return incidents.groupBy("severity").agg(F.count("*").alias("incidents"), F.count_if(~F.col("resolved")).alias("open"), F.min("detected_at").alias("first_detected"))
@@ -164,5 +175,76 @@ def reviews(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return state.where("reviewed_at is null").orderBy("submitted_at", "item_id"), state.where("reviewed_at is not null").orderBy("reviewed_at", "item_id")
 
 
-def dashboard(coverage: float, incidents: int, open_: int, faithfulness: float, erasures: int, lag_s: float) -> list[tuple[str, str]]:
-    return [("Consent coverage", f"{coverage:.2%}"), ("Incidents", str(incidents)), ("Open incidents", str(open_)), ("Faithfulness", f"{faithfulness:.3f}"), ("Erasures", str(erasures)), ("Audit lag", f"{lag_s:.3f} s")]
+#: How a backfill writes: in nightly batches, in paced batches, or as a whole shadow cohort that is cut over at once.
+SCHEDULES = ("nightly", "trickle", "shadow")
+
+
+def backfilled(chunks: DataFrame, done: DataFrame, model: str, embed, schedule: str = "nightly", batches: int = 1) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """(upserts, done) of each step of a backfill of chunks on another model. ``embed`` maps a table of chunks to one with
+    new embeddings. Batches are dealt by a hash of chunk_id; the shadow schedule is one step. The caller writes the
+    upserts first and marks done after, so what a crash interrupts is due again."""
+    if schedule not in SCHEDULES:
+        raise ValueError(f"unknown schedule {schedule!r}")
+    due = backfill_due(chunks, done, model)
+    steps = 1 if schedule == "shadow" else batches
+    for i in range(steps):
+        part = embed(due.where(F.pmod(F.xxhash64("chunk_id"), F.lit(steps)) == i)).withColumn("embedding_model", F.lit(model))
+        yield part, part.select("chunk_id")
+
+
+def reindexed(live: DataFrame, arrivals: DataFrame, model: str, embed, hit_rate, slack: float = 1e-4) -> tuple[DataFrame, DataFrame, bool]:
+    """(serving, rollback, cut_over): a shadow table of ``live`` on a new model, with documents that arrive meanwhile written
+    to both, serves once its hit rate is not below the live one's; the other table is kept for a rollback."""
+    both = live.unionByName(arrivals)
+    shadow = embed(both).withColumn("embedding_model", F.lit(model)).select(*both.columns)
+    ready = cutover(hit_rate(both), hit_rate(shadow), slack)
+    return (shadow, both, True) if ready else (both, shadow, False)
+
+
+def dashboard(metrics: DataFrame) -> DataFrame:
+    """(title, value, detail, link): six tiles of one row of metrics."""
+    number, share = lambda c: _shown(F.col(c), "0.###"), lambda c: _shown(F.col(c), "0.##%")
+    tiles = [
+        ("Faithfulness (today)", number("faithfulness_today"), F.concat(F.lit("7-day "), number("faithfulness_7_day")), "faithfulness/samples"),
+        ("PII redaction rate", share("redaction_rate"), None, "redaction/events"),
+        ("Tenant leaks prevented", F.col("leaks_prevented").cast("string"), None, "tenant-guard/blocks"),
+        ("Active erasure requests", F.col("erasures").cast("string"), None, "gdpr/requests"),
+        ("Consent coverage", share("coverage"), F.concat("covered", F.lit("/"), "people", F.lit(" ("), "scope", F.lit(")")), "consent/coverage"),
+        ("Open incidents", F.col("open_incidents").cast("string"), None, "incidents/open"),
+    ]
+    rows = [F.struct(F.lit(t).alias("title"), v.alias("value"), (F.lit(None).cast("string") if d is None else d).alias("detail"), F.lit(link).alias("link")) for t, v, d, link in tiles]
+    return metrics.select(F.inline(F.array(*rows)))
+
+
+def model_card(profile: DataFrame, inventory: DataFrame, key: bytes) -> DataFrame:
+    """(markdown, signature): the card of a profile (one row: system, version, generated_at, intended_use, models
+    array<struct<role,name,version>>, metrics array<struct<name,value>>, failures, controls) and the corpus inventory (silo,
+    documents, confidentiality), signed by HMAC over its bytes."""
+    sources = inventory.select(F.struct("silo", "confidentiality", F.concat(F.lit("| "), "silo", F.lit(" | "), F.col("documents").cast("string"), F.lit(" | "), "confidentiality", F.lit(" |\n")).alias("line")).alias("s"))
+    listed = sources.agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["line"]), "").alias("sources"))
+    lines = lambda column, line: F.array_join(F.transform(column, line), "")
+    text = F.concat(
+        F.lit("# Model Card: "), "system", F.lit(" v"), "version", F.lit("\n\n_Generated "), "generated_at", F.lit("_\n\n## Intended Use\n\n"), "intended_use",
+        F.lit("\n\n## Models\n\n| Role | Name | Version |\n|---|---|---|\n"), lines("models", lambda m: F.concat(F.lit("| "), m["role"], F.lit(" | "), m["name"], F.lit(" | "), m["version"], F.lit(" |\n"))),
+        F.lit("\n## Data Sources\n\n| Silo | Documents | Confidentiality |\n|---|---|---|\n"), "sources",
+        F.lit("\n## Performance Metrics\n\n| Metric | Value |\n|---|---|\n"), lines("metrics", lambda m: F.concat(F.lit("| "), m["name"], F.lit(" | "), _shown(m["value"], "0.###"), F.lit(" |\n"))),
+        F.lit("\n## Known Failure Modes\n\n"), lines("failures", lambda f: F.concat(F.lit("- "), f, F.lit("\n"))),
+        F.lit("\n## Operational Controls\n\n"), lines("controls", lambda f: F.concat(F.lit("- "), f, F.lit("\n"))),
+    )
+    made = profile.crossJoin(listed).select(text.alias("markdown"))  # one row each
+    return made.select("markdown", T.hmac_sha256(F.col("markdown"), key).alias("signature"))
+
+
+REVIEW_ACTION = "request-human-review"
+
+
+def explanations(answers: DataFrame) -> DataFrame:
+    """Adds chips, full_panel, cited, chain, model and action to answers (risk, confidence, citations, reasoning, model_name,
+    model_version): only answers of high risk show the whole panel and offer a review."""
+    high = F.col("risk") == "High"
+    chips = F.concat(F.lit("Confidence="), _shown("confidence", "0.##"), F.lit(";Sources="), F.size("citations").cast("string"), F.lit(";Model="), "model_name")
+    empty = lambda c: F.when(high, F.col(c)).otherwise(F.array().cast(answers.schema[c].dataType))
+    return answers.withColumns({
+        "chips": chips, "full_panel": high, "cited": empty("citations"), "chain": empty("reasoning"),
+        "model": F.when(high, F.concat("model_name", F.lit(" "), "model_version")), "action": F.when(high, F.lit(REVIEW_ACTION)),
+    })

@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ragspark.operators import fusion
 from ragspark.operators.embedding import neighbours
 from ragspark.operators.lexical import bm25
+from ragspark.sources.shared import cut
 
 MODES = ("dense", "sparse", "hybrid")
+# fixed values: what a failed stream says
+FAILED = "The answer could not be generated. Please try again."
 Retriever = Callable[[DataFrame, int], DataFrame]
 
 
@@ -46,12 +49,78 @@ def variants(queries: DataFrame, replies: DataFrame, most: int = 3) -> DataFrame
     return queries.select("query_id", F.lit(0).alias("variant"), "text").unionByName(more)
 
 
-def rag_fusion(retrieve: Retriever, asked: DataFrame, k: int, most: int = 3) -> DataFrame:
-    """Retrieves each variant and folds the lists from the left."""
-    lists = [retrieve(asked.where(F.col("variant") == i).select("query_id", "text"), 2 * k) for i in range(most + 1)]
+def rag_fusion(retrieve: Retriever, asked: DataFrame, k: int, most: int = 3, together: bool = False) -> DataFrame:
+    """Retrieves each variant and folds the lists from the left. ``together``: in one search, for retrievers that take any
+    kind of query_id."""
+    if together:
+        found = cut(retrieve(asked.select(F.struct("query_id", "variant").alias("query_id"), "text"), 2 * k))
+        lists = [found.where(F.col("query_id.variant") == i).withColumn("query_id", F.col("query_id.query_id")) for i in range(most + 1)]
+    else:
+        lists = [retrieve(asked.where(F.col("variant") == i).select("query_id", "text"), 2 * k) for i in range(most + 1)]
     return fusion.rag_fusion(lists, k)
 
 
+ENHANCEMENTS = ("hyde", "rag-fusion", "crag", "stepback")
+
+
+def enhanced(name: str, inner: Retriever, replies: DataFrame, fallback: Retriever | None = None) -> Retriever:
+    """``inner`` with an enhancement, by its name in any case. ``replies`` are a model's answers: (query_id, reply) as passage,
+    variants or broader question, or (query_id, chunk_id, grade) for crag, which asks ``fallback`` where nothing is left."""
+    kind = name.strip().lower()
+    if kind == "hyde":
+        return lambda q, k: inner(hyde(q, replies), k)
+    if kind == "rag-fusion":
+        return lambda q, k: rag_fusion(inner, variants(q, replies), k)
+    if kind == "stepback":
+        return lambda q, k: step_back(inner, q, replies, k)
+    if kind == "crag":
+        other = fallback or (lambda q, k: inner(q, k).where("false"))
+        return lambda q, k: corrective(inner(q, k), replies, other(q, k), k)
+    raise ValueError(f"unknown enhancement {name!r}: not one of {ENHANCEMENTS}")
+
+
+def vector_graph(dense: DataFrame, graph: DataFrame, k: int, how: str = "rrf") -> DataFrame:
+    """Fuses dense hits and graph hits (max(2k, k + 5) of each). Graph hits carry entity ids; both go by string ids."""
+    wide = candidate_count(k)
+    ids = lambda hits, key: hits.where(F.col("rank") <= wide).select("query_id", "rank", F.col(key).cast("string").alias("chunk_id"), "score")
+    return fusion.fused(ids(dense, "chunk_id"), ids(graph, "id" if "id" in graph.columns else "chunk_id"), how, k)
+
+
+def response_key(text) -> Column:
+    return F.concat(F.lit("resp:"), F.lower(F.trim(text)))
+
+
+def events(answers: DataFrame) -> DataFrame:
+    """(query_id, seq, kind, token, sources) of answers (query_id, sources, tokens array<string>, fault): Sources, a Token
+    each that is not empty, Done. A fault "prepare" gives one Error alone, a fault "generate" one Error behind the tokens;
+    no other detail of a fault is shown."""
+    source = F.array(F.struct(F.lit("Sources").alias("kind"), F.lit(None).cast("string").alias("token"), F.col("sources")))
+    none = F.lit(None).cast(answers.schema["sources"].dataType)
+    tokens = F.transform(F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: t != ""), lambda t: F.struct(F.lit("Token").alias("kind"), t.alias("token"), none.alias("sources")))
+    end = lambda kind, text: F.array(F.struct(F.lit(kind).alias("kind"), F.lit(text).cast("string").alias("token"), none.alias("sources")))
+    failed = end("Error", FAILED)
+    rows = F.when(F.col("fault") == "prepare", failed).when(F.col("fault").isNotNull(), F.concat(source, tokens, failed)).otherwise(F.concat(source, tokens, end("Done", None)))
+    return answers.select("query_id", F.posexplode(rows).alias("seq", "e")).select("query_id", "seq", "e.*")
+
+
+def replayed(queries: DataFrame, cache: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+    """(events, missing): queries whose response (key, answer, sources, expires_at) is alive replay as Sources, one Token and
+    Done; the others are to be answered."""
+    keyed = queries.withColumn("key", response_key("text"))
+    live = cache.where(F.col("expires_at") > F.lit(now))
+    hits = keyed.join(live, "key").select("query_id", "sources", F.array("answer").alias("tokens"), F.lit(None).cast("string").alias("fault"))
+    return events(hits), keyed.join(live.select("key"), "key", "left_anti")
+
+
+def stored(streamed: DataFrame, queries: DataFrame, expires_at) -> DataFrame:
+    """Cache rows (key, answer, sources, expires_at) of streams of events that ended without an Error."""
+    rows = streamed.groupBy("query_id").agg(
+        F.bool_or(F.col("kind") == "Error").alias("failed"), F.max(F.when(F.col("kind") == "Sources", F.col("sources"))).alias("sources"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "Token", F.struct("seq", "token")))), lambda s: s["token"]), "").alias("answer"),
+    )
+    return rows.where("not failed").join(queries, "query_id").select(response_key("text").alias("key"), "answer", "sources", F.lit(expires_at).alias("expires_at"))
+
+
 def step_back(retrieve: Retriever, queries: DataFrame, broader: DataFrame, k: int) -> DataFrame:
     """Fuses with a broader query (query_id, reply); a blank one, or the query again in any case, changes nothing."""
     joined = queries.join(broader, "query_id", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ragspark.operators.graph import cut
+from ragspark.sources.shared import cut
 
 HEADING = r"^(#{1,6})\s+(.*)$"
 # fixed values: formal ids of headings and references, and how they are written as ids

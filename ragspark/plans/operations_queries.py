@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ragspark.functions import text as T
 from ragspark.operators import evaluation, operations, security
-from ragspark.operators.graph import shared_folder
 from ragspark.plans.common import POSTINGS_SQL, questions, sparse, sparse_sql, table
+from ragspark.sources.shared import shared_folder
 from ragspark.sources.tables import manifest
 from ragspark.streaming import state
 

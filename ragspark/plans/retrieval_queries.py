@@ -127,7 +127,7 @@ def _halves(spark, sf_dir):
 def rag_fusion_fold(spark, sf_dir):
     q, replies = _halves(spark, sf_dir)
     asked = retrieval.variants(q, replies)
-    return shown(retrieval.rag_fusion(lexical.Index(asked, chunks(spark, sf_dir)).search, asked, 5, most=2))
+    return shown(retrieval.rag_fusion(lexical.Index(asked, chunks(spark, sf_dir)).search, asked, 5, most=2, together=True))
 
 
 @query(f"""WITH {POSTINGS_SQL}, {sparse_sql(10, 'v0')}, {sparse_sql(10, 'v1', _V1)}, {rrf_sql('v0', 'v1', 5, 'f')} {hits_sql('f')}""")

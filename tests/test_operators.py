@@ -445,7 +445,6 @@ def test_reingest_versions_and_reviews(spark):
     pending, resolved = operations.reviews(log)
     assert [r.item_id for r in pending.collect()] == [2] and resolved.collect()[0].verdict == "no"
     assert operations.cutover(0.9, 0.9) and not operations.cutover(0.9, 0.8)
-    assert dict(operations.dashboard(0.5, 1, 0, 0.9, 2, 1.5))["Consent coverage"] == "50.00%"
 
 
 def test_stream_equals_batch(spark, tmp_path):
