@@ -88,12 +88,36 @@ def chunk_sentence(spark, sf_dir):
     return chunking.sentences(table(spark, sf_dir, "documents"))
 
 
-@query()
+def _recursive_sql() -> str:
+    """A step a separator: pieces (doc_id, a, t) of over 800 characters are split, each part with the separator that ends it."""
+    steps, last = [], "docs"
+    for i, mark in enumerate(("chr(10) || '## '", "chr(10) || '# '", "chr(10) || chr(10)", "chr(10)", "'. '", "' '")):
+        steps.append(f"""x{i} AS (SELECT doc_id, a, string_split(t, {mark}) AS p FROM {last} WHERE length(t) > 800),
+y{i} AS (SELECT doc_id, a, j, p[j] || CASE WHEN j < len(p) THEN {mark} ELSE '' END AS t FROM (SELECT *, unnest(generate_series(1, len(p))) AS j FROM x{i})),
+s{i} AS (SELECT doc_id, a, t FROM {last} WHERE length(t) <= 800 UNION ALL
+  SELECT doc_id, CAST(a + coalesce(sum(length(t)) OVER (PARTITION BY doc_id, a ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a, t FROM y{i} QUALIFY t <> '')""")
+        last = f"s{i}"
+    return ", ".join(steps)
+
+
+@query(f"""WITH docs AS (SELECT doc_id, CAST(0 AS BIGINT) AS a, text AS t FROM documents WHERE text <> ''), {_recursive_sql()},
+c AS (SELECT doc_id, a + i AS a, substring(t, i + 1, 800) AS t FROM (SELECT *, unnest(generate_series(0, length(t) - 1, 800)) AS i FROM s5)),
+m AS (SELECT doc_id, a, a + length(t) AS z, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS i FROM m WHERE t <> '')
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, t AS text, CAST(a AS INTEGER) AS start_offset, CAST(z AS INTEGER) AS end_offset, doc_id || '#' || i AS chunk_id FROM n""")
 def chunk_recursive(spark, sf_dir):
     return chunking.recursive(table(spark, sf_dir, "documents")).withColumn("chunk_id", chunking.chunk_id())
 
 
-@query()
+# words with the sum of tokens up to each; a chunk goes on to the first word that takes it over 512
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(text, '\s*\S+') AS p FROM documents WHERE ceil(length(text) / 4.0) > 512),
+w AS (SELECT doc_id, j, p[j] AS p, regexp_replace(p[j], '^\s+', '') AS w FROM (SELECT *, unnest(generate_series(1, len(p))) AS j FROM d)),
+c AS (SELECT doc_id, j, CAST(sum(length(p)) OVER o AS BIGINT) - length(w) AS a, CAST(sum(length(p)) OVER o AS BIGINT) AS z, CAST(sum(CAST(ceil(length(w) / 4.0) AS BIGINT)) OVER o AS BIGINT) AS n, CAST(ceil(length(w) / 4.0) AS BIGINT) AS own FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY j)),
+r AS (SELECT doc_id, CAST(1 AS BIGINT) AS j, CAST(0 AS BIGINT) AS base FROM d UNION ALL
+  SELECT c.doc_id, min(c.j), min(c.n - c.own) FROM r JOIN c ON c.doc_id = r.doc_id AND c.j > r.j AND c.n - r.base > 512 GROUP BY c.doc_id),
+e AS (SELECT doc_id, j, lead(j) OVER (PARTITION BY doc_id ORDER BY j) AS nx FROM r),
+k AS (SELECT e.doc_id, e.j, min(c.a) AS a, max(c.z) AS z FROM e JOIN c ON c.doc_id = e.doc_id AND c.j >= e.j AND (nx IS NULL OR c.j < nx) GROUP BY ALL)
+SELECT k.doc_id, CAST(row_number() OVER (PARTITION BY k.doc_id ORDER BY k.j) - 1 AS INTEGER) AS chunk_index, substring(text, CAST(a AS INTEGER) + 1, CAST(z - a AS INTEGER)) AS text, CAST(a AS INTEGER) AS start_offset, CAST(z AS INTEGER) AS end_offset FROM k JOIN d USING (doc_id)
+UNION ALL SELECT doc_id, 0, text, 0, CAST(length(text) AS INTEGER) FROM documents WHERE ceil(length(text) / 4.0) <= 512""")
 def chunk_token_aware(spark, sf_dir):
     whole = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk_index"), "text", F.lit(0).alias("start_offset"), F.length("text").alias("end_offset"))
     return chunking.token_aware(whole)
@@ -194,12 +218,14 @@ def embed_prompts(spark, sf_dir):
     return questions(spark, sf_dir).select("query_id", embedding.prompted(F.col("text"), "nomic", True).alias("nomic"), embedding.prompted(F.col("text"), "mxbai", True).alias("mxbai"))
 
 
-@query()
+# the rotation that takes reversed vectors back is the reversal itself, as the vectors span the space
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS s FROM v)
+SELECT vec_id, CAST(i - 1 AS INTEGER) AS place, round(e[i] / s, 5) + 0.0 AS value FROM n, generate_series(1, 64) g(i)""")
 def procrustes_apply(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").where("embedding is not null")
     pairs = rows.select(F.col("embedding").alias("old"), F.reverse("embedding").alias("new"))
     turned = embedding.DriftAdapter.fit(pairs, 64).apply(rows.select("vec_id", F.reverse("embedding").alias("embedding")))
-    return turned.select("vec_id", F.transform("embedding", lambda x: F.round(x, 5)).alias("embedding"))
+    return turned.select("vec_id", F.posexplode("embedding").alias("place", "x")).select("vec_id", "place", (F.round("x", 5) + 0.0).alias("value"))
 
 
 _COEFFICIENTS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(dedup.coefficients()))
@@ -221,7 +247,13 @@ def minhash_pairs(spark, sf_dir):
     return dedup.similar_pairs(dedup.signatures(table(spark, sf_dir, "documents")))
 
 
-@query()
+# in order of the representatives, the ones that stay so far
+@query(f"""WITH RECURSIVE {_SIGNED}, r AS (SELECT min(doc_id) AS d, s FROM g GROUP BY s),
+p AS (SELECT x.d AS a, y.d AS b FROM r x JOIN r y ON x.d < y.d WHERE list_sum(list_transform(generate_series(1, 64), lambda i: CAST(x.s[i] = y.s[i] AS INTEGER))) / 64.0 >= 0.85),
+o AS (SELECT b AS d, list(a) AS earlier, row_number() OVER (ORDER BY b) AS i FROM p GROUP BY b),
+f AS (SELECT list(d) AS stays FROM r WHERE d NOT IN (SELECT d FROM o)),
+q AS (SELECT CAST(0 AS BIGINT) AS i, stays FROM f UNION ALL SELECT o.i, CASE WHEN list_has_any(stays, earlier) THEN stays ELSE list_append(stays, o.d) END FROM q JOIN o ON o.i = q.i + 1)
+SELECT doc_id, doc_id IN (SELECT unnest(stays) FROM (SELECT stays FROM q ORDER BY i DESC LIMIT 1)) AS kept FROM documents""")
 def minhash_keep(spark, sf_dir):
     return dedup.kept(dedup.signatures(table(spark, sf_dir, "documents")))
 

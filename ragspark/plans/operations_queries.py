@@ -165,13 +165,25 @@ def audit_verify(spark, sf_dir):
     return security.verified(security.chained(records))
 
 
-@query()
+# requests a user in order of time, with the times of those allowed so far
+@query("""WITH RECURSIVE e AS (SELECT event_type AS tenant, user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT tenant, user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BOOLEAN) AS allowed, CAST([] AS BIGINT[]) AS held FROM (SELECT DISTINCT tenant, user_id FROM e) UNION ALL
+  SELECT e.tenant, e.user_id, e.i, event_id, len(list_filter(held, lambda x: x > t - 86400000000)) < 3,
+    CASE WHEN len(list_filter(held, lambda x: x > t - 86400000000)) < 3 THEN list_append(held, t) ELSE held END FROM s JOIN e ON e.tenant = s.tenant AND e.user_id = s.user_id AND e.i = s.i + 1)
+SELECT tenant, user_id, request_id, allowed FROM s WHERE i > 0""")
 def rate_limit(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("tenant"), "user_id", F.col("event_id").alias("request_id"), "ts")
     return security.rate_limited(rows, 3, 86_400.0).select("tenant", "user_id", "request_id", "allowed")
 
 
-@query()
+# requests a tenant in order of time, with the times of used slots, the charges and the end of the open breaker so far
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS request_id, CAST('' AS VARCHAR) AS outcome, CAST([] AS BIGINT[]) AS slots, CAST([] AS STRUCT(t BIGINT, v DOUBLE)[]) AS spent, CAST(-1 AS BIGINT) AS shut FROM (SELECT DISTINCT user_id FROM e) UNION ALL
+  SELECT user_id, i, event_id, outcome, CASE WHEN outcome IN ('quota', 'admitted') THEN list_append(slots, t) ELSE slots END,
+    CASE WHEN outcome = 'admitted' AND value > 0 THEN list_append(spent, {'t': t, 'v': value}) ELSE spent END, CASE WHEN outcome = 'quota' THEN t + 43200000000 ELSE shut END
+  FROM (SELECT e.*, slots, spent, shut, CASE WHEN t < shut THEN 'breaker' WHEN len(list_filter(slots, lambda x: x > t - 86400000000)) >= 5 THEN 'rate'
+    WHEN coalesce(list_sum(list_transform(list_filter(spent, lambda x: x.t > t - 604800000000), lambda x: x.v)), 0) >= 300 THEN 'quota' ELSE 'admitted' END AS outcome FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1))
+SELECT CAST(user_id AS VARCHAR) AS tenant, request_id, outcome FROM s WHERE i > 0""")
 def budget_admit(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("tenant"), F.col("event_id").alias("request_id"), "ts", F.col("value").alias("usd"))
     return operations.budget_admission(rows, 5, 86_400.0, 300.0, 7 * 86_400.0, 43_200.0).select("tenant", "request_id", "outcome")
@@ -233,7 +245,11 @@ def wilson_interval(spark, sf_dir):
     return evaluation.proportion(table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("good")), "good")
 
 
-@query()
+# the error function by its polynomial 7.1.26
+@query("""WITH s AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic <> 0) AS b, count(*) FILTER (WHERE quality <> 1 AND toxic = 0) AS c FROM labels),
+x AS (SELECT b, c, CASE WHEN b + c > 0 THEN greatest(abs(b - c) - 1, 0) ^ 2 / (b + c) ELSE 0 END AS x FROM s), t AS (SELECT *, 1 / (1 + 0.3275911 * sqrt(x / 2)) AS t FROM x),
+p AS (SELECT *, CASE WHEN b + c > 0 THEN ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-x / 2) ELSE 1.0 END AS p FROM t)
+SELECT b, c, round(CAST(x AS DOUBLE), 6) AS statistic, round(p, 6) AS p, p < 0.05 AS significant FROM p""")
 def mcnemar_flips(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("before"), (F.col("toxic") == 0).alias("after"))
     return evaluation.flips(rows)
@@ -252,7 +268,10 @@ def bootstrap_mean(spark, sf_dir):
     return evaluation.bootstrap(_values(spark, sf_dir).select("i", F.col("rr").alias("value")))
 
 
-@query()
+@query(f"""WITH {_PER_QUERY}, s AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS i, rr - least(1.0, rr + 0.01) AS value FROM pq), c AS (SELECT count(*) AS n FROM s),
+d AS (SELECT it, CAST('0x' || substr(md5('7:' || it || ':' || j), 1, 8) AS BIGINT) % n AS i FROM c, generate_series(0, 1999) a(it), generate_series(0, 499) b(j) WHERE j < n),
+m AS (SELECT it, avg(value) AS m FROM d JOIN s USING (i) GROUP BY it), x AS (SELECT (SELECT round(avg(value), 6) FROM s) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m)
+SELECT mean, low, high, 0.0 AS hit_drop, -mean AS faith_drop, high < 0 OR -mean > 0.03 AS blocked FROM x""")
 def eval_gate(spark, sf_dir):
     now = _values(spark, sf_dir).select("i", F.col("rr").alias("faithfulness"), (F.col("recall") > 0).alias("hit"))
     before = _values(spark, sf_dir).select("i", F.least(F.lit(1.0), F.col("rr") + 0.01).alias("faithfulness"), (F.col("recall") > 0).alias("hit"))

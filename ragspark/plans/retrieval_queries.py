@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ragspark.functions import text as T
 from ragspark.operators import embedding, fusion, graph, lexical, retrieval, routing, structure
 from ragspark.operators.filters import within_clearance
-from ragspark.plans.common import CORPUS_SQL, POSTINGS_SQL, WORDS, asked_vectors, bow_vectors, chunks, corpus, dense, dense_sql, hits_sql, questions, rrf_sql, shown, sparse, sparse_sql, table, vectors
+from ragspark.plans.common import CORPUS_SQL, POSTINGS_SQL, WORDS, asked_vectors, bow_vectors, chunks, corpus, dense, dense_sql, hits_sql, nearest_sql, questions, rrf_sql, shown, sparse, sparse_sql, table, vectors
 
 QUERIES, SQL = {}, {}
 
@@ -84,7 +84,12 @@ def context_pack(spark, sf_dir):
     return fusion.packed(hits, budget=3000).select("query_id", "rank", "chunk_id", "used")
 
 
-@query()
+# each step picks, a query, the candidate of the best balance of relevance and likeness to those already picked
+@query(f"""WITH RECURSIVE {nearest_sql(20)}, c AS (SELECT query_id, list({{'id': chunk_id, 'r': score, 'e': list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y))))}} ORDER BY score DESC, chunk_id) AS c FROM near JOIN v ON vec_id = chunk_id GROUP BY query_id),
+s AS (SELECT query_id, 0 AS k, CAST([] AS BIGINT[]) AS chosen FROM c UNION ALL
+  SELECT query_id, k + 1, list_append(chosen, list_aggregate(list_transform(list_filter(generate_series(1, len(c)), lambda i: NOT list_contains(chosen, i)),
+    lambda i: {{'g': -round(0.5 * c[i].r - 0.5 * greatest(0, coalesce(list_max(list_transform(chosen, lambda j: list_inner_product(c[i].e, c[j].e))), 0)), 12), 'i': i}}), 'min').i) FROM s JOIN c USING (query_id) WHERE k < 5 AND k < len(c))
+SELECT query_id, CAST(j AS INTEGER) AS rank, c[chosen[j]].id AS chunk_id, round(c[chosen[j]].r, 6) AS score FROM (SELECT * FROM s JOIN c USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY k DESC) = 1), generate_series(1, 5) g(j) WHERE j <= len(chosen)""")
 def mmr_select(spark, sf_dir):
     hits = embedding.neighbours(asked_vectors(spark, sf_dir), vectors(spark, sf_dir), 20)
     candidates = hits.join(vectors(spark, sf_dir), "chunk_id").select("query_id", "chunk_id", F.col("score").alias("relevance"), "embedding")
