@@ -1,35 +1,36 @@
-"""Written intermediate tables in the folder that the whole cluster shares."""
+"""Written intermediate tables in the folder that the whole cluster shares, and batches of bounded size."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of whole texts in one Arrow batch; bounds a Python worker's memory.
+from ragspark.sources.shared import gone_at_exit, hadoop_path, shared_folder
+
+#: Rows of whole texts that a Python worker works on at once. Spark bounds the bytes of the batches that it sends.
 BATCH_ROWS = 256
 
 
-def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="ragspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.slice(i, rows)
 
 
 class Workspace:
     """Cuts lineage: ``put`` writes a DataFrame as Parquet and returns it reread, so lost executors cost
-    one stage at most and Spark knows the table's true size when it chooses a join."""
+    one stage at most and Spark knows the table's true size when it chooses a join. Tables that are not dropped
+    are deleted when the driver ends, as results may read them until then."""
 
-    def __init__(self, spark: SparkSession, tag: str, batch_rows: int = BATCH_ROWS):
+    def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
-        self.root = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > batch_rows:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+        self.root = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+        self.known = False
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -37,12 +38,16 @@ class Workspace:
     def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         schema = df.schema
         df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+        if not self.known:
+            gone_at_exit(self.spark, self.root)
+            self.known = True
         del df
         self.release()
         return self.get(name, schema)
 
     def release(self) -> None:
-        """Lets Spark's cleaner delete the shuffle files of finished steps now, not at the driver's next full GC."""
+        """Lets Spark's cleaner delete the shuffle files of finished steps now, not at the driver's next full GC, so that
+        the disk in use stays bounded by a few steps."""
         gc.collect()
         self.spark._jvm.System.gc()
 
@@ -51,7 +56,6 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Removes tables that no later step reads."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            made, system = hadoop_path(self.spark, self.path(name))
+            system.delete(made, True)

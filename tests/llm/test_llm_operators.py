@@ -225,6 +225,30 @@ def test_warc(spark):
 # 5
 
 
+def brute_top(x, i, k=5):
+    return sorted(((int(np.dot(x[i].astype(object), x[j].astype(object))), -j) for j in range(len(x)) if j != i), reverse=True)[:k]
+
+
+@pytest.mark.parametrize("kind", ["dense", "sparse", "clusters", "ties", "equal"])
+def test_maxscore_splits_its_terms(kind):
+    rng = np.random.default_rng(7)
+    x = {
+        "dense": lambda: rng.integers(-50, 50, (900, 12)),
+        "sparse": lambda: np.where(rng.random((900, 60)) < 0.05, rng.integers(1, 40, (900, 60)), 0),
+        "clusters": lambda: rng.integers(-40, 40, (6, 32))[rng.integers(0, 6, 900)] * 3 + rng.integers(-9, 9, (900, 32)),
+        "ties": lambda: rng.integers(0, 2, (900, 6)),
+        "equal": lambda: np.ones((900, 4), np.int64),
+    }[kind]().astype(np.float64)
+    shard = maxscore.MaxScore(np.arange(900), x)
+    for i in range(0, 900, 37):
+        s, ids = shard.search(i, x[i], 5)
+        assert [(int(a), -int(b)) for a, b in zip(s, ids)] == brute_top(x, i)
+    if kind in ("sparse", "clusters"):
+        assert shard.seen["nonessential"] and shard.seen["spared"] > shard.seen["probed"]
+    if kind == "sparse":
+        assert shard.seen["skipped"] > shard.seen["traversed"]
+
+
 def test_maxscore_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(maxscore, "SHARD", 64)
     rng = np.random.default_rng(4)
@@ -246,22 +270,44 @@ def test_maxscore_against_brute_force(spark, monkeypatch):
 # 6
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 6), max_size=120), min_size=1, max_size=8))
-def test_blocks_decode_whole_and_in_part(docs):
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 6), max_size=120), min_size=1, max_size=8), st.integers(2, 9))
+def test_blocks_decode_whole_and_in_part(docs, least):
     parts = [np.array(d, np.int64) for d in docs]
-    block = tokenfile.Block(tokenfile.write_block(list(range(len(parts))), parts))
+    block = tokenfile.Block(tokenfile.write_block(list(range(len(parts))), parts, least))
     flat = [x for d in docs for x in d]
     assert block.all().tolist() == flat
     for i, d in enumerate(docs):
         assert block.document(i).tolist() == d
     assert block.range(len(flat) // 3, len(flat) // 2).tolist() == flat[len(flat) // 3 : len(flat) // 2]
+    symbols = block.symbols.tolist()
+    assert max([0, *non_overlapping(symbols).values()]) < least  # no pair is left that pays for a rule
+
 
+def non_overlapping(symbols):
+    count, last = {}, {}
+    for i, pair in enumerate(zip(symbols, symbols[1:])):
+        if last.get(pair) != i - 1:
+            count[pair], last[pair] = count.get(pair, 0) + 1, i
+    return count
 
-def test_repair_compresses_repetition():
+
+def test_repair_compresses_repetition_and_expands_only_what_is_asked(monkeypatch):
     ids = np.tile(np.arange(50), 400)
-    symbols, rules, first = tokenfile.compress(ids)
-    assert len(symbols) < len(ids) / 10 and len(rules) and first == 50
+    symbols, rules, rounds, alphabet = tokenfile.compress(ids)
+    assert len(symbols) < len(ids) / 100 and sum(rounds) == len(rules) and alphabet.tolist() == list(range(50))
+    rng = np.random.default_rng(1)
+    ids = rng.zipf(1.3, 60_000) % 900
+    block = tokenfile.Block(tokenfile.write_block([1], [ids]))
+    assert (block.all() == ids).all() and max(non_overlapping(block.symbols.tolist()).values()) < tokenfile.LEAST
+    asked, plain = [], tokenfile.Grammar.expand
+    monkeypatch.setattr(tokenfile.Grammar, "expand", lambda self, s: asked.append(len(s)) or plain(self, s))
+    assert (block.range(30_000, 30_100) == ids[30_000:30_100]).all() and max(asked) <= 101
+
+
+def test_most_frequent_pair_goes_first():
+    _, rules, _, alphabet = tokenfile.compress(np.array([1, 2, 3] * 5 + [1, 2, 9] * 20), 5)
+    assert alphabet[rules[0]].tolist() == [1, 2]
 
 
 def test_token_files(spark, library, monkeypatch):
@@ -321,6 +367,43 @@ def test_surge_and_dive():
     assert html_text.passages(np.array([0, 5, 0, 7, 0, 0, 0, 9])) == [(1, 4, 12), (7, 8, 9)]
 
 
+def test_regions_below_the_bar_are_not_text():
+    long = "<p>" + "word " * 60 + "</p>"
+    text = " ".join(["word"] * 60)
+    assert html_text.main_text(f"<div>Slogan</div><nav>x</nav>{long}<p>End.</p><footer>f</footer><div>Imprint</div>") == f"{text}\nEnd."
+    assert html_text.main_text(f"<article><p>Teaser</p></article><nav>x</nav><div>{long}</div>") == text
+    assert html_text.main_text(f"<div>Slogan</div><article><h1>T</h1>{long}<aside>Side</aside><p>End.</p></article>") == f"T\n{text}\nEnd."
+    assert html_text.main_text("<article><p>Only this.</p></article>") == "Only this."
+
+
+def test_names_that_only_contain_a_noise_word_stay():
+    page = '<article><p>One</p><p class="related-work">Two</p><div class="notice-period"><p>Three</p></div><section id="search-results-analysis"><p>Four</p></section><p>Five</p></article>'
+    assert html_text.main_text(page) == "One\nTwo\nThree\nFour\nFive"
+
+
+def test_all_pages_against_a_plain_version(data):
+    """The test pages' blocks, cut out by plain patterns."""
+    import html
+    import re
+
+    import pyarrow.parquet as pq
+
+    for r in pq.read_table(f"{data}/pages.parquet").to_pylist():
+        inner = re.search("<article>(.*)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("</?(?:h1|p|div|ul|li|section)[^>]*>", re.sub("</?b>", "", inner))]
+        assert html_text.main_text(r["html"]) == "\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("part", ["<form>", '<a href="x>y', "<div class='ad'>", "<!", "<article>", "<a ", "<script>", "&amp", "<p>x</p><div class=ad>"])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    html_text.main_text(part)
+    began = time.process_time()
+    html_text.main_text(part * 100_000)
+    assert time.process_time() - began < 5
+
+
 # 8
 
 
