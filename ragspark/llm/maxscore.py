@@ -1,10 +1,11 @@
 """Exact top-k by integer inner product with MaxScore.
 
-Dimensions are the query's terms. Candidates lie in shards of bounded size; a shard keeps the smallest and
-largest value of each dimension, which bound a term's part of any score. Terms are taken in descending order of
-what they can vary; those whose joint bounds cannot lift a candidate over the k-th best score so far are
-non-essential. Essential postings are traversed for all candidates, the others are probed only for candidates
-that still compete. Query blocks meet shards by an equi-join, and the shards' lists are merged by rank.
+Dimensions are the query's terms. Candidates lie in shards of bounded size. A candidate is in a term's postings where
+its value is not the term's most common one, the resting value; the largest step away from rest bounds what a term adds
+to the score of a candidate at rest. Terms are taken by descending bound. Candidates pass in blocks of ascending id; before
+each block, the terms whose bounds together cannot lift a candidate at rest to the k-th best score so far become
+non-essential. A block's candidates come from the essential postings alone; the other terms are probed only for those that
+still compete. Query blocks meet shards by an equi-join, and the shards' lists are merged by rank.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, sliced
 
 SHARD = 4096
 QUERIES = 256
-#: Candidates of a shard that are scored in full, for a first k-th best score.
-FIRST = 512
+#: Candidates between two looks at the k-th best score, and terms between two looks at what can still compete.
+BLOCK, PROBES = 256, 8
+#: Slots a core, over which shards and copies of the query blocks are dealt.
+SLOTS = 4
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -65,9 +68,9 @@ def _matrix(raw: bytes, width: int, wide: int) -> np.ndarray:
     return m if width == wide else np.pad(m, ((0, 0), (0, wide - width)))
 
 
-def _exact(m: np.ndarray, top: float, width: int):
+def _exact(m: np.ndarray, exact: bool):
     """Doubles while every sum stays exact in them, else Python's integers."""
-    return m.astype(np.float64) if top * width < 2.0**52 else m.astype(object)
+    return m.astype(np.float64) if exact else m.astype(object)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,32 +82,58 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 
 
 class MaxScore:
-    """One shard. ``search`` returns, for each query, the k best (score, id), ties to the smaller id."""
+    """One shard. A term (dimension) has a resting value, its most common one, and postings: the candidates, by ascending id,
+    that have another, with a bitmap of them and the largest and smallest step away from rest.
+
+    ``search`` returns, for each query, the k best (score, id), ties to the smaller id. ``seen`` counts, over all
+    searches, candidates that essential postings led to, those skipped without a look, and probes made and spared."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.columns = ids[order], np.ascontiguousarray(matrix[order].T)
-        self.low, self.high = self.columns.min(axis=1), self.columns.max(axis=1)
+        self.ids, columns = ids[order], matrix[order].T
+        self.rest = np.array([_most_common(c) for c in columns], matrix.dtype)
+        self.steps = np.ascontiguousarray(columns - self.rest[:, None])
+        self.posted = self.steps != 0
+        self.dense = self.posted.all(axis=1)
+        self.low, self.high = np.minimum(self.steps.min(axis=1), 0), np.maximum(self.steps.max(axis=1), 0)
+        self.seen = {"traversed": 0, "skipped": 0, "probed": 0, "spared": 0, "essential": 0, "nonessential": 0}
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        ends = query * self.low, query * self.high
-        bound, least = np.maximum(*ends), np.minimum(*ends)
-        terms = np.argsort(-(bound - least).astype(np.float64), kind="stable")
-        rest = np.append(np.cumsum(bound[terms][::-1])[::-1], 0)  # what terms from place i on can add at most
-        steps = sorted({s for s in (len(terms) // 4, len(terms) // 2, 3 * len(terms) // 4) if s} | {len(terms)})
-        best_s, best_i = np.empty(0, self.columns.dtype), np.empty(0, np.int64)
-        for begin, end in ((0, FIRST), (FIRST, len(self.ids))):
-            rows = np.arange(begin, min(end, len(self.ids)))
+        bound = np.maximum(query * self.low, query * self.high)  # a term adds at most so much to a candidate at rest
+        terms = np.argsort(-bound.astype(np.float64), kind="stable")
+        base, count = query @ self.rest, len(terms)
+        left = np.append(np.cumsum(bound[terms][::-1])[::-1], 0)  # what the terms from a place on add at most
+        best_s, best_i = np.empty(0, self.steps.dtype), np.empty(0, np.int64)
+        for begin in range(0, len(self.ids), BLOCK):
+            rows = np.arange(begin, min(begin + BLOCK, len(self.ids)))
+            full = len(best_s) == k
+            # essential: up to the first place from which all bounds together cannot lift a candidate to the k-th best
+            split = int(np.count_nonzero(base + left[:-1] >= best_s[-1])) if full else count
+            if full and not split:
+                self.seen["skipped"] += len(rows)
+                continue
+            essential = terms[:split]
+            self.seen["essential"] += split
+            self.seen["nonessential"] += count - split
+            if not self.dense[essential].any():
+                met = self.posted[essential, begin : begin + BLOCK].any(axis=0) if full else np.ones(len(rows), bool)
+                self.seen["skipped"] += int(len(rows) - met.sum())
+                rows = rows[met]
             rows = rows[self.ids[rows] != query_id]
-            score, done, whole = np.zeros(len(rows), self.columns.dtype), 0, True
-            for step in steps:
-                part = terms[done:step]
-                score = score + query[part] @ (self.columns[part][:, rows] if whole else self.columns[np.ix_(part, rows)])
-                done = step
-                if len(best_s) == k and step < len(terms):
-                    live = score + rest[step] >= best_s[-1]
-                    rows, score, whole = rows[live], score[live], False
-            best_s, best_i = _best(np.append(best_s, score), np.append(best_i, self.ids[rows]), k)
+            self.seen["traversed"] += len(rows)
+            whole = len(rows) == min(BLOCK, len(self.ids) - begin)
+            score = base + query[essential] @ (self.steps[essential, begin : begin + BLOCK] if whole else self.steps[np.ix_(essential, rows)])
+            for at in range(split, count, PROBES):
+                live = score + left[at] >= best_s[-1]
+                self.seen["spared"] += int(len(rows) - live.sum()) * (count - at)
+                rows, score = rows[live], score[live]
+                if not len(rows):
+                    break
+                part = terms[at : at + PROBES]
+                self.seen["probed"] += len(rows) * len(part)
+                score = score + query[part] @ self.steps[np.ix_(part, rows)]
+            if len(rows):
+                best_s, best_i = _best(np.append(best_s, score), np.append(best_i, self.ids[rows]), k)
         return best_s, best_i
 
     def search_block(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -112,33 +141,45 @@ class MaxScore:
             yield self.search(int(query_ids[i]), queries[i], k)
 
 
+def _most_common(values: np.ndarray):
+    found, n = np.unique(values, return_counts=True)
+    return found[np.argmax(n)]
+
+
 def top_k(spark: SparkSession, queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each query (vec_id, embedding), its own vec_id
     excluded, by descending score and ascending vec_id; all, if fewer.
 
-    Null, broken and id-less vectors take no part; vectors of unequal length count as ended by zeros. Repeated
-    rows are candidates of their own; a query id that repeats is one query (its smallest vector). Empty tables
-    give no rows; other columns are ignored."""
-    ws = Workspace(spark, "maxscore", batch_rows=4096)
+    Null, broken and id-less vectors take no part; vectors of unequal length, however long, count as ended by zeros, and one
+    of which the others are far shorter costs a shard of its width. Repeated rows are candidates of their own; a query id
+    that repeats is one query (its smallest vector). Empty tables give no rows; other columns are ignored."""
+    ws = Workspace(spark, "maxscore")
     shards = ws.put(_packed(quantised(candidates, scale), SHARD, "shard"), "shards")
     asked = quantised(queries, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = ws.put(_packed(asked, QUERIES, "block"), "blocks")
-    slots = max(1, shards.count())
-    # a block of queries (at most QUERIES rows) is copied to every slot; shards are never copied
-    placed = shards.select(F.pmod(F.xxhash64("shard"), F.lit(slots)).alias("slot"), F.col("width").alias("w"), F.col("ids").alias("ids_c"), F.col("matrix").alias("m_c"))
+    known = shards.agg(F.count("*").alias("n"), F.max(F.shiftright("shard", 33)).alias("last")).first()
+    # each block of queries (at most QUERIES rows) goes to each slot; slots follow the cores, not the data. Shards, numbered
+    # a partition, are dealt in turn, so slots hold equal numbers of them
+    slots = max(1, min(known["n"], SLOTS * spark.sparkContext.defaultParallelism))
+    number = F.col("shard").bitwiseAND(F.lit((1 << 33) - 1)) * F.lit((known["last"] or 0) + 1) + F.shiftright("shard", 33)
+    placed = shards.select(F.pmod(number, F.lit(slots)).alias("slot"), "shard", F.col("width").alias("w"), F.col("ids").alias("ids_c"), F.col("matrix").alias("m_c"))
     sent = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"), "width", "ids", "matrix")
-    met = placed.join(sent, "slot").drop("slot")
+    met = placed.join(sent.hint("merge"), "slot").drop("slot")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            for w, ids_c, m_c, width, ids, matrix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        last, held = None, None
+        for batch in sliced(frames, 1):
+            for number, w, ids_c, m_c, width, ids, matrix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 wide = max(w, width)
                 m, q = _matrix(m_c, w, wide), _matrix(matrix, width, wide)
-                top = float(np.abs(m).max(initial=0)) * float(np.abs(q).max(initial=0))
-                shard = MaxScore(np.frombuffer(ids_c, np.int64), _exact(m, top, wide))
+                # twice the largest value: steps away from rest
+                top = 2 * float(np.abs(m).max(initial=0)) * float(np.abs(q).max(initial=0))
+                exact = top * wide < 2.0**52
+                if last != (number, wide, exact):
+                    last, held = (number, wide, exact), MaxScore(np.frombuffer(ids_c, np.int64), _exact(m, exact))
                 query_ids = np.frombuffer(ids, np.int64)
                 out: tuple[list, list, list] = ([], [], [])
-                for qid, (s, i) in zip(query_ids.tolist(), shard.search_block(query_ids, _exact(q, top, wide), k), strict=True):
+                for qid, (s, i) in zip(query_ids.tolist(), held.search_block(query_ids, _exact(q, exact), k), strict=True):
                     out[0].extend([qid] * len(i))
                     out[1].extend(i.tolist())
                     out[2].extend(int(x) for x in s)
