@@ -1,11 +1,13 @@
 """Token-id files with Re-Pair grammars.
 
-Documents lie in ascending doc_id order in shards of bounded size. A shard's grammar is made by repeatedly
-replacing frequent pairs of ids by nonterminals; the file keeps the rules, each nonterminal's expansion length,
-the compressed sequence and the documents' places, so any range of ids is decoded alone.
-
-A block: magic, six unsigned 32-bit counts (rules, symbols, ids, documents, first nonterminal, symbol width),
-then rules as pairs of 32-bit symbols, their expansion lengths, symbols, doc_ids (64-bit), starts and lengths.
+Documents lie in ascending doc_id order in shards of bounded size. A shard's grammar is made by repeatedly replacing
+frequent pairs of symbols by nonterminals, commoner pairs before rarer ones where they overlap, until no pair is left that
+pays for its rule. The file keeps the shard's alphabet, the rules, each nonterminal's expansion length, the compressed
+sequence and the documents' places, so any range of ids is decoded alone; documents are read back that way.
+
+A block: magic, seven unsigned 32-bit counts (alphabet, rounds, rules, symbols, ids, documents, symbol width), then the ids
+of the alphabet, the rules of each round, rules as pairs of 32-bit symbols, their expansion lengths, symbols, whether each
+doc_id is known, doc_ids (64-bit), starts and lengths. Symbols count from the alphabet's first id on; rules follow it.
 """
 
 from __future__ import annotations
@@ -20,120 +22,133 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .bpe import loaded, read_spec
-from .workspace import Workspace
+from .workspace import Workspace, sliced
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 #: A shard is closed once it holds so many ids.
 SHARD_IDS = 1 << 18
-ROUNDS = 6
-LEAST = 12
+#: A rule takes twelve bytes and each use of it spares two: it pays from this number of uses on.
+LEAST = 7
 END_ID = 1
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
-    """(symbols, rules, first nonterminal). In a round, all pairs seen ``least`` times or more become rules, commonest
-    first while the alphabet stays in 16 bits (20 where ids alone pass 16), and their occurrences are replaced from
-    left to right. A table of counts by hash leaves only pairs that may be frequent to the exact count."""
-    seq = ids.astype(np.uint32)
-    first = int(seq.max(initial=0)) + 1
-    limit = (1 << 16) - first if first <= 1 << 16 else 1 << 20
+def _pairs(seq: np.ndarray, least: int, salt: int, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(places, slots, counts, keys, all): places of pairs that occur ``least`` times or more without overlapping themselves,
+    each with a slot, and counts and keys by slot. Counts by hash leave only pairs that may be frequent. While these are
+    many, pairs whose slot another one has wait for a later round's hash (all is False); few, or all on demand, are told
+    apart exactly."""
+    bits = max(10, len(seq).bit_length() + 1)
+    slot = (((seq[:-1] * np.uint32(salt)) ^ (seq[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - bits)
+    at = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least)[slot])
+    key = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+    every = exact or len(at) < max(len(seq) // 4, 1024)
+    if every:
+        keys, slots = np.unique(key, return_inverse=True)
+    else:
+        slots, keys = slot[at], np.zeros(1 << bits, np.uint64)
+        keys[slots] = key
+        mine = keys[slots] == key
+        at, slots = at[mine], slots[mine]
+    # in a run of a pair that overlaps itself the first, third, ... count
+    run = np.append(True, (np.diff(at) != 1) | (slots[1:] != slots[:-1]))[: len(at)]
+    lead = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0)) if len(at) else at
+    free = (np.arange(len(at)) - lead) % 2 == 0
+    at, slots = at[free], slots[free]
+    counts = np.bincount(slots, minlength=len(keys))
+    often = counts[slots] >= least
+    return at[often], slots[often], counts, keys, every
+
+
+def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """(symbols, rules, rules of each round, alphabet). A round replaces all frequent pairs, commonest first: of two that
+    overlap, the place of the commoner one is taken. Pairs whose places left are fewer than ``least`` get no rule in this
+    round. Rounds end when no pair occurs ``least`` times."""
+    known = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    known[ids] = True
+    alphabet = np.flatnonzero(known)
+    seq = (np.cumsum(known) - 1).astype(np.uint32)[ids]
+    made, salt, exact = len(alphabet), 0x9E3779B1, False
     rules: list[np.ndarray] = []
-    made = 0
-    for _ in range(rounds):
-        if len(seq) < 2 or made >= limit:
-            break
-        slot = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA77))) >> np.uint32(14)
-        counts = np.bincount(slot, minlength=1 << 18)
-        often = np.flatnonzero((counts >= least)[slot])
-        if not len(often):
-            break
-        key = seq[often].astype(np.uint64) << np.uint64(32) | seq[often + 1]
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        count = np.diff(np.append(begin, len(ordered)))
-        good = np.flatnonzero(count >= least)
-        if not len(good):
-            break
-        good = good[np.argsort(-count[good], kind="stable")][: limit - made]
-        name = np.full(len(begin), -1, np.int64)
-        name[good] = first + made + np.arange(len(good))
-        named = np.empty(len(key), np.int64)
-        named[order] = np.repeat(name, count)
-        hit = named >= 0
-        at, named = often[hit], named[hit]
-        run = np.append(True, np.diff(at) != 1)
-        lead = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - lead) % 2 == 0
-        at, named = at[take], named[take]
-        seq[at] = named
+    while len(seq) > 1:  # a round replaces the commonest pair at least
+        at, slots, counts, keys, every = _pairs(seq, least, salt, exact)
+        salt = (salt * 0x01000193 + 0x811C9DC4) & 0xFFFFFFFF | 1
+        if not len(at):
+            if every:
+                break
+            exact = True
+            continue
+        rank = np.zeros(len(seq) + 2, np.int64)  # rank[i + 1] is that of place i
+        left = at + 1
+        rank[left] = counts[slots].astype(np.int64) << np.int64(32) | slots
+        taken = np.zeros(len(seq) + 2, bool)
+        while len(left):
+            now = left[(rank[left] > rank[left - 1]) & (rank[left] >= rank[left + 1])]
+            taken[now] = True
+            rank[now] = rank[now - 1] = rank[now + 1] = 0
+            left = left[rank[left] > 0]
+        hit = taken[at + 1]
+        at, slots = at[hit], slots[hit]
+        used = np.bincount(slots, minlength=len(keys))
+        good = np.flatnonzero(used >= least)
+        good = good[np.argsort(-used[good], kind="stable")]
+        name = np.zeros(len(keys), np.uint32)
+        name[good] = made + np.arange(len(good))
+        fine = used[slots] >= least
+        at, slots = at[fine], slots[fine]
+        rules.append(np.stack([keys[good] >> np.uint64(32), keys[good] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        seq[at] = name[slots]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
-        pairs = ordered[begin[good]]
-        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64))
-        made += len(good)
-    return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), first
+        seq, made, exact = seq[keep], made + len(good), False
+    return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), [len(r) for r in rules], alphabet
+
+
+def _copied(sizes: np.ndarray, source: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` from each source on, one behind the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(source - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 class Grammar:
-    """Expansions of all symbols of a shard, flat."""
-
-    def __init__(self, rules: np.ndarray, first: int, lengths: np.ndarray | None = None):
-        self.first = first
-        n = len(rules)
-        left, right = (rules[:, 0], rules[:, 1]) if n else (np.empty(0, np.int64),) * 2
-        if lengths is None:
-            lengths = np.ones(n, np.int64)
-            for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-                lengths[i] = (lengths[a - first] if a >= first else 1) + (lengths[b - first] if b >= first else 1)
-        self.lengths = lengths.astype(np.int64)
-        self.left, self.right, self.flat = left, right, None
-
-    def sizes(self, symbols: np.ndarray) -> np.ndarray:
-        out = np.ones(len(symbols), np.int64)
-        big = symbols >= self.first
-        out[big] = self.lengths[symbols[big] - self.first]
-        return out
+    """The expansions of all symbols of a shard in one flat table, made round by round."""
+
+    def __init__(self, rules: np.ndarray, rounds: list[int], alphabet: np.ndarray, lengths: np.ndarray | None = None):
+        self.rules, self.rounds, self.alphabet = rules.astype(np.int64), rounds, alphabet
+        n = len(alphabet)
+        sizes = np.ones(n + len(rules), np.int64)
+        if lengths is not None:
+            sizes[n:] = lengths
+        else:
+            for a, z in self._spans():
+                sizes[n + a : n + z] = sizes[self.rules[a:z]].sum(axis=1)
+        self.sizes, self.flat = sizes, None
+
+    def _spans(self) -> Iterator[tuple[int, int]]:
+        ends = np.cumsum([0, *self.rounds]).tolist()
+        return zip(ends, ends[1:])
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids of symbols: each symbol's expansion is copied from one flat table of all rules' expansions."""
+        """The ids of symbols."""
         if self.flat is None:
-            at = np.append(0, np.cumsum(self.lengths))
-            self.flat, self.at = np.empty(int(at[-1]), np.uint32), at
-            cuts = at.tolist()
-            for i, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True)):  # parts are older than their rule
-                mid = cuts[i]
-                for x in (a, b):
-                    if x < self.first:
-                        self.flat[mid] = x
-                        mid += 1
-                    else:
-                        j = x - self.first
-                        n = cuts[j + 1] - cuts[j]
-                        self.flat[mid : mid + n] = self.flat[cuts[j] : cuts[j + 1]]
-                        mid += n
-        sizes = self.sizes(symbols)
-        ends = np.cumsum(sizes)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
-        big = symbols >= self.first
-        out[(ends - sizes)[~big]] = symbols[~big]
-        n, to, source = sizes[big], (ends - sizes)[big], self.at[symbols[big] - self.first]
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        out[np.repeat(to, n) + step] = self.flat[np.repeat(source, n) + step]
-        return out
-
-
-def write_block(doc_ids: list, parts: list[np.ndarray]) -> bytes:
+            self.at = np.cumsum(self.sizes) - self.sizes
+            flat = self.alphabet.astype(np.uint32)
+            for a, z in self._spans():
+                parts = self.rules[a:z].ravel()
+                flat = np.concatenate([flat, _copied(self.sizes[parts], self.at[parts], flat)])
+            self.flat = flat
+        return _copied(self.sizes[symbols], self.at[symbols], self.flat)
+
+
+def write_block(doc_ids: list, parts: list[np.ndarray], least: int = LEAST) -> bytes:
     ids = np.concatenate(parts) if parts else np.empty(0, np.int64)
-    symbols, rules, first = compress(ids)
+    symbols, rules, rounds, alphabet = compress(ids, least)
     sizes = np.array([len(p) for p in parts], np.int64)
-    grammar = Grammar(rules, first)
-    width = 2 if first + len(rules) <= 1 << 16 else 4
+    grammar = Grammar(rules, rounds, alphabet)
+    width = 2 if len(alphabet) + len(rules) <= 1 << 16 else 4
     known = np.array([d is not None for d in doc_ids], np.uint8)
     return b"".join([
-        MAGIC, struct.pack("<6I", len(rules), len(symbols), len(ids), len(parts), first, width),
-        rules.astype("<u4").tobytes(), grammar.lengths.astype("<u4").tobytes(), symbols.astype(f"<u{width}").tobytes(),
+        MAGIC, struct.pack("<7I", len(alphabet), len(rounds), len(rules), len(symbols), len(ids), len(parts), width),
+        alphabet.astype("<u4").tobytes(), np.array(rounds, "<u4").tobytes(), rules.astype("<u4").tobytes(), grammar.sizes[len(alphabet) :].astype("<u4").tobytes(), symbols.astype(f"<u{width}").tobytes(),
         known.tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), (np.cumsum(sizes) - sizes).astype("<u4").tobytes(), sizes.astype("<u4").tobytes(),
     ])
 
@@ -144,8 +159,8 @@ class Block:
     def __init__(self, raw: bytes):
         if raw[:4] != MAGIC:
             raise ValueError("not a block")
-        rules, symbols, self.n, docs, first, width = struct.unpack_from("<6I", raw, 4)
-        at = 28
+        letters, rounds, rules, symbols, self.n, docs, width = struct.unpack_from("<7I", raw, 4)
+        at = 32
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -153,21 +168,21 @@ class Block:
             at += out.nbytes
             return out
 
-        pairs = take("<u4", 2 * rules).reshape(-1, 2).astype(np.int64)
-        self.grammar = Grammar(pairs, first, take("<u4", rules))
+        alphabet, spans = take("<u4", letters), take("<u4", rounds).tolist()
+        pairs = take("<u4", 2 * rules).reshape(-1, 2)
+        self.grammar = Grammar(pairs, spans, alphabet, take("<u4", rules))
         self.symbols = take(f"<u{width}", symbols).astype(np.int64)
         known, ids = take("u1", docs), take("<i8", docs)
         self.doc_ids = [int(i) if k else None for k, i in zip(known, ids, strict=True)]
         self.starts, self.lengths = take("<u4", docs).astype(np.int64), take("<u4", docs).astype(np.int64)
-        self.ends = None
+        self.ends = np.cumsum(self.grammar.sizes[self.symbols])
 
     def all(self) -> np.ndarray:
-        return self.grammar.expand(self.symbols)
+        return self.range(0, self.n)
 
     def range(self, a: int, b: int) -> np.ndarray:
-        if self.ends is None:
-            self.ends = np.cumsum(self.grammar.sizes(self.symbols))
-        i, j = np.searchsorted(self.ends, a, "right"), np.searchsorted(self.ends, b, "left")
+        """Only the symbols that reach into the range are expanded."""
+        i, j = np.searchsorted(self.ends, (a, b), "right")
         before = int(self.ends[i - 1]) if i else 0
         return self.grammar.expand(self.symbols[i : j + 1])[a - before : b - before]
 
@@ -194,7 +209,7 @@ def write_files(spark: SparkSession, docs: DataFrame, tokenizer: str, ws: Worksp
             held, before, n = ([], []), before + n, 0
             return out
 
-        for b in batches:
+        for b in sliced(batches):
             for doc, raw in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
                 ids = np.frombuffer(raw + end, encoder.kind)
                 held[0].append(doc)
@@ -209,16 +224,14 @@ def write_files(spark: SparkSession, docs: DataFrame, tokenizer: str, ws: Worksp
 
 
 def read_files(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the shards."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the shards, each decoded by its place in its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             for part, before, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 block = Block(raw)
-                data = memoryview(block.all().astype("<u4").tobytes())
-                ends = (block.starts + block.lengths).tolist()
-                crc = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip(block.starts.tolist(), ends, strict=True)]
-                n = len(crc)
+                n = len(block.doc_ids)
+                crc = [zlib.crc32(block.document(i).astype("<u4")) for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(block.doc_ids, pa.int64()), pa.array(before + block.starts), pa.array(block.lengths), pa.array(crc, pa.int64())], ["part", "doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = shards.select("part", "before", "block").mapInArrow(run, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -230,6 +243,6 @@ def read_files(shards: DataFrame) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
     """Encodes ``docs`` (doc_id, text, ...), appends END_ID to each document, writes the files and reads them back.
 
-    Null and empty texts are the end id alone. Rows of one doc_id follow each other in the order of their texts;
-    rows without doc_id come first. Other columns are ignored; an empty table gives no rows."""
+    Null and empty texts are the end id alone; a very long text is a shard of its own at most. Rows of one doc_id follow
+    each other in the order of their texts; rows without doc_id come first. Other columns are ignored; an empty table gives no rows."""
     return read_files(write_files(spark, docs, tokenizer, Workspace(spark, "tokens")))
