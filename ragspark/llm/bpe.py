@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from .workspace import Workspace
+from .workspace import sliced
 
 #: Words in each of two generations whose ids a worker keeps; words in use move on when the younger one is full.
 KEPT_WORDS = 150_000
@@ -366,13 +366,12 @@ def encode_column(spark: SparkSession, docs: DataFrame, tokenizer: str, keep: li
     """Columns ``keep``, ids (binary, little-endian) and width (bytes an id), one row a row of ``docs``.
 
     tokenizer: path of the file on the driver; its content (bounded: one vocabulary) goes to the workers."""
-    Workspace(spark, "bpe")
     content = spark.sparkContext.broadcast(read_spec(tokenizer))
     schema = docs.select(*keep).schema.add("ids", "binary").add("width", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = loaded(content.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             ids = pa.array(list(encoder.encode(texts)), pa.binary())
             width = pa.array(np.full(len(texts), encoder.kind.itemsize, np.int32))
@@ -383,13 +382,12 @@ def encode_column(spark: SparkSession, docs: DataFrame, tokenizer: str, keep: li
 
 def decode_column(spark: SparkSession, encoded: DataFrame, tokenizer: str, keep: list[str]) -> DataFrame:
     """Columns ``keep`` and text of rows with ids and width, as :func:`encode_column` gives them; null ids give the empty text."""
-    Workspace(spark, "bpe")
     content = spark.sparkContext.broadcast(read_spec(tokenizer))
     schema = encoded.select(*keep).schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, decoder = loaded(content.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = []
             for raw, width in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 ids = np.frombuffer(raw or b"", f"<u{width or 4}")
@@ -404,12 +402,11 @@ def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFram
 
     Null and empty texts have no ids and decode to the empty text; rows are independent of each other, so
     repeated rows give equal rows; doc_id may be null. Other columns are ignored."""
-    Workspace(spark, "bpe")
     content = spark.sparkContext.broadcast(read_spec(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = loaded(content.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             n, encoded, decoded = [], [], []
             for raw in encoder.encode(texts):

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, sliced
 
 PLACES = 1 << 20
 SHINGLE = 5
@@ -100,7 +100,7 @@ def signed_rows(docs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = CirculantMinHash(bands * rows)
-        for batch in batches:
+        for batch in sliced(batches):
             n, digests, keys = [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py())
@@ -119,7 +119,7 @@ def signed_rows(docs: DataFrame, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingle_set(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), _list([s.view(np.int64) for s in sets], pa.int64())],
