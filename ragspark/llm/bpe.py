@@ -1,9 +1,10 @@
 """Byte pair encoding as a streaming transducer with bounded lookahead, and an incremental decoder.
 
 ``MergeList.lookahead`` is computed from the merge list: a token's end is decided once that many symbols behind
-it are known. ``Transducer`` therefore holds at most a window of symbols of a word, however long the word, and
-emits a token as soon as it is stable. Many windows are merged at once in numpy: each round replaces, in every
-window, all leftmost occurrences of its pair of least rank. Whole-word results are kept in a bounded table.
+it are known. A word therefore passes through a window of bounded size, however long it is, and its tokens are emitted
+once they are stable. The windows of many words move at once in numpy (``MergeList.transduce``); a word that comes in
+parts has a machine of its own (``Transducer``). A merging round replaces, in every window, all leftmost occurrences of
+its pair of least rank. Results of whole words are kept in a bounded table.
 ``Decoder`` feeds the bytes of tokens to an incremental UTF-8 state machine.
 """
 
@@ -28,11 +29,10 @@ from .workspace import sliced
 
 #: Words in each of two generations whose ids a worker keeps; words in use move on when the younger one is full.
 KEPT_WORDS = 150_000
-#: Longest words that are cut and merged many at once.
-FAST_CHARS = 256
 #: Ids decoded at a time.
 DECODE_BLOCK = 1 << 16
-#: Characters of the texts whose words are looked up together, at least one text.
+#: Characters of the texts whose words are looked up together, at least one text, and of unknown words merged together; a
+#: longer word streams by itself, so that memory does not follow a word's length.
 GROUP_CHARS = 2_000_000
 NONE = np.int64(1) << 40
 #: Characters whose class and case are the same in all versions of Unicode at hand. Words with any other are normalised
@@ -60,6 +60,8 @@ class MergeList:
         self.rules = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
         self._index()
         self.lookahead = self._lookahead()
+        #: Symbols of a word that are merged at a time.
+        self.window = max(4 * self.lookahead, 1024)
 
     def _index(self) -> None:
         bits = max(12, (len(self.rules) * 8).bit_length())
@@ -163,26 +165,56 @@ class MergeList:
         return ids[order], np.searchsorted(word[order], np.arange(len(starts)))
 
 
+    def transduce(self, ids: np.ndarray, starts: np.ndarray, window: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of many (non-empty) words at once, and where each word's begin. Each word passes through a window of
+        symbols: tokens that end ``lookahead`` symbols before the window's end are stable and are emitted, the window moves
+        on behind them, and what is left when the word ends is emitted as a whole."""
+        window = window or self.window
+        ends, at, todo, wide = np.append(starts[1:], len(ids)), starts.copy(), np.arange(len(starts)), window
+        if not len(starts) or int((ends - starts).max()) <= window:
+            return self.merge(ids, starts)
+        out_ids, out_words = [], []
+        while len(todo):
+            n = np.minimum(ends[todo] - at[todo], wide)
+            begin = np.cumsum(n) - n
+            took, first = self.merge(ids[np.repeat(at[todo] - begin, n) + np.arange(int(n.sum()))], begin)
+            word = np.repeat(np.arange(len(todo)), np.diff(np.append(first, len(took))))
+            sizes = self.size[took]
+            behind = np.cumsum(sizes) - np.repeat(begin, np.diff(np.append(first, len(took))))  # symbols of the window up to each token's end
+            done = at[todo] + n == ends[todo]
+            stable = done[word] | (behind <= (n - self.lookahead)[word])
+            out_ids.append(took[stable])
+            out_words.append(todo[word[stable]])
+            moved = np.bincount(word[stable], sizes[stable], len(todo)).astype(np.int64)
+            at[todo] += moved
+            wide = window if (moved > 0).all() else wide * 2  # a token longer than the rest of a window
+            todo = todo[~done]
+        word, merged = np.concatenate(out_words), np.concatenate(out_ids)
+        order = np.argsort(word, kind="stable")
+        return merged[order], np.searchsorted(word[order], np.arange(len(starts)))
+
+
 class Transducer:
-    """One word of any length: ``feed`` takes symbols (bytes) and yields ids once stable, ``finish`` the rest."""
+    """One word that comes in parts: ``feed`` takes symbols (bytes) and yields ids once stable, ``finish`` the rest."""
 
     def __init__(self, merges: MergeList, window: int | None = None):
         self.merges = merges
-        self.window = window or max(4 * merges.lookahead, 1024)
+        self.window = window or merges.window
         self.held = b""
 
-    def _merge(self, symbols: np.ndarray) -> np.ndarray:
-        return self.merges.merge(symbols.copy(), np.zeros(1, np.int64))[0]
-
     def feed(self, data: bytes) -> Iterator[np.ndarray]:
         self.held += data
-        while len(self.held) > self.window:
-            part = np.frombuffer(self.held[: self.window], np.uint8)  # at least one byte follows: none of these is the last
-            ids = self._merge(self.merges.inner[part])
+        wide = self.window
+        while len(self.held) > wide:
+            part = np.frombuffer(self.held[:wide], np.uint8)  # at least one byte follows: none of these is the last
+            ids = self.merges.merge(self.merges.inner[part], np.zeros(1, np.int64))[0]
             ends = np.cumsum(self.merges.size[ids])
             stable = int(np.searchsorted(ends, len(part) - self.merges.lookahead, "right"))
+            if not stable:  # a token longer than the rest of the window
+                wide *= 2
+                continue
             yield ids[:stable]
-            self.held = self.held[int(ends[stable - 1]) :]
+            self.held, wide = self.held[int(ends[stable - 1]) :], self.window
 
     def finish(self) -> np.ndarray:
         part, self.held = np.frombuffer(self.held, np.uint8), b""
@@ -190,7 +222,7 @@ class Transducer:
             return np.empty(0, np.int64)
         symbols = self.merges.inner[part]
         symbols[-1] = self.merges.last[part[-1]]
-        return self._merge(symbols)
+        return self.merges.transduce(symbols, np.zeros(1, np.int64), self.window)[0]
 
 
 @functools.cache
@@ -233,31 +265,65 @@ class Encoder:
         self.white = regex.compile(r"[\s--\x1c-\x1f]+", regex.V1)
 
     def _learn(self, words: Iterable[str]) -> None:
-        fast = []
+        plain: list[str] = []
+        odd: list[tuple[str, list[bytes]]] = []
+        held = 0
         for w in words:
-            if len(w) <= FAST_CHARS and "'" not in w and (w.isascii() or self.usual.fullmatch(w)):
-                fast.append(w)
+            usual = w.isascii() or self.usual.fullmatch(w)
+            if len(w) > GROUP_CHARS:
+                self.words[w] = self._streamed(self._pieces(w, usual))
+            elif usual and "'" not in w:
+                plain.append(w)
+                held += len(w)
             else:
-                self.words[w] = self._slow(w)
-        for i in range(0, len(fast), 100_000):
-            self._learn_fast(fast[i : i + 100_000])
-
-    def _slow(self, word: str) -> bytes:
-        """Words with apostrophes (contractions), rare characters or of great length, piece by piece."""
-        if word.isascii() or self.usual.fullmatch(word):
-            pieces = self.pattern.findall(unicodedata.normalize("NFC", word).replace("Σ", "σ").lower())
+                odd.append((w, [p.encode("utf-8") for p in self._pieces(w, usual)]))
+                held += len(w)
+            if held > GROUP_CHARS:
+                self._learn_plain(plain)
+                self._learn_odd(odd)
+                plain, odd, held = [], [], 0
+        self._learn_plain(plain)
+        self._learn_odd(odd)
+
+    def _pieces(self, word: str, usual) -> Iterator[str]:
+        """The pieces of a word with apostrophes (contractions), rare characters or of great length."""
+        if usual:
+            yield from (m[0] for m in self.pattern.finditer(unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()))
         else:
             x = self.library.normalizer.normalize_str(word)
-            pieces = [x[a:z] for _, (a, z) in self.library.pre_tokenizer.pre_tokenize_str(x)]
-        return b"".join(self._piece(p.encode("utf-8")) for p in pieces)
-
-    def _piece(self, data: bytes) -> bytes:
-        machine = Transducer(self.merges)
-        out = [ids for i in range(0, len(data), machine.window) for ids in machine.feed(data[i : i + machine.window])]
-        return np.concatenate([*out, machine.finish()]).astype(self.kind).tobytes()
-
-    def _learn_fast(self, words: list[str]) -> None:
-        """Many words at once: where the class of characters changes, and around each number, a piece ends."""
+            yield from (x[a:z] for _, (a, z) in self.library.pre_tokenizer.pre_tokenize_str(x))
+
+    def _streamed(self, pieces: Iterable[str]) -> bytes:
+        """The ids of a word that is too long to be merged among others, part by part."""
+        out = []
+        for p in pieces:
+            machine = Transducer(self.merges)
+            for i in range(0, len(p), machine.window):
+                out += [ids.astype(self.kind).tobytes() for ids in machine.feed(p[i : i + machine.window].encode("utf-8"))]
+            out.append(machine.finish().astype(self.kind).tobytes())
+        return b"".join(out)
+
+    def _learn_odd(self, words: list[tuple[str, list[bytes]]]) -> None:
+        pieces = [p for _, parts in words for p in parts]
+        if pieces:
+            data = np.frombuffer(b"".join(pieces), np.uint8)
+            ends = np.cumsum([len(p) for p in pieces])
+            symbols = self.merges.inner[data]
+            symbols[ends - 1] = self.merges.last[data[ends - 1]]
+            ids, at = self.merges.transduce(symbols, np.append(0, ends[:-1]))
+        else:
+            ids, at = np.empty(0, np.int64), np.empty(0, np.int64)
+        raw, width = ids.astype(self.kind).tobytes(), self.kind.itemsize
+        cuts = [*(at * width).tolist(), len(raw)]
+        done = 0
+        for w, parts in words:
+            self.words[w] = raw[cuts[done] : cuts[done + len(parts)]]
+            done += len(parts)
+
+    def _learn_plain(self, words: list[str]) -> None:
+        """Where the class of characters changes, and around each number, a piece ends."""
+        if not words:
+            return
         joined = unicodedata.normalize("NFC", " ".join(words)).replace("Σ", "σ").lower()
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         data = np.frombuffer(joined.encode("utf-8"), np.uint8)
@@ -269,7 +335,7 @@ class Encoder:
         symbols = self.merges.inner[data]
         symbols[last] = self.merges.last[data[last]]
         begin = np.append(0, (last - word + 1)[:-1])  # one blank before each word but the first is left out
-        ids, at = self.merges.merge(symbols[data != 0x20], begin)
+        ids, at = self.merges.transduce(symbols[data != 0x20], begin)
         raw, width = ids.astype(self.kind).tobytes(), self.kind.itemsize
         cuts = [*(at[np.searchsorted(word, np.arange(len(words)))] * width).tolist(), len(raw)]
         self.words.update(zip(words, [raw[a:z] for a, z in itertools.pairwise(cuts)], strict=True))
@@ -365,7 +431,9 @@ def read_spec(path: str) -> str:
 def encode_column(spark: SparkSession, docs: DataFrame, tokenizer: str, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep``, ids (binary, little-endian) and width (bytes an id), one row a row of ``docs``.
 
-    tokenizer: path of the file on the driver; its content (bounded: one vocabulary) goes to the workers."""
+    tokenizer: path of the file on the driver; its content (bounded: one vocabulary) goes to the workers. Kept columns named
+    ids or width give way to the new ones. Null and empty texts have no ids; very long ones are encoded whole."""
+    keep = [c for c in keep if c not in ("ids", "width")]
     content = spark.sparkContext.broadcast(read_spec(tokenizer))
     schema = docs.select(*keep).schema.add("ids", "binary").add("width", "integer")
 
@@ -381,7 +449,9 @@ def encode_column(spark: SparkSession, docs: DataFrame, tokenizer: str, keep: li
 
 
 def decode_column(spark: SparkSession, encoded: DataFrame, tokenizer: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` and text of rows with ids and width, as :func:`encode_column` gives them; null ids give the empty text."""
+    """Columns ``keep`` and text of rows with ids and width, as :func:`encode_column` gives them; null ids give the empty text.
+    A kept column named text gives way to the new one."""
+    keep = [c for c in keep if c != "text"]
     content = spark.sparkContext.broadcast(read_spec(tokenizer))
     schema = encoded.select(*keep).schema.add("text", "string")
 
@@ -401,7 +471,8 @@ def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFram
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs`` (doc_id, text, ...).
 
     Null and empty texts have no ids and decode to the empty text; rows are independent of each other, so
-    repeated rows give equal rows; doc_id may be null. Other columns are ignored."""
+    repeated rows give equal rows; doc_id may be null. Very long texts and words are encoded whole. Other columns are ignored;
+    an empty table gives no rows."""
     content = spark.sparkContext.broadcast(read_spec(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -140,6 +140,10 @@ def test_streaming_emits_what_the_whole_word_gives(library, coder, letters):
     word = "".join(rng.choice(letters) for _ in range(9000))
     want = library.encode(word, add_special_tokens=False).ids
     merges = coder[0].merges
+    symbols = merges.inner[np.frombuffer(word.encode() * 2, np.uint8)]
+    symbols[[len(word) - 1, -1]] = merges.last[ord(word[-1])]
+    both, at = merges.transduce(symbols, np.array([0, len(word)]), merges.lookahead + 50)
+    assert both.tolist() == want * 2 and at.tolist() == [0, len(want)]
     machine, got = bpe.Transducer(merges, merges.lookahead + 50), []
     for i in range(0, len(word), 41):
         got += [x for part in machine.feed(word[i : i + 41].encode()) for x in part.tolist()]
@@ -147,6 +151,23 @@ def test_streaming_emits_what_the_whole_word_gives(library, coder, letters):
     assert got + machine.finish().tolist() == want
 
 
+def test_all_words_pass_the_transducer(library, monkeypatch):
+    encoder = bpe.Encoder(__import__("json").loads(bpe.read_spec(TOKENIZER)))
+    rng = random.Random(5)
+    words = ["".join(rng.choice("theinganer'é漢1!") for _ in range(rng.choice((3, 9, 300, 5000)))) for _ in range(60)] + ["don't", "ﬁn", "a" * 9000]
+    plain, seen = bpe.MergeList.transduce, []
+    narrow = encoder.merges.lookahead + 40
+    monkeypatch.setattr(bpe.MergeList, "transduce", lambda self, ids, starts, window=None: seen.append(len(starts)) or plain(self, ids, starts, narrow))
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 6000)  # the longest words stream by themselves
+    for w in words:
+        got = np.frombuffer(next(encoder.encode([w])), encoder.kind)
+        assert got.tolist() == library.encode(w, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 2_000_000)
+    encoder.words, encoder.older, seen[:] = {}, {}, []
+    raw = next(encoder.encode([" ".join(words)]))
+    assert np.frombuffer(raw, encoder.kind).tolist() == library.encode(" ".join(words), add_special_tokens=False).ids and sum(seen) >= len(set(words))
+
+
 def test_byte_level_decoder_is_incremental():
     spec = {"model": {"vocab": {c: i for i, c in enumerate(bpe.byte_letters())}}, "decoder": {"type": "ByteLevel"}}
     d = bpe.Decoder(spec)
@@ -156,7 +177,7 @@ def test_byte_level_decoder_is_incremental():
 
 
 def test_columns_of_ids_and_texts(spark, library):
-    encoded = bpe.encode_column(spark, documents(spark).drop("ids"), TOKENIZER, ["doc_id", "lang"])
+    encoded = bpe.encode_column(spark, documents(spark).withColumn("width", F.lit("clash")), TOKENIZER, ["doc_id", "lang", "ids", "width"])
     got = sorted(((r.doc_id, r.text) for r in bpe.decode_column(spark, encoded, TOKENIZER, ["doc_id"]).collect()), key=str)
     want = [(i, library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)) for i, t in TEXTS]
     assert got == sorted(want, key=str)
