@@ -2,7 +2,7 @@
 
 Two Parquet tables in the shared folder: ``records`` keeps each record's exact header bytes and its payload's
 digest, ``payloads`` the bytes of each distinct payload once, by SHA-256 over the bytes. Original records are
-rebuilt by joining the two; the digest is verified on the bytes read. Which page holds a payload is decided on
+rebuilt by joining the two, the digest verified on the bytes read, and parsed from their own bytes. Which page holds a payload is decided on
 narrow rows (digest, page_id), with partial aggregation, so groups of equal pages of any size stay spread.
 """
 
@@ -21,15 +21,19 @@ REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
 
 
+_HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+_END = b"\r\n\r\n"
+
+
 def _header(kind: Column, record: Column, target: Column, sha1: Column, length: Column, holder: Column) -> Column:
     """WARC and HTTP header blocks of a record, up to where its payload begins."""
-    clean = F.regexp_replace(F.coalesce(target, F.lit("")), r"[\r\n]", " ")
-    http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
+    clean = F.trim(F.regexp_replace(F.coalesce(target, F.lit("")), r"[\r\n]", " "))
+    http = F.lit(_HTTP)
     body = F.when(kind == "response", length).otherwise(F.lit(0)) + F.length(http)
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), kind,
         F.lit("\r\nWARC-Record-ID: <urn:page:"), record, F.lit(">\r\nWARC-Date: " + DATE),
-        F.lit("\r\nWARC-Target-URI: "), clean,
+        F.lit("\r\nWARC-Target-URI: "), F.when(clean == "", F.concat(F.lit("urn:page:"), record)).otherwise(clean),
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nWARC-Payload-Digest: sha1:"), sha1,
         F.lit("\r\nWARC-Payload-Length: "), length.cast("string"),
         F.when(kind == "revisit", F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), holder, F.lit(">"))).otherwise(F.lit("")),
@@ -38,23 +42,26 @@ def _header(kind: Column, record: Column, target: Column, sha1: Column, length:
 
 
 def write_archive(spark: SparkSession, pages: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """The tables (records, payloads) of ``pages`` (page_id, url, html), written and reread.
+    """The tables records (page_id, kind, key, header) and payloads (key, body) of ``pages`` (page_id, url, html), written and
+    reread.
 
     Null html is the empty payload. Of equal payloads of REVISIT_BYTES and more, the largest page_id is the
     response and the others revisit it; when rows repeat that page_id too, each of them is a response. A row
-    without page_id is always a response of its own. Other columns are ignored."""
+    without page_id is always a response of its own. Record ids are the page_id and a number of the row, so rows that
+    repeat a page_id have ids of their own; a null or blank url is named by the record id. Very long pages are kept
+    whole. Other columns are ignored."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
-    rows = rows.select("page_id", "url", F.sha2("body", 256).alias("key"), F.sha1("body").alias("sha1"), F.octet_length("body").cast("long").alias("bytes"))
+    rows = rows.select("page_id", "url", F.sha2("body", 256).alias("key"), F.sha1("body").alias("sha1"), F.octet_length("body").cast("long").alias("bytes"), F.monotonically_increasing_id().alias("number"))
     rows = ws.put(rows, "rows")
-    groups = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("key").agg(F.max("page_id").alias("holder"), F.count("*").alias("c")).where("c > 1")
+    groups = rows.where((F.col("bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("key").agg(F.max(F.struct("page_id", "number")).alias("holder"), F.count("*").alias("c")).where("c > 1")
     rows = rows.join(groups.drop("c"), "key", "left")
-    kind = F.when(F.col("page_id") < F.col("holder"), "revisit").otherwise("response")
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
-    header = _header(kind, name("page_id"), F.col("url"), F.col("sha1"), F.col("bytes"), name("holder"))
-    records = ws.put(rows.select("page_id", "key", header.cast("binary").alias("header")), "records")
+    kind = F.when(F.col("page_id") < F.col("holder.page_id"), "revisit").otherwise("response")
+    record = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.col("number").cast("string"))
+    header = _header(kind, record, F.col("url"), F.col("sha1"), F.col("bytes"), F.concat(F.col("holder.page_id").cast("string"), F.lit(":"), F.col("holder.number").cast("string")))
+    records = ws.put(rows.select("page_id", kind.alias("kind"), "key", header.cast("binary").alias("header")), "records")
 
-    # the bytes of a digest come from its holder; equal bytes leave once per task and meet by digest
+    # the bytes of a digest come from any of its rows; equal bytes leave once per task and meet by digest
     once = pages.select(body.alias("body")).select(F.sha2("body", 256).alias("key"), "body")
     payloads = ws.put(_first_seen(once).dropDuplicates(["key"]), "payloads")
     ws.drop("rows")
@@ -66,7 +73,7 @@ def _first_seen(rows: DataFrame, most: int = 100_000) -> DataFrame:
 
     def run(batches):
         seen: set[str] = set()
-        for b in sliced(batches):
+        for b in batches:
             keep = []
             for k in b.column(0).to_pylist():
                 keep.append(k not in seen)
@@ -78,50 +85,60 @@ def _first_seen(rows: DataFrame, most: int = 100_000) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-_DIGEST = re.compile(rb"\r\nWARC-Payload-Digest: sha1:([0-9a-f]{40})\r\n")
-_LENGTH = re.compile(rb"\r\nWARC-Payload-Length: (\d+)\r\n")
-_REFERS = re.compile(rb"\r\nWARC-Refers-To: <urn:page:(-?\d+)>\r\n")
-_TYPE = re.compile(rb"\r\nWARC-Type: (\w+)\r\n")
+def original_records(records: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(page_id, record): each record's bytes as they were written: a response's header and the payload of its digest, which is
+    verified on the bytes read; a revisit's header alone. A byte of difference, or a missing payload, fails the job.
 
+    Many responses of one small payload are a skewed join, which Spark splits; the other side is a single row."""
+    whole = records.where("kind = 'response'").join(payloads, "key", "left")
+    same = F.coalesce(F.sha2("body", 256) == F.col("key"), F.lit(False))
+    body = F.when(same, F.col("body")).otherwise(F.raise_error(F.concat(F.lit("stored payload does not match its digest "), "key")).cast("binary"))
+    rebuilt = whole.select("page_id", F.concat("header", body, F.lit(_END)).alias("record"))
+    return rebuilt.unionByName(records.where("kind = 'revisit'").select("page_id", F.concat("header", F.lit(_END)).alias("record")))
 
-def original_records(records: DataFrame, payloads: DataFrame) -> DataFrame:
-    """(page_id, header, body): headers joined with the payload of their digest. Many records of one payload are
-    a skewed join, which Spark splits; the small side is a single row."""
-    return records.join(payloads, "key").select("page_id", "key", "header", "body")
 
+_FIELD = {name: re.compile(rb"\r\n" + name.encode() + rb": ([^\r]*)\r\n") for name in ("WARC-Type", "WARC-Record-ID", "WARC-Payload-Digest", "WARC-Payload-Length", "WARC-Refers-To", "Content-Length")}
 
-def read_archive(records: DataFrame, payloads: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to), parsed from the records read back. Each
-    payload's digests are computed from its stored bytes; a byte of difference fails the job."""
 
-    def verify(batches):
-        for b in sliced(batches):
-            keys, bodies = b.column(0).to_pylist(), b.column(1).to_pylist()
-            bad = [k for k, x in zip(keys, bodies, strict=True) if hashlib.sha256(x).hexdigest() != k]
-            if bad:
-                raise ValueError(f"stored payload does not match its digest {bad[0]}")
-            sha1 = [hashlib.sha1(x).hexdigest() for x in bodies]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha1), pa.array([len(x) for x in bodies], pa.int64())], ["key", "stored_sha1", "stored_bytes"])
+def parsed(record: bytes) -> tuple[str, str, str | None, str, int]:
+    """(kind, id, id of the record referred to, SHA-1 and length of the payload) of one record. A response's digest and length
+    come from its own bytes and must be those of its header; a revisit's are what its header says."""
+    cut = record.index(b"\r\n\r\n") + 4
+    head = record[:cut]
+    kind, name, digest, length, refers, size = (m[1].decode() if (m := f.search(head)) else None for f in _FIELD.values())
+    block, tail = record[cut : cut + int(size)], record[cut + int(size) :]
+    if tail != _END or not block.startswith(_HTTP.encode()):
+        raise ValueError(f"record {name} is not as long as it says")
+    if kind == "response":
+        payload = memoryview(block)[len(_HTTP) :]
+        if f"sha1:{hashlib.sha1(payload).hexdigest()}" != digest or len(payload) != int(length):
+            raise ValueError(f"the header of record {name} does not match its payload")
+    return kind, name, refers, digest.removeprefix("sha1:"), int(length)
+
 
-    checked = payloads.select("key", "body").mapInArrow(verify, "key string, stored_sha1 string, stored_bytes long")
+def read_archive(records: DataFrame, payloads: DataFrame, ws: Workspace) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to), parsed from the rebuilt records. A revisit's payload is
+    that of the record it refers to; the two must agree."""
 
     def parse(batches):
         for b in sliced(batches):
-            heads = b.column(1).to_pylist()
-            kinds = [_TYPE.search(h)[1].decode() for h in heads]
-            refers = [int(m[1]) if k == "revisit" and (m := _REFERS.search(h)) else None for k, h in zip(kinds, heads, strict=True)]
-            told = [_DIGEST.search(h)[1].decode() for h in heads]
-            sizes = [int(_LENGTH.search(h)[1]) for h in heads]
-            for i, (t, s) in enumerate(zip(told, sizes, strict=True)):
-                if t != b.column(2)[i].as_py() or s != b.column(3)[i].as_py():
-                    raise ValueError("a record's header does not match its payload")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(2), pa.array(kinds), pa.array(refers, pa.int64())], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            rows = [parsed(r) for r in b.column(1).to_pylist()]
+            kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["page_id", "record_type", "id", "refers", "payload_digest", "payload_bytes"])
 
-    joined = records.join(checked, "key").select("page_id", "header", "stored_sha1", "stored_bytes")
-    return joined.mapInArrow(parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    found = original_records(records, payloads).mapInArrow(parse, "page_id long, record_type string, id string, refers string, payload_digest string, payload_bytes long")
+    found = ws.put(found, "found")
+    held = found.where("record_type = 'response'").select(F.col("id").alias("refers"), F.struct("page_id", "payload_digest", "payload_bytes").alias("held"))
+    revisits = found.where("record_type = 'revisit'").join(held, "refers", "left")
+    same = (F.col("held.payload_digest") == F.col("payload_digest")) & (F.col("held.payload_bytes") == F.col("payload_bytes"))
+    refers = F.when(same, F.col("held.page_id")).otherwise(F.raise_error(F.concat(F.lit("the record referred to does not match: "), "refers")).cast("long"))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    return found.where("record_type = 'response'").select(*columns, F.lit(None).cast("long").alias("refers_to")).unionByName(revisits.select(*columns, refers.alias("refers_to")))
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Writes ``pages`` as an archive and reads it back; see :func:`write_archive` and :func:`read_archive`.
     An empty table gives no rows."""
-    return read_archive(*write_archive(spark, pages, Workspace(spark, "warc")))
+    ws = Workspace(spark, "warc")
+    return read_archive(*write_archive(spark, pages, ws), ws)

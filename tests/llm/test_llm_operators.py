@@ -227,7 +227,7 @@ def test_warc(spark):
     ws = Workspace(spark, "warc-test")
     records, payloads = warc.write_archive(spark, p, ws)
     assert payloads.count() == 4  # each distinct payload once
-    out = sorted((tuple(r) for r in warc.read_archive(records, payloads).collect()), key=str)
+    out = sorted((tuple(r) for r in warc.read_archive(records, payloads, ws).collect()), key=str)
     want = []
     for i, _, h in rows:
         b = (h or "").encode()
@@ -235,14 +235,35 @@ def test_warc(spark):
         again = len(b) >= 1000 and i is not None and i < holder
         want.append((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", holder if again else None))
     assert out == sorted(want, key=str)
-    whole = warc.original_records(records, payloads).where("page_id = 5").first()
-    assert bytes(whole.header).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and bytes(whole.body) == big.encode()
+    whole = warc.original_records(records, payloads).collect()
+    names = set()
+    for r in whole:  # each record stands for itself: WARC header, block of the length it says, two line ends
+        raw = bytes(r.record)
+        head, _, rest = raw.partition(b"\r\n\r\n")
+        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        block = rest[: int(fields["Content-Length"])]
+        assert raw.startswith(b"WARC/1.1\r\n") and rest[len(block) :] == b"\r\n\r\n" and fields["WARC-Target-URI"]
+        names.add(fields["WARC-Record-ID"])
+        if r.page_id == 5:
+            assert block.partition(b"\r\n\r\n")[2] == big.encode() and fields["WARC-Type"] == "response"
+        if r.page_id == 1:
+            assert block.endswith(b"\r\n\r\n") and fields["WARC-Refers-To"].startswith("<urn:page:5:")
+    assert len(names) == len(rows)
     bad = payloads.withColumn("body", F.when(F.length("body") == 2000, F.lit(b"no")).otherwise(F.col("body")))
-    with pytest.raises(Exception, match="does not match"):
-        warc.read_archive(records, bad).collect()
+    for broken in (bad, payloads.where(F.length("body") != 2000)):
+        with pytest.raises(Exception, match="does not match"):
+            warc.read_archive(records, broken, ws).collect()
+    cut = records.withColumn("header", F.when(F.col("page_id") == 2, F.regexp_replace(F.decode("header", "UTF-8"), "Content-Length: \\d+", "Content-Length: 1").cast("binary")).otherwise(F.col("header")))
+    with pytest.raises(Exception, match="not as long"):
+        warc.read_archive(cut, payloads, ws).collect()
     assert warc.archive_round_trip(spark, p.where("false")).count() == 0
 
 
+def test_warc_takes_very_long_pages(spark):
+    p = spark.createDataFrame([(1, "u", "é" * 3_000_000), (2, "u", "é" * 3_000_000)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.payload_bytes, r.refers_to) for r in warc.archive_round_trip(spark, p).collect()) == [(1, 6_000_000, 2), (2, 6_000_000, None)]
+
+
 # 5
 
 
