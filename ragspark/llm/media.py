@@ -5,8 +5,10 @@ Chunks are compressed and stored once by SHA-256: a task forgets repeats, and co
 by digest. A document keeps an ordered chunk list. Payloads are rebuilt from stored chunks, each verified against
 its digest; payloads of several chunks stream through a task in order, so none is ever held as a whole.
 
-The stored form of a payload is its stored (zstd) chunks in order, then a trailer: each chunk's digest, length and
-stored length, the chunk count, the payload's length and "CDC1". It is hashed as it streams.
+The stored form of a payload is its stored (zstd) chunks in order, then its trailer: each chunk's digest and length, the
+chunk count, the payload's length and "CDC1". The trailer is what the table of lists holds of each document, and the
+chunks are found through it. The form is hashed as it streams; a trailer made anew from the chunks read must equal the
+stored one.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from .workspace import Workspace, sliced
 MIN, MAX, CUT_BITS = 4096, 65536, 14
 UNIT = 64
 LEVEL = 9
+#: Bytes whose rolling hash is computed at a time.
+HASHED = 1 << 20
+#: Bytes of a chunk, and of what follows all chunks, in a trailer.
+ENTRY, FOOT = 36, 16
 #: Digests that a task remembers to send a chunk once.
 REMEMBERED = 200_000
 _GEAR = np.random.Generator(np.random.PCG64(29)).integers(0, 1 << 64, 256, np.uint64)
@@ -50,7 +56,11 @@ def cuts(payload: bytes) -> list[int]:
     n = len(payload)
     if n <= MIN:
         return [n]
-    spots = np.flatnonzero(gear(np.frombuffer(payload, np.uint8)) >> np.uint64(64 - CUT_BITS) == 0) + 1
+    data, found = np.frombuffer(payload, np.uint8), []
+    for i in range(0, n, HASHED):  # the 63 bytes before a block reach into its first hashes
+        before = min(i, 63)
+        found.append(np.flatnonzero(gear(data[i - before : i + HASHED])[before:] >> np.uint64(64 - CUT_BITS) == 0) + (i + 1))
+    spots = np.concatenate(found)
     out, begin = [], 0
     while n - begin > MIN:
         i = int(np.searchsorted(spots, begin + MIN))
@@ -67,23 +77,25 @@ def chunks(payload: bytes) -> list[bytes]:
     return [payload[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
 
 
+def trailer(listed: list[tuple[bytes, int]]) -> bytes:
+    """Of (digest, length) of a payload's chunks in order."""
+    return b"".join(d + struct.pack("<I", n) for d, n in listed) + struct.pack("<IQ", len(listed), sum(n for _, n in listed)) + b"CDC1"
+
+
 def manifests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload, digests): the ordered chunk list of each row; empty where the payload is
-    one chunk, whose digest is the payload's."""
+    """(doc_id, n_bytes, payload_bytes, payload, trailer) of each row; payload is the digest of the whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             made = []
             for text in b.column(1):
                 n, payload = payload_of(text.as_py())
-                parts = chunks(payload)
-                whole = hashlib.sha256(payload).digest()
-                made.append((n, len(payload), whole, [hashlib.sha256(p).digest() for p in parts] if len(parts) > 1 else []))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary())]
+                made.append((n, len(payload), hashlib.sha256(payload).digest(), trailer([(hashlib.sha256(p).digest(), len(p)) for p in chunks(payload)])))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             cols = [pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_bytes", "payload_bytes", "payload", "digests"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_bytes", "payload_bytes", "payload", "trailer"])
 
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload binary, digests array<binary>")
+    return docs.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload binary, trailer binary")
 
 
 def stored_chunks(docs: DataFrame) -> DataFrame:
@@ -137,26 +149,26 @@ class Rebuilt:
         above = samples >= 128
         self.crossings += int(np.count_nonzero(above[1:] != above[:-1])) + int(self.above is not None and self.above != bool(above[0]))
         self.above = bool(above[-1])
-        self.listed.append(digest + struct.pack("<2I", len(chunk), len(z)))
+        self.listed.append((digest, len(chunk)))
         self.form.update(z)
         self.size += len(z)
 
     def row(self, payload: bytes) -> tuple:
-        trailer = b"".join(self.listed) + struct.pack("<IQ", len(self.listed), self.n) + b"CDC1"
-        self.form.update(trailer)
+        end = trailer(self.listed)
+        self.form.update(end)
         v = np.arange(256)
         total, square = int((self.counts * v).sum()), int((self.counts * v * v).sum())
         used = np.flatnonzero(self.counts)
         feature = f"mean={total / self.n:.6f};power={square / self.n:.6f};low={used[0]};high={used[-1]};values={len(used)};crossings={self.crossings}"
-        return payload, self.sha.hexdigest(), zlib.crc32(self.tail), self.size + len(trailer), self.form.hexdigest(), feature
+        return payload, self.sha.hexdigest(), zlib.crc32(self.tail), self.size + len(end), self.form.hexdigest(), feature, end
 
 
-_BACK = "payload binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_BACK = "payload binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, again binary"
 
 
 def _columns(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["payload", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+    kinds = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["payload", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "again"])
 
 
 def _unpacked(unpack: zstandard.ZstdDecompressor, z: bytes, digest: bytes) -> bytes:
@@ -166,6 +178,11 @@ def _unpacked(unpack: zstandard.ZstdDecompressor, z: bytes, digest: bytes) -> by
     return chunk
 
 
+def several():
+    """Whether a trailer lists more than one chunk."""
+    return F.length("trailer") > ENTRY + FOOT
+
+
 def rebuilt(listed: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of ``_BACK`` from the stored chunks: one for each chunk taken as a payload, one for each payload of several."""
 
@@ -195,8 +212,10 @@ def rebuilt(listed: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield _columns([media.row(now)])
 
     one = store.select("digest", "z").mapInArrow(alone, _BACK)
-    lists = listed.where(F.size("digests") > 1).groupBy("payload").agg(F.first("digests").alias("digests"))
-    refs = lists.select("payload", F.posexplode("digests").alias("place", "digest"))
+    lists = listed.where(several()).groupBy("payload").agg(F.min("trailer").alias("trailer"))
+    count = ((F.length("trailer") - FOOT) / ENTRY).cast("int")
+    refs = lists.select("payload", "trailer", F.explode(F.sequence(F.lit(0), count - 1)).alias("place"))
+    refs = refs.select("payload", "place", F.substring("trailer", F.col("place") * ENTRY + 1, F.lit(32)).alias("digest"))
     parts = refs.join(store.where("multi").select("digest", "z"), "digest")
     many = parts.repartition("payload").sortWithinPartitions("payload", "place").select("payload", "digest", "z").mapInArrow(joined, _BACK)
     return one, many
@@ -207,7 +226,8 @@ def store_media(spark: SparkSession, docs: DataFrame) -> DataFrame:
     of ``docs`` (doc_id, text, ...), read back from the chunk store.
 
     Null and empty texts are a payload of UNIT zeros. Equal texts give equal values; repeated rows give equal
-    rows; doc_id may be null. Other columns are ignored; an empty table gives no rows."""
+    rows; doc_id may be null. Very long texts are hashed, cut and rebuilt in parts. Other columns are ignored; an empty table
+    gives no rows."""
     ws = Workspace(spark, "media")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     listed = ws.put(manifests(rows), "lists")
@@ -215,6 +235,7 @@ def store_media(spark: SparkSession, docs: DataFrame) -> DataFrame:
     one, many = rebuilt(listed, store)
     one, many = ws.put(one, "one"), ws.put(many, "many")
     # a payload of one chunk has that chunk's digest; a chunk that is no payload of its own matches no list
-    single = listed.where(F.size("digests") == 0).join(one, "payload")
-    several = listed.where(F.size("digests") > 1).join(many, "payload")
-    return single.unionByName(several).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    whole = listed.where(~several()).join(one, "payload", "left").unionByName(listed.where(several()).join(many, "payload", "left"))
+    same = F.coalesce(F.col("again") == F.col("trailer"), F.lit(False))
+    checked = F.when(same, F.col("media_sha256")).otherwise(F.raise_error(F.concat(F.lit("stored list does not match its chunks: "), F.hex("payload"))))
+    return whole.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", checked.alias("media_sha256"), "feature")

@@ -455,7 +455,26 @@ def test_cuts_follow_the_content():
     a, b = media.chunks(data), media.chunks(b"inserted" + data)
     assert b"".join(a) == data and max(map(len, a)) <= media.MAX and min(map(len, a[:-1])) >= media.MIN
     assert len(set(a) & set(b)) >= len(a) - 3
-    assert media.chunks(b"") == [b""] or True
+    assert media.chunks(b"") == [b""]
+
+
+def plain_cuts(payload):
+    """Byte by byte, without blocks."""
+    table, out, begin, h, bound = media._GEAR.tolist(), [], 0, 0, 1 << (64 - media.CUT_BITS)
+    for i, byte in enumerate(payload, 1):
+        h = (h * 2 + table[byte]) % (1 << 64)
+        if i - begin >= media.MIN and h < bound or i - begin == media.MAX:
+            out.append(i)
+            begin = i
+    return out if out and out[-1] == len(payload) else [*out, len(payload)]
+
+
+def test_cuts_are_those_of_a_plain_rolling_hash(monkeypatch):
+    monkeypatch.setattr(media, "HASHED", 10_000)
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 4096, 4097, 70_000, 200_000):
+        for data in (rng.integers(0, 256, n, np.uint8).tobytes(), b"z" * n):
+            assert media.cuts(data) == plain_cuts(data)
 
 
 def test_media(spark):
@@ -463,17 +482,33 @@ def test_media(spark):
     for r in media.store_media(spark, documents(spark)).collect():
         got.setdefault(r.doc_id, []).append(r)
     assert sum(map(len, got.values())) == len(TEXTS)
+    pack = __import__("zstandard").ZstdCompressor(level=media.LEVEL, write_checksum=False)
     for i, t in TEXTS:
         n, payload = media.payload_of(t)
+        ends = plain_cuts(payload)
+        parts = [payload[a:z] for a, z in zip([0, *ends[:-1]], ends)]
+        form = b"".join(map(pack.compress, parts)) + b"".join(hashlib.sha256(p).digest() + len(p).to_bytes(4, "little") for p in parts) + len(parts).to_bytes(4, "little") + len(payload).to_bytes(8, "little") + b"CDC1"
+        x = list(payload)
+        above = [v >= 128 for v in x]
+        feature = f"mean={sum(x) / len(x):.6f};power={sum(v * v for v in x) / len(x):.6f};low={min(x)};high={max(x)};values={len(set(x))};crossings={sum(a != b for a, b in zip(above, above[1:]))}"
         for r in got[i]:
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-            counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
-            assert r.feature.startswith(f"mean={(counts * np.arange(256)).sum() / len(payload):.6f};")
+            if len(got[i]) == 1 or i == 4:
+                assert (r.media_bytes, r.media_sha256, r.feature) == (len(form), hashlib.sha256(form).hexdigest(), feature)
     same = lambda i: {(r.media_bytes, r.media_sha256, r.feature) for r in got[i]}
     assert same(1) == same(2) and len(same(4)) == 1 and same(7) != same(8)
     assert media.store_media(spark, documents(spark).where("false")).count() == 0
 
 
+def test_media_finds_a_wrong_list(spark):
+    rows = documents(spark).select("doc_id", "text")
+    listed, store = media.manifests(rows), media.stored_chunks(rows).cache()
+    one, many = media.rebuilt(listed, store)
+    assert {bytes(r.again) for r in one.unionByName(many).collect()} >= {bytes(r.trailer) for r in listed.collect()}
+    with pytest.raises(Exception, match="does not match its digest"):
+        media.rebuilt(listed, store.withColumn("digest", F.concat(F.lit(b"x"), F.substring("digest", 2, 31))))[0].collect()
+
+
 # 9
 
 
