@@ -2,8 +2,9 @@
 
 Rates of documents minimise the relative entropy to taking each once, subject to each source's words meeting its
 target: the solution tilts a document's rate exponentially in its size, exp(lambda * size / mean), held at 2. The
-convex dual has one unknown a source; guarded Newton iterations solve it over the source's histogram of sizes (as
-many entries as distinct sizes), each source in a row of its own, so sources are solved in parallel.
+convex dual has one unknown a source. Each Newton iteration is a job: the histogram of sizes (source, size, count; a
+written table) meets the unknowns, value and slope of the dual's gradient are summed a source, map-side first, and the
+next unknowns are written. A bracket guards each step; iterations end when all sources meet their targets.
 
 Rates become copies by a threshold on hash(document) - fraction(rate), chosen a source so that the words taken
 come nearest to the target. The threshold is a weighted quantile, found by two histograms of 4096 bins: partial
@@ -24,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BINS = 4096
-NEWTON = 60
+CLOSE, NARROW = 1e-10, 1e-13
 SEED = 71
 
 
@@ -33,8 +34,33 @@ def words(text: str = "text") -> Column:
 
 
 def place() -> Column:
-    """A document's place in [0, 1), from its id and size; needs the column _size."""
-    return F.shiftrightunsigned(F.xxhash64("doc_id", "_size", F.lit(SEED)), 11) / F.lit(float(1 << 53))
+    """A document's place in [0, 1), from its columns _key and _ordinal."""
+    return F.shiftrightunsigned(F.xxhash64("_key", "_ordinal", F.lit(SEED)), 11) / F.lit(float(1 << 53))
+
+
+def _keyed(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns``, doc_id, _source, _size, and what rows are told apart by: _key, and where a row was read, _part and _seq."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    return docs.select(*columns, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("_source"), words().alias("_size"), key.alias("_key"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_seq"))
+
+
+def _repeated(keyed: DataFrame) -> DataFrame:
+    """(_key) of rows that are not alone."""
+    return keyed.groupBy("_key").agg(F.count("*").alias("c")).where("c > 1").select("_key")
+
+
+def _numbered(keyed: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """``keyed`` with _ordinal in place of _part and _seq: rows of one key count from 0, whatever row gets which number. They
+    are counted a key and partition and numbered inside it, so no task holds a key."""
+    if repeated is None:
+        return keyed.drop("_part", "_seq").withColumn("_ordinal", F.lit(0).cast("long"))
+    alone = keyed.join(repeated, "_key", "left_anti").drop("_part", "_seq").withColumn("_ordinal", F.lit(0).cast("long"))
+    rows = keyed.join(repeated, "_key", "left_semi")
+    counts = rows.groupBy("_key", "_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_key", "_part").orderBy("_seq")) - 1
+    rows = rows.withColumn("_inside", inside).join(counts.select("_key", "_part", before.alias("_before")), ["_key", "_part"])
+    return alone.unionByName(rows.withColumn("_ordinal", F.col("_before") + F.col("_inside")).drop("_part", "_seq", "_inside", "_before"))
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -54,29 +80,30 @@ def targets(sources: DataFrame) -> DataFrame:
     return rows.withColumn("target", F.least(F.lit(float(MOST)) * F.col("_words"), level * F.col("_weight"))).drop("_full", "_level", "_k")
 
 
-def _tilt() -> Column:
-    """lambda of each source, from its target and histogram _sizes: array of (size, n)."""
-    mean = F.greatest(F.col("_words") / F.col("_docs"), F.lit(1e-9))
-
-    def step(state: Column, _: Column) -> Column:
-        x = state["x"]
-
-        def fold(acc: Column, e: Column) -> Column:
-            z = e["_size"] / mean
-            raw = x * z
-            mass = e["_n"] * e["_size"] * F.exp(F.least(raw, F.lit(math.log(MOST))))
-            return F.struct((acc["f"] + mass).alias("f"), (acc["d"] + F.when(raw < math.log(MOST), mass * z).otherwise(F.lit(0.0))).alias("d"))
-
-        return F.transform(
-            F.array(F.aggregate("_sizes", F.struct((-F.col("target")).alias("f"), F.lit(0.0).alias("d")), fold)),
-            lambda v: F.transform(
-                F.array(F.struct(F.when(v["f"] > 0, state["lo"]).otherwise(x).alias("lo"), F.when(v["f"] > 0, x).otherwise(state["hi"]).alias("hi"), F.when(v["d"] > 0, x - v["f"] / v["d"]).alias("to"))),
-                lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), F.when(v["f"] == 0, x).when((s["to"] > s["lo"]) & (s["to"] < s["hi"]), s["to"]).otherwise((s["lo"] + s["hi"]) / 2).alias("x")),
-            )[0],
-        )[0]
-
-    start = F.struct(F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"), F.lit(0.0).alias("x"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON)), start, step)["x"]
+def _tilted(sizes: DataFrame, aimed: DataFrame, ws: Workspace) -> DataFrame:
+    """``aimed`` (one row a source: _source, _words, _docs, target) with _lambda, by Newton iterations over ``sizes``
+    (_source, _size, _n)."""
+    start = {"lo": -1e4, "hi": 1e4, "x": 0.0}
+    state = ws.put(aimed.withColumns({c: F.lit(v) for c, v in start.items()} | {"done": F.col("target") >= F.lit(MOST * (1 - 1e-12)) * F.col("_words")}), "newton-0")
+    top, step = math.log(MOST), 0
+    while state.where("not done").take(1):
+        step += 1
+        z = F.col("_size") / F.greatest(F.col("_words") / F.col("_docs"), F.lit(1e-9))
+        raw = F.col("x") * z
+        mass = F.col("_n") * F.col("_size") * F.exp(F.least(raw, F.lit(top)))
+        now = F.struct("_words", "_docs", "target", "lo", "hi", "x").alias("s")
+        sums = _with(sizes, state.where("not done")).groupBy("_source").agg(F.sum(mass).alias("sum"), F.sum(F.when(raw < top, mass * z).otherwise(0.0)).alias("d"), F.first(now).alias("s"))
+        f = F.col("sum") - F.col("s.target")
+        rows = sums.select("_source", "s.*", f.alias("f"), "d")
+        lo, hi = F.when(F.col("f") > 0, F.col("lo")).otherwise(F.col("x")), F.when(F.col("f") > 0, F.col("x")).otherwise(F.col("hi"))
+        rows = rows.withColumns({"lo": lo, "hi": hi, "to": F.when(F.col("d") > 0, F.col("x") - F.col("f") / F.col("d"))})
+        done = (F.abs("f") <= CLOSE * F.greatest(F.col("target"), F.lit(1.0))) | (F.col("hi") - F.col("lo") <= NARROW * F.greatest(F.abs("x"), F.lit(1.0)))
+        inside = (F.col("to") > F.col("lo")) & (F.col("to") < F.col("hi"))
+        x = F.when(done, F.col("x")).when(inside, F.col("to")).otherwise((F.col("lo") + F.col("hi")) / 2)
+        rows = rows.withColumns({"done": done, "x": x}).select(*state.columns)
+        state = ws.put(state.where("done").unionByName(rows), f"newton-{step}")
+        ws.drop(f"newton-{step - 1}")
+    return state.withColumnRenamed("x", "_lambda").drop("lo", "hi", "done")
 
 
 def _rated(rows: DataFrame) -> DataFrame:
@@ -99,13 +126,10 @@ def _crossing(bins: DataFrame, by: str, left: str) -> DataFrame:
 
 def plan(spark: SparkSession, sized: DataFrame, ws: Workspace) -> DataFrame:
     """One row a source: _source, _words, _docs, target, _lambda and the threshold (_b1, _b2, _in).
-    sized: (doc_id, _source, _size), one row a document, already written."""
-    sizes = sized.groupBy("_source", "_size").agg(F.count("*").alias("_n"))
-    sources = sizes.groupBy("_source").agg(F.sum(F.col("_n") * F.col("_size")).alias("_words"), F.sum("_n").alias("_docs"), F.array_sort(F.collect_list(F.struct("_size", "_n"))).alias("_sizes"))
-    sources = ws.put(sources, "sizes")
-    aimed = targets(sources.drop("_sizes"))
-    joined = aimed.join(sources.select(F.col("_source").alias("_s"), "_sizes"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    rates = ws.put(joined.withColumn("_lambda", _tilt()).drop("_sizes", "_weight"), "rates")
+    sized: (doc_id, _source, _size, _key, _ordinal), one row a document, already written."""
+    sizes = ws.put(sized.groupBy("_source", "_size").agg(F.count("*").alias("_n")), "sizes")
+    sources = sizes.groupBy("_source").agg(F.sum(F.col("_n") * F.col("_size")).alias("_words"), F.sum("_n").alias("_docs"))
+    rates = _tilted(sizes, targets(sources).drop("_weight"), ws)
 
     rated = _rated(_with(sized, rates))
     bins = rated.groupBy("_source", "_bin").agg(F.sum("_size").alias("_sum"), F.sum(F.col("_size") * F.col("_base")).alias("_whole"), F.first("target").alias("target"))
@@ -145,18 +169,22 @@ def copies(rows: DataFrame, planned: DataFrame) -> DataFrame:
     return rated.withColumn("_copies", F.col("_base") + F.coalesce(more, F.lit(False)).cast("long") + last).drop("_at", "_of", "_by", "_rate", "_base", "_v", "_bin", "_fine", "_b1", "_b2", "_in", "_left", "_lambda", "_docs")
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("_source"), words().alias("_size"))
+def _prepared(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame | None]:
+    """The written table (doc_id, _source, _size, _key, _ordinal), and the keys of rows that repeat, if there are any."""
+    keyed = ws.put(_keyed(docs), "keyed")
+    repeated = ws.put(_repeated(keyed), "repeated")
+    repeated = repeated if repeated.take(1) else None
+    return (_numbered(keyed, None) if repeated is None else ws.put(_numbered(keyed, repeated), "sized")), repeated
 
 
 def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source, ...).
 
-    Null texts have size 0; a null source is a source of its own, the last. Documents without words are in the mix
-    once and add nothing. Ties (equal ids and sizes) are taken alike; doc_id may be null. Reruns agree. Other
-    columns are ignored; an empty table gives no rows."""
+    Null texts have size 0, very long ones are counted whole; a null source is a source of its own, the last. Documents
+    without words are in the mix once and add nothing. Rows that repeat, in whole or by their id, null or not, are documents
+    of their own. Reruns agree. Other columns are ignored; an empty table gives no rows."""
     ws = Workspace(spark, "mixing")
-    sized = ws.put(_sized(docs), "sized")
+    sized, _ = _prepared(docs, ws)
     out = copies(sized, plan(spark, sized, ws))
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_words").alias("source_size"), "target", (F.col("_copies") * F.col("_size")).alias("taken"))
 
@@ -164,9 +192,8 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it."""
     ws = Workspace(spark, "mixing")
-    sized = ws.put(_sized(docs), "sized")
+    sized, repeated = _prepared(docs, ws)
     planned = plan(spark, sized, ws)
-    whole = F.struct(*docs.columns).alias("_row")
-    rows = docs.select(whole, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("_source"), words().alias("_size"))
+    rows = _numbered(_keyed(docs, F.struct(*docs.columns).alias("_row")), repeated)
     out = copies(rows, planned).where("_copies > 0")
     return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")

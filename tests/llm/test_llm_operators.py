@@ -587,6 +587,37 @@ def test_mixing(spark):
         assert abs(part.taken.sum() - want[x]) <= part["size"].max()
 
 
+def test_rates_tilt_exponentially_and_meet_their_targets(spark):
+    """The Newton iterations against a plain bisection of the dual."""
+    rng = random.Random(8)
+    rows = [(i, "w " * int(rng.expovariate(1 / 40)), "abc"[i % 7 % 3]) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ws = Workspace(spark, "mixing-test")
+    planned = {r._source: r for r in mixing.plan(spark, mixing._prepared(d, ws)[0], ws).collect()}
+    for source, r in planned.items():
+        sizes = [len(t.split()) for _, t, s in rows if s == source]
+        mean = sum(sizes) / len(sizes)
+        mass = lambda x: sum(n * min(2.0, np.exp(min(x * n / mean, 1.0))) for n in sizes)  # noqa: B023, E731
+        if r.target < 2 * sum(sizes) * (1 - 1e-12):
+            lo, hi = -1e4, 1e4
+            for _ in range(200):
+                lo, hi = ((lo + hi) / 2, hi) if mass((lo + hi) / 2) < r.target else (lo, (lo + hi) / 2)
+            assert r._lambda == pytest.approx(lo, rel=1e-6, abs=1e-9) and mass(r._lambda) == pytest.approx(r.target, rel=1e-6)
+
+
+def test_mixing_spreads_ties(spark):
+    text = " ".join(["w"] * 100)
+    d = spark.createDataFrame([(None, text, "a")] * 100 + [(5, text, "b")] * 90 + [(None, text + " x", "b")] * 7 + [(i, "w", None) for i in range(9)], "doc_id long, text string, source string")
+    out = mixing.mix(spark, d.repartition(3)).toPandas()
+    for size in out.source_size.unique():
+        part = out[out.source_size == size]
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= part["size"].max() / 2 + 1e-9
+    again = mixing.mix(spark, d.coalesce(1)).toPandas()
+    key = lambda f: sorted(map(str, f.values.tolist()))
+    assert key(out) == key(again)
+    assert mixing.mixed_documents(spark, d.repartition(2)).count() == sum(out.taken // out["size"])
+
+
 def test_mixing_edges(spark):
     out = mixing.mix(spark, documents(spark)).collect()
     assert len(out) == len(TEXTS) and all(r.taken <= 2 * r.size and r.taken % max(r.size, 1) == 0 for r in out)
