@@ -10,9 +10,12 @@ How groups of thousands of copies stay linear in rows:
 * a shingle that occurs in one candidate only cannot be shared, so with u such shingles a set of n has
   similarity of at most (n - u) / n with anything, and two sets of at most t / (t + u1 + u2),
   t = min(n1 - u1, n2 - u2). This exact bound removes the far members of a group;
-* the rest of each bucket is compared with two pivots, not with each other; only pairs that are then still in
-  different components are compared one by one, so that no link is lost. Most of these fail a sharper bound: sets
-  that share i1 and i2 shingles with the bucket's pivot share min(i1, i2) + min(n1 - i1 - u1, n2 - i2 - u2) at most.
+* the rest of each bucket is compared with two pivots, not with each other. Members of buckets that then still have
+  several components are measured against one of the bucket: sets that share i1 and i2 shingles with it share
+  min(i1, i2) + min(n1 - i1 - u1, n2 - i2 - u2) at most. Members that fail this bound even against the best partner that
+  the bucket's extremes allow are done. The others meet new pivots, four times as many each round, which are then done as
+  well, until every bucket has one component or no members. No link is lost: a pair that is never compared is in
+  one component or fails a bound.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ PLACES = 1 << 20
 SHINGLE = 5
 MAX_COORDINATES = 192
 MISS = 1e-6
+#: Copies of a pivot's set at most, over which its pairs are dealt.
+SALTS = 32
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(MAX_COORDINATES)], np.uint64)
 
@@ -129,14 +134,16 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, shingles array<long>")
 
 
-def components(ws: Workspace, links: DataFrame, tag: str, most: int = 60) -> DataFrame:
+def components(ws: Workspace, links: DataFrame, tag: str) -> DataFrame:
     """(node, component) of every node of the links (a, b); a component is named by its smallest node.
 
-    Alternates two star operations, which keep components and shorten paths, until nothing changes; all rows
-    stay on the executors and each round is a written table."""
+    Alternates two star operations, which keep components and shorten paths, until nothing changes, as they do after a
+    number of rounds that grows with the logarithm of the longest path; all rows stay on the executors and each round is a
+    written table."""
     edges = ws.put(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{tag}-0")
-    state = None
-    for i in range(1, most + 1):
+    state, i = None, 0
+    while True:
+        i += 1
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -144,10 +151,10 @@ def components(ws: Workspace, links: DataFrame, tag: str, most: int = 60) -> Dat
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = ws.put(small.union(low.select("a", "m")).where("a <> b").distinct(), f"{tag}-{i}")
         ws.drop(f"{tag}-{i - 1}")
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(now) == state:
+        now = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
+        if now == state:
             break
-        state = tuple(now)
+        state = now
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(stars.select("component", "component").distinct())
 
@@ -159,25 +166,69 @@ def _may_link(percent: int, n1: str, only1, n2: str, only2):
 
 
 def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with na, nb and both: the sizes of the sets and of their intersection."""
+    """Written pairs (a, b) with na, nb and both: the sizes of the sets and of their intersection. b may be a pivot that
+    stands in many pairs: its set is copied to as many salts, SALTS at most, as its pairs have."""
+    salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt")
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
+    right = pairs.select("b", salt).distinct().join(right, "b")
+    return pairs.select("a", "b", salt).join(left, "a").join(right, ["b", "salt"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The written pairs (a, b) whose full sets are similar enough."""
     met = _shared(pairs, sets)
     return met.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b").distinct()
 
 
+def _able(percent: int, one: str, two: str) -> F.Column:
+    """Whether sets that were measured against the same one may be similar; the columns of the second end in ``two``."""
+    x, y = (lambda c: F.col(f"{c}{one}")), (lambda c: F.col(f"{c}{two}"))
+    most = F.least(F.least(x("high"), y("high")) + F.least(x("beyond"), y("beyond")), x("own"), y("own"))
+    return 100 * most >= percent * (x("least") + y("least") - most)
+
+
+def _rest(ws: Workspace, left: DataFrame, links: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The components (node, component) after all pairs of ``left`` are decided: (key, doc_id, component, least, own, high,
+    beyond), members of buckets with several components, measured against one of the bucket."""
+    ends = "_2"
+    wide, step = 4, 0
+    while True:
+        extremes = left.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"), *[(F.min if c == "least" else F.max)(c).alias(f"{c}{ends}") for c in ("least", "own", "high", "beyond")])
+        open_ = left.join(extremes, "key").where((F.col("x") != F.col("y")) & _able(percent, "", ends)).drop("x", "y", *[f"{c}{ends}" for c in ("least", "own", "high", "beyond")])
+        open_ = ws.put(open_, f"open-{step}")
+        ws.drop(f"left-{step}")
+        if not open_.take(1):
+            ws.drop(f"open-{step}")
+            return found
+        # the first member by hash, and others by chance: about ``wide`` a bucket
+        turn = F.pmod(F.xxhash64("doc_id", "key"), F.lit(1 << 30))
+        drawn = open_.withColumn("turn", turn)
+        least = drawn.groupBy("key").agg(F.min("turn").alias("first"))
+        pivot = (F.col("turn") == F.col("first")) | (F.col("turn") * F.col("c") < F.lit(wide << 30))
+        drawn = drawn.join(least, "key").withColumn("pivot", pivot).drop("turn", "first")
+        pivots = drawn.where("pivot").select("key", *[F.col(c).alias(f"{c}{ends}") for c in ("doc_id", "component", "least", "own", "high", "beyond")])
+        met = open_.join(pivots, "key").where((F.col("component") != F.col(f"component{ends}")) & _able(percent, "", ends))
+        pairs = ws.put(met.select(F.col("doc_id").alias("a"), F.col(f"doc_id{ends}").alias("b")).distinct(), f"pairs-{step}")
+        more = ws.put(_confirmed(pairs, sets, percent), f"more-{step}")
+        left = drawn.where("not pivot").drop("pivot", "c")
+        if more.take(1):
+            links = links.union(more)
+            found = ws.put(components(ws, links, f"cc-{step}"), f"found-{step}")
+            left = left.drop("component").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        step, wide = step + 1, wide * 4
+        left = ws.put(left.select("key", "doc_id", "component", "least", "own", "high", "beyond"), f"left-{step}")
+        ws.drop(f"open-{step - 1}", f"pairs-{step - 1}")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text, ...).
 
     Links sets with 100 * intersection >= percent * union. component_id is the smallest doc_id reachable, kept
-    says that it is the row's own. Null and empty texts have no shingles and no links. Rows that repeat
-    a doc_id are linked each by its own text, and sets under one doc_id count as one node. A row without doc_id takes no part: its component_id is
-    null and it is kept. Ties go to the smallest doc_id; other columns are ignored."""
+    says that it is the row's own. Null and empty texts have no shingles and no links; very long ones count with all their
+    shingles. Rows that repeat a doc_id are linked each by its own text, and sets under one doc_id count as one node. A row
+    without doc_id takes no part: its component_id is null and it is kept. Ties go to the smallest doc_id; other columns are
+    ignored; an empty table gives no rows."""
     ws = Workspace(spark, "near-dedup")
     rows = ws.put(signed_rows(docs, percent), "rows")
     named = rows.where("n > 0 and doc_id is not null")
@@ -214,28 +265,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
     pivots = pivots.select("key", F.explode(F.array(F.struct("first.doc_id", "first.n", "first.u"), F.struct("second.doc_id", "second.n", "second.u"))).alias("p"))
     pairs = posted.join(pivots.select("key", F.col("p.doc_id").alias("b"), F.col("p.n").alias("pn"), F.col("p.u").alias("pu")).distinct(), "key")
     pairs = pairs.where((F.col("doc_id") != F.col("b")) & _may_link(percent, "n", F.col("u"), "pn", F.col("pu")))
-    pairs = pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
+    pairs = ws.put(pairs.select(F.col("doc_id").alias("a"), "b").distinct(), "pairs")
     links = ws.put(_confirmed(pairs, sets, percent), "links")
     found = ws.put(components(ws, links, "cc"), "found")
+    ws.drop("pairs")
 
     placed = posted.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     left = placed.join(mixed, "key").select("key", "doc_id", "n", "least", "u", "w", "component")
     left = ws.put(left.join(left.groupBy("key").agg(F.min(me).alias("p")).select("key", F.col("p.doc_id").alias("pivot")), "key"), "mixed")
-    met = _shared(left.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), sets)
-    met = met.groupBy(F.col("a").alias("doc_id"), F.col("b").alias("pivot")).agg(F.min("both").alias("low"), F.max("both").alias("high"))
-    left = ws.put(left.join(met, ["doc_id", "pivot"]), "measured")
+    ws.drop("near-posted", "near")
+    pairs = ws.put(left.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "measures")
+    met = _shared(pairs, sets).groupBy(F.col("a").alias("doc_id"), F.col("b").alias("pivot")).agg(F.min("both").alias("low"), F.max("both").alias("high"))
+    left = left.join(met, ["doc_id", "pivot"])
     # at most: shared with the pivot, and what each has beyond it and beyond its own shingles
-    left = left.withColumn("beyond", F.greatest(F.col("n") - F.col("low") - F.col("u"), F.lit(0)))
-    other = left.select("key", *[F.col(c).alias(f"{c}_2") for c in ("doc_id", "n", "least", "u", "high", "beyond", "component")])
-    most = F.least(F.least("high", "high_2") + F.least("beyond", "beyond_2"), F.col("n") - F.col("u"), F.col("n_2") - F.col("u_2"))
-    able = 100 * most >= percent * (F.col("least") + F.col("least_2") - most)
-    rest = left.join(other, "key").where((F.col("component") < F.col("component_2")) & able)
-    rest = rest.select(F.greatest("doc_id", "doc_id_2").alias("a"), F.least("doc_id", "doc_id_2").alias("b")).distinct()
-    more = ws.put(_confirmed(rest, sets, percent), "more")
-    if more.take(1):
-        found = ws.put(components(ws, links.union(more), "cc2"), "found2")
-    ws.drop("sets", "near-posted", "mixed", "measured", "near")
+    left = left.withColumns({"beyond": F.greatest(F.col("n") - F.col("low") - F.col("u"), F.lit(0)), "own": F.col("n") - F.col("u")})
+    left = ws.put(left.select("key", "doc_id", "component", "least", "own", "high", "beyond"), "left-0")
+    found = _rest(ws, left, links, found, sets, percent)
+    ws.drop("sets", "mixed", "measures")
 
     named_reps = equal.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named_reps = named_reps.where("copies > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("component"))
@@ -247,7 +294,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that another document of their group stands for."""
+    """The rows of ``docs``, all columns, without those that another document of their group stands for. Rows that repeat the
+    doc_id of a document that stays all stay, as do rows without doc_id."""
     gone = near_duplicates(spark, docs, percent).where("not kept").select("doc_id").distinct()
     gone = Workspace(spark, "near-dedup-gone").put(gone, "gone")
     return docs.join(gone, "doc_id", "left_anti")
