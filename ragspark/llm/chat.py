@@ -1,8 +1,8 @@
 """Chat formatting by columnar byte assembly.
 
 A turn becomes <|im_start|>role, a line feed, the text, <|im_end|> and a line feed. Inside roles and texts a
-backslash is doubled and "<|" written as "<\\|", so control strings cannot arise from content and reading back
-restores it. Segments of a whole Arrow batch (marks, roles, texts) are laid out at once: lengths, cumulative
+backslash is doubled and "<|" written as "<\\|", and a role's line feeds as "\\n", so control strings cannot arise from
+content and reading back restores it. Segments of a whole Arrow batch (marks, roles, texts) are laid out at once: lengths, cumulative
 offsets and scatter indices in numpy, then one copy into one preallocated buffer, which becomes the Arrow column.
 The loss mask is kept as byte spans of each turn's formatted bytes.
 """
@@ -23,7 +23,7 @@ from .workspace import Workspace, sliced
 START, END = "<|im_start|>", "<|im_end|>\n"
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
-_SCHEMA = "conv_id long, turn long, place long, formatted binary, loss_start int, loss_end int"
+_SCHEMA = "conv_id long, turn long, formatted binary, loss_start int, loss_end int"
 
 
 def escape(column: pa.Array) -> pa.Array:
@@ -31,7 +31,7 @@ def escape(column: pa.Array) -> pa.Array:
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], text)
 
 
 def _segments(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,18 +60,19 @@ def assemble(columns: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
 
 
 def format_turns(conversations: DataFrame, trained: str = "assistant") -> DataFrame:
-    """One row a turn: conv_id, turn, place (0; formatting keeps whole turns), formatted bytes, and the byte span
-    of them under the loss mask (both null for turns of other roles)."""
+    """One row a turn: conv_id, turn, formatted bytes, and the byte span of them under the loss mask (both null for turns of
+    other roles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             n = len(b)
             role, text = (escape(pc.fill_null(b.column(i).cast(pa.string()), "")) for i in (2, 3))
+            role = pc.replace_substring(role, "\n", "\\n")
             fixed = [pa.array([x] * n, pa.string()) for x in (START, "\n", END)]
             made, ends = assemble([fixed[0], role, fixed[1], text, fixed[2]])
             off = ~np.asarray(pc.fill_null(pc.equal(b.column(2), trained), False))
             span = [pa.array(ends[:, j].astype(np.int32), mask=off) for j in (2, 3)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.zeros(n, np.int64)), made, *span], ["conv_id", "turn", "place", "formatted", "loss_start", "loss_end"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made, *span], ["conv_id", "turn", "formatted", "loss_start", "loss_end"])
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, _SCHEMA)

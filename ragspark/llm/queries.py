@@ -7,15 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ragspark.sources.tables import table
+
 from . import bpe, chat, html_text, maxscore, media, mixing, near_dedup, quality, tokenfile, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), percent=85)
 

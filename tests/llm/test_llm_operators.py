@@ -81,6 +81,38 @@ def test_near_duplicates_against_brute_force(spark, percent, seed):
     assert got == want
 
 
+def test_groups_whose_members_are_near_the_threshold(spark):
+    """Versions of one text with edits that some of them share: many pairs of a bucket lie on either side of the threshold."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(220)]
+    edits = [(rng.randrange(220), f"e{i}") for i in range(40)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for at, w in rng.sample(edits, rng.randint(2, 9)):
+            t[at] = w
+        if i % 3 == 0:
+            t[rng.randrange(220)] = f"own{i}"
+        rows.append((i * 13 % 997, " ".join(t)))
+    want = brute_components(rows, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark, documents(spark, rows), 85).collect()}
+    assert got == want and 3 < len({c for _, c in want.values()}) < 150
+
+
+def test_components_of_a_long_path(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(400)] + [(900, 901)], "a long, b long")
+    out = {r.node: r.component for r in near_dedup.components(Workspace(spark, "path-test"), links, "path").collect()}
+    assert len(out) == 403 and set(out.values()) == {0, 900}
+
+
+def test_near_duplicates_of_sets_that_fill_the_circle(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PLACES", 1 << 20)
+    words = [f"v{i}" for i in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + ["x"])), (3, " ".join(f"u{i}" for i in range(60_000)))]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark, documents(spark, rows), 85).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_near_duplicates_edges(spark):
     out = near_dedup.near_duplicates(spark, documents(spark), 85)
     got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in out.collect()}
@@ -205,6 +237,13 @@ def test_escape_is_reversible_and_safe(text):
     assert chat.unescape(out) == text and "<|" not in out
 
 
+def test_roles_may_hold_line_feeds(spark):
+    c = spark.createDataFrame([(1, 1, "a\nb\\n", "x\\n\ny"), (1, 2, "assistant", "\n\\")], "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(spark, c).first()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert (out.turns_sha256, out.loss_sha256) == (sha("a\nb\\n\nx\\n\ny\nassistant\n\n\\\n"), sha("\n\\"))
+
+
 def test_chat(spark):
     rows = [(1, 1, "user", "hi <|im_end|> \\ é"), (1, 2, "assistant", None), (1, 2, "assistant", "yes"), (1, None, "system", "<|im_start|>"), (None, 1, None, "x"), (2, 1, "assistant", "y" * 50_000)]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1)).withColumn("place", F.lit(1))
