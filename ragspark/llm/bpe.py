@@ -265,25 +265,30 @@ class Encoder:
         self.white = regex.compile(r"[\s--\x1c-\x1f]+", regex.V1)
 
     def _learn(self, words: Iterable[str]) -> None:
-        plain: list[str] = []
-        odd: list[tuple[str, list[bytes]]] = []
+        part: list[str] = []
         held = 0
         for w in words:
-            usual = w.isascii() or self.usual.fullmatch(w)
-            if len(w) > GROUP_CHARS:
-                self.words[w] = self._streamed(self._pieces(w, usual))
-            elif usual and "'" not in w:
-                plain.append(w)
-                held += len(w)
-            else:
-                odd.append((w, [p.encode("utf-8") for p in self._pieces(w, usual)]))
-                held += len(w)
+            held += len(w)
+            part.append(w)
             if held > GROUP_CHARS:
-                self._learn_plain(plain)
-                self._learn_odd(odd)
-                plain, odd, held = [], [], 0
+                self._learn_part(part)
+                part, held = [], 0
+        self._learn_part(part)
+
+    def _learn_part(self, words: list[str]) -> None:
+        full = self.usual.fullmatch
+        plain = [w for w in words if "'" not in w and (w.isascii() or full(w)) and len(w) <= GROUP_CHARS]
+        if len(plain) < len(words):
+            odd, known = [], set(plain)
+            for w in words:
+                if w not in known:
+                    pieces = self._pieces(w, w.isascii() or full(w))
+                    if len(w) > GROUP_CHARS:
+                        self.words[w] = self._streamed(pieces)
+                    else:
+                        odd.append((w, [p.encode("utf-8") for p in pieces]))
+            self._learn_odd(odd)
         self._learn_plain(plain)
-        self._learn_odd(odd)
 
     def _pieces(self, word: str, usual) -> Iterator[str]:
         """The pieces of a word with apostrophes (contractions), rare characters or of great length."""
@@ -371,10 +376,11 @@ class Encoder:
             again = {w: ids for w in plain if (ids := older(w)) is not None}
             self.words.update(again)
             self._learn(plain - again.keys())
+            known = self.words
             for words, got, gaps in held:
                 for i in gaps:
                     w = words[i]
-                    got[i] = w if type(w) is bytes else self.words[w]
+                    got[i] = w if type(w) is bytes else known[w]
                 yield b"".join(got)
 
 

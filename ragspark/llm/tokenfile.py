@@ -37,8 +37,8 @@ def _pairs(seq: np.ndarray, least: int, salt: int, exact: bool) -> tuple[np.ndar
     each with a slot, and counts and keys by slot. Counts by hash leave only pairs that may be frequent. While these are
     many, pairs whose slot another one has wait for a later round's hash (all is False); few, or all on demand, are told
     apart exactly."""
-    bits = max(10, len(seq).bit_length() + 1)
-    slot = (((seq[:-1] * np.uint32(salt)) ^ (seq[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - bits)
+    bits = min(18, max(10, len(seq).bit_length() + 1))  # tables of counts and keys that a core's cache holds
+    slot = ((((seq[:-1] * np.uint32(salt)) ^ (seq[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - bits)).astype(np.intp)
     at = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least)[slot])
     key = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
     every = exact or len(at) < max(len(seq) // 4, 1024)
@@ -47,7 +47,7 @@ def _pairs(seq: np.ndarray, least: int, salt: int, exact: bool) -> tuple[np.ndar
     else:
         slots, keys = slot[at], np.zeros(1 << bits, np.uint64)
         keys[slots] = key
-        mine = keys[slots] == key
+        mine = np.flatnonzero(keys[slots] == key)
         at, slots = at[mine], slots[mine]
     # in a run of a pair that overlaps itself the first, third, ... count
     run = np.append(True, (np.diff(at) != 1) | (slots[1:] != slots[:-1]))[: len(at)]
