@@ -1,7 +1,7 @@
 """Content-addressed WARC archive.
 
 Two Parquet tables in the shared folder: ``records`` keeps each record's exact header bytes and its payload's
-digest, ``payloads`` the bytes of each distinct payload once, by SHA-256 over the bytes. Original records are
+digest, ``payloads`` the bytes of each distinct payload once, compressed, by SHA-256 over the plain bytes. Original records are
 rebuilt by joining the two, the digest verified on the bytes read, and parsed from their own bytes. Which page holds a payload is decided on
 narrow rows (digest, page_id), with partial aggregation, so groups of equal pages of any size stay spread.
 """
@@ -12,6 +12,7 @@ import hashlib
 import re
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .workspace import Workspace, sliced
@@ -19,6 +20,8 @@ from .workspace import Workspace, sliced
 #: Equal payloads from this size on are stored as one response and revisits.
 REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
+#: Of compression.
+LEVEL = 3
 
 
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -42,7 +45,7 @@ def _header(kind: Column, record: Column, target: Column, sha1: Column, length:
 
 
 def write_archive(spark: SparkSession, pages: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """The tables records (page_id, kind, key, header) and payloads (key, body) of ``pages`` (page_id, url, html), written and
+    """The tables records (page_id, kind, key, header) and payloads (key, z: the bytes by zstd) of ``pages`` (page_id, url, html), written and
     reread.
 
     Null html is the empty payload. Of equal payloads of REVISIT_BYTES and more, the largest page_id is the
@@ -63,26 +66,31 @@ def write_archive(spark: SparkSession, pages: DataFrame, ws: Workspace) -> tuple
 
     # the bytes of a digest come from any of its rows; equal bytes leave once per task and meet by digest
     once = pages.select(body.alias("body")).select(F.sha2("body", 256).alias("key"), "body")
-    payloads = ws.put(_first_seen(once).dropDuplicates(["key"]), "payloads")
+    payloads = ws.put(_first_seen(once).dropDuplicates(["key"]), "payloads", codec="none")
     ws.drop("rows")
     return records, payloads
 
 
 def _first_seen(rows: DataFrame, most: int = 100_000) -> DataFrame:
-    """Drops payloads whose digest this task has met already (the last ``most`` digests are remembered)."""
+    """(key, z) without payloads whose digest this task has met already (the last ``most`` digests are remembered). Payloads
+    are compressed before they are moved."""
 
     def run(batches):
         seen: set[str] = set()
-        for b in batches:
-            keep = []
-            for k in b.column(0).to_pylist():
-                keep.append(k not in seen)
+        pack = zstandard.ZstdCompressor(level=LEVEL)
+        for b in sliced(batches):
+            keys, packed = [], []
+            for k, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if k in seen:
+                    continue
                 if len(seen) >= most:
                     seen.clear()
                 seen.add(k)
-            yield b.filter(pa.array(keep))
+                keys.append(k)
+                packed.append(pack.compress(body.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(packed, pa.binary())], ["key", "z"])
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, "key string, z binary")
 
 
 def original_records(records: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -90,10 +98,20 @@ def original_records(records: DataFrame, payloads: DataFrame) -> DataFrame:
     verified on the bytes read; a revisit's header alone. A byte of difference, or a missing payload, fails the job.
 
     Many responses of one small payload are a skewed join, which Spark splits; the other side is a single row."""
-    whole = records.where("kind = 'response'").join(payloads, "key", "left")
-    same = F.coalesce(F.sha2("body", 256) == F.col("key"), F.lit(False))
-    body = F.when(same, F.col("body")).otherwise(F.raise_error(F.concat(F.lit("stored payload does not match its digest "), "key")).cast("binary"))
-    rebuilt = whole.select("page_id", F.concat("header", body, F.lit(_END)).alias("record"))
+    whole = records.where("kind = 'response'").join(payloads, "key", "left").select("page_id", "header", "key", "z")
+
+    def rebuild(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for b in sliced(batches):
+            made = []
+            for header, key, z in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+                body = b"" if z is None else unpack.decompress(z)
+                if z is None or hashlib.sha256(body).hexdigest() != key:
+                    raise ValueError(f"stored payload does not match its digest {key}")
+                made.append(header + body + _END)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["page_id", "record"])
+
+    rebuilt = whole.mapInArrow(rebuild, "page_id long, record binary")
     return rebuilt.unionByName(records.where("kind = 'revisit'").select("page_id", F.concat("header", F.lit(_END)).alias("record")))
 
 
