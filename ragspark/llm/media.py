@@ -83,14 +83,16 @@ def trailer(listed: list[tuple[bytes, int]]) -> bytes:
 
 
 def manifests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload, trailer) of each row; payload is the digest of the whole."""
+    """(doc_id, n_bytes, payload_bytes, payload, trailer) of each row; payload is the digest of the whole, null where the only
+    chunk's digest, which the trailer has, is that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             made = []
             for text in b.column(1):
                 n, payload = payload_of(text.as_py())
-                made.append((n, len(payload), hashlib.sha256(payload).digest(), trailer([(hashlib.sha256(p).digest(), len(p)) for p in chunks(payload)])))
+                listed = [(hashlib.sha256(p).digest(), len(p)) for p in chunks(payload)]
+                made.append((n, len(payload), hashlib.sha256(payload).digest() if len(listed) > 1 else None, trailer(listed)))
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             cols = [pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_bytes", "payload_bytes", "payload", "trailer"])
@@ -160,15 +162,18 @@ class Rebuilt:
         total, square = int((self.counts * v).sum()), int((self.counts * v * v).sum())
         used = np.flatnonzero(self.counts)
         feature = f"mean={total / self.n:.6f};power={square / self.n:.6f};low={used[0]};high={used[-1]};values={len(used)};crossings={self.crossings}"
-        return payload, self.sha.hexdigest(), zlib.crc32(self.tail), self.size + len(end), self.form.hexdigest(), feature, end
+        if self.sha.digest() != payload:
+            raise ValueError(f"rebuilt payload does not match its digest {payload.hex()}")
+        return payload, zlib.crc32(self.tail), self.size + len(end), self.form.digest(), feature, hashlib.sha256(end).digest()[:8]
 
 
-_BACK = "payload binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, again binary"
+#: Digests are kept as bytes; again: the first bytes of the digest of the trailer made from the chunks read.
+_BACK = "payload binary, tail_crc32 long, media_bytes long, media binary, feature string, again binary"
 
 
 def _columns(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["payload", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "again"])
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["payload", "tail_crc32", "media_bytes", "media", "feature", "again"])
 
 
 def _unpacked(unpack: zstandard.ZstdDecompressor, z: bytes, digest: bytes) -> bytes:
@@ -235,7 +240,8 @@ def store_media(spark: SparkSession, docs: DataFrame) -> DataFrame:
     one, many = rebuilt(listed, store)
     one, many = ws.put(one, "one"), ws.put(many, "many")
     # a payload of one chunk has that chunk's digest; a chunk that is no payload of its own matches no list
-    whole = listed.where(~several()).join(one, "payload", "left").unionByName(listed.where(several()).join(many, "payload", "left"))
-    same = F.coalesce(F.col("again") == F.col("trailer"), F.lit(False))
-    checked = F.when(same, F.col("media_sha256")).otherwise(F.raise_error(F.concat(F.lit("stored list does not match its chunks: "), F.hex("payload"))))
-    return whole.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", checked.alias("media_sha256"), "feature")
+    alone = listed.where(~several()).withColumn("payload", F.substring("trailer", 1, 32))
+    whole = alone.join(one, "payload", "left").unionByName(listed.where(several()).join(many, "payload", "left"))
+    same = F.coalesce(F.substring(F.sha2("trailer", 256), 1, 16) == F.lower(F.hex("again")), F.lit(False))
+    checked = F.when(same, F.lower(F.hex("media"))).otherwise(F.raise_error(F.concat(F.lit("stored list does not match its chunks: "), F.hex("payload"))))
+    return whole.select("doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("payload")).alias("payload_sha256"), "tail_crc32", "media_bytes", checked.alias("media_sha256"), "feature")
