@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
@@ -93,26 +94,38 @@ def _first_seen(rows: DataFrame, most: int = 100_000) -> DataFrame:
     return rows.mapInArrow(run, "key string, z binary")
 
 
-def original_records(records: DataFrame, payloads: DataFrame) -> DataFrame:
-    """(page_id, record): each record's bytes as they were written: a response's header and the payload of its digest, which is
-    verified on the bytes read; a revisit's header alone. A byte of difference, or a missing payload, fails the job.
-
-    Many responses of one small payload are a skewed join, which Spark splits; the other side is a single row."""
-    whole = records.where("kind = 'response'").join(payloads, "key", "left").select("page_id", "header", "key", "z")
-
-    def rebuild(batches):
-        unpack = zstandard.ZstdDecompressor()
-        for b in sliced(batches):
-            made = []
-            for header, key, z in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+def _rebuilt(batches) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """page_ids and whole records of batches (page_id, kind, header, key, z)."""
+    unpack = zstandard.ZstdDecompressor()
+    for b in sliced(batches):
+        made = []
+        for kind, header, key, z in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+            body = b""
+            if kind == "response":
                 body = b"" if z is None else unpack.decompress(z)
                 if z is None or hashlib.sha256(body).hexdigest() != key:
                     raise ValueError(f"stored payload does not match its digest {key}")
-                made.append(header + body + _END)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["page_id", "record"])
+            made.append(header + body + _END)
+        yield b.column(0), made
+
+
+def _joined(records: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Responses with the payload of their digest, and revisits, which have none in their record. Many responses of one
+    small payload are a skewed join, which Spark splits; the other side is a single row."""
+    columns = ["page_id", "kind", "header", "key", "z"]
+    whole = records.where("kind = 'response'").join(payloads, "key", "left").select(*columns)
+    return whole.unionByName(records.where("kind = 'revisit'").withColumn("z", F.lit(None).cast("binary")).select(*columns))
 
-    rebuilt = whole.mapInArrow(rebuild, "page_id long, record binary")
-    return rebuilt.unionByName(records.where("kind = 'revisit'").select("page_id", F.concat("header", F.lit(_END)).alias("record")))
+
+def original_records(records: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(page_id, record): each record's bytes as they were written: a response's header and the payload of its digest, which is
+    verified on the bytes read; a revisit's header alone. A byte of difference, or a missing payload, fails the job."""
+
+    def run(batches):
+        for ids, made in _rebuilt(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(made, pa.binary())], ["page_id", "record"])
+
+    return _joined(records, payloads).mapInArrow(run, "page_id long, record binary")
 
 
 _FIELD = {name: re.compile(rb"\r\n" + name.encode() + rb": ([^\r]*)\r\n") for name in ("WARC-Type", "WARC-Record-ID", "WARC-Payload-Digest", "WARC-Payload-Length", "WARC-Refers-To", "Content-Length")}
@@ -139,13 +152,14 @@ def read_archive(records: DataFrame, payloads: DataFrame, ws: Workspace) -> Data
     that of the record it refers to; the two must agree."""
 
     def parse(batches):
-        for b in sliced(batches):
-            rows = [parsed(r) for r in b.column(1).to_pylist()]
+        for ids, made in _rebuilt(batches):
+            rows = [parsed(r) for r in made]
             kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["page_id", "record_type", "id", "refers", "payload_digest", "payload_bytes"])
+            yield pa.RecordBatch.from_arrays([ids, *cols], ["page_id", "record_type", "id", "refers", "payload_digest", "payload_bytes"])
 
-    found = original_records(records, payloads).mapInArrow(parse, "page_id long, record_type string, id string, refers string, payload_digest string, payload_bytes long")
+    # :func:`original_records`, parsed in the worker that rebuilds them
+    found = _joined(records, payloads).mapInArrow(parse, "page_id long, record_type string, id string, refers string, payload_digest string, payload_bytes long")
     found = ws.put(found, "found")
     held = found.where("record_type = 'response'").select(F.col("id").alias("refers"), F.struct("page_id", "payload_digest", "payload_bytes").alias("held"))
     revisits = found.where("record_type = 'revisit'").join(held, "refers", "left")

@@ -24,7 +24,8 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
 
 class Workspace:
     """Cuts lineage: ``put`` writes a DataFrame as Parquet and returns it reread, so lost executors cost
-    one stage at most and Spark knows the table's true size when it chooses a join. Tables that are not dropped
+    one stage at most and Spark knows the table's true size when it chooses a join. Spark sends batches of ``rows`` rows
+    while it writes, and of the session's size again after. Tables that are not dropped
     are deleted when the driver ends, as results may read them until then."""
 
     def __init__(self, spark: SparkSession, tag: str):
@@ -35,9 +36,14 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        schema = df.schema
-        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+    def put(self, df: DataFrame, name: str, codec: str = "zstd", rows: int = BATCH_ROWS) -> DataFrame:
+        schema, conf, key = df.schema, self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        conf.set(key, str(min(int(before) if int(before) > 0 else rows, rows)))
+        try:
+            df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+        finally:
+            conf.set(key, before)
         if not self.known:
             gone_at_exit(self.spark, self.root)
             self.known = True
