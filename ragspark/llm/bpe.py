@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
@@ -33,7 +34,9 @@ KEPT_WORDS = 150_000
 DECODE_BLOCK = 1 << 16
 #: Characters of the texts whose words are looked up together, at least one text, and of unknown words merged together; a
 #: longer word streams by itself, so that memory does not follow a word's length.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 6_000_000
+#: Rows that are encoded at once: the more, the more words are looked up once.
+TEXT_ROWS = 2048
 NONE = np.int64(1) << 40
 #: Characters whose class and case are the same in all versions of Unicode at hand. Words with any other are normalised
 #: and split by the tokenizer library, whose tables differ from Python's.
@@ -257,7 +260,7 @@ class Encoder:
         self.added_pattern = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.pattern = regex.compile(pre[0]["pattern"]["Regex"])
         self.kind = np.dtype("<u2" if max(self.merges.n, *(i + 1 for i in self.added.values())) <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         self.odd = re.compile("[\x1c-\x1f]")
         self.usual = re.compile(USUAL)
@@ -345,43 +348,81 @@ class Encoder:
         cuts = [*(at[np.searchsorted(word, np.arange(len(words)))] * width).tolist(), len(raw)]
         self.words.update(zip(words, [raw[a:z] for a, z in itertools.pairwise(cuts)], strict=True))
 
-    def _plain(self, text: str) -> list[str]:
-        """White-space delimited words: no piece spans white space."""
-        return text.split() if not self.odd.search(text) else [w for w in self.white.split(text) if w]
-
-    def _segments(self, text: str) -> list[str | bytes]:
-        """The words of a text, with the ids of added tokens (as bytes) between them."""
-        if not (self.added_pattern and self.added_pattern.search(text)):
-            return self._plain(text)
-        out, at = [], 0
-        for m in self.added_pattern.finditer(text):
-            out += [*self._plain(text[at : m.start()]), np.array([self.added[m[0]]], self.kind).tobytes()]
-            at = m.end()
-        return out + self._plain(text[at:])
-
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian integers of ``kind``; null counts as empty. Unknown words of texts of up
-        to GROUP_CHARS are merged in one go."""
+        """The ids of each text as little-endian integers of ``kind``; null counts as empty."""
         for group in _groups(texts):
-            if len(self.words) > KEPT_WORDS:
-                self.words, self.older = {}, self.words
-            look, older, new, held = self.words.get, self.older.get, set(), []
-            for text in group:
-                words = self._segments(text or "")
-                got = list(map(look, words))
-                gaps = [i for i, ids in enumerate(got) if ids is None]
-                new.update([words[i] for i in gaps])
-                held.append((words, got, gaps) if gaps else (None, got, gaps))
-            plain = {w for w in new if type(w) is str}
-            again = {w: ids for w in plain if (ids := older(w)) is not None}
-            self.words.update(again)
-            self._learn(plain - again.keys())
-            known = self.words
-            for words, got, gaps in held:
-                for i in gaps:
-                    w = words[i]
-                    got[i] = w if type(w) is bytes else known[w]
-                yield b"".join(got)
+            yield from self._encode(group)
+
+    def _cut(self, texts: list[str]) -> tuple[list[str], list[int], list[tuple[int, bytes]]]:
+        """Texts without added tokens: the parts between them, how many parts each text has, and, by the part that they stand
+        behind, the ids of added tokens."""
+        parts, counts, marks = [], [], []
+        for text in texts:
+            at, n = 0, len(parts)
+            for m in self.added_pattern.finditer(text):
+                parts.append(text[at : m.start()])
+                marks.append((len(parts) - 1, np.array([self.added[m[0]]], self.kind).tobytes()))
+                at = m.end()
+            parts.append(text[at:])
+            counts.append(len(parts) - n)
+        return parts, counts, marks
+
+    def _encode(self, group: list[str | None]) -> list[bytes]:
+        """White-space delimited words (no piece spans white space) are told apart in columns; each distinct word is looked up
+        once, unknown ones are merged in one go, and their ids are copied to all places."""
+        texts = [t or "" for t in group]
+        marked = self.added_pattern is not None and any(map(self.added_pattern.search, texts))
+        parts, counts, marks = self._cut(texts) if marked else (texts, None, [])
+        if any(map(self.odd.search, parts)):
+            # these four are white space to Arrow, not to the tokenizer
+            words = pa.array([[w for w in self.white.split(t) if w] for t in parts], pa.large_list(pa.large_string()))
+        else:
+            words = pc.utf8_split_whitespace(pa.array(parts, pa.large_string()))
+        offsets, flat = words.offsets.to_numpy(), words.flatten()
+        kinds = flat.dictionary_encode()
+        known = kinds.dictionary.to_pylist()
+        places = kinds.indices.to_numpy(zero_copy_only=False).astype(np.intp)
+        ids = self._look_up(known)
+        width = self.kind.itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        # the text before the first word and behind the last is an empty word
+        empty = known.index("") if "" in known else -1
+        if empty >= 0:
+            sizes[empty] = 0
+        flat_ids = np.frombuffer(b"".join(ids), self.kind)
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[places]
+        ends = np.cumsum(n)
+        out = flat_ids[np.repeat(starts[places] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        cuts = (np.append(0, ends)[offsets - offsets[0]] * width).tolist()
+        got = [out[a:z] for a, z in itertools.pairwise(cuts)]
+        if not marked:
+            return got
+        for i, mark in marks:
+            got[i] += mark
+        made, at = [], 0
+        for c in counts:
+            made.append(b"".join(got[at : at + c]))
+            at += c
+        return made
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        if len(self.words) > KEPT_WORDS:
+            self.words, self.older = {"": b""}, self.words
+        got = list(map(self.words.get, words))
+        gaps = [i for i, ids in enumerate(got) if ids is None]
+        older, new = self.older.get, []
+        for i in gaps:
+            w = words[i]
+            if (ids := older(w)) is None:
+                new.append(w)
+            else:
+                self.words[w] = ids
+        self._learn(new)
+        known = self.words
+        for i in gaps:
+            got[i] = known[words[i]]
+        return got
 
 
 class Decoder:
@@ -445,7 +486,7 @@ def encode_column(spark: SparkSession, docs: DataFrame, tokenizer: str, keep: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = loaded(content.value)
-        for batch in sliced(batches):
+        for batch in sliced(batches, TEXT_ROWS):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             ids = pa.array(list(encoder.encode(texts)), pa.binary())
             width = pa.array(np.full(len(texts), encoder.kind.itemsize, np.int32))
@@ -463,7 +504,7 @@ def decode_column(spark: SparkSession, encoded: DataFrame, tokenizer: str, keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, decoder = loaded(content.value)
-        for batch in sliced(batches):
+        for batch in sliced(batches, TEXT_ROWS):
             texts = []
             for raw, width in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 ids = np.frombuffer(raw or b"", f"<u{width or 4}")
@@ -483,7 +524,7 @@ def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = loaded(content.value)
-        for batch in sliced(batches):
+        for batch in sliced(batches, TEXT_ROWS):
             texts = batch.column(1).to_pylist()
             n, encoded, decoded = [], [], []
             for raw in encoder.encode(texts):

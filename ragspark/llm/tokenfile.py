@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .bpe import loaded, read_spec
+from .bpe import TEXT_ROWS, loaded, read_spec
 from .workspace import Workspace, sliced
 
 MAGIC = b"RPG2"
@@ -209,7 +209,7 @@ def write_files(spark: SparkSession, docs: DataFrame, tokenizer: str, ws: Worksp
             held, before, n = ([], []), before + n, 0
             return out
 
-        for b in sliced(batches):
+        for b in sliced(batches, TEXT_ROWS):
             for doc, raw in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
                 ids = np.frombuffer(raw + end, encoder.kind)
                 held[0].append(doc)
@@ -220,7 +220,7 @@ def write_files(spark: SparkSession, docs: DataFrame, tokenizer: str, ws: Worksp
         if held[0]:
             yield flush()
 
-    return ws.put(rows.mapInArrow(run, "part int, before long, n_ids long, block binary"), "shards", codec="none")
+    return ws.put(rows.mapInArrow(run, "part int, before long, n_ids long, block binary"), "shards", codec="none", rows=TEXT_ROWS)
 
 
 def read_files(shards: DataFrame) -> DataFrame:
