@@ -34,9 +34,9 @@ KEPT_WORDS = 150_000
 DECODE_BLOCK = 1 << 16
 #: Characters of the texts whose words are looked up together, at least one text, and of unknown words merged together; a
 #: longer word streams by itself, so that memory does not follow a word's length.
-GROUP_CHARS = 6_000_000
+GROUP_CHARS = 3_000_000
 #: Rows that are encoded at once: the more, the more words are looked up once.
-TEXT_ROWS = 2048
+TEXT_ROWS = 1024
 NONE = np.int64(1) << 40
 #: Characters whose class and case are the same in all versions of Unicode at hand. Words with any other are normalised
 #: and split by the tokenizer library, whose tables differ from Python's.
@@ -407,10 +407,10 @@ class Encoder:
         return made
 
     def _look_up(self, words: list[str]) -> list[bytes]:
-        if len(self.words) > KEPT_WORDS:
-            self.words, self.older = {"": b""}, self.words
         got = list(map(self.words.get, words))
         gaps = [i for i, ids in enumerate(got) if ids is None]
+        if len(self.words) + len(gaps) > KEPT_WORDS:
+            self.words, self.older = {"": b""}, self.words
         older, new = self.older.get, []
         for i in gaps:
             w = words[i]
