@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from .workspace import sliced
+from .workspace import bounded, sliced
 
 #: Words in each of two generations whose ids a worker keeps; words in use move on when the younger one is full.
 KEPT_WORDS = 150_000
@@ -481,6 +481,7 @@ def encode_column(spark: SparkSession, docs: DataFrame, tokenizer: str, keep: li
     tokenizer: path of the file on the driver; its content (bounded: one vocabulary) goes to the workers. Kept columns named
     ids or width give way to the new ones. Null and empty texts have no ids; very long ones are encoded whole."""
     keep = [c for c in keep if c not in ("ids", "width")]
+    bounded(spark)
     content = spark.sparkContext.broadcast(read_spec(tokenizer))
     schema = docs.select(*keep).schema.add("ids", "binary").add("width", "integer")
 
@@ -499,6 +500,7 @@ def decode_column(spark: SparkSession, encoded: DataFrame, tokenizer: str, keep:
     """Columns ``keep`` and text of rows with ids and width, as :func:`encode_column` gives them; null ids give the empty text.
     A kept column named text gives way to the new one."""
     keep = [c for c in keep if c != "text"]
+    bounded(spark)
     content = spark.sparkContext.broadcast(read_spec(tokenizer))
     schema = encoded.select(*keep).schema.add("text", "string")
 
@@ -520,6 +522,7 @@ def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFram
     Null and empty texts have no ids and decode to the empty text; rows are independent of each other, so
     repeated rows give equal rows; doc_id may be null. Very long texts and words are encoded whole. Other columns are ignored;
     an empty table gives no rows."""
+    bounded(spark)
     content = spark.sparkContext.broadcast(read_spec(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .workspace import sliced
+from .workspace import bounded, sliced
 
 WINDOW = 3
 #: Characters that a window of WINDOW lines must hold to be a surge, unless the whole page has little text.
@@ -247,6 +247,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     Null and empty html and pages without text give the empty text. Very long pages take linear time and are read whole.
     Rows are independent of each other, so repeated rows give equal rows; page_id and url pass through, null or not.
     Other columns are ignored; an empty table gives no rows."""
+    bounded(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .workspace import sliced
+from .workspace import bounded, sliced
 
 BITS, WORD_BITS = 18, 20
 FEATURES = (1 << BITS) + (1 << WORD_BITS)
@@ -27,6 +27,7 @@ PIECE, LONG, RUN = 12, 64, 16
 FIT_ROWS = 20_000
 EPOCHS, COST = 15, 1.0
 _CODES: dict[str, tuple[list[int], list[int]]] = {}
+_SHAPES: dict[str, list[int]] = {}
 _KEPT = 100_000
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _AGAIN, _LINE_AGAIN, _END = 3, 7, 5
@@ -55,8 +56,14 @@ def _code(piece: str) -> int:
 def codes_of(word: str) -> tuple[list[int], list[int]]:
     """Codes of the shape and of the characters of a whole word; long words and shapes give several in order."""
     kinds = word.translate(_KINDS)
-    shape = _RUNS.sub(r"\1\1", kinds)
-    shapes = [_code(shape[i : i + PIECE]) for i in range(0, len(shape), PIECE)]
+    shapes = _SHAPES.get(kinds)
+    if shapes is None:
+        shape = _RUNS.sub(r"\1\1", kinds)
+        shapes = [_code(shape[i : i + PIECE]) for i in range(0, len(shape), PIECE)]
+        if len(word) <= LONG:
+            if len(_SHAPES) >= _KEPT:
+                _SHAPES.clear()
+            _SHAPES[kinds] = shapes
     if len(word) <= LONG:
         return shapes, [_code(word)]
     return shapes, [_code(word[m.start() : m.end()]) for m in _CUTS.finditer(kinds)]
@@ -163,6 +170,7 @@ def held_out(doc_id) -> F.Column:
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, label: str = "quality") -> Model:
     """Fits on about ``most`` labelled rows that are not held out. The draw goes by a hash of doc_id, before texts
     move. Rows without doc_id or label, and ids labelled both ways, are not used."""
+    bounded(spark)
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("other")).where("y = other").select("doc_id", "y").where(~held_out("doc_id"))
     n = known.count()
@@ -195,7 +203,8 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, columns: list[str
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs`` (doc_id, text, ...).
 
-    Repeated rows give equal rows. With no labelled rows every score is 0.5. Other columns are ignored."""
+    Repeated rows give equal rows. Very long texts count whole. With no labelled rows every score is 0.5. Other columns are
+    ignored; an empty table gives no rows."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = scored(spark, ids, train(spark, docs, labels), ["doc_id"])
     return out.select("doc_id", held_out("doc_id").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))

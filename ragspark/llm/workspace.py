@@ -11,8 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ragspark.sources.shared import gone_at_exit, hadoop_path, shared_folder
 
-#: Rows of whole texts that a Python worker works on at once. Spark bounds the bytes of the batches that it sends.
-BATCH_ROWS = 256
+#: Rows of whole texts that a Python worker works on at once, and bytes of the batches that Spark sends to it.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES, unless they are smaller already: results run after the function that
+    makes them has returned, so the setting stays. Rows a batch are left as they are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key, "-1").rstrip("b") or -1)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
@@ -24,26 +33,21 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
 
 class Workspace:
     """Cuts lineage: ``put`` writes a DataFrame as Parquet and returns it reread, so lost executors cost
-    one stage at most and Spark knows the table's true size when it chooses a join. Spark sends batches of ``rows`` rows
-    while it writes, and of the session's size again after. Tables that are not dropped
+    one stage at most and Spark knows the table's true size when it chooses a join. Tables that are not dropped
     are deleted when the driver ends, as results may read them until then."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
+        bounded(spark)
         self.root = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
         self.known = False
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, df: DataFrame, name: str, codec: str = "zstd", rows: int = BATCH_ROWS) -> DataFrame:
-        schema, conf, key = df.schema, self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = conf.get(key)
-        conf.set(key, str(min(int(before) if int(before) > 0 else rows, rows)))
-        try:
-            df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
-        finally:
-            conf.set(key, before)
+    def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        schema = df.schema
+        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
         if not self.known:
             gone_at_exit(self.spark, self.root)
             self.known = True
