@@ -19,9 +19,8 @@ def bounded(spark: SparkSession) -> None:
     """Holds the session's Arrow batches to BATCH_BYTES, unless they are smaller already: results run after the function that
     makes them has returned, so the setting stays. Rows a batch are left as they are."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(key, "-1").rstrip("b") or -1)
-    if not 0 < now <= BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
