@@ -182,9 +182,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = F
         for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "y", "f"])
 
-    got = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["f"]))
-    return fit([np.frombuffer(r["f"], np.int32) for r in got], np.array([1 if r["y"] == 1 else -1 for r in got]))
+    # a partition at a time: the driver holds the rows' features once, in Python
+    found = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f binary").toLocalIterator()
+    got = sorted((r["doc_id"], bytes(r["f"]), r["y"]) for r in found)
+    return fit([np.frombuffer(f, np.int32) for _, f, _ in got], np.array([1 if y == 1 else -1 for _, _, y in got]))
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
