@@ -208,7 +208,9 @@ def _rest(ws: Workspace, left: DataFrame, links: DataFrame, found: DataFrame, se
         pivot = (F.col("turn") == F.col("first")) | (F.col("turn") * F.col("c") < F.lit(wide << 30))
         drawn = drawn.join(least, "key").withColumn("pivot", pivot).drop("turn", "first")
         pivots = drawn.where("pivot").select("key", *[F.col(c).alias(f"{c}{ends}") for c in ("doc_id", "component", "least", "own", "high", "beyond")])
-        met = open_.join(pivots, "key").where((F.col("component") != F.col(f"component{ends}")) & _able(percent, "", ends))
+        # two pivots meet once
+        once = ~F.col("pivot") | (F.col("doc_id") < F.col(f"doc_id{ends}"))
+        met = drawn.join(pivots, "key").where(once & (F.col("component") != F.col(f"component{ends}")) & _able(percent, "", ends))
         pairs = ws.put(met.select(F.col("doc_id").alias("a"), F.col(f"doc_id{ends}").alias("b")).distinct(), f"pairs-{step}")
         more = ws.put(_confirmed(pairs, sets, percent), f"more-{step}")
         left = drawn.where("not pivot").drop("pivot", "c")
