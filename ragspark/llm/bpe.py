@@ -34,9 +34,9 @@ KEPT_WORDS = 150_000
 DECODE_BLOCK = 1 << 16
 #: Characters of the texts whose words are looked up together, at least one text, and of unknown words merged together; a
 #: longer word streams by itself, so that memory does not follow a word's length.
-GROUP_CHARS = 3_000_000
+GROUP_CHARS = 2_000_000
 #: Rows that are encoded at once: the more, the more words are looked up once.
-TEXT_ROWS = 1024
+TEXT_ROWS = 256
 NONE = np.int64(1) << 40
 #: Characters whose class and case are the same in all versions of Unicode at hand. Words with any other are normalised
 #: and split by the tokenizer library, whose tables differ from Python's.
