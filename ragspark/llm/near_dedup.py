@@ -15,7 +15,10 @@ How groups of thousands of copies stay linear in rows:
   min(i1, i2) + min(n1 - i1 - u1, n2 - i2 - u2) at most. Members that fail this bound even against the best partner that
   the bucket's extremes allow are done. The others meet new pivots, four times as many each round, which are then done as
   well, until every bucket has one component or no members. No link is lost: a pair that is never compared is in
-  one component or fails a bound.
+  one component or fails a bound;
+* what a set lacks of the measured one, and what it has beyond it, is kept as bits by hash. A bit that one set has and the
+  other has not is a shingle at least that they do not share, so such bits lower the two minima of the bound pair by pair.
+  Few members that only resemble each other through the measured one are compared in full.
 """
 
 from __future__ import annotations
@@ -36,6 +39,9 @@ MAX_COORDINATES = 192
 MISS = 1e-6
 #: Copies of a pivot's set at most, over which its pairs are dealt.
 SALTS = 32
+#: Columns of 64 bits for the shingles that a set lacks of the one it is measured against, and as many for those beyond it.
+BIT_WORDS = 4
+_BITS = [f"{kind}{i}" for kind in ("lost", "gained") for i in range(BIT_WORDS)]
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(MAX_COORDINATES)], np.uint64)
 
@@ -165,14 +171,26 @@ def _may_link(percent: int, n1: str, only1, n2: str, only2):
     return 100 * t >= percent * (t + only1 + only2)
 
 
-def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Written pairs (a, b) with na, nb and both: the sizes of the sets and of their intersection. b may be a pivot that
-    stands in many pairs: its set is copied to as many salts, SALTS at most, as its pairs have."""
+def _bits(shingles: F.Column, name: str) -> list[F.Column]:
+    """BIT_WORDS columns with the bits that the shingles' hashes set."""
+
+    def word(i: int) -> F.Column:
+        bit = lambda e: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(e, 8).bitwiseAND(F.lit(63)).cast("int"))
+        mine = lambda e: F.pmod(e, F.lit(BIT_WORDS)) == i
+        return F.aggregate(shingles, F.lit(0).cast("long"), lambda got, e: F.when(mine(e), got.bitwiseOR(bit(e))).otherwise(got))
+
+    return [word(i).alias(f"{name}{i}") for i in range(BIT_WORDS)]
+
+
+def _shared(pairs: DataFrame, sets: DataFrame, *more: F.Column) -> DataFrame:
+    """Written pairs (a, b) with na, nb and both: the sizes of the sets and of their intersection, and more columns over the
+    sets sa and sb. b may be a pivot that stands in many pairs: its set is copied to as many salts, SALTS at most, as its
+    pairs have."""
     salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt")
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     right = pairs.select("b", salt).distinct().join(right, "b")
-    return pairs.select("a", "b", salt).join(left, "a").join(right, ["b", "salt"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"))
+    return pairs.select("a", "b", salt).join(left, "a").join(right, ["b", "salt"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("both"), *more)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -188,10 +206,24 @@ def _able(percent: int, one: str, two: str) -> F.Column:
     return 100 * most >= percent * (x("least") + y("least") - most)
 
 
+def _sharply(percent: int, two: str) -> F.Column:
+    """As :func:`_able`, with the bits: what one set lacks of the measured one and the other does not lack is not shared, nor is
+    what one has beyond it and the other has not. A doc_id with several sets (``several``) has no bits to go by."""
+    x, y = F.col, (lambda c: F.col(f"{c}{two}"))
+
+    def alone(kind: str, one, other) -> F.Column:
+        return sum((F.bit_count(one(f"{kind}{i}").bitwiseAND(F.bitwise_not(other(f"{kind}{i}")))) for i in range(1, BIT_WORDS)), F.bit_count(one(f"{kind}0").bitwiseAND(F.bitwise_not(other(f"{kind}0")))))
+
+    within = F.least(x("high") - alone("lost", y, x), y("high") - alone("lost", x, y))
+    outside = F.least(x("beyond"), y("beyond"), x("least") - x("high") - alone("gained", x, y), y("least") - y("high") - alone("gained", y, x))
+    most = F.least(within + outside, x("own"), y("own"))
+    return x("several") | y("several") | (100 * most >= percent * (x("least") + y("least") - most))
+
+
 def _rest(ws: Workspace, left: DataFrame, links: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The components (node, component) after all pairs of ``left`` are decided: (key, doc_id, component, least, own, high,
-    beyond), members of buckets with several components, measured against one of the bucket."""
-    ends = "_2"
+    beyond, several, bits), members of buckets with several components, measured against one of the bucket."""
+    ends, columns = "_2", ["doc_id", "component", "least", "own", "high", "beyond", "several", *_BITS]
     wide, step = 4, 0
     while True:
         extremes = left.groupBy("key").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"), *[(F.min if c == "least" else F.max)(c).alias(f"{c}{ends}") for c in ("least", "own", "high", "beyond")])
@@ -207,10 +239,10 @@ def _rest(ws: Workspace, left: DataFrame, links: DataFrame, found: DataFrame, se
         least = drawn.groupBy("key").agg(F.min("turn").alias("first"))
         pivot = (F.col("turn") == F.col("first")) | (F.col("turn") * F.col("c") < F.lit(wide << 30))
         drawn = drawn.join(least, "key").withColumn("pivot", pivot).drop("turn", "first")
-        pivots = drawn.where("pivot").select("key", *[F.col(c).alias(f"{c}{ends}") for c in ("doc_id", "component", "least", "own", "high", "beyond")])
+        pivots = drawn.where("pivot").select("key", *[F.col(c).alias(f"{c}{ends}") for c in columns])
         # two pivots meet once
         once = ~F.col("pivot") | (F.col("doc_id") < F.col(f"doc_id{ends}"))
-        met = drawn.join(pivots, "key").where(once & (F.col("component") != F.col(f"component{ends}")) & _able(percent, "", ends))
+        met = drawn.join(pivots, "key").where(once & (F.col("component") != F.col(f"component{ends}")) & _able(percent, "", ends) & _sharply(percent, ends))
         pairs = ws.put(met.select(F.col("doc_id").alias("a"), F.col(f"doc_id{ends}").alias("b")).distinct(), f"pairs-{step}")
         more = ws.put(_confirmed(pairs, sets, percent), f"more-{step}")
         left = drawn.where("not pivot").drop("pivot", "c")
@@ -219,7 +251,7 @@ def _rest(ws: Workspace, left: DataFrame, links: DataFrame, found: DataFrame, se
             found = ws.put(components(ws, links, f"cc-{step}"), f"found-{step}")
             left = left.drop("component").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         step, wide = step + 1, wide * 4
-        left = ws.put(left.select("key", "doc_id", "component", "least", "own", "high", "beyond"), f"left-{step}")
+        left = ws.put(left.select("key", *columns), f"left-{step}")
         ws.drop(f"open-{step - 1}", f"pairs-{step - 1}")
 
 
@@ -278,11 +310,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
     left = ws.put(left.join(left.groupBy("key").agg(F.min(me).alias("p")).select("key", F.col("p.doc_id").alias("pivot")), "key"), "mixed")
     ws.drop("near-posted", "near")
     pairs = ws.put(left.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "measures")
-    met = _shared(pairs, sets).groupBy(F.col("a").alias("doc_id"), F.col("b").alias("pivot")).agg(F.min("both").alias("low"), F.max("both").alias("high"))
+    bits = [*_bits(F.array_except("sb", "sa"), "lost"), *_bits(F.array_except("sa", "sb"), "gained")]
+    met = _shared(pairs, sets, *bits).groupBy(F.col("a").alias("doc_id"), F.col("b").alias("pivot"))
+    met = met.agg(F.min("both").alias("low"), F.max("both").alias("high"), (F.count("*") > 1).alias("several"), *[F.max(c).alias(c) for c in _BITS])
     left = left.join(met, ["doc_id", "pivot"])
     # at most: shared with the pivot, and what each has beyond it and beyond its own shingles
     left = left.withColumns({"beyond": F.greatest(F.col("n") - F.col("low") - F.col("u"), F.lit(0)), "own": F.col("n") - F.col("u")})
-    left = ws.put(left.select("key", "doc_id", "component", "least", "own", "high", "beyond"), "left-0")
+    left = ws.put(left.select("key", "doc_id", "component", "least", "own", "high", "beyond", "several", *_BITS), "left-0")
     found = _rest(ws, left, links, found, sets, percent)
     ws.drop("sets", "mixed", "measures")
 
