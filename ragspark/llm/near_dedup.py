@@ -285,9 +285,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
         .groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other")).where("doc_id = other")
         .groupBy("doc_id").agg(F.count("*").alias("u"))
     )
-    sizes = sets.groupBy("doc_id").agg(F.min("n").alias("n"), F.max("n").alias("top"))
-    # a doc_id with rows of several sizes is not bounded by u
-    near = sizes.join(weights, "doc_id").join(alone, "doc_id", "left").select("doc_id", "w", F.col("n").alias("least"), F.col("top").alias("n"), F.when(F.col("n") == F.col("top"), F.coalesce("u", F.lit(0))).otherwise(0).alias("u"))
+    mark = F.xxhash64("shingles")
+    sizes = sets.groupBy("doc_id").agg(F.min("n").alias("n"), F.max("n").alias("top"), (F.min(mark) == F.max(mark)).alias("one"))
+    # a doc_id with rows of several sets is not bounded by u
+    near = sizes.join(weights, "doc_id").join(alone, "doc_id", "left").select("doc_id", "w", F.col("n").alias("least"), F.col("top").alias("n"), F.when(F.col("one"), F.coalesce("u", F.lit(0))).otherwise(0).alias("u"))
     near = ws.put(near.where(f"100 * (n - u) >= {percent} * n"), "near")
     posted = ws.put(posted.drop("c").join(near, "doc_id"), "near-posted")
     ws.drop("candidates")

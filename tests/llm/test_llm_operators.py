@@ -99,6 +99,57 @@ def test_groups_whose_members_are_near_the_threshold(spark):
     assert got == want and 3 < len({c for _, c in want.values()}) < 150
 
 
+@pytest.mark.parametrize("size", [40, 3000])
+def test_bits_lose_no_link(spark, size):
+    """The bound by bits holds for all pairs of sets around one, also for sets of many more shingles than bits, and decides pairs
+    that the counts alone leave open."""
+    rng = random.Random(size)
+    draw = lambda k: [rng.getrandbits(64) - (1 << 63) for _ in range(k)]
+    base, common = draw(size), draw(size // 2)
+    sets = {0: set(base)}
+    for i in range(1, 60):
+        sets[i] = set(rng.sample(base, size - rng.randrange(size // 5))) | set(rng.sample(common, rng.randrange(size // 8)))
+    table = spark.createDataFrame([(i, len(s), sorted(s)) for i, s in sets.items()], "doc_id long, n long, shingles array<long>")
+    pairs = table.select(F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"))
+    bits = [*near_dedup._bits(F.array_except("sb", "sa"), "lost"), *near_dedup._bits(F.array_except("sa", "sb"), "gained")]
+    met = near_dedup._shared(pairs, table, *bits).withColumnsRenamed({"a": "doc_id", "na": "least", "both": "high"})
+    met = met.withColumns({"beyond": F.col("least") - F.col("high"), "own": F.col("least"), "several": F.lit(False)}).drop("b", "nb").cache()
+    both = met.crossJoin(met.select(*[F.col(c).alias(f"{c}_2") for c in met.columns])).where("doc_id < doc_id_2")
+    got = both.select("doc_id", "doc_id_2", near_dedup._able(80, "", "_2").alias("able"), near_dedup._sharply(80, "_2").alias("sharply")).collect()
+    links = {(r.doc_id, r.doc_id_2) for r in got if 100 * len(sets[r.doc_id] & sets[r.doc_id_2]) >= 80 * len(sets[r.doc_id] | sets[r.doc_id_2])}
+    assert len(got) == 60 * 59 // 2 and 0 < len(links) < len(got)
+    open_, left = ({(r.doc_id, r.doc_id_2) for r in got if r[c]} for c in ("able", "sharply"))
+    assert links <= left and left < open_
+    met.unpersist()
+
+
+def test_near_duplicates_of_repeated_ids_near_the_threshold(spark):
+    """Rows of one doc_id with several sets are linked each by its own set."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for at in rng.sample(range(120), rng.randint(0, 6)):
+            t[at] = f"e{rng.randrange(25)}"
+        rows.append((i % 45, " ".join(t)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark, documents(spark, rows), 85).collect()}
+    comp = {i: i for i, _ in rows}
+
+    def top(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    for x, (i, s) in enumerate(sets):
+        for j, t in sets[:x]:
+            if 100 * len(s & t) >= 85 * len(s | t):
+                a, b = top(i), top(j)
+                comp[max(a, b)] = min(a, b)
+    assert got == {i: top(i) for i in comp}
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(400)] + [(900, 901)], "a long, b long")
     out = {r.node: r.component for r in near_dedup.components(Workspace(spark, "path-test"), links, "path").collect()}
