@@ -37,7 +37,7 @@ DECODE_BLOCK = 1 << 16
 GROUP_CHARS = 2_000_000
 #: Rows that are encoded at once: the more, the more words are looked up once.
 TEXT_ROWS = 256
-NONE = np.int64(1) << 40
+NONE = np.int32((1 << 31) - 1)
 #: Characters whose class and case are the same in all versions of Unicode at hand. Words with any other are normalised
 #: and split by the tokenizer library, whose tables differ from Python's.
 USUAL = "[\x00-\u052f\u2000-\u2064\u20a0-\u20bf\u2190-\u23ff\u2500-\u27bf\u3040-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*"
@@ -69,7 +69,7 @@ class MergeList:
     def _index(self) -> None:
         bits = max(12, (len(self.rules) * 8).bit_length())
         self.shift = np.uint64(64 - bits)
-        keys, ranks, made = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        keys, ranks, made = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int64)
         seen, self.probes = set(), 1
         for rank, (a, b, ab) in enumerate(self.rules):
             if (a, b) in seen:
@@ -133,12 +133,13 @@ class MergeList:
 
     def merge(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merges many windows at once: symbols and where each (non-empty) window starts, before and after."""
-        word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+        word = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(ids))))
         done_ids, done_words = [], []
-        while len(ids):
-            slot = np.full(len(ids), -1, np.int64)
+        slot = np.full(len(ids), -1, np.int64)
+        if len(ids):
             slot[:-1] = np.where(word[:-1] == word[1:], self.find(ids[:-1], ids[1:]), -1)
-            rank = np.where(slot >= 0, self.ranks[slot], NONE)
+        rank = np.where(slot >= 0, self.ranks[slot], NONE)
+        while len(ids):
             begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             low = np.minimum.reduceat(rank, begin)
             length = np.diff(np.append(begin, len(ids)))
@@ -151,8 +152,7 @@ class MergeList:
                 ids, word, rank, slot, low = ids[live], word[live], rank[live], slot[live], low[live]
                 if not len(ids):
                     break
-            pick = (rank == low) & (slot >= 0)
-            at = np.flatnonzero(pick)
+            at = np.flatnonzero(rank == low)
             # in a run of overlapping places the first, third, ... are taken
             run = np.append(True, (np.diff(at) != 1) | (word[at[1:]] != word[at[:-1]]))
             first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
@@ -160,7 +160,15 @@ class MergeList:
             ids[at] = self.made[slot[at]]
             keep = np.ones(len(ids), bool)
             keep[at + 1] = False
-            ids, word = ids[keep], word[keep]
+            ids, word, rank, slot = ids[keep], word[keep], rank[keep], slot[keep]
+            # only pairs with a new symbol are looked up again
+            at -= np.arange(len(at))
+            near = np.concatenate([at, at[at > 0] - 1])
+            slot[near], rank[near] = -1, NONE
+            near = near[near < len(ids) - 1]
+            near = near[word[near] == word[near + 1]]
+            slot[near] = new = self.find(ids[near], ids[near + 1])
+            rank[near] = np.where(new >= 0, self.ranks[new], NONE)
         if not done_ids:
             return ids, starts
         ids, word = np.concatenate(done_ids), np.concatenate(done_words)
@@ -267,7 +275,9 @@ class Encoder:
         self.library = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []}))
         self.white = regex.compile(r"[\s--\x1c-\x1f]+", regex.V1)
 
-    def _learn(self, words: Iterable[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
+        if sum(map(len, words)) <= GROUP_CHARS:
+            return self._learn_part(words)
         part: list[str] = []
         held = 0
         for w in words:
@@ -380,7 +390,7 @@ class Encoder:
             words = pc.utf8_split_whitespace(pa.array(parts, pa.large_string()))
         offsets, flat = words.offsets.to_numpy(), words.flatten()
         kinds = flat.dictionary_encode()
-        known = kinds.dictionary.to_pylist()
+        known = kinds.dictionary.to_numpy(zero_copy_only=False).tolist()
         places = kinds.indices.to_numpy(zero_copy_only=False).astype(np.intp)
         ids = self._look_up(known)
         width = self.kind.itemsize
@@ -411,17 +421,12 @@ class Encoder:
         gaps = [i for i, ids in enumerate(got) if ids is None]
         if len(self.words) + len(gaps) > KEPT_WORDS:
             self.words, self.older = {"": b""}, self.words
-        older, new = self.older.get, []
-        for i in gaps:
-            w = words[i]
-            if (ids := older(w)) is None:
-                new.append(w)
-            else:
-                self.words[w] = ids
-        self._learn(new)
-        known = self.words
-        for i in gaps:
-            got[i] = known[words[i]]
+        lacking = [words[i] for i in gaps]
+        held = list(map(self.older.get, lacking))
+        self._learn([w for w, ids in zip(lacking, held, strict=True) if ids is None])
+        self.words.update((w, ids) for w, ids in zip(lacking, held, strict=True) if ids is not None)
+        for i, ids in zip(gaps, map(self.words.__getitem__, lacking), strict=True):
+            got[i] = ids
         return got
 
 
