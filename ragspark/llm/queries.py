@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, as the driver runs them, and SQL for those that SQL can express."""
+"""The queries op1 to op13 and the pipeline, as the driver runs them, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ragspark.sources.tables import table
 
-from . import bpe, chat, html_text, maxscore, media, mixing, near_dedup, quality, tokenfile, warc
+from . import bpe, chat, filter_audit, html_text, maxscore, media, merkle, mixing, near_dedup, outliers, quality, tokenfile, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -55,6 +55,18 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality_rules(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(spark, table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_minhash_near_dedup, op2_bpe_round_trip, op3_chat_format, op4_warc_archive, op5_maxscore_top_k, op6_token_files, op7_html_main_text, op8_media_chunks, op9_quality_classifier, op10_entropy_mixing, pipeline]
+    named = [op1_minhash_near_dedup, op2_bpe_round_trip, op3_chat_format, op4_warc_archive, op5_maxscore_top_k, op6_token_files, op7_html_main_text, op8_media_chunks, op9_quality_classifier, op10_entropy_mixing, op11_filter_audit, op12_quality_rules, op13_merkle_manifest, pipeline]
     return {f.__name__: f for f in named}
 
 
@@ -116,5 +128,78 @@ FROM s QUALIFY rank <= 5
 """
 
 
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+l AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CAST(len(words) < 50 AS INTEGER) AS a, CAST(100 * len(list_distinct(words)) < 65 * len(words) AS INTEGER) AS b,
+    CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) AS INTEGER) AS c, CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER) AS d,
+    CAST(coalesce(least < w.doc_id, false) AS INTEGER) AS e
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+f AS (SELECT part, good, toxic, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n FROM m GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM x p, x q, x r, x s, x t
+  WHERE p.x <> q.x AND p.x <> r.x AND p.x <> s.x AND p.x <> t.x AND q.x <> r.x AND q.x <> s.x AND q.x <> t.x AND r.x <> s.x AND r.x <> t.x AND s.x <> t.x),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, 1 << (ascii(filter_order[step]) - 65) AS own,
+    coalesce(list_sum([1 << (ascii(filter_order[i]) - 65) for i in range(1, 6) if i < step]), 0)::BIGINT AS before
+  FROM o, range(1, 6) s(step)),
+made AS (
+  SELECT part, filter_order, step, own, CAST(coalesce(sum(n) FILTER (WHERE mask & (before | own) = 0), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (WHERE mask & own > 0 AND mask & before = 0), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (WHERE mask & own > 0 AND mask & before > 0), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (WHERE mask = own), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(n) FILTER (WHERE good AND mask & own > 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(n) FILTER (WHERE toxic AND mask & own > 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost
+  FROM f, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM made
+"""
+
+_OP13 = r"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') AS i,
+    coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS mid,
+    coalesce(strlen(text) || ':' || text, '-') AS t, coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS low,
+    list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)),
+      lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0::UBIGINT for _ in range(8)]), lambda v, u: xor(v >> 1, (v & 1) * 3988292384))) AS crc
+  FROM documents),
+leaf AS (
+  SELECT doc_id, tree, sha256(i || mid || t) AS h, CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN sha256(i || mid || low) ELSE sha256(i || mid || t) END AS used FROM fields),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaf),
+low AS (
+  SELECT tree, 0 AS k, pos, n, h FROM placed
+  UNION ALL SELECT tree, k + 1, pos // 8, CAST(ceil(max(n) / 8) AS BIGINT), sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY tree, k, pos // 8),
+sub AS (SELECT tree, k, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS k, pos, n, h FROM sub
+  UNION ALL SELECT k + 1, pos // 8, CAST(ceil(max(n) / 8) AS BIGINT), sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY k, pos // 8),
+root AS (SELECT h AS root FROM high WHERE n = 1),
+way AS (
+  SELECT doc_id, h AS leaf, tree, pos AS start, pos, 0 AS k, n, '' AS proof, used AS acc FROM placed
+  UNION ALL
+  SELECT doc_id, leaf, w.tree, start, w.pos // 8, w.k + 1, CAST(ceil(w.n / 8) AS BIGINT),
+    proof || coalesce(list_aggregate(list_transform(list_filter(g.kids, lambda s: s.pos <> w.pos), lambda s: s.h), 'string_agg', ''), ''),
+    sha256(coalesce(list_aggregate(list_transform(list_filter(g.kids, lambda s: s.pos < w.pos), lambda s: s.h), 'string_agg', ''), '') || acc
+      || coalesce(list_aggregate(list_transform(list_filter(g.kids, lambda s: s.pos > w.pos), lambda s: s.h), 'string_agg', ''), ''))
+  FROM way w JOIN (SELECT tree, k, pos // 8 AS up, list({'pos': pos, 'h': h} ORDER BY pos) AS kids FROM low GROUP BY ALL) g ON w.tree = g.tree AND w.k = g.k AND w.pos // 8 = g.up
+  WHERE w.n > 1),
+upper AS (
+  SELECT doc_id, leaf, w.tree, sub.h AS subroot, sub.pos, 0 AS k, sub.n, proof, acc FROM way w JOIN sub ON w.tree = sub.tree WHERE w.n = 1
+  UNION ALL
+  SELECT doc_id, leaf, w.tree, subroot, w.pos // 8, w.k + 1, CAST(ceil(w.n / 8) AS BIGINT),
+    proof || coalesce(list_aggregate(list_transform(list_filter(g.kids, lambda s: s.pos <> w.pos), lambda s: s.h), 'string_agg', ''), ''),
+    sha256(coalesce(list_aggregate(list_transform(list_filter(g.kids, lambda s: s.pos < w.pos), lambda s: s.h), 'string_agg', ''), '') || acc
+      || coalesce(list_aggregate(list_transform(list_filter(g.kids, lambda s: s.pos > w.pos), lambda s: s.h), 'string_agg', ''), ''))
+  FROM upper w JOIN (SELECT k, pos // 8 AS up, list({'pos': pos, 'h': h} ORDER BY pos) AS kids FROM high GROUP BY ALL) g ON w.k = g.k AND w.pos // 8 = g.up
+  WHERE w.n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root AS verified FROM upper, root WHERE n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": _OP1, "op3_chat_format": _OP3, "op4_warc_archive": _OP4, "op5_maxscore_top_k": _OP5}
+    return {"op1_minhash_near_dedup": _OP1, "op3_chat_format": _OP3, "op4_warc_archive": _OP4, "op5_maxscore_top_k": _OP5, "op11_filter_audit": _OP11, "op13_merkle_manifest": _OP13}
