@@ -26,7 +26,9 @@ WORD, SYMBOL, SPAN = r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]", 8
 LEAST_DEVIATION = (0.25, 0.06, 0.1, 0.4, 0.4)
 P = len(LEAST_DEVIATION)
 #: Steps of the grid in a unit, bins of distance in a doubling of it, the most concentration steps.
-GRID, BINS, MOST_STEPS = 64, 16, 20
+GRID, BINS, MOST_STEPS = 64, 16, 8
+#: Change of all logarithms of determinants at which the steps end.
+STILL = 1e-3
 #: Documents that an estimate needs. Smaller groups of a language are one group, and if still too small, those of all languages.
 LEAST_GROUP = 10 * P
 INLIERS, VERDICT = 0.975, 0.99999
@@ -87,89 +89,89 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def vector() -> list[Column]:
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    return [F.log(n), F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), F.log(1 + 10 * F.col("n_symbols") / n), F.log(1 + F.col("n_dup_lines")), F.log(1 + 10 * F.col("n_repeat_words") / n)]
+#: The vector; its words are counted as one at least, so that it is defined for texts without any.
+VECTOR = [
+    "ln(greatest(n_words, 1))", "ln(greatest(word_chars, 1) / greatest(n_words, 1))", "ln(1 + 10 * n_symbols / greatest(n_words, 1))",
+    "ln(1 + n_dup_lines)", "ln(1 + 10 * n_repeat_words / greatest(n_words, 1))",
+]
+LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
 
 
 def _below(i: int, j: int) -> int:
     return i * (i + 1) // 2 + j
 
 
+def _total(terms) -> str:
+    return " + ".join(terms) or "0D"
+
+
 def _solved(rows: DataFrame) -> DataFrame:
     """Adds ``inverse``, that of the Cholesky factor of the scatter in ``cov`` (rows of the lower triangle), and the
-    determinant's logarithm."""
-    kept = rows.columns
-    for i in range(P):
-        for j in range(i + 1):
-            left = F.col("cov")[_below(i, j)] - sum((F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}") for k in range(j)), F.lit(0.0))
-            rows = rows.withColumn(f"_l{i}{j}", F.sqrt(F.greatest(left, F.lit(1e-12))) if i == j else left / F.col(f"_l{j}{j}"))
-    for i in range(P):
-        for j in range(i + 1):
-            own = F.lit(1.0) if i == j else -sum((F.col(f"_l{i}{k}") * F.col(f"_m{k}{j}") for k in range(j, i)), F.lit(0.0))
-            rows = rows.withColumn(f"_m{i}{j}", own / F.col(f"_l{i}{i}"))
-    inverse = F.array(*[f"_m{i}{j}" for i in range(P) for j in range(i + 1)])
-    logdet = 2 * sum((F.log(f"_l{i}{i}") for i in range(P)), F.lit(0.0))
-    return rows.select(*kept, inverse.alias("inverse"), logdet.alias("logdet"))
-
-
-def distance(x: list[Column]) -> Column:
+    determinant's logarithm. Each expression names earlier ones of the same selection."""
+    made = []
+    for i, j in LOWER:
+        left = f"(cov[{_below(i, j)}] - ({_total(f'l{i}{k} * l{j}{k}' for k in range(j))}))"
+        made.append(f"sqrt(greatest({left}, 1e-12D)) AS l{i}{j}" if i == j else f"{left} / l{j}{j} AS l{i}{j}")
+    for i, j in LOWER:
+        made.append(f"{'1D' if i == j else '-(' + _total(f'l{i}{k} * m{k}{j}' for k in range(j, i)) + ')'} / l{i}{i} AS m{i}{j}")
+    made += [f"array({', '.join(f'm{i}{j}' for i, j in LOWER)}) AS inverse", f"2 * ({_total(f'ln(l{i}{i})' for i in range(P))}) AS logdet"]
+    return rows.selectExpr("*", *made).select(*rows.columns, "inverse", "logdet")
+
+
+def distance(x: list[str]) -> str:
     """Squared, of ``x`` from ``mean`` by ``inverse``."""
-    sides = [sum((F.col("inverse")[_below(i, j)] * (x[j] - F.col("mean")[j]) for j in range(i + 1)), F.lit(0.0)) for i in range(P)]
-    return sum((s * s for s in sides), F.lit(0.0))
+    sides = [_total(f"inverse[{_below(i, j)}] * ({x[j]} - mean[{j}])" for j in range(i + 1)) for i in range(P)]
+    return _total(f"power({side}, 2)" for side in sides)
+
+
+SUMS = [f"s{i}" for i in range(P)] + [f"p{i}{j}" for i, j in LOWER]
 
 
-def _moments(rows: DataFrame, x: list[Column], keys: list[str], *more: Column) -> DataFrame:
-    """(keys, m, s0.., p00..): weight and sums of ``x`` less ``mean``, and of its products."""
-    off = [c - F.col("mean")[i] for i, c in enumerate(x)]
-    sums = [F.sum(F.col("n") * off[i]).alias(f"s{i}") for i in range(P)] + [F.sum(F.col("n") * off[i] * off[j]).alias(f"p{i}{j}") for i in range(P) for j in range(i + 1)]
-    return rows.groupBy(*keys).agg(F.sum("n").alias("m"), *sums, *more)
+def _moments(rows: DataFrame, x: list[str], keys: list[str]) -> DataFrame:
+    """(keys, total, mean, m, s0.., p00..): weight and sums of ``x`` less ``mean``, and of its products."""
+    off = [f"({c} - mean[{i}])" for i, c in enumerate(x)]
+    terms = [f"n * {off[i]}" for i in range(P)] + [f"n * {off[i]} * {off[j]}" for i, j in LOWER]
+    return rows.groupBy(*keys).agg(F.first("total").alias("total"), F.first("mean").alias("mean"), F.sum("n").alias("m"), *[F.expr(f"sum({t}) AS {name}") for t, name in zip(terms, SUMS)])
 
 
 def _estimate(sums: DataFrame, factor: float, *keys: str) -> DataFrame:
     """(keys, total, mean, cov, inverse, logdet) from sums about the mean before."""
-    mean = F.array(*[F.col("mean")[i] + F.col(f"s{i}") / F.col("m") for i in range(P)])
-    cov = [factor * (F.col(f"p{i}{j}") / F.col("m") - F.col(f"s{i}") * F.col(f"s{j}") / (F.col("m") * F.col("m"))) + (LEAST_DEVIATION[i] ** 2 if i == j else 0.0) for i in range(P) for j in range(i + 1)]
-    return _solved(sums.select(*keys, "total", mean.alias("mean"), F.array(*cov).alias("cov")))
+    mean = ", ".join(f"mean[{i}] + s{i} / m" for i in range(P))
+    cov = ", ".join(f"{factor!r}D * (p{i}{j} / m - s{i} / m * s{j} / m) + {LEAST_DEVIATION[i] ** 2 if i == j else 0.0!r}D" for i, j in LOWER)
+    return _solved(sums.selectExpr(*keys, "total", f"array({mean}) AS mean", f"array({cov}) AS cov"))
 
 
-def _starts(cells: DataFrame, x: list[Column], ws: Workspace) -> DataFrame:
+def _starts(cells: DataFrame, x: list[str], ws: Workspace) -> DataFrame:
     """(g, start, total, mean, cov, inverse, logdet): from medians and deviations, and from plain moments. A percentile holds a
     count for each step of the grid that occurs."""
-    middle = lambda c: F.percentile(c, F.lit(0.5), F.col("n"))
-    centre = ws.put(cells.groupBy("g").agg(F.array(*[middle(c) for c in x]).alias("mean"), F.sum("n").alias("total")), "centre")
+    medians = ", ".join(f"percentile({c}, 0.5D, n)" for c in x)
+    centre = ws.put(cells.groupBy("g").agg(F.expr(f"array({medians}) AS mean"), F.sum("n").alias("total")), "centre")
     about = cells.join(centre, "g")
-    spread = [middle(F.abs(c - F.col("mean")[i])) for i, c in enumerate(x)]
-    held = (F.first("mean").alias("mean"), F.first("total").alias("total"))
-    robust = about.groupBy("g").agg(*held, F.array(*spread).alias("mad"))
-    cov = [F.pow(1.4826 * F.col("mad")[i], F.lit(2)) + LEAST_DEVIATION[i] ** 2 if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)]
-    robust = _solved(robust.select("g", "total", "mean", F.array(*cov).alias("cov")))
-    plain = _estimate(_moments(about, x, ["g"], *held), 1.0, "g")
+    spread = ", ".join(f"percentile(abs({c} - mean[{i}]), 0.5D, n)" for i, c in enumerate(x))
+    robust = about.groupBy("g").agg(F.first("total").alias("total"), F.first("mean").alias("mean"), F.expr(f"array({spread}) AS mad"))
+    cov = ", ".join(f"power(1.4826D * mad[{i}], 2) + {LEAST_DEVIATION[i] ** 2!r}D" if i == j else "0D" for i, j in LOWER)
+    robust = _solved(robust.selectExpr("g", "total", "mean", f"array({cov}) AS cov"))
+    plain = _estimate(_moments(about, x, ["g"]), 1.0, "g")
     return ws.put(robust.withColumn("start", F.lit(0)).unionByName(plain.withColumn("start", F.lit(1))), "state-0")
 
 
 def estimates(cells: DataFrame, ws: Workspace) -> DataFrame:
     """(g, mean, inverse) from the written ``cells`` (g, q0.., n)."""
-    x = [F.col(f"q{i}") / float(GRID) for i in range(P)]
-    half = F.floor((F.col("total") + P + 1) / 2)
-    state = _starts(cells, x, ws)
-    keys, now = ["g", "start", "bin"], F.first(F.struct("mean", "total")).alias("now")
+    x = [f"q{i} / {GRID}D" for i in range(P)]
+    state, place = _starts(cells, x, ws), Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     for step in range(1, MOST_STEPS + 1):
-        met = cells.join(state, "g")
-        near = _moments(met.withColumn("bin", F.floor(F.log2(distance(x) + 1e-9) * BINS)), x, keys, now)
-        before = F.sum("m").over(Window.partitionBy("g", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
-        near = near.select("*", "now.mean", "now.total").withColumn("before", before).where(F.col("before") < half)
-        added = [F.sum(c).alias(c) for c in near.columns if c == "m" or c[0] in "sp" and c[1:].isdigit()]
-        sums = near.groupBy("g", "start").agg(*added, F.first("mean").alias("mean"), F.first("total").alias("total"))
+        met = cells.join(state, "g").withColumn("bin", F.expr(f"floor(log2({distance(x)} + 1e-9D) * {BINS})"))
+        bins = _moments(met, x, ["g", "start", "bin"]).withColumn("before", F.sum("m").over(place) - F.col("m"))
+        near = bins.where(F.col("before") < F.floor((F.col("total") + P + 1) / 2))
+        sums = near.groupBy("g", "start").agg(F.first("total").alias("total"), F.first("mean").alias("mean"), *[F.sum(c).alias(c) for c in ("m", *SUMS)])
         last, state = state, ws.put(_estimate(sums, consistency(0.5), "g", "start").select(*state.columns), f"state-{step}")
         moved = state.join(last.select("g", "start", F.col("logdet").alias("was")), ["g", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).head()[0]
         ws.drop(f"state-{step - 1}")
-        if moved is None or moved < 1e-6:
+        if moved is None or moved < STILL:
             break
     best = state.groupBy("g").agg(F.min_by(F.struct("total", "mean", "inverse"), F.struct("logdet", "start")).alias("b")).select("g", "b.*")
-    inside = cells.join(ws.put(best, "best"), "g").where(distance(x) <= quantile(INLIERS))
-    sums = _moments(inside, x, ["g"], F.first("mean").alias("mean"), F.first("total").alias("total"))
-    return ws.put(_estimate(sums, consistency(INLIERS), "g").select("g", "mean", "inverse"), "estimates")
+    inside = cells.join(ws.put(best, "best"), "g").where(f"{distance(x)} <= {quantile(INLIERS)!r}D")
+    return ws.put(_estimate(_moments(inside, x, ["g"]), consistency(INLIERS), "g").select("g", "mean", "inverse"), "estimates")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -196,7 +198,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), told("lang"), told("source"), "text"), "doc_id", "_lang", "_source")
     rows = ws.put(rows.withColumn("base_failed", base_failed()), "statistics")
     rows = rows.join(ws.put(grouped(rows), "groups"), ["_lang", "_source"], "left")
-    grid = [F.round(c * GRID).cast("int").alias(f"q{i}") for i, c in enumerate(vector())]
+    grid = [F.expr(f"CAST(round({v} * {GRID}) AS INT) AS q{i}") for i, v in enumerate(VECTOR)]
     cells = ws.put(rows.where("not base_failed and g is not null").groupBy("g", *grid).agg(F.count("*").alias("n")), "cells")
-    far = rows.join(estimates(cells, ws), "g", "left").withColumn("_far", distance(vector()) > quantile(VERDICT))
+    far = rows.join(estimates(cells, ws), "g", "left").withColumn("_far", F.expr(f"{distance(VECTOR)} > {quantile(VERDICT)!r}D"))
     return far.select("doc_id", *stats, "base_failed", (~F.col("base_failed") & ~F.coalesce("_far", F.lit(False))).alias("kept"))
