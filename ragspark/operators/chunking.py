@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ragspark.functions import text as T
 from ragspark.functions.vector import cosine
+from ragspark.operators import code
 
 # fixed values: sizes, and the separators of recursive splitting in order
 SIZE, OVERLAP = 500, 100
@@ -109,34 +110,17 @@ def token_aware(chunks: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
     return cut.select("doc_id", (F.row_number().over(order) - 1).alias("chunk_index"), "text", "start_offset", "end_offset")
 
 
-_TYPE = re.compile(r"\b(?:class|struct|interface|record|enum)\s+(\w+)")
-_MEMBER = re.compile(r"(?:public|private|protected|internal|static|async|override|virtual|\s)*[\w<>\[\],?.]+\s+\w+\s*\([^;{}]*\)\s*(?=\{|=>)|\b\w+\s*\([^;{}]*\)\s*(?=\{)")
+code_spans = code.spans
 
 
-def code_spans(source: str) -> list[tuple[int, int, str]]:
-    """One chunk a type and one a method or constructor, in order of their start, each under the file's using lines,
-    namespace and enclosing types. An approximation by matching braces; a file without members is one chunk."""
-    head = "\n".join(m[0].strip() for m in re.finditer(r"^\s*(?:using [^;(]+;|namespace [\w.]+\s*[;{]?)", source, re.M))
-    found: list[tuple[int, int, str]] = []
-
-    def close(at: int) -> int:
-        depth = 0
-        for i in range(at, len(source)):
-            depth += (source[i] == "{") - (source[i] == "}")
-            if source[i] == "}" and not depth:
-                return i + 1
-        return len(source)
-
-    types = [(m.start(), close(source.find("{", m.end())), m[0]) for m in _TYPE.finditer(source) if source.find("{", m.end()) >= 0]
-    spans = types + [(m.start(), close(source.find("{", m.end() - 1)), "") for a, z, _ in types for m in _MEMBER.finditer(source, a, z) if source[m.end() : m.end() + 1] == "{" and not _TYPE.search(m[0]) and not re.match(r"\s*(if|for|foreach|while|switch|using|lock|catch)\b", m[0])]
-    for a, z, _ in sorted(set(spans)):
-        outer = [t for x, y, t in types if x < a and z <= y]
-        found.append((a, z, "\n".join(filter(None, [head, *outer, source[a:z].strip()]))))
-    return found or [(0, len(source), source)]
-
-
-def code_aware(files: DataFrame) -> DataFrame:
-    return _mapped(files, lambda s: code_spans(s) if s else [])
+def code_aware(files: DataFrame, between: str = "\n\n") -> DataFrame:
+    """Chunks along types and members of C# sources (doc_id, text). Offsets are those of the members in the file. Where ``files``
+    has a source_path, a file of another suffix than .cs is one chunk."""
+    if "source_path" not in files.columns:
+        return _mapped(files, lambda s: code.spans(s, between))
+    is_code = F.lower("source_path").endswith(".cs")
+    whole = files.where(~F.coalesce(is_code, F.lit(False)) & (F.trim("text") != "")).select("doc_id", F.lit(0).alias("chunk_index"), "text", F.lit(0).alias("start_offset"), F.length("text").alias("end_offset"))
+    return _mapped(files.where(is_code), lambda s: code.spans(s, between)).unionByName(whole)
 
 
 def semantic(chunks: DataFrame, least: float = 0.5) -> DataFrame:

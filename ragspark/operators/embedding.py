@@ -73,34 +73,60 @@ def _packed(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     return rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).mapInPandas(run, "width int, ids binary, matrix binary")
 
 
+def grid(slots: int, ratio: float) -> tuple[int, int]:
+    """(groups of queries, groups of candidates) whose product is near ``slots``: each block of queries is copied to each
+    group of candidates and the other way round, so with ``ratio`` bytes of candidates to a byte of queries both cost the same."""
+    columns = min(slots, max(1, round((slots * ratio) ** 0.5)))
+    return max(1, slots // columns), columns
+
+
+def _bytes(rows: DataFrame) -> int:
+    """Spark's own estimate; of files, it knows their size."""
+    return max(1, int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def met_blocks(asked: DataFrame, blocks: DataFrame, slots: int, ratio: float) -> DataFrame:
+    """Pairs of blocks of queries (q_*) and of candidates (c_*), both with ``width``: every block of one meets every
+    block of the other of its width once, dealt over the cells of a grid. Blocks are numbered in turn, so groups are even."""
+    rows, columns = grid(slots, ratio)
+    turn = lambda n: F.pmod(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + F.spark_partition_id(), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("_row", turn(rows)).withColumn("_column", every(columns))
+    right = blocks.withColumn("_column", turn(columns)).withColumn("_row", every(rows))
+    return right.join(left, ["_row", "_column", "width"]).drop("_row", "_column")
+
+
 def neighbours(queries: DataFrame, corpus: DataFrame, k: int, least: float | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, score): the k nearest by cosine, exact. queries (query_id, embedding), corpus
     (chunk_id, embedding). Zero vectors score 0; ties, at DIGITS digits, go to the smaller chunk_id.
 
-    Blocks of queries are sent to slots that hold the corpus's blocks; each meeting is one matrix product whose k
+    Blocks of queries meet blocks of the corpus in the cells of a grid; each meeting is one matrix product whose k
     best survive, so the shuffle to the final ranking holds k rows a query and block."""
-    blocks = _packed(corpus, "chunk_id", "embedding", BLOCK_ROWS)
+    named = lambda blocks, by: blocks.select("width", F.col("ids").alias(f"{by}_ids"), F.col("matrix").alias(f"{by}_m"))
+    dealt, asked = named(_packed(corpus, "chunk_id", "embedding", BLOCK_ROWS), "c"), named(_packed(queries, "query_id", "embedding", QUERY_ROWS), "q")
     slots = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks.select("width", F.col("ids").alias("ids_c"), F.col("matrix").alias("m_c"), F.pmod(F.xxhash64("ids"), F.lit(slots)).alias("slot"))
-    asked = _packed(queries, "query_id", "embedding", QUERY_ROWS).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for width, ids_c, m_c, ids, m in zip(f.width, f.ids_c, f.m_c, f.ids, f.matrix, strict=True):
+            for width, ids_c, m_c, ids, m in zip(f.width, f.c_ids, f.c_m, f.q_ids, f.q_m, strict=True):
                 c, q = (np.frombuffer(x, np.float64).reshape(-1, width) for x in (m_c, m))
-                cid, qid = np.frombuffer(ids_c, np.int64), np.frombuffer(ids, np.int64)
                 size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]
                 score = np.round(np.divide(q @ c.T, size, out=np.zeros(size.shape), where=size > 0), DIGITS)
-                order = np.argsort(cid, kind="stable")
-                best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
-                yield pd.DataFrame({"query_id": np.repeat(qid, best.shape[1]), "chunk_id": cid[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+                yield _nearest_of(np.frombuffer(ids, np.int64), np.frombuffer(ids_c, np.int64), score, k)
 
-    found = dealt.join(asked, ["slot", "width"]).mapInPandas(run, "query_id long, chunk_id long, score double")
+    found = met_blocks(asked, dealt, slots, _bytes(corpus) / _bytes(queries)).mapInPandas(run, "query_id long, chunk_id long, score double")
     if least is not None:
         found = found.where(F.col("score") >= least)
     return ranked(found, k)
 
 
+def _nearest_of(qid: np.ndarray, cid: np.ndarray, score: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of each row of ``score``, ties to the smaller of ``cid``."""
+    order = np.argsort(cid, kind="stable")
+    best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
+    return pd.DataFrame({"query_id": np.repeat(qid, best.shape[1]), "chunk_id": cid[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()})
+
+
 def postfiltered(queries: DataFrame, corpus: DataFrame, k: int, keep: Column, times: int = 4) -> DataFrame:
     """The mode for filters that a store cannot take: ``times * k`` neighbours, then the filter over the corpus's columns,
     then the first k. Fewer than k may be left."""
@@ -113,20 +139,70 @@ def ranked(hits: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
 
-def quantised_search(queries: DataFrame, corpus: DataFrame, k: int, wider: int = 4) -> DataFrame:
-    """Candidates by int8 codes, the best ``wider * k`` of them rescored with the stored vectors."""
+#: Largest code, and columns whose products of codes stay exact in single precision (127 * 127 * 1024 < 2 ** 24).
+TOP_CODE, EXACT_COLUMNS = 127, 1024
 
-    def codes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def quantised(rows: DataFrame, key: str, vector: str = "embedding", size: int = BLOCK_ROWS) -> DataFrame:
+    """Blocks (width, ids, scales, codes) of one-byte codes: a vector's largest value becomes 127, its scale is that value / 127.
+    Written as they are, codes take an eighth of the vectors' bytes as doubles and go into the product unchanged."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for v in f.embedding:
-                x = np.asarray(v, np.float64)
-                top = np.abs(x).max(initial=0) / 127 or 1.0
-                rows.append(np.floor(x / top + 0.5).astype(np.int8))
-            yield pd.DataFrame({f.columns[0]: f.iloc[:, 0], "embedding": rows})
-
-    small = corpus.where("embedding is not null").select("chunk_id", "embedding").mapInPandas(codes, "chunk_id long, embedding array<tinyint>")
-    wide = neighbours(queries, small, wider * k).select("query_id", "chunk_id")
+            for width, g in f.groupby(f[vector].map(len), sort=True):
+                for i in range(0, len(g), size):
+                    x = np.array(g[vector].iloc[i : i + size].tolist(), np.float64)
+                    scale = np.abs(x).max(axis=1, initial=0) / TOP_CODE
+                    codes = np.floor(x / np.where(scale > 0, scale, 1)[:, None] + 0.5).astype(np.int8)
+                    yield pd.DataFrame({"width": [width], "ids": [g[key].iloc[i : i + size].to_numpy(np.int64).tobytes()], "scales": [scale.astype(np.float32).tobytes()], "codes": [codes.tobytes()]})
+
+    return rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).mapInPandas(run, "width int, ids binary, scales binary, codes binary")
+
+
+def integer_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two matrices of one-byte codes, as exact 32-bit integers."""
+    total = np.zeros((len(a), len(b)), np.int32)
+    for i in range(0, a.shape[1], EXACT_COLUMNS):
+        total += (a[:, i : i + EXACT_COLUMNS].astype(np.float32) @ b[:, i : i + EXACT_COLUMNS].astype(np.float32).T).astype(np.int32)
+    return total
+
+
+def dequantised(blocks: DataFrame, key: str) -> DataFrame:
+    """(key, embedding): codes times scales."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for width, ids, scales, codes in zip(f.width, f.ids, f.scales, f.codes, strict=True):
+                x = np.frombuffer(codes, np.int8).reshape(-1, width) * np.frombuffer(scales, np.float32)[:, None]
+                yield pd.DataFrame({key: np.frombuffer(ids, np.int64), "embedding": list(x.astype(np.float32))})
+
+    return blocks.mapInPandas(run, f"{key} long, embedding array<float>")
+
+
+def quantised_neighbours(asked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, chunk_id, score): the k nearest by the cosine of codes, both sides blocks of :func:`quantised`. Products
+    and squared norms are integers; a vector's scale cancels out of its cosines."""
+    slots = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = lambda b, by: b.select("width", F.col("ids").alias(f"{by}_ids"), F.col("codes").alias(f"{by}_m"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for width, ids_c, m_c, ids, m in zip(f.width, f.c_ids, f.c_m, f.q_ids, f.q_m, strict=True):
+                c, q = (np.frombuffer(x, np.int8).reshape(-1, width) for x in (m_c, m))
+                norms = [np.einsum("ij,ij->i", x, x, dtype=np.int64).astype(np.float64) for x in (q, c)]
+                size = np.sqrt(norms[0][:, None] * norms[1][None, :])
+                score = np.round(np.divide(integer_products(q, c), size, out=np.zeros(size.shape), where=size > 0), DIGITS)
+                yield _nearest_of(np.frombuffer(ids, np.int64), np.frombuffer(ids_c, np.int64), score, k)
+
+    ratio = _bytes(blocks) / _bytes(asked)
+    return ranked(met_blocks(named(asked, "q"), named(blocks, "c"), slots, ratio).mapInPandas(run, "query_id long, chunk_id long, score double"), k)
+
+
+def quantised_search(queries: DataFrame, corpus: DataFrame, k: int, wider: int = 4, blocks: DataFrame | None = None) -> DataFrame:
+    """The ``wider * k`` nearest by one-byte codes, rescored with the stored vectors. ``blocks`` are the corpus's codes as
+    :func:`quantised` wrote them; without them they are made here."""
+    blocks = quantised(corpus, "chunk_id") if blocks is None else blocks
+    wide = quantised_neighbours(quantised(queries, "query_id", size=QUERY_ROWS), blocks, wider * k).select("query_id", "chunk_id")
     exact = wide.join(corpus.select("chunk_id", F.col("embedding").alias("v")), "chunk_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
     return ranked(exact.select("query_id", "chunk_id", F.round(cosine("q", "v"), DIGITS).alias("score")), k)
 
@@ -209,47 +285,3 @@ def embedded(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], t
             yield pd.Series(got)
 
     return rows.withColumn("embedding", run(text))
-
-
-def ivf(corpus: DataFrame, cells: int, sample_rows: int = 20_000, seed: int = 5) -> np.ndarray:
-    """Cell centres by k-means on about ``sample_rows`` rows (drawn by hash); every row is indexed by its nearest."""
-    n = corpus.count()
-    part = min(1.0, sample_rows / n) if n else 1.0
-    got = corpus.where(F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.lit(1 << 30)) < int(part * (1 << 30))).select("chunk_id", "embedding").collect()
-    x = np.array([r["embedding"] for r in sorted(got, key=lambda r: r["chunk_id"])], np.float64)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rng = np.random.Generator(np.random.PCG64(seed))
-    centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
-    for _ in range(12):
-        near = np.argmax(x @ centres.T, axis=1)
-        centres = np.stack([x[near == j].mean(axis=0) if (near == j).any() else centres[j] for j in range(len(centres))])
-        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    return centres
-
-
-def approximate_neighbours(queries: DataFrame, corpus: DataFrame, k: int, cells: int = 16, probes: int = 12) -> DataFrame:
-    """As :func:`neighbours`, over the ``probes`` cells nearest to each query. All rows are indexed; cells are joined by
-    key, and a cell that holds many rows is split like any skewed join."""
-    centres = ivf(corpus, cells)
-
-    def nearest(n: int):
-        @F.pandas_udf("array<int>")
-        def run(s: pd.Series) -> pd.Series:
-            m = np.array(s.tolist(), np.float64) @ centres.T if len(s) else np.zeros((0, len(centres)))
-            return pd.Series(np.argsort(-m, axis=1, kind="stable")[:, :n].tolist())
-
-        return run
-
-    indexed = corpus.select("chunk_id", "embedding", F.element_at(nearest(1)("embedding"), 1).alias("cell"))
-    asked = queries.select("query_id", F.col("embedding").alias("q"), F.explode(nearest(min(probes, len(centres)))("embedding")).alias("cell"))
-    met = indexed.join(asked, "cell")
-
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype="float64")
-        x, y = np.array(a.tolist(), np.float64), np.array(b.tolist(), np.float64)
-        size = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
-        return pd.Series(np.round(np.divide((x * y).sum(axis=1), size, out=np.zeros(len(x)), where=size > 0), DIGITS))
-
-    return ranked(met.select("query_id", "chunk_id", score("embedding", "q").alias("score")), k)

@@ -11,7 +11,7 @@ from ragspark.operators import evaluation, operations, security
 from ragspark.plans.common import POSTINGS_SQL, questions, sparse, sparse_sql, table
 from ragspark.sources.shared import shared_folder
 from ragspark.sources.tables import manifest
-from ragspark.streaming import state
+from ragspark.streaming import state, stateful
 
 QUERIES, SQL = {}, {}
 KEY = b"a key for tests and demonstrations"
@@ -166,29 +166,70 @@ def audit_verify(spark, sf_dir):
 
 
 # requests a user in order of time, with the times of those allowed so far
-@query("""WITH RECURSIVE e AS (SELECT event_type AS tenant, user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS i FROM events),
+RATE_SQL = """WITH RECURSIVE e AS (SELECT event_type AS tenant, user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS i FROM events),
 s AS (SELECT tenant, user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BOOLEAN) AS allowed, CAST([] AS BIGINT[]) AS held FROM (SELECT DISTINCT tenant, user_id FROM e) UNION ALL
   SELECT e.tenant, e.user_id, e.i, event_id, len(list_filter(held, lambda x: x > t - 86400000000)) < 3,
     CASE WHEN len(list_filter(held, lambda x: x > t - 86400000000)) < 3 THEN list_append(held, t) ELSE held END FROM s JOIN e ON e.tenant = s.tenant AND e.user_id = s.user_id AND e.i = s.i + 1)
-SELECT tenant, user_id, request_id, allowed FROM s WHERE i > 0""")
+SELECT tenant, user_id, request_id, allowed FROM s WHERE i > 0"""
+
+
+@query(RATE_SQL)
 def rate_limit(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("tenant"), "user_id", F.col("event_id").alias("request_id"), "ts")
     return security.rate_limited(rows, 3, 86_400.0).select("tenant", "user_id", "request_id", "allowed")
 
 
 # requests a tenant in order of time, with the times of used slots, the charges and the end of the open breaker so far
-@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+BUDGET_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 s AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS request_id, CAST('' AS VARCHAR) AS outcome, CAST([] AS BIGINT[]) AS slots, CAST([] AS STRUCT(t BIGINT, v DOUBLE)[]) AS spent, CAST(-1 AS BIGINT) AS shut FROM (SELECT DISTINCT user_id FROM e) UNION ALL
   SELECT user_id, i, event_id, outcome, CASE WHEN outcome IN ('quota', 'admitted') THEN list_append(slots, t) ELSE slots END,
     CASE WHEN outcome = 'admitted' AND value > 0 THEN list_append(spent, {'t': t, 'v': value}) ELSE spent END, CASE WHEN outcome = 'quota' THEN t + 43200000000 ELSE shut END
   FROM (SELECT e.*, slots, spent, shut, CASE WHEN t < shut THEN 'breaker' WHEN len(list_filter(slots, lambda x: x > t - 86400000000)) >= 5 THEN 'rate'
     WHEN coalesce(list_sum(list_transform(list_filter(spent, lambda x: x.t > t - 604800000000), lambda x: x.v)), 0) >= 300 THEN 'quota' ELSE 'admitted' END AS outcome FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1))
-SELECT CAST(user_id AS VARCHAR) AS tenant, request_id, outcome FROM s WHERE i > 0""")
+SELECT CAST(user_id AS VARCHAR) AS tenant, request_id, outcome FROM s WHERE i > 0"""
+
+
+@query(BUDGET_SQL)
 def budget_admit(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("tenant"), F.col("event_id").alias("request_id"), "ts", F.col("value").alias("usd"))
     return operations.budget_admission(rows, 5, 86_400.0, 300.0, 7 * 86_400.0, 43_200.0).select("tenant", "request_id", "outcome")
 
 
+# the same rules as streams: rows come in two slices, up to half a day late, each read by a new start of the stream
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, make) -> DataFrame:
+    """All that the stream decides of ``rows`` (..., ts, seq). The last slice ends with a row of no user, far ahead, that lets the
+    watermark pass the others."""
+    arrival = F.col("ts") + F.expr("make_dt_interval(0, 6 * CAST(seq % 3 AS INT))")
+    slice_ = F.least(F.floor(F.datediff(arrival, F.lit("2024-01-01").cast("date")) / 16), F.lit(1))
+    ahead = spark.range(1).select(*[F.lit("2024-06-01" if f.name == "ts" else "-1").cast(f.dataType).alias(f.name) for f in rows.schema])
+    slices = [rows.where(slice_ == i) for i in range(2)]
+    return stateful.in_slices(rows, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", [slices[0], slices[1].unionByName(ahead)], make)
+
+
+@query(RATE_SQL)
+def rate_limit_stream(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("tenant"), "user_id", F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+    return _streamed(spark, rows, lambda r: stateful.rate_limits(r, 3, 86_400.0)).where("user_id >= 0").select("tenant", "user_id", "request_id", "allowed")
+
+
+@query(BUDGET_SQL)
+def budget_admit_stream(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("tenant"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("usd"), F.col("event_id").alias("seq"))
+    return _streamed(spark, rows, lambda r: stateful.budgets(r, 5, 86_400.0, 300.0, 7 * 86_400.0, 43_200.0)).where("request_id >= 0").select("tenant", "request_id", "outcome")
+
+
+# a conversation's writes end where the next one comes more than two days later; the last run of them is told until it expires too
+@query("""WITH e AS (SELECT user_id AS id, event_type AS slot, event_id AS seq, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following FROM events)
+SELECT id, count(*) FILTER (WHERE following IS NULL OR following >= ts + INTERVAL 2 DAY) AS expiries FROM e GROUP BY id""")
+def conversation_expiry_stream(spark, sf_dir):
+    """How often each conversation was forgotten, two days of event time after its last write."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("slot"), F.col("event_id").cast("string").alias("blob"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    told = _streamed(spark, rows, lambda r: stateful.conversations(r, 2 * 86_400.0)).where("id >= 0")
+    return told.groupBy("id").agg(F.count_if("expired").alias("expiries"))
+
+
 # evaluation
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ragspark.functions import text as T
 from ragspark.functions.stats import mcnemar, wilson
 from ragspark.functions.vector import cosine
-from ragspark.operators import chunking, dedup, embedding, evaluation, filters, fusion, graph, operations, retrieval, routing, security, structure
+from ragspark.operators import chunking, code, dedup, embedding, evaluation, filters, fusion, graph, operations, retrieval, routing, security, structure
 
 
 def hits(spark, rows):
@@ -295,6 +295,80 @@ def test_chunkers(spark):
     assert len(out) == 3 and all(t.startswith("using A;\nnamespace N;") for t in out) and "class C" in out[1]
 
 
+CODE = '''using System;
+global using X = A.B<C>;
+
+[assembly: Foo("}")]
+namespace A.B
+{
+    /// <summary> { brace </summary>
+    [Attr("{", Named = typeof(X))]
+    public sealed class C<T> : Base<T>, I where T : class, new()
+    {
+        const string s = "}"; char c = '{'; char d = '\\''; string v = @"a ""{"" \\";
+        string raw = """
+            { " "" } class Not { void No() { } }
+            """;
+        string i1 = $"{{ {F("}")} {(x ? "{" : $"{y}")} }}";
+        string i2 = $@"c:\\{name}\\""{{";
+        string i3 = $$"""{ {{F("}")}} """;
+        #region { unbalanced
+        #endregion
+        Func<int, int> f = x => { return G(x); };
+        public int P { get; set; } = Make(1);
+        public int Q => Make(2);
+        public event Action E { add { } remove { } }
+        public delegate int D(int x);
+        int this[int i] { get { return 1; } }
+
+        public C(int x) : base(x) { }
+        ~C() { }
+        // before F
+        public async Task<List<(int, string)>> F<U>(int a, string b = "{") where U : new() { if (a > 0) { var t = "{"; } void Local() { } } // after F
+        (int a, int b) Tuple(int x) => (x, x switch { 1 => 2, _ => 3 });
+        public static bool operator ==(C<T> a, C<T> b) => a.Equals(b);
+        public static implicit operator C<T>(int x) { return null; }
+        void I.Explicit() { }
+        abstract int Abs(int z);
+        enum Kind { A = 1, B }
+        interface In { void M(); int N { get; } }
+        record Rec(int X, string Y) { public int Z() => X; }
+        record struct Rs(int X);
+    }
+}
+'''
+
+
+def test_code_members():
+    out = code.spans(CODE)
+    names = ["C<T>", "public C(int", "~C()", "// before F", "Tuple(", "operator ==", "implicit operator", "I.Explicit", "Abs", "enum Kind", "interface In", "void M", "record Rec", "int Z", "record struct Rs"]
+    assert len(out) == len(names) and all(n in t for n, (_, _, t) in zip(names, out))
+    head = "using System;\nglobal using X = A.B<C>;\nnamespace A.B;\n"
+    assert all(t.startswith(head) for _, _, t in out) and all(t.startswith(head + "public sealed class C\n") for _, _, t in out[1:])
+    assert out[11][2] == head + "public sealed class C\ninterface In\n\nvoid M();" and out[3][2].endswith("// after F")
+    assert all(t.endswith(CODE[a:z].strip()) for a, z, t in out)
+    inside = CODE[CODE.index("[Attr") : CODE.rindex("}")].rstrip()  # nothing of a type is lost
+    assert inside in CODE[out[0][0] : out[0][1]]
+
+
+def test_code_of_odd_files(spark):
+    two = "namespace Foo;\n\npublic class Bar\n{\n    public int Add(int a, int b) => a + b;\n    public int Sub(int a, int b) => a - b;\n}\n"
+    assert [t for _, _, t in code.spans(two)][1:] == ["namespace Foo;\npublic class Bar\n\npublic int Add(int a, int b) => a + b;", "namespace Foo;\npublic class Bar\n\npublic int Sub(int a, int b) => a - b;"]
+    assert code.spans(" \n") == [] and code.spans("Just text.") == [(0, 10, "Just text.")]
+    assert len(code.spans("class A { void F() {")) == 2 and len(code.spans("} } class Z { }")) == 1 and code.spans('class A { string s = "') [0][1] == 22
+    got = code.spans('class A { string s = "}"; void F() { var t = "{"; } void G() { } }')
+    assert [t for _, _, t in got][1:] == ['class A\n\nvoid F() { var t = "{"; }', "class A\n\nvoid G() { }"]
+    files = spark.createDataFrame([(1, two, "a/Bar.cs"), (2, two, "b.txt"), (3, " ", "c.CS"), (4, None, "d.cs"), (5, "x", None)], "doc_id long, text string, source_path string")
+    assert sorted((r.doc_id, r.chunk_index) for r in chunking.code_aware(files).collect()) == [(1, 0), (1, 1), (1, 2), (2, 0), (5, 0)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["class A {", "}", "void F() {", '"', '$"', '"""', "{", "'", "\\", "//", "\n", "/*", "*/", ";", "=", "=>", "(", ")", "x", "namespace N", "using A", "@", "[", "]", "enum E", "<", ">", " "]), max_size=40))
+def test_code_spans_never_fail(parts):
+    text = "".join(parts)
+    assert all(0 <= a <= z <= len(text) for a, z, _ in code.spans(text))
+
+
 def test_indexing_strategies(spark):
     c = spark.createDataFrame([("d#0", "First one. Second."), ("e#0", " ")], "chunk_id string, text string")
     g = spark.createDataFrame([("d#0", "q1\n\n q2 ")], "chunk_id string, reply string")
@@ -329,12 +403,68 @@ def test_neighbours_against_brute_force(spark):
         assert got[i] == sorted(range(60), key=lambda j: (-s[j], j))[:4]
 
 
-def test_approximate_recall(spark, data):
-    from ragspark.plans.common import asked_vectors, nearest, vectors
-
-    exact = {(r.query_id, r.chunk_id) for r in nearest(spark, data, 10).collect()}
-    near = {(r.query_id, r.chunk_id) for r in embedding.approximate_neighbours(asked_vectors(spark, data), vectors(spark, data), 10).collect()}
-    assert len(exact & near) / len(exact) >= 0.9
+@pytest.mark.parametrize("shard_rows,near", [(32_768, True), (200, False)])
+def test_approximate_recall(spark, data, shard_rows, near):
+    """Of questions that are stored, and of others; in one shard and in several."""
+    from ragspark.operators import proximity
+    from ragspark.plans.common import asked_vectors, vectors
+    from ragspark.sources.shared import cut
+
+    stored = vectors(spark, data)
+    asked = asked_vectors(spark, data)
+    if near:
+        asked = asked.select("query_id", F.transform("embedding", lambda x, i: x + 0.05 * F.sin(i.cast("double") * (F.col("query_id") + 1))).alias("embedding"))
+    exact = embedding.neighbours(asked, stored, 10)
+    index = cut(proximity.shards(stored, shard_rows))
+    assert index.count() == (1 if shard_rows > 500 else 3)
+    hits, probes = proximity.search(asked, index, 10)
+    met = proximity.recall(hits, exact).agg(F.sum("found"), F.sum("wanted")).head()
+    assert met[0] >= 0.9 * met[1]
+    count = probes.agg(F.sum("probes"), F.sum("rows")).head()
+    assert count[0] < 0.2 * count[1] and count[1] == asked.count() * stored.count()
+    scores = {(r.query_id, r.chunk_id): r.score for r in exact.collect()}
+    assert all(abs(scores[r.query_id, r.chunk_id] - r.score) < 1e-6 for r in hits.collect() if (r.query_id, r.chunk_id) in scores)
+
+
+def test_approximate_search_of_odd_rows(spark):
+    from ragspark.operators import proximity
+    from ragspark.sources.shared import cut
+
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [1.0]), (6, [0.5, 0.5]), (7, [1.0, 0.0])]
+    d = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    index = cut(proximity.shards(d))
+    hits, _ = proximity.search(spark.createDataFrame([(9, [1.0, 0.0]), (8, None)], "query_id long, embedding array<double>"), index, 3)
+    assert [(r.query_id, r.rank, r.chunk_id) for r in hits.orderBy("rank").collect()] == [(9, 1, 1), (9, 2, 7), (9, 3, 6)]
+    assert proximity.search(d.where("false").withColumnRenamed("chunk_id", "query_id"), index, 3)[0].count() == 0
+    none = cut(proximity.shards(d.where("false")))
+    assert proximity.search(spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, embedding array<double>"), none, 3)[0].count() == 0
+
+
+def test_integer_products_are_exact():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(-127, 128, (n, 3000)).astype(np.int8) for n in (5, 7))
+    a[0], b[0] = 127, 127
+    assert (embedding.integer_products(a, b) == a.astype(np.int64) @ b.astype(np.int64).T).all()
+
+
+def test_codes_take_an_eighth_and_round_to_half_a_step(spark, data):
+    from ragspark.plans.common import vectors
+
+    stored = vectors(spark, data)
+    blocks = embedding.quantised(stored, "chunk_id")
+    sizes = blocks.agg(F.sum(F.octet_length("codes")).alias("c"), F.sum(F.octet_length("ids") / 8).alias("n")).head()
+    assert sizes.c == sizes.n * 64 and 8 * sizes.c == embedding._packed(stored, "chunk_id", "embedding", 4096).agg(F.sum(F.octet_length("matrix"))).head()[0]
+    x = {r.chunk_id: np.array(r.embedding) for r in stored.collect()}
+    for r in embedding.dequantised(blocks, "chunk_id").collect():
+        assert np.abs(np.array(r.embedding) - x[r.chunk_id]).max() <= np.abs(x[r.chunk_id]).max() / 254 + 1e-6
+
+
+def test_every_pair_of_blocks_meets_once_over_a_grid(spark):
+    assert embedding.grid(16, 1.0) == (4, 4) and embedding.grid(4096, 1.0) == (64, 64) and embedding.grid(8, 1e9) == (1, 8) and embedding.grid(8, 1e-9) == (8, 1)
+    q = spark.range(9, numPartitions=3).selectExpr("cast(3 as int) width", "id q_ids")
+    c = spark.range(11, numPartitions=4).selectExpr("cast(3 as int) width", "id c_ids")
+    met = embedding.met_blocks(q, c, 16, 1.0)
+    assert {(r.q_ids, r.c_ids) for r in met.collect()} == {(i, j) for i in range(9) for j in range(11)} and met.count() == 99
 
 
 def test_drift_adapter_recovers_a_rotation(spark):
