@@ -35,7 +35,9 @@ _STOP = re.compile("[>\"']")
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # fixed values: elements by how they are treated
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
-SILENT = frozenset("applet audio button canvas datalist embed form head iframe map math nav noembed noframes noscript object script select style svg template textarea title video aside footer menu".split())
+SILENT = frozenset("annotation annotation-xml applet audio button canvas datalist embed form head iframe map nav noembed noframes noscript object script select style template textarea title video aside footer menu".split())
+#: Silent elements that stand in a line of text and do not end it.
+INLINE = frozenset("annotation annotation-xml button select".split())
 RAW = frozenset("script style textarea title".split())
 CONTENT = frozenset("article main".split())
 #: Elements that end a region of the page outside an article.
@@ -45,21 +47,31 @@ NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner br
 #: Names of noise that an id inside an article gives to a section of the text as well.
 TOPICS = frozenset("banner consent cookie cookies disclaimer discussion menu navigation notice notices promotion related replies search share sharing social subscription".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: First words of names of reader comments, whatever element has them, and what follows them in names that only tell a state.
+COMMENTS, STATES = frozenset("comment comments commentlist disqus".split()), frozenset("allowed closed disabled enabled open status".split())
 _WORDS = re.compile(r"[a-z]+")
 
 
 def _noise(name: str, attributes: str, inside: bool) -> int:
-    """2 if all words of a class, id or role name noise, 1 if some word does outside an article, else 0."""
-    if name in ("body", "html", "article", "main") or not attributes or inside and name in HEADINGS:
+    """3 if a class, id or role is named after reader comments. 2 if all its words name noise or, inside an article, the first
+    of several does and is no topic; 1 if some word does outside an article, else 0. Whole pages and articles are
+    never noise but as comments."""
+    if name in ("body", "html", "main") or not attributes or inside and name in HEADINGS:
         return 0
     found = 0
     for m in _NAMED.finditer(attributes):
         for token in (m[2] or m[3] or m[4] or "").split():
             words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
-            if words and all(w in NOISE for w in words) and not (inside and m[1].lower() == "id" and len(words) == 1 and words[0] in TOPICS):
-                return 2
-            if not inside and any(w in NOISE for w in words):
-                found = 1
+            if words and words[0] in COMMENTS and not STATES & set(words[1:]):
+                return 3
+            if name == "article" or not words:
+                continue
+            if all(w in NOISE for w in words) and not (inside and m[1].lower() == "id" and len(words) == 1 and words[0] in TOPICS):
+                found = 2
+            elif inside and len(words) > 1 and words[0] in NOISE - TOPICS:
+                found = 2
+            elif not inside and any(w in NOISE for w in words):
+                found = max(found, 1)
     return found
 
 
@@ -183,10 +195,11 @@ def lines_of(page: str) -> list[Line]:
             continue
         noise = 0 if t.shut else _noise(name, t.attributes, depth > 0)
         if not t.shut and (name in SILENT or name == "header" and not depth or noise):
-            # a form, header or named wrapper around the text is not noise; after an article, one named so in full is
-            wraps = not depth and (name not in SILENT or name == "form") and (noise < 2 or not met)
+            # a form, header or named wrapper around the text is not noise; after an article, one named so in full is, and
+            # one of comments always
+            wraps = not depth and (name not in SILENT or name == "form") and (noise < 2 or noise == 2 and not met)
             if last and not (wraps and holds[last] > holds[i]):
-                if name in BLOCKS or name not in ("button", "select", "svg"):
+                if name in BLOCKS or name not in INLINE:
                     apart(name in APART and not depth)
                 at, i = found[last].end, last + 1
                 continue
@@ -231,7 +244,7 @@ def chosen(lines: list[Line], window: int = WINDOW) -> list[tuple[int, int]]:
     kept: dict[int, bool] = {}
     for a, z, peak in found:
         r = lines[a].region
-        kept[r] = kept.get(r, False) or peak >= bar or not lines[a].inside and any(x.heading for x in lines[a:z])
+        kept[r] = kept.get(r, False) or peak >= bar or any(x.heading for x in lines[a:z])
     inside = any(kept[lines[a].region] and lines[a].inside for a, _, _ in found)
     return [(a, z) for a, z, _ in found if kept[lines[a].region] and lines[a].inside == inside]
 
