@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .workspace import bounded, sliced
+from .workspace import Workspace, sliced
 
 BITS, WORD_BITS = 18, 20
 FEATURES = (1 << BITS) + (1 << WORD_BITS)
@@ -25,6 +25,8 @@ FEATURES = (1 << BITS) + (1 << WORD_BITS)
 PIECE, LONG, RUN = 12, 64, 16
 #: Labelled rows that are fitted at most (about; drawn by hash). Bounds the driver's memory, not the rows scored.
 FIT_ROWS = 20_000
+#: Bytes of their features at most; beyond, fewer rows are drawn.
+FIT_BYTES = 256 << 20
 EPOCHS, COST = 15, 1.0
 _CODES: dict[str, tuple[list[int], list[int]]] = {}
 _SHAPES: dict[str, list[int]] = {}
@@ -168,23 +170,29 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, label: str = "quality") -> Model:
-    """Fits on about ``most`` labelled rows that are not held out. The draw goes by a hash of doc_id, before texts
-    move. Rows without doc_id or label, and ids labelled both ways, are not used."""
-    bounded(spark)
+    """Fits on about ``most`` labelled rows that are not held out, one an id (of several texts, the one whose features are first as
+    bytes), and on FIT_BYTES of features at most. The draw goes by a hash of doc_id, before texts move. Rows without doc_id
+    or label, and ids labelled both ways, are not used."""
+    ws = Workspace(spark, "quality")
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("other")).where("y = other").select("doc_id", "y").where(~held_out("doc_id"))
     n = known.count()
     part = min(1.0, most / n) if n else 1.0
-    drawn = lambda: F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(part * (1 << 30))
+    drawn = lambda: F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(part * (1 << 30))  # noqa: E731  # reads ``part`` as it is then
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(drawn()).join(known.where(drawn()), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "y", "f"])
 
+    made = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f binary")
+    made = ws.put(made.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("f").alias("f")), "features")
+    size = made.agg(F.sum(F.octet_length("f"))).head()[0] or 0
+    if size > FIT_BYTES:
+        part *= FIT_BYTES / size
+        made = made.where(drawn())
     # a partition at a time: the driver holds the rows' features once, in Python
-    found = rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f binary").toLocalIterator()
-    got = sorted((r["doc_id"], bytes(r["f"]), r["y"]) for r in found)
+    got = sorted((r["doc_id"], bytes(r["f"]), r["y"]) for r in made.toLocalIterator())
     return fit([np.frombuffer(f, np.int32) for _, f, _ in got], np.array([1 if y == 1 else -1 for _, _, y in got]))
 
 
