@@ -6,9 +6,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ragspark.functions import text as T
+from ragspark.operators.numbering import numbered
 
 QUARANTINE = 0.8
 GENESIS = "0" * 64
@@ -95,6 +96,79 @@ def verified(chain: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     return out.join(told, "chain", "full").select("chain", "entries", "broken", F.coalesce(same, F.lit(False)).alias("whole"))
 
 
+#: Records of a segment of an audit chain.
+SEGMENT = 10_000
+
+
+def segmented(records: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """(chain, seq, record, pos, segment, prev_hash, hash) of records (chain, seq, record): a chain is cut into segments of ``size``
+    records, each a hash chain that starts from its own name, so segments are hashed apart and no task holds a chain."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, prev = None, ""
+        for f in batches:
+            out = []
+            for chain, seq, record, pos, segment in zip(f.chain, f.seq, f.record, f.pos, f.segment, strict=True):
+                if (chain, segment) != now:
+                    now, prev = (chain, segment), hashlib.sha256(f"{chain}|{segment}".encode()).hexdigest()
+                h = hashlib.sha256((prev + record).encode()).hexdigest()
+                out.append((chain, seq, record, pos, segment, prev, h))
+                prev = h
+            yield pd.DataFrame(out, columns=["chain", "seq", "record", "pos", "segment", "prev_hash", "hash"])
+
+    rows = numbered(records.select(F.coalesce("chain", F.lit("")).alias("chain"), F.col("seq").cast("long").alias("seq"), "record"), ["chain"], ["seq", "record"])
+    rows = rows.select("chain", "seq", "record", "pos", F.floor(F.col("pos") / size).alias("segment")).repartition("chain", "segment").sortWithinPartitions("chain", "segment", "pos")
+    return rows.mapInPandas(run, "chain string, seq long, record string, pos long, segment long, prev_hash string, hash string")
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("chain", "segment").agg(F.count("*").alias("entries"), F.max_by("hash", "pos").alias("hash"))
+
+
+def _head_of(key: bytes) -> Column:
+    """What a head's signature covers: its place, its records and the hash that the segment before ends with."""
+    return T.hmac_sha256(F.concat_ws("|", "chain", F.col("segment").cast("string"), F.col("entries").cast("string"), "hash", "before"), key)
+
+
+def _linked(heads: DataFrame) -> DataFrame:
+    """Adds ``before``, the hash of the segment before; an equi-join, so a chain's heads are not one task's."""
+    last = heads.select("chain", (F.col("segment") + 1).alias("segment"), F.col("hash").alias("before"))
+    return heads.join(last, ["chain", "segment"], "left").withColumn("before", F.coalesce("before", F.lit(GENESIS)))
+
+
+def heads(rows: DataFrame, key: bytes) -> DataFrame:
+    """(chain, segment, entries, hash, before, signature): a row a segment of :func:`segmented`."""
+    return _linked(_summed(rows)).withColumn("signature", _head_of(key))
+
+
+def _tip_of(key: bytes) -> Column:
+    return T.hmac_sha256(F.concat_ws("|", "chain", F.col("segments").cast("string"), F.col("entries").cast("string"), "last"), key)
+
+
+def tips(heads: DataFrame, key: bytes) -> DataFrame:
+    """(chain, segments, entries, last, signature): how long each chain is, signed and kept with it."""
+    rows = heads.groupBy("chain").agg(F.count("*").alias("segments"), F.sum("entries").alias("entries"), F.max_by("signature", "segment").alias("last"))
+    return rows.withColumn("signature", _tip_of(key))
+
+
+def verified_segments(rows: DataFrame, heads: DataFrame, tips: DataFrame, key: bytes) -> DataFrame:
+    """(chain, entries, broken, whole) of the records of :func:`segmented` with their heads and tips. broken counts records whose
+    link or hash is wrong. A chain is whole if none is and every segment is as long and ends as its signed head says, links to
+    the one before, and the heads are as many as the signed tip says: an end cut off shows, with or without its heads."""
+    w = Window.partitionBy("chain", "segment").orderBy("pos")
+    begin = F.sha2(F.concat_ws("|", "chain", F.col("segment").cast("string")), 256)
+    good = (F.col("prev_hash") == F.coalesce(F.lag("hash").over(w), begin)) & (F.col("hash") == F.sha2(F.concat("prev_hash", "record"), 256))
+    found = rows.select("chain", "segment", "pos", "hash", good.alias("good")).groupBy("chain", "segment").agg(F.count("*").alias("n"), F.count_if(~F.col("good")).alias("broken"), F.max_by("hash", "pos").alias("ends"))
+    signed = heads.drop("before").transform(_linked).withColumn("right", F.col("signature") == _head_of(key))
+    met = found.join(signed, ["chain", "segment"], "full")
+    right = F.coalesce(F.col("right") & (F.col("n") == F.col("entries")) & (F.col("ends") == F.col("hash")), F.lit(False))
+    each = met.groupBy("chain").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("broken"), F.lit(0)).alias("broken"), F.min(right).alias("right"), F.count("*").alias("count"), F.max("segment").alias("top"), F.max_by("signature", "segment").alias("ends"))
+    told = tips.withColumn("sealed", F.col("signature") == _tip_of(key)).select("chain", "segments", F.col("entries").alias("told"), "last", "sealed")
+    whole = F.col("right") & F.col("sealed") & (F.col("broken") == 0) & (F.col("count") == F.col("segments")) & (F.col("top") == F.col("segments") - 1) & (F.col("n") == F.col("told")) & (F.col("ends") == F.col("last"))
+    out = each.join(told, "chain", "full")
+    return out.select("chain", F.coalesce("n", F.lit(0)).alias("entries"), F.coalesce("broken", F.lit(0)).alias("broken"), F.coalesce(whole, F.lit(False)).alias("whole"))
+
+
 def rate_limited(requests: DataFrame, most: int, window_s: float) -> DataFrame:
     """Adds ``allowed`` to (tenant, user_id, ts, request_id): at most ``most`` allowed requests in any window of
     ``window_s`` seconds; refused ones take no room, so each decision rests on those before it. Users stream through

@@ -223,12 +223,13 @@ def chunk_code_strings(spark, sf_dir):
 
 @query("SELECT event_type AS chain, count(*) AS entries, count(*) FILTER (WHERE event_id % 100 = 7) AS broken, count(*) FILTER (WHERE event_id % 100 = 7) = 0 AND event_type <> (SELECT max(event_type) FROM events) AS whole FROM events GROUP BY event_type")
 def audit_tampered(spark, sf_dir):
-    """Chains with altered records, and one whose head is another than was told."""
+    """Chains with altered records, and one whose tip is another than was signed."""
     e = table(spark, sf_dir, "events")
-    made = security.chained(e.select(F.col("event_type").alias("chain"), F.col("event_id").alias("seq"), F.to_json(F.struct("event_id", "user_id", "props")).alias("record")))
+    made = security.segmented(e.select(F.col("event_type").alias("chain"), F.col("event_id").alias("seq"), F.to_json(F.struct("event_id", "user_id", "props")).alias("record")), 256)
     last = F.lit(e.agg(F.max("event_type")).first()[0])
-    heads = made.groupBy("chain").agg(F.count("*").alias("entries"), F.max_by("hash", "seq").alias("hash")).withColumn("hash", F.when(F.col("chain") == last, "other").otherwise(F.col("hash")))
-    return security.verified(made.withColumn("record", F.when(F.col("seq") % 100 == 7, F.concat("record", F.lit(" "))).otherwise(F.col("record"))), heads)
+    heads = security.heads(made, b"key")
+    tips = security.tips(heads, b"key").withColumn("signature", F.when(F.col("chain") == last, "other").otherwise(F.col("signature")))
+    return security.verified_segments(made.withColumn("record", F.when(F.col("seq") % 100 == 7, F.concat("record", F.lit(" "))).otherwise(F.col("record"))), heads, tips, b"key")
 
 
 @query("""WITH m AS (SELECT avg(least(1.0, value / 100)) AS f, avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END) AS r, count(*) FILTER (WHERE event_type = 'error') AS x, count(DISTINCT user_id) AS p FROM events),
