@@ -5,38 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ragspark.functions import text as T
-from ragspark.operators import chunking, fusion, retrieval
+from ragspark.operators import chunking, fusion, generation, retrieval
 from ragspark.plans.common import bow_vectors, questions, table
 
-# fixed values: the prompt's shell and the abstention
-SHELL = "Answer the question using only the sources below. Cite them as [Source n].\n"
-ABSTENTION = "No source answers this question."
-BUDGET = 4000
-
-
-def answered(packed: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, prompt, answer, sources): the prompt of each question and an extractive stand-in for a model, which
-    quotes the first sentence of the best source. Questions without context abstain."""
-    lines = packed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "line", "chunk_id", "text"))).alias("s"))
-    rows = asked.join(lines, "query_id", "left")
-    prompt = F.concat(F.lit(SHELL), F.array_join(F.transform("s", lambda x: x["line"]), ""), F.lit("Question: "), "text")
-    first = F.trim(F.element_at(F.split(F.element_at("s", 1)["text"], T.SUBCHUNK_GAP, 2), 1))
-    some = F.size(F.coalesce("s", F.array().cast("array<struct<rank:int,line:string,chunk_id:bigint,text:string>>"))) > 0
-    ids = F.transform("s", lambda x: x["chunk_id"])
-    return rows.select("query_id", F.when(some, prompt).otherwise(F.lit(ABSTENTION)).alias("prompt"), F.when(some, F.concat(first, F.lit(" [Source 1]"))).otherwise(F.lit(ABSTENTION)).alias("answer"), F.when(some, ids).alias("sources"))
+#: Room for a document's chunks in a chunk's number: texts of up to 400 million characters, ids below 9e12 (beyond, ANSI raises).
+CHUNKS = 1_000_000
 
 
 def ask(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """(query_id, prompt, answer, sources): questions without context abstain."""
     q = questions(spark, sf_dir)
     pieces = chunking.fixed_size(table(spark, sf_dir, "documents"))
-    c = pieces.select((F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"), "text")
+    c = pieces.select((F.col("doc_id") * CHUNKS + F.col("chunk_index")).alias("chunk_id"), "text")
     hits = retrieval.hybrid(q, c, bow_vectors(q, "query_id"), bow_vectors(c, "chunk_id"), max(20, k))
     # texts join late, on the ids of the fused lists only
     texts = hits.join(c, "chunk_id")
     words = lambda rows, key, name: rows.select(key, F.array_distinct(T.word_tokens("text")).alias(name))
     pairs = texts.select("query_id", "chunk_id", F.array_distinct(T.word_tokens("text")).alias("chunk_words")).join(words(q, "query_id", "query_words"), "query_id")
     best = fusion.reranked(hits, fusion.overlap_scores(pairs).select("query_id", "chunk_id", "score"), k)
-    line = F.concat(F.lit("[Source "), "rank", F.lit("] "), "text", F.lit("\n"))
-    lines = best.join(c, "chunk_id").select("query_id", "rank", "chunk_id", "text", line.alias("line"))
-    packed = fusion.packed(lines.withColumn("tokens", T.tokens_estimated(F.col("line"))), budget=BUDGET - len(SHELL) // 4)
-    return answered(packed, q)
+    out = generation.answered(generation.prompts(q, best.join(c, "chunk_id").select("query_id", "rank", "chunk_id", "text")))
+    return out.select("query_id", "prompt", "answer", F.transform("sources", lambda s: s["chunk_id"]).alias("sources"))
