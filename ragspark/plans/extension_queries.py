@@ -205,17 +205,21 @@ def chunk_code_members(spark, sf_dir):
     return chunking.code_aware(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("text")), between="\n").select("doc_id", "chunk_index", "text")
 
 
+def tricky_sources(spark, sf_dir):
+    piece = lambda *x: F.concat(*[F.col(v[1:]).cast("string") if v.startswith("$p_") else F.lit(v) for v in x])
+    source = piece(
+        "using A;\nnamespace N\n{\n// } ", "$p_brand", " {\npublic class C", "$p_partkey", ' { string s = "}{ ', "$p_type", '"; char c = \'{\'; int F', "$p_size",
+        '(int x) { var t = $"{x} {{ {G("}")}"; return x; } /* } */ string G(string a) => @"""{', "$p_name", '"; enum E { A, B } }\n}\n')
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("text"))
+
+
 @query(r'''WITH p AS (SELECT p_partkey AS k, 'using A;' || chr(10) || 'namespace N;' || chr(10) AS h, 'public class C' || p_partkey AS c, '// } ' || p_brand || ' {' || chr(10) AS note,
   'string s = "}{ ' || p_type || '"; char c = ''{'';' AS field, 'int F' || p_size || '(int x) { var t = $"{x} {{ {G("}")}"; return x; }' AS f, 'string G(string a) => @"""{' || p_name || '";' AS g, 'enum E { A, B }' AS e FROM part)
 SELECT k AS doc_id, CAST(0 AS INTEGER) AS chunk_index, h || chr(10) || note || c || ' { ' || field || ' ' || f || ' /* } */ ' || g || ' ' || e || ' }' AS text FROM p
 UNION ALL SELECT k, 1, h || c || chr(10) || chr(10) || f || ' /* } */' FROM p UNION ALL SELECT k, 2, h || c || chr(10) || chr(10) || g FROM p UNION ALL SELECT k, 3, h || c || chr(10) || chr(10) || e FROM p''')
 def chunk_code_strings(spark, sf_dir):
     """Members of sources with braces in strings, characters and comments."""
-    piece = lambda *x: F.concat(*[F.col(v[1:]).cast("string") if v.startswith("$p_") else F.lit(v) for v in x])
-    source = piece(
-        "using A;\nnamespace N\n{\n// } ", "$p_brand", " {\npublic class C", "$p_partkey", ' { string s = "}{ ', "$p_type", '"; char c = \'{\'; int F', "$p_size",
-        '(int x) { var t = $"{x} {{ {G("}")}"; return x; } /* } */ string G(string a) => @"""{', "$p_name", '"; enum E { A, B } }\n}\n')
-    return chunking.code_aware(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("text"))).select("doc_id", "chunk_index", "text")
+    return chunking.code_aware(tricky_sources(spark, sf_dir)).select("doc_id", "chunk_index", "text")
 
 
 # audit, compliance, migrations

@@ -1,4 +1,4 @@
-"""Queries over prompts, answers, their audit records and what a run's stages counted."""
+"""Queries over prompts, answers, their audit records, what a run's stages counted, and table functions."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ragspark.operators import generation
+from ragspark.operators import chunking, code, generation, ports
+from ragspark.plans import corpus_queries as C, extension_queries as E
 from ragspark.plans.common import POSTINGS_SQL, questions, sparse, sparse_sql, table
 from ragspark.sources.shared import shared_folder
 from ragspark.sources.tables import append_json
@@ -74,3 +75,33 @@ def rag_stages(spark, sf_dir):
     answers = stages.watch("generate", answers, answers=F.count("*"), abstained=F.count_if(F.col("answer") == generation.ABSTENTION))
     answers.write.parquet(f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}")
     return stages.told(spark)
+
+
+# chunkers as table functions, called by LATERAL
+
+
+def _recursive(text: str, longest: int) -> list[tuple[int, int, str]]:
+    return [(a, z, text[a:z].strip()) for a, z in chunking.recursive_spans(text, longest) if text[a:z].strip()]
+
+
+@query(C.SQL["chunk_recursive"])
+def chunk_recursive_lateral(spark, sf_dir):
+    ports.register(spark, chunk_recursive=ports.chunker(_recursive))
+    return spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL chunk_recursive(d.text, 800) c", docs=table(spark, sf_dir, "documents")).withColumn("chunk_id", chunking.chunk_id())
+
+
+@query(E.SQL["chunk_code_strings"])
+def chunk_code_lateral(spark, sf_dir):
+    ports.register(spark, chunk_code=ports.chunker(code.spans))
+    return spark.sql("SELECT f.doc_id, c.chunk_index, c.text FROM {files} f, LATERAL chunk_code(f.text) c", files=E.tricky_sources(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id, chunk_index, text, length(text) AS n FROM ({C.SQL["chunk_fixed"]})),
+g AS (SELECT doc_id, chunk_index, CAST(0 AS INTEGER) AS piece, n AS used FROM c WHERE chunk_index = 0 UNION ALL
+  SELECT c.doc_id, c.chunk_index, CASE WHEN used + n <= 1700 THEN piece ELSE piece + 1 END, CASE WHEN used + n <= 1700 THEN used + n ELSE n END FROM g JOIN c ON c.doc_id = g.doc_id AND c.chunk_index = g.chunk_index + 1)
+SELECT doc_id, piece, CAST(count(*) AS INTEGER) AS chunks, md5(string_agg(text, '' ORDER BY chunk_index)) AS digest FROM g JOIN c USING (doc_id, chunk_index) GROUP BY doc_id, piece""")
+def chunk_pack_lateral(spark, sf_dir):
+    """Chunks of a document packed anew by a table function that partitions its table."""
+    ports.register(spark, pack_chunks=ports.packer(len, "doc_id", "chunk_index"))
+    rows = spark.sql("SELECT * FROM pack_chunks(TABLE(SELECT doc_id, chunk_index, text FROM {chunks}), 1700)", chunks=chunking.fixed_size(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "piece", "chunks", F.md5("text").alias("digest"))
