@@ -115,9 +115,3 @@ def finished(state: DataFrame, pairs: DataFrame) -> DataFrame:
     kind = state.schema["doc_id"].dataType.simpleString()
     settled = groups.join(earlier, "doc_id").groupBy("component").applyInPandas(run, f"doc_id {kind}, kept boolean")
     return cut(state.where("kept is not null").unionByName(settled))
-
-
-def blank_signature(n: int = PERMUTATIONS) -> list[int]:
-    return [U32] * n
-
-

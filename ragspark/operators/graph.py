@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ragspark.operators.numbering import numbered
 from ragspark.sources.shared import cut
 
 EXTRACTION = "entities array<struct<id string, type string, name string, properties map<string,string>>>, relations array<struct<`from` string, `to` string, type string, properties map<string,string>>>"
@@ -85,17 +86,20 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return state
 
 
-def communities(vertices: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(community, members): components numbered by their smallest id. A component without a known entity is left out
+def memberships(vertices: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(community, id), a row a vertex: components numbered by their smallest id. A component without a known entity is left out
     and still uses up its number."""
-
     found = components(vertices, edges)
-    groups = found.groupBy("component").agg(F.array_sort(F.collect_set("id")).alias("members"))
-    numbered = groups.withColumn("i", F.row_number().over(Window.orderBy("component")) - 1)
+    places = numbered(found.select("component").distinct(), [], ["component"]).select("component", F.concat(F.lit("community-"), "pos").alias("community"))
     if known is not None:
         real = found.join(known.select("id"), "id", "left_semi").select("component").distinct()
-        numbered = numbered.join(real, "component", "left_semi")
-    return numbered.select(F.concat(F.lit("community-"), "i").alias("community"), "members")
+        places = places.join(real, "component", "left_semi")
+    return found.join(places, "component").select("community", "id")
+
+
+def communities(vertices: DataFrame, edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(community, members): :func:`memberships` as sorted lists, for communities whose members fit a row."""
+    return memberships(vertices, edges, known).groupBy("community").agg(F.array_sort(F.collect_set("id")).alias("members"))
 
 
 def summary_chunks(groups: DataFrame, vertices: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -114,3 +118,18 @@ def evicted(cache: DataFrame, changed: DataFrame) -> DataFrame:
     """Cached summaries (key, ids, ...) without those that hold a changed entity (id)."""
     stale = cache.select("key", F.explode("ids").alias("id")).join(changed, "id", "left_semi").select("key").distinct()
     return cache.join(stale, "key", "left_anti")
+
+
+def looked_up(asked: DataFrame, cache: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(hits, misses) of asked (query_id, ids) in a cache (key, ids, summary, expires_at): hits (query_id, key, summary) are alive after
+    ``now``, misses (query_id, key, ids) are to be made; an expired entry is a miss. Questions over the same entities share a key."""
+    keyed = asked.select("query_id", "ids", summary_key(F.col("ids")).alias("key"))
+    alive = cache.where(F.col("expires_at") > now).select("key", "summary")
+    return keyed.join(alive, "key").select("query_id", "key", "summary"), keyed.join(alive.select("key"), "key", "left_anti").select("query_id", "key", "ids")
+
+
+def refreshed(cache: DataFrame, made: DataFrame, now: Column, ttl: str = "7 days") -> DataFrame:
+    """The cache after summaries (ids, summary) were made: a key's new entry lives ``ttl`` from ``now``; expired ones are gone."""
+    new = made.select(summary_key(F.col("ids")).alias("key"), F.array_sort(F.array_distinct("ids")).alias("ids"), "summary", (now + F.expr(f"interval {ttl}")).alias("expires_at"))
+    new = new.groupBy("key").agg(F.first("ids").alias("ids"), F.min("summary").alias("summary"), F.first("expires_at").alias("expires_at"))
+    return cache.where(F.col("expires_at") > now).join(new.select("key"), "key", "left_anti").select("key", "ids", "summary", "expires_at").unionByName(new)

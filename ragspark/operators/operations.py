@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ragspark.functions import text as T
+from ragspark.operators.numbering import numbered
 
 SAMPLE_RATE, ALERT = 0.005, 0.82
 
@@ -52,6 +53,12 @@ def incident_report(incidents: DataFrame) -> DataFrame:
     return incidents.groupBy("severity").agg(F.count("*").alias("incidents"), F.count_if(~F.col("resolved")).alias("open"), F.min("detected_at").alias("first_detected"))
 
 
+def open_incidents(incidents: DataFrame) -> DataFrame:
+    """(place, incident_id, severity, detected_at) of those not resolved, in order of detection."""
+    rows = incidents.where(~F.col("resolved")).select("incident_id", "severity", "detected_at")
+    return numbered(rows, [], ["detected_at", "incident_id"]).select(F.col("pos").alias("place"), "incident_id", "severity", "detected_at")
+
+
 def sampled(rows: DataFrame, key: str, rate: float = SAMPLE_RATE) -> DataFrame:
     """Rows drawn by a digest of their key: the same on every run."""
     return rows.where(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % 1_000_000 < int(rate * 1_000_000))
@@ -139,6 +146,29 @@ def erased(chunks: DataFrame, subjects: DataFrame, key: bytes, at: str) -> tuple
     return chunks.join(subjects.select("document_id").distinct(), "document_id", "left_anti"), receipts
 
 
+def _utc(at: Column) -> Column:
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
+def erasure_receipts(requests: DataFrame, chunks: DataFrame, entities: DataFrame, redacted: DataFrame, key: bytes, sla_days: int = 30) -> DataFrame:
+    """(request_id, subject_id, sla_met, receipt, signature) of requests (request_id, subject_id, received_at, completed_at): what was
+    erased of each store (chunks and entities: subject_id, a row a record) and redacted in the audit log (subject_id, records), as
+    canonical JSON. The signature covers it with an empty signature of its own."""
+    count = lambda rows, name: rows.groupBy("subject_id").agg(F.count("*").cast("int").alias(name))
+    rows = requests.join(count(chunks, "_c"), "subject_id", "left").join(count(entities, "_e"), "subject_id", "left").join(redacted.select("subject_id", F.col("records").cast("int").alias("_r")), "subject_id", "left")
+    done = _utc(F.col("completed_at"))
+
+    def store(name: str, erased: Column, kept: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), erased.alias("recordsErased"), kept.alias("recordsRedacted"), done.alias("completedAt"))
+
+    none = F.lit(None).cast("int")
+    stores = F.array(store("vector-store", F.coalesce("_c", F.lit(0)), none), store("graph-store", F.coalesce("_e", F.lit(0)), none))
+    stores = F.when(F.coalesce("_r", F.lit(0)) > 0, F.concat(stores, F.array(store("audit-log", none, F.col("_r"))))).otherwise(stores)
+    met = F.col("completed_at") - F.col("received_at") <= F.expr(f"interval {sla_days} days")
+    body = F.to_json(F.struct(F.col("request_id").alias("requestId"), F.col("subject_id").alias("subjectId"), _utc(F.col("received_at")).alias("receivedAt"), done.alias("completedAt"), met.alias("slaMet"), stores.alias("stores"), F.lit("").alias("signature")))
+    return rows.select("request_id", "subject_id", met.alias("sla_met"), body.alias("receipt")).withColumn("signature", T.hmac_sha256(F.col("receipt"), key))
+
+
 def backfill_due(chunks: DataFrame, done: DataFrame, model: str) -> DataFrame:
     """Chunks of another embedding model that no earlier run has finished. Rows are marked done after their write."""
     return chunks.where(F.col("embedding_model") != model).join(done.select("chunk_id"), "chunk_id", "left_anti")

@@ -68,6 +68,12 @@ def metrics(decisions: DataFrame, strategy: str) -> DataFrame:
     return rows.groupBy("silo").agg(F.count("*").alias("decisions"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.sum("e").alias("escalations")).withColumn("strategy", F.lit(strategy))
 
 
+def confidences(decisions: DataFrame, strategy: str, bins: int = 10) -> DataFrame:
+    """(silo, strategy, bin, low, decisions): a histogram of confidence in equal bins of 0 to 1, the last with its upper end."""
+    rows = decisions.select(F.explode("silos").alias("silo"), F.least(F.floor(F.greatest(F.col("confidence").cast("double"), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int").alias("bin"))
+    return rows.groupBy("silo", "bin").agg(F.count("*").alias("decisions")).select("silo", F.lit(strategy).alias("strategy"), "bin", (F.col("bin") / bins).alias("low"), "decisions")
+
+
 def rewrite_prompts(turns: DataFrame, last: int = TURNS) -> DataFrame:
     """(conv_id, turn, prompt) of user turns: up to ``last`` turns before as ``role: text`` lines, then the question.
     Without history the prompt is the question."""

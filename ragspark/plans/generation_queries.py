@@ -1,4 +1,4 @@
-"""Queries over prompts, answers, their audit records, what a run's stages counted, and table functions."""
+"""Queries over prompts, answers, their audit records, what a run's stages counted, table functions and the stored index."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ragspark.operators import chunking, code, generation, ports
+from ragspark.operators import chunking, code, generation, inverted, ports
 from ragspark.plans import corpus_queries as C, extension_queries as E
-from ragspark.plans.common import POSTINGS_SQL, questions, sparse, sparse_sql, table
+from ragspark.plans.common import POSTINGS_SQL, chunks, hits_sql, questions, shown, sparse, sparse_sql, table
 from ragspark.sources.shared import shared_folder
 from ragspark.sources.tables import append_json
 
@@ -105,3 +105,22 @@ def chunk_pack_lateral(spark, sf_dir):
     ports.register(spark, pack_chunks=ports.packer(len, "doc_id", "chunk_index"))
     rows = spark.sql("SELECT * FROM pack_chunks(TABLE(SELECT doc_id, chunk_index, text FROM {chunks}), 1700)", chunks=chunking.fixed_size(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "piece", "chunks", F.md5("text").alias("digest"))
+
+
+# the stored index
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> inverted.InvertedIndex:
+    """The index of all documents: a tenth came with other words first, some that are no documents came and went."""
+    docs, late = chunks(spark, sf_dir), F.col("chunk_id") % 10 == 4
+    index = inverted.InvertedIndex(spark, f"{shared_folder(spark)}/inverted-{uuid.uuid4().hex}")
+    strays = docs.where(late).select((-1 - F.col("chunk_id")).alias("chunk_id"), "text")
+    index.write(docs.withColumn("text", F.when(late, F.concat(F.lit("old words "), "text")).otherwise(F.col("text"))).unionByName(strays))
+    index.write(docs.where(late), removed=strays.select("chunk_id"))
+    return index
+
+
+@query(f"WITH {POSTINGS_SQL}, {sparse_sql(10)} {hits_sql('sparse')}")
+def bm25_stored(spark, sf_dir):
+    """BM25 from the stored index after changes; texts are not read by the search."""
+    return shown(_stored(spark, sf_dir).search(questions(spark, sf_dir), 10)[0])

@@ -1,4 +1,5 @@
-"""Queries over tables that take changes: re-ingestion from a change stream, migration to another model, and audit segments."""
+"""Queries over tables that take changes: re-ingestion from a change stream, migration to another model, audit segments, erasure
+receipts, the summary cache, and reports."""
 
 from __future__ import annotations
 
@@ -6,9 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ragspark.operators import security
+from ragspark.operators import chunking, graph, operations, routing, security
 from ragspark.operators.embedding import bow_vectors
 from ragspark.operators.migration import Reindex
+from ragspark.plans import retrieval_queries as R
 from ragspark.plans.common import bow_sql, questions, table
 from ragspark.plans.operations_queries import _gold
 from ragspark.sources.keyed import KeyedTable, reingest
@@ -148,3 +150,47 @@ def audit_truncated(spark, sf_dir):
     rows = rows.withColumn("record", F.when((F.col("kind") == 3) & (F.col("pos") == 1), "altered").otherwise(F.col("record"))).select(*made.columns)
     kept = heads.join(F.broadcast(top), "chain").where(~((kind == 2) & (F.col("segment") == F.col("last_segment")))).select(*heads.columns)
     return security.verified_segments(rows, kept, tips, b"key")
+
+
+# receipts, summaries, reports
+
+
+@query("""WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS s, CAST(len(generate_series(0, greatest(length(text) - 101, 0), 400)) AS INTEGER) AS n FROM documents WHERE length(text) > 0),
+r AS (SELECT CAST(doc_id AS VARCHAR) AS s, doc_id % 3 AS e, doc_id % 5 AS x, strftime(DATE '2024-01-01' + CAST(doc_id % 45 AS INTEGER), '%Y-%m-%d') || 'T00:00:00+00:00' AS done, doc_id % 45 <= 30 AS met FROM (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)),
+b AS (SELECT 'r' || s AS request_id, s AS subject_id, met AS sla_met, '{"requestId":"r' || s || '","subjectId":"' || s || '","receivedAt":"2024-01-01T00:00:00+00:00","completedAt":"' || done || '","slaMet":' || met || ',"stores":[{"name":"vector-store","recordsErased":' || coalesce(n, 0) || ',"completedAt":"' || done
+  || '"},{"name":"graph-store","recordsErased":' || e || ',"completedAt":"' || done || '"}' || CASE WHEN x > 0 THEN ',{"name":"audit-log","recordsRedacted":' || x || ',"completedAt":"' || done || '"}' ELSE '' END || '],"signature":""}' AS receipt FROM r LEFT JOIN c USING (s))
+SELECT *, true AS verified FROM b""")
+def erasure_receipts(spark, sf_dir):
+    ids = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    subject = F.col("doc_id").cast("string").alias("subject_id")
+    start = F.lit("2024-01-01").cast("timestamp")
+    requests = ids.select(F.concat(F.lit("r"), "doc_id").alias("request_id"), subject, start.alias("received_at"), (start + F.expr("make_dt_interval(CAST(doc_id % 45 AS INT))")).alias("completed_at"))
+    chunks = chunking.fixed_size(table(spark, sf_dir, "documents")).select(subject, "chunk_index")
+    entities = ids.where("doc_id % 3 > 0").select(subject, F.explode(F.sequence(F.lit(1).cast("long"), F.col("doc_id") % 3)).alias("entity"))
+    out = operations.erasure_receipts(requests, chunks, entities, ids.select(subject, (F.col("doc_id") % 5).alias("records")), b"key")
+    again = security.T.hmac_sha256(F.col("receipt"), b"key")
+    return out.select("request_id", "subject_id", "sla_met", "receipt", (F.col("signature") == again).alias("verified"))
+
+
+@query("""WITH g AS (SELECT s_nationkey AS n, list_sort(list(DISTINCT 's' || s_suppkey)) AS ids FROM supplier GROUP BY 1)
+SELECT n AS query_id, sha256(array_to_string(ids, chr(0))) AS key, n % 3 = 1 AS hit, CASE WHEN n % 3 = 1 THEN 'kept ' ELSE 'made ' END || n AS summary FROM g""")
+def summary_cache(spark, sf_dir):
+    """Summaries of the suppliers of nations: a third is cached, a third has expired, a third is new; the rest is made and stored."""
+    asked = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("query_id")).agg(F.collect_list(F.concat(F.lit("s"), "s_suppkey")).alias("ids"))
+    now = F.lit("2024-02-01").cast("timestamp")
+    cache = asked.where("query_id % 3 > 0").select(graph.summary_key(F.col("ids")).alias("key"), "ids", F.concat(F.lit("kept "), "query_id").alias("summary"), F.when(F.col("query_id") % 3 == 1, F.lit("2024-02-02")).otherwise(F.lit("2024-02-01")).cast("timestamp").alias("expires_at"))
+    hits, misses = graph.looked_up(asked, cache, now)
+    after = graph.refreshed(cache, misses.select("ids", F.concat(F.lit("made "), "query_id").alias("summary")), now)
+    both = hits.select("query_id", "key", F.lit(True).alias("hit")).unionByName(misses.select("query_id", "key", F.lit(False).alias("hit")))
+    return both.join(after.select("key", "summary"), "key").select("query_id", "key", "hit", "summary")
+
+
+@query(f"WITH {R._RULES_SQL}, x AS (SELECT unnest(silos) AS silo, CAST(least(floor(greatest(CAST(confidence AS DOUBLE), 0) * 10), 9) AS INTEGER) AS bin FROM rules) SELECT silo, 'rules' AS strategy, bin, bin / 10 AS low, count(*) AS decisions FROM x GROUP BY silo, bin")
+def routing_histogram(spark, sf_dir):
+    return routing.confidences(R._rules(spark, sf_dir), "rules")
+
+
+@query("SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS place, event_id AS incident_id, event_type AS severity FROM events WHERE NOT (value < 50)")
+def incident_open_list(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("incident_id"), F.col("event_type").alias("severity"), (F.col("value") < 50).alias("resolved"), F.col("ts").alias("detected_at"))
+    return operations.open_incidents(rows).select("place", "incident_id", "severity")

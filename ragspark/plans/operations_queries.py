@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ragspark.functions import text as T
 from ragspark.operators import evaluation, operations, security
+from ragspark.operators.numbering import numbered
 from ragspark.plans.common import POSTINGS_SQL, questions, sparse, sparse_sql, table
 from ragspark.sources.shared import shared_folder
 from ragspark.sources.tables import manifest
@@ -300,7 +301,7 @@ def mcnemar_flips(spark, sf_dir):
 
 def _values(spark, sf_dir):
     rows = evaluation.per_query(_hits(spark, sf_dir), _gold(spark, sf_dir), 10)
-    return rows.select((F.row_number().over(Window.orderBy("query_id")) - 1).cast("long").alias("i"), "rr", "recall")
+    return numbered(rows, [], ["query_id"]).select(F.col("pos").alias("i"), "rr", "recall")
 
 
 @query(f"""WITH {_PER_QUERY}, s AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS i, rr AS value FROM pq), c AS (SELECT count(*) AS n FROM s),

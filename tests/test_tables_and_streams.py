@@ -196,3 +196,41 @@ def test_stages_count_what_passes(spark):
 
 def test_token_estimates(spark):
     assert [r[0] for r in spark.createDataFrame([("",), ("abcd",), ("abcde",)], "t string").select(T.tokens_estimated(F.col("t"))).collect()] == [0, 1, 2]
+
+
+def test_stored_index_skips_windows_and_takes_changes(spark, tmp_path):
+    from ragspark.operators import inverted, lexical
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(vocabulary, [1 / (j + 1) for j in range(60)], k=rng.randrange(3, 60)))) for i in range(700)] + [(1000, None), (1001, ""), (-7, "w1 rare w2 rare")]
+    rows = [(i, f"{t} rare rare rare" if i in (5, 400) else t) for i, t in rows]
+    docs = spark.createDataFrame(rows, "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "rare w3"), (2, "w0 w0 w59"), (3, "unknown"), (4, "")], "query_id long, text string")
+    index = inverted.InvertedIndex(spark, f"file://{tmp_path}/i", shards=2)
+    index.write(docs.where("chunk_id % 7 <> 2").unionByName(spark.createDataFrame([(9, "rare rare rare rare"), (5000, "rare w3")], docs.schema)))
+    index.write(docs.where("chunk_id % 7 = 2 or chunk_id = 9"), removed=spark.createDataFrame([(5000,)], "chunk_id long"))
+    hits, opened = index.search(asked, 3)
+    want = lexical.bm25(asked, docs, 3)
+    key = lambda f: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 7)) for r in f.collect())
+    assert key(hits) == key(want) and len(key(hits)) == 6
+    one = {r.query_id: (r.opened, r.windows) for r in opened.collect()}
+    assert one[1][0] < one[1][1] and set(one) == {1, 2}
+    assert inverted.InvertedIndex(spark, f"file://{tmp_path}/i", shards=2).search(asked, 3)[0].count() == 6  # opened again
+    none = inverted.InvertedIndex(spark, f"file://{tmp_path}/none", shards=2)
+    none.write(docs.where("false"))
+    assert none.search(asked, 3)[0].count() == 0
+
+
+def test_table_functions(spark):
+    from ragspark.operators import ports
+
+    ports.register(spark, halves=ports.chunker(lambda text, n=2: [(i, min(i + n, len(text)), text[i : i + n]) for i in range(0, len(text), n)]), packed=ports.packer(len, "k", "i"))
+    d = spark.createDataFrame([(1, "abcde"), (2, None), (3, "")], "k long, text string")
+    got = spark.sql("SELECT k, c.* FROM {d}, LATERAL halves(text, 2) c", d=d).collect()
+    assert sorted((r.k, r.chunk_index, r.text, r.start_offset, r.end_offset) for r in got) == [(1, 0, "ab", 0, 2), (1, 1, "cd", 2, 4), (1, 2, "e", 4, 5)]
+    rows = spark.createDataFrame([("a", i, "x" * n) for i, n in enumerate((3, 3, 9, 1, 1))] + [("b", 0, "yy")], "k string, i int, text string").repartition(3)
+    got = spark.sql("SELECT * FROM packed(TABLE({rows}), 6)", rows=rows).collect()
+    assert sorted((r.k, r.piece, len(r.text), r.chunks) for r in got) == [("a", 0, 6, 2), ("a", 1, 9, 1), ("a", 2, 2, 2), ("b", 0, 2, 1)]
+    with pytest.raises(Exception, match="not a string"):
+        spark.sql("SELECT * FROM halves(5)").collect()
