@@ -32,7 +32,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", good_quality), ("MinHash near-dedup", near_dedup_stage), ("mixing sources", mix_sources), ("BPE encoding and decoding", encode)]
 
-#: The classifier's model and the tilted rates are beyond SQL; tests hold run() against a plain version.
+#: The classifier's model and the tilted rates are beyond SQL; tests hold each stage's rows to its operator's own decisions.
 ORACLE_SQL = None
 
 
