@@ -1,9 +1,10 @@
 """Approximate neighbours by proximity graphs: a graph a shard, stored as adjacency blocks, walked best first.
 
 Every row is indexed. A shard's rows are linked to their nearest inside it, both ways, which makes the graph navigable; it is
-written as one block of ids, vectors and neighbours. A search walks each shard's graph from its most central row: the nearest
-row not yet opened is opened, its neighbours are measured, until ``width`` rows are nearer than all that is left. The
-lists of the shards are merged by score."""
+written as one block of ids, vectors and neighbours. A search measures a few entries; then the nearest row not yet opened is
+opened and its neighbours are measured, until ``width`` rows are nearer than all that is left. As groups of rows may not be linked
+to each other, it then measures more entries, half the square root of the rows at a time, and goes on from those that are near;
+it ends when PATIENCE times in a row none is. The lists of the shards are merged by score."""
 
 from __future__ import annotations
 
@@ -20,7 +21,9 @@ from ragspark.sources.shared import cut
 SHARD_ROWS, LINKS, ASKED = 32_768, 12, 4096
 #: Rows in a search's front, and the most rows of a shard that it measures, as a share.
 WIDTH, MOST = 32, 0.18
-_BLOCK = "shard int, width int, entry int, ids binary, vectors binary, starts binary, links binary"
+#: Shards of up to so many rows are measured whole; entries of a search, and batches of further ones without success that end it.
+WHOLE, ENTRIES, PATIENCE = 64, 4, 6
+_BLOCK = "shard int, width int, ids binary, vectors binary, starts binary, links binary"
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -38,7 +41,7 @@ def linked(unit: np.ndarray, links: int, rows: int = 1024) -> tuple[np.ndarray,
         score[np.arange(len(score)), np.arange(a, a + len(score))] = -2
         near = np.argsort(-score, axis=1, kind="stable")[:, :most] if n <= 4 * rows else _nearest(score, most)
         out.append(np.stack([np.repeat(np.arange(a, a + len(score)), most), near.ravel()], 1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    pairs = np.concatenate(out)
     pairs = np.unique(np.concatenate([pairs, pairs[:, ::-1]]), axis=0)
     return np.searchsorted(pairs[:, 0], np.arange(n + 1)).astype(np.int32), pairs[:, 1].astype(np.int32)
 
@@ -49,7 +52,7 @@ def _nearest(score: np.ndarray, most: int) -> np.ndarray:
 
 
 def shards(corpus: DataFrame, shard_rows: int = SHARD_ROWS, links: int = LINKS) -> DataFrame:
-    """Blocks (shard, width, entry, ids, vectors, starts, links) of corpus (chunk_id, embedding): ids are keys, null vectors
+    """Blocks (shard, width, ids, vectors, starts, links) of corpus (chunk_id, embedding): ids are keys, null vectors
     take no part, vectors of each width have shards of their own. Write them to search them again."""
     rows = corpus.where("embedding is not null and size(embedding) > 0").select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("embedding").cast("array<float>").alias("v"), F.size("embedding").alias("width"))
     count = max(1, -(-rows.count() // shard_rows))
@@ -59,26 +62,25 @@ def shards(corpus: DataFrame, shard_rows: int = SHARD_ROWS, links: int = LINKS)
         v = np.array(f.v.tolist(), np.float32)
         unit = _unit(v)
         starts, near = linked(unit, links)
-        entry = int(np.argmax(unit @ unit.mean(axis=0)))
-        return pd.DataFrame({"shard": [int(f.shard.iloc[0])], "width": [v.shape[1]], "entry": [entry], "ids": [f.chunk_id.to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()], "starts": [starts.tobytes()], "links": [near.tobytes()]})
+        return pd.DataFrame({"shard": [int(f.shard.iloc[0])], "width": [v.shape[1]], "ids": [f.chunk_id.to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()], "starts": [starts.tobytes()], "links": [near.tobytes()]})
 
     return rows.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(count)).cast("int")).groupBy("shard", "width").applyInPandas(build, _BLOCK)
 
 
-def walk(query: np.ndarray, unit: np.ndarray, starts: np.ndarray, near: np.ndarray, entry: int, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, scores) that a search measures: those of the front, what they are linked to, ``most`` at the most."""
-    seen = np.zeros(len(unit), bool)
-    seen[entry] = True
-    rows, scores = [np.array([entry])], [unit[[entry]] @ query]
-    front = [(-float(scores[0][0]), entry)]
-    best = [-front[0][0]]  # the scores of the ``width`` nearest, the worst first
-    measured = 1
-    while front and measured < most:
-        score, at = heapq.heappop(front)
-        if len(best) >= width and -score < best[0]:
-            break
-        new = near[starts[at] : starts[at + 1]]
-        new = new[~seen[new]][: most - measured]
+def entries(rows: int) -> np.ndarray:
+    """A fixed shuffle of a shard's rows: searches start from the first ENTRIES and go on to the next ones."""
+    return np.random.Generator(np.random.PCG64(rows)).permutation(rows)
+
+
+def walk(query: np.ndarray, unit: np.ndarray, starts: np.ndarray, near: np.ndarray, order: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, scores) that a search measures, ``most`` at the most. order: the shard's :func:`entries`."""
+    n = len(unit)
+    if n <= max(WHOLE, most):
+        return np.arange(n), unit @ query
+    seen = np.zeros(n, bool)
+    rows, scores, front, best, measured = [], [], [], [], 0  # best: the scores of the ``width`` nearest, the worst first
+    new, next_, batch, idle = order[:ENTRIES], ENTRIES, max(1, round(n**0.5 / 2)), 0
+    while len(new):
         seen[new] = True
         got = unit[new] @ query
         rows.append(new)
@@ -90,6 +92,18 @@ def walk(query: np.ndarray, unit: np.ndarray, starts: np.ndarray, near: np.ndarr
                 heapq.heappush(best, s)
                 if len(best) > width:
                     heapq.heappop(best)
+        new = new[:0]
+        while front and not len(new):
+            score, at = heapq.heappop(front)
+            if len(best) >= width and -score < best[0]:
+                front = []
+            else:
+                new = near[starts[at] : starts[at + 1]]
+                new = new[~seen[new]][: most - measured]
+                idle = 0
+        if not len(new) and measured < most and idle < PATIENCE:
+            new, next_, idle = order[next_ : next_ + batch], next_ + batch, idle + 1
+            new = new[~seen[new]][: most - measured]
     return np.concatenate(rows), np.concatenate(scores)
 
 
@@ -108,8 +122,9 @@ def search(queries: DataFrame, index: DataFrame, k: int, width: int = WIDTH, mos
         for b in block.itertuples():
             ids, v = np.frombuffer(b.ids, np.int64), np.frombuffer(b.vectors, np.float32).reshape(-1, b.width)
             unit, starts, near = _unit(v.astype(np.float64)), np.frombuffer(b.starts, np.int32), np.frombuffer(b.links, np.int32)
+            order = entries(len(ids))
             for i, q in zip(f.query_id, _unit(np.array(f.q.tolist(), np.float64)) if len(f) else ()):
-                rows, score = walk(q, unit, starts, near, b.entry, width, max(k, int(most * len(ids))))
+                rows, score = walk(q, unit, starts, near, order, width, max(k, int(most * len(ids))))
                 score = np.round(score, DIGITS)
                 best = np.lexsort((ids[rows], -score))[:k]
                 out["query_id"] += [i] * len(best)
