@@ -29,31 +29,57 @@ def hashed_words(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     return rows.where("weight > 0").withColumn("bucket", F.col("bucket").cast("long"))
 
 
+class _Buckets(dict):
+    """Words to buckets, for as many words as stay in memory."""
+
+    def __init__(self, dimensions: int):
+        self.dimensions = dimensions
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = T.FNV_BASIS
+        for c in word.encode():
+            h = (h ^ c) * T.FNV_PRIME & T.U32
+        self[word] = h % self.dimensions
+        return self[word]
+
+
+def _bow(words: pd.Series, known: _Buckets) -> np.ndarray:
+    """Normalised counts, a row a list of words; none is empty."""
+    n = np.stack([np.bincount([known[t] for t in w], minlength=known.dimensions) for w in words]).astype(np.float64)
+    return n / np.sqrt((n * n).sum(axis=1))[:, None]
+
+
 def bow_vectors(rows: DataFrame, key: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """(key, embedding array<double>): :func:`hashed_words` as dense vectors, made in one pass without a shuffle. Words are
     cut by Spark's expression; rows without words are left out."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
+        known = _Buckets(dimensions)
         for f in frames:
-            f, made = f[f.w.map(len) > 0], []
-            for words in f.w:
-                if len(known) > 500_000:
-                    known.clear()
-                for t in words:
-                    if t not in known:
-                        h = T.FNV_BASIS
-                        for c in t.encode():
-                            h = (h ^ c) * T.FNV_PRIME & T.U32
-                        known[t] = h % dimensions
-                n = np.bincount([known[t] for t in words], minlength=dimensions).astype(np.float64)
-                made.append(n / np.sqrt((n * n).sum()))
-            yield pd.DataFrame({key: f[key], "embedding": made})
+            f = f[f.w.map(len) > 0]
+            yield pd.DataFrame({key: f[key], "embedding": list(_bow(f.w, known)) if len(f) else []})
 
     words = rows.select(F.col(key).cast("long").alias(key), T.bow_tokens("text").alias("w"))
     return words.mapInPandas(run, f"{key} long, embedding array<double>")
 
 
+def bow_blocks(rows: DataFrame, key: str, dimensions: int = DIMENSIONS, size: int = 4096) -> DataFrame:
+    """:func:`bow_vectors` as the blocks (width, ids, matrix) that :func:`neighbours` multiplies, without rows of arrays between."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Buckets(dimensions)
+        for f in frames:
+            f = f[f.w.map(len) > 0]
+            for i in range(0, len(f), size):
+                part = f.iloc[i : i + size]
+                yield pd.DataFrame({"width": [dimensions], "ids": [part[key].to_numpy(np.int64).tobytes()], "matrix": [_bow(part.w, known).tobytes()]})
+
+    words = rows.select(F.col(key).cast("long").alias(key), T.bow_tokens("text").alias("w"))
+    return words.mapInPandas(run, "width int, ids binary, matrix binary")
+
+
 def sparse_counts(rows: DataFrame, key: str, dimensions: int = SPARSE_DIMENSIONS) -> DataFrame:
     """(key, slot, n): term frequencies at FNV-1a of the term; colliding terms add up."""
     words = rows.select(key, F.explode(T.bow_tokens("text")).alias("token"))
@@ -98,12 +124,14 @@ def met_blocks(asked: DataFrame, blocks: DataFrame, slots: int, ratio: float) ->
 
 def neighbours(queries: DataFrame, corpus: DataFrame, k: int, least: float | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, score): the k nearest by cosine, exact. queries (query_id, embedding), corpus
-    (chunk_id, embedding). Zero vectors score 0; ties, at DIGITS digits, go to the smaller chunk_id.
+    (chunk_id, embedding), either also as blocks (width, ids, matrix). Zero vectors score 0; ties, at DIGITS digits, go to the
+    smaller chunk_id.
 
     Blocks of queries meet blocks of the corpus in the cells of a grid; each meeting is one matrix product whose k
     best survive, so the shuffle to the final ranking holds k rows a query and block."""
     named = lambda blocks, by: blocks.select("width", F.col("ids").alias(f"{by}_ids"), F.col("matrix").alias(f"{by}_m"))
-    dealt, asked = named(_packed(corpus, "chunk_id", "embedding", BLOCK_ROWS), "c"), named(_packed(queries, "query_id", "embedding", QUERY_ROWS), "q")
+    packed = lambda rows, key, size: rows if "matrix" in rows.columns else _packed(rows, key, "embedding", size)
+    dealt, asked = named(packed(corpus, "chunk_id", BLOCK_ROWS), "c"), named(packed(queries, "query_id", QUERY_ROWS), "q")
     slots = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -34,7 +34,7 @@ def nearest(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
 
 
 def dense(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
-    return embedding.neighbours(bow_vectors(questions(spark, sf_dir), "query_id"), bow_vectors(chunks(spark, sf_dir), "chunk_id"), k)
+    return embedding.neighbours(embedding.bow_blocks(questions(spark, sf_dir), "query_id"), embedding.bow_blocks(chunks(spark, sf_dir), "chunk_id"), k)
 
 
 def sparse(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
