@@ -36,10 +36,12 @@ def fixed_size(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> Dat
 
 def sentences(docs: DataFrame, n: int = SENTENCES) -> DataFrame:
     """Groups of ``n`` consecutive sentences, trimmed; blank ones are dropped before they are numbered."""
-    # the white space between sentences is kept inside a group by slicing the text itself
-    marked = F.split(F.regexp_replace("text", T.SENTENCE_GAP, "$0\u0001"), "\u0001")
-    joined = F.transform(F.sequence(F.lit(0), F.ceil(F.size(marked) / n).cast("int") - 1), lambda i: F.trim(F.regexp_replace(F.array_join(F.slice(marked, i * n + 1, n), ""), r"\A\s+|\s+\z", "")))
-    return docs.select("doc_id", F.posexplode(F.filter(joined, lambda t: t != "")).alias("chunk_index", "text"))
+    # a sentence with the white space after it, so that a group is a slice of the text
+    marked = F.regexp_extract_all("text", F.lit(f"(?s).+?(?:{T.SENTENCE_GAP}|\\z)"), F.lit(0))
+    rows = docs.select("doc_id", marked.alias("s")).where(F.size("s") > 0)  # a column, so that no group cuts the text again
+    groups = F.sequence(F.lit(0), F.ceil(F.size("s") / n).cast("int") - 1)
+    joined = F.transform(groups, lambda i: F.trim(F.regexp_replace(F.array_join(F.slice("s", i * n + 1, n), ""), r"\A\s+|\s+\z", "")))
+    return rows.select("doc_id", F.posexplode(F.filter(joined, lambda t: t != "")).alias("chunk_index", "text"))
 
 
 def _mapped(docs: DataFrame, split: Callable[[str], list[tuple[int, int, str]]]) -> DataFrame:

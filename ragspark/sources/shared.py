@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,22 @@ def gone_at_exit(spark: SparkSession, path: str) -> None:
     system.deleteOnExit(made)
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`cut` writes inside are deleted when it ends, not when the driver does: for long sessions. What is
+    made inside has to be collected or written inside."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            made, system = hadoop_path(spark, path)
+            system.delete(made, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet and returns it reread, so Spark knows the table's true size when it plans,
     and lost executors cost one stage at most."""
@@ -40,4 +58,6 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     gone_at_exit(spark, path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(schema).parquet(path)

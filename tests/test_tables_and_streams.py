@@ -234,3 +234,24 @@ def test_table_functions(spark):
     assert sorted((r.k, r.piece, len(r.text), r.chunks) for r in got) == [("a", 0, 6, 2), ("a", 1, 9, 1), ("a", 2, 2, 2), ("b", 0, 2, 1)]
     with pytest.raises(Exception, match="not a string"):
         spark.sql("SELECT * FROM halves(5)").collect()
+
+
+def test_tables_of_a_scope_go_with_it(spark):
+    from ragspark.sources.shared import cut, hadoop_path, scope
+
+    with scope(spark):
+        inner = cut(spark.range(5))
+        path = inner.inputFiles()[0]
+        assert inner.count() == 5
+    made, system = hadoop_path(spark, path)
+    assert not system.exists(made)
+    outer = cut(spark.range(3))
+    assert outer.count() == 3
+
+
+def test_sentences_keep_every_character(spark):
+    from ragspark.operators import chunking
+
+    d = spark.createDataFrame([(1, "One\u0001two. Three\u0001!  Four?\nFive. Six"), (2, "."), (3, " "), (4, None), (5, "No end"), (6, "A. B. C."), (7, "")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.chunk_index, r.text) for r in chunking.sentences(d).collect())
+    assert got == [(1, 0, "One\u0001two. Three\u0001!  Four?"), (1, 1, "Five. Six"), (2, 0, "."), (5, 0, "No end"), (6, 0, "A. B. C.")]
