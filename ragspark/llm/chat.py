@@ -127,7 +127,8 @@ def format_conversations(spark: SparkSession, conversations: DataFrame) -> DataF
 
     Turns are ordered by turn (null first), ties by their formatted bytes; repeated rows are turns of their own.
     Null roles and texts are empty; rows with a null conv_id are one conversation. Only the role "assistant" is
-    under the loss mask. Other columns are ignored; an empty table gives no rows."""
+    under the loss mask. Very long texts are formatted, written and read back whole; a formatted turn takes 2 GB at most, as any
+    value does, and its spans are 32-bit. Other columns are ignored; an empty table gives no rows."""
     ws = Workspace(spark, "chat")
     return read_back(ws.put(format_turns(conversations), "formatted"))
 
