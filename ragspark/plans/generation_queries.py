@@ -1,4 +1,4 @@
-"""Queries over prompts, answers, their audit records, what a run's stages counted, table functions and the stored index."""
+"""Queries over prompts, answers, their audit records, what a run's stages counted, table functions, the stored index and the tools of agents."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ragspark.operators import chunking, code, generation, inverted, ports
-from ragspark.plans import corpus_queries as C, extension_queries as E
-from ragspark.plans.common import POSTINGS_SQL, chunks, hits_sql, questions, shown, sparse, sparse_sql, table
+from ragspark.operators import chunking, code, generation, inverted, lexical, ports, tools
+from ragspark.plans import corpus_queries as C, extension_queries as E, retrieval_queries as R
+from ragspark.plans.common import CORPUS_SQL, POSTINGS_SQL, chunks, corpus, hits_sql, questions, shown, sparse, sparse_sql, table
 from ragspark.sources.shared import shared_folder
 from ragspark.sources.tables import append_json
 
@@ -124,3 +124,41 @@ def _stored(spark: SparkSession, sf_dir: str) -> inverted.InvertedIndex:
 def bm25_stored(spark, sf_dir):
     """BM25 from the stored index after changes; texts are not read by the search."""
     return shown(_stored(spark, sf_dir).search(questions(spark, sf_dir), 10)[0])
+
+
+# tools behind the clearance of their caller
+
+
+def _tools(spark: SparkSession, sf_dir: str) -> tools.BoundaryTools:
+    known = corpus(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id")
+    docs = chunks(spark, sf_dir)
+    return tools.BoundaryTools(lambda asked, k: lexical.bm25(asked, docs, k), known, "Internal")
+
+
+_SEEN = f"(SELECT doc_id FROM {CORPUS_SQL} c WHERE confidentiality IN ('Public', 'Internal'))"
+
+
+@query(f"WITH {POSTINGS_SQL}, {sparse_sql(25)} SELECT * FROM ({hits_sql('sparse')}) WHERE chunk_id IN {_SEEN}")
+def tool_search(spark, sf_dir):
+    """Forty hits are asked for, 25 looked at, those in reach told."""
+    return shown(_tools(spark, sf_dir).search(questions(spark, sf_dir), 40))
+
+
+@query(f"SELECT * FROM ({R.SQL['rerank_overlap'].replace(' WHERE score >= 0.3', '')}) WHERE chunk_id IN {_SEEN}")
+def tool_rerank(spark, sf_dir):
+    return shown(_tools(spark, sf_dir).search_and_rerank(questions(spark, sf_dir)))
+
+
+@query(f"""WITH i AS (SELECT doc_id AS chunk_id FROM labels UNION SELECT -1 - doc_id FROM labels)
+SELECT chunk_id, s.doc_id IS NOT NULL AS found, md5(d.text) AS digest, CASE WHEN s.doc_id IS NULL THEN 'not-found-or-denied' ELSE 'ok' END AS reason
+FROM i LEFT JOIN {_SEEN} s ON s.doc_id = chunk_id LEFT JOIN documents d ON d.doc_id = s.doc_id""")
+def tool_get_chunk(spark, sf_dir):
+    ids = table(spark, sf_dir, "labels").select(F.explode(F.array("doc_id", -1 - F.col("doc_id"))).alias("chunk_id"))
+    return _tools(spark, sf_dir).get_chunk(ids).select("chunk_id", "found", F.md5("text").alias("digest"), "reason")
+
+
+@query("SELECT source AS silo, 'queued' AS status, count(*) AS tickets FROM documents WHERE trim(text, ' ') <> '' GROUP BY source")
+def tool_ingest(spark, sf_dir):
+    items = table(spark, sf_dir, "documents").select(F.col("text").alias("content"), F.col("source").alias("silo"))
+    told = tools.BoundaryTools.ingest(items, f"{shared_folder(spark)}/queue-{uuid.uuid4().hex}")
+    return told.groupBy("silo", "status").agg(F.count_distinct("tracking_id").alias("tickets"))

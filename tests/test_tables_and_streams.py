@@ -255,3 +255,22 @@ def test_sentences_keep_every_character(spark):
     d = spark.createDataFrame([(1, "One\u0001two. Three\u0001!  Four?\nFive. Six"), (2, "."), (3, " "), (4, None), (5, "No end"), (6, "A. B. C."), (7, "")], "doc_id long, text string")
     got = sorted((r.doc_id, r.chunk_index, r.text) for r in chunking.sentences(d).collect())
     assert got == [(1, 0, "One\u0001two. Three\u0001!  Four?"), (1, 1, "Five. Six"), (2, 0, "."), (5, 0, "No end"), (6, 0, "A. B. C.")]
+
+
+def test_tools_answer_within_the_clearance(spark, tmp_path):
+    from ragspark.operators import lexical, tools
+
+    rows = [(1, "apple pie recipe", "Public"), (2, "apple tart", "Internal"), (3, "apple secret apple", "Restricted"), (4, None, "Public"), (5, "pear", None)]
+    chunks = spark.createDataFrame([(i, t, c, "en", "s") for i, t, c in rows], "chunk_id long, text string, confidentiality string, office string, silo string")
+    asked = spark.createDataFrame([(1, "apple"), (2, " "), (3, "pear")], "query_id long, text string")
+    docs = chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("text"))
+    box = tools.BoundaryTools(lambda q, k: lexical.bm25(q, docs, k), chunks, "Internal")
+    assert sorted((r.query_id, r.chunk_id) for r in box.search(asked, 100).collect()) == [(1, 1), (1, 2)]
+    assert {r.chunk_id for r in box.search(asked, 0).collect()} == set()  # one hit, and it is out of reach
+    assert {r.chunk_id for r in box.search_and_rerank(asked, 2).collect()} <= {1, 2}
+    got = {r.chunk_id: (r.found, r.text, r.reason) for r in box.get_chunk(spark.createDataFrame([(1,), (3,), (5,), (99,)], "chunk_id long")).collect()}
+    assert got == {1: (True, "apple pie recipe", "ok"), **dict.fromkeys((3, 5, 99), (False, None, "not-found-or-denied"))}
+    items = spark.createDataFrame([("text", "hr"), (" ", "hr"), ("more", ""), (None, "hr")], "content string, silo string")
+    told = box.ingest(items, f"file://{tmp_path}/q").collect()
+    assert [(r.silo, r.status, len(r.tracking_id)) for r in told] == [("hr", "queued", 12)]
+    assert spark.read.option("recursiveFileLookup", "true").json(f"file://{tmp_path}/q").count() == 1
