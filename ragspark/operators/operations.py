@@ -234,6 +234,7 @@ def reindexed(live: DataFrame, arrivals: DataFrame, model: str, embed, hit_rate,
 def dashboard(metrics: DataFrame) -> DataFrame:
     """(title, value, detail, link): six tiles of one row of metrics."""
     number, share = lambda c: _shown(F.col(c), "0.###"), lambda c: _shown(F.col(c), "0.##%")
+    # fixed values: titles and links of the tiles
     tiles = [
         ("Faithfulness (today)", number("faithfulness_today"), F.concat(F.lit("7-day "), number("faithfulness_7_day")), "faithfulness/samples"),
         ("PII redaction rate", share("redaction_rate"), None, "redaction/events"),
@@ -253,6 +254,7 @@ def model_card(profile: DataFrame, inventory: DataFrame, key: bytes) -> DataFram
     sources = inventory.select(F.struct("silo", "confidentiality", F.concat(F.lit("| "), "silo", F.lit(" | "), F.col("documents").cast("string"), F.lit(" | "), "confidentiality", F.lit(" |\n")).alias("line")).alias("s"))
     listed = sources.agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["line"]), "").alias("sources"))
     lines = lambda column, line: F.array_join(F.transform(column, line), "")
+    # fixed values: headings and table heads of the card
     text = F.concat(
         F.lit("# Model Card: "), "system", F.lit(" v"), "version", F.lit("\n\n_Generated "), "generated_at", F.lit("_\n\n## Intended Use\n\n"), "intended_use",
         F.lit("\n\n## Models\n\n| Role | Name | Version |\n|---|---|---|\n"), lines("models", lambda m: F.concat(F.lit("| "), m["role"], F.lit(" | "), m["name"], F.lit(" | "), m["version"], F.lit(" |\n"))),

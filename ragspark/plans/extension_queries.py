@@ -249,7 +249,9 @@ def dashboard_tiles(spark, sf_dir):
 
 
 @query(rf"""WITH i AS (SELECT silo, confidentiality, count(*) AS n FROM {CORPUS_SQL} c GROUP BY ALL), s AS (SELECT string_agg('| ' || silo || ' | ' || n || ' | ' || confidentiality || ' |' || chr(10), '' ORDER BY silo, confidentiality) AS t FROM i),
-m AS (SELECT replace('# Model Card: Answers v1.2~~_Generated 2024-01-31 00:00:00Z_~~## Intended Use~~Questions~~## Models~~| Role | Name | Version |~|---|---|---|~| chat | c | 1 |~| embed | e | 2 |~~## Data Sources~~| Silo | Documents | Confidentiality |~|---|---|---|~', '~', chr(10)) || t || replace('~## Performance Metrics~~| Metric | Value |~|---|---|~| hit-rate | 0.917 |~| faithfulness | 1 |~~## Known Failure Modes~~- stale~~## Operational Controls~~- gate~- audit~', '~', chr(10)) AS markdown FROM s)
+m AS (SELECT 
+  '# Model Card: Answers v1.2' || chr(10) || chr(10) || '_Generated 2024-01-31 00:00:00Z_' || chr(10) || chr(10) || '## Intended Use' || chr(10) || chr(10) || 'Questions' || chr(10) || chr(10) || '## Models' || chr(10) || chr(10) || '| Role | Name | Version |' || chr(10) || '|---|---|---|' || chr(10) || '| chat | c | 1 |' || chr(10) || '| embed | e | 2 |' || chr(10) || chr(10) || '## Data Sources' || chr(10) || chr(10) || '| Silo | Documents | Confidentiality |' || chr(10) || '|---|---|---|' || chr(10) || t || 
+  chr(10) || '## Performance Metrics' || chr(10) || chr(10) || '| Metric | Value |' || chr(10) || '|---|---|' || chr(10) || '| hit-rate | 0.917 |' || chr(10) || '| faithfulness | 1 |' || chr(10) || chr(10) || '## Known Failure Modes' || chr(10) || chr(10) || '- stale' || chr(10) || chr(10) || '## Operational Controls' || chr(10) || chr(10) || '- gate' || chr(10) || '- audit' || chr(10) AS markdown FROM s)
 SELECT markdown, sha256({O._pad(0x5C)} || unhex(sha256({O._pad(0x36)} || encode(markdown)))) AS signature FROM m""")
 def model_card(spark, sf_dir):
     profile = spark.range(1).select(
