@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -295,8 +296,9 @@ class DriftAdapter:
         return rows.withColumn("embedding", turn("embedding"))
 
 
-def embedded(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], text: str = "text", attempts: int = 3) -> DataFrame:
-    """Adds ``embedding`` by a model called once an Arrow batch, tried again on failure. Order is not relied on."""
+def embedded(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], text: str = "text", attempts: int = 3, backoff_s: float = 0.2, in_flight: int | None = None) -> DataFrame:
+    """Adds ``embedding`` by a model called once an Arrow batch. A call that fails is made again after ``backoff_s`` seconds, twice as
+    many each time, ``attempts`` times in all. No more than ``in_flight`` calls run at once. Order is not relied on."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -308,8 +310,9 @@ def embedded(rows: DataFrame, model: Callable[[list[str]], list[list[float]]], t
                 except Exception:
                     if i + 1 == attempts:
                         raise
+                    time.sleep(backoff_s * 2**i)
             if len(got) != len(s):
                 raise ValueError("the model returned another number of vectors")
             yield pd.Series(got)
 
-    return rows.withColumn("embedding", run(text))
+    return (rows if in_flight is None else rows.coalesce(in_flight)).withColumn("embedding", run(text))

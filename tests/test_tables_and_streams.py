@@ -274,3 +274,25 @@ def test_tools_answer_within_the_clearance(spark, tmp_path):
     told = box.ingest(items, f"file://{tmp_path}/q").collect()
     assert [(r.silo, r.status, len(r.tracking_id)) for r in told] == [("hr", "queued", 12)]
     assert spark.read.option("recursiveFileLookup", "true").json(f"file://{tmp_path}/q").count() == 1
+
+
+def test_a_failing_model_is_called_again_later_and_not_too_often_at_once(spark, tmp_path):
+    import os
+    import time
+
+    from ragspark.operators import embedding
+
+    def model(texts):
+        calls = sorted(os.listdir(tmp_path))
+        open(f"{tmp_path}/{time.time_ns()}", "w").close()
+        if len(calls) < 2:
+            raise OSError("busy")
+        return [[float(len(t))] for t in texts]
+
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(8)] + [(9, None)], "i int, text string").repartition(4)
+    got = embedding.embedded(rows, model, backoff_s=0.3, in_flight=1)
+    assert {r.i: r.embedding[0] for r in got.collect()} == {**{i: float(i) for i in range(8)}, 9: 0.0} and got.rdd.getNumPartitions() == 1
+    calls = [int(c) for c in sorted(os.listdir(tmp_path))]
+    assert calls[1] - calls[0] >= 0.3e9 and calls[2] - calls[1] >= 0.6e9
+    with pytest.raises(Exception, match="busy"):
+        embedding.embedded(rows, lambda texts: (_ for _ in ()).throw(OSError("busy")), attempts=2, backoff_s=0.0).collect()
