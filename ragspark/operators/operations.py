@@ -99,6 +99,15 @@ def costs(usage: DataFrame, input_price: float, output_price: float, embedding_p
     return usage.groupBy("tenant").agg(F.round(F.sum(cost), 6).alias("usd"))
 
 
+def charged(spent) -> float:
+    """The sum of charges (time, usd) in order of time. A running total from which old charges are taken, or Python's corrected sum,
+    differs in the last digits, and budgets are met to the cent."""
+    total = 0.0
+    for _, usd in spent:
+        total += usd
+    return total
+
+
 def budget_admission(requests: DataFrame, most: int, rate_s: float, quota: float, quota_s: float, cooldown_s: float) -> DataFrame:
     """Adds ``outcome`` to (tenant, request_id, ts, usd): breaker, rate, quota or admitted, tested in this order. A quota
     breach opens the tenant's breaker for the cooldown; a rate slot is used even if the quota then refuses; only
@@ -106,30 +115,29 @@ def budget_admission(requests: DataFrame, most: int, rate_s: float, quota: float
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now = None
-        times, spent, total, shut = deque(), deque(), 0.0, -1
+        times, spent, shut = deque(), deque(), -1
         for f in batches:
             out = []
             for who, t, usd in zip(f.tenant, f.us, f.usd, strict=True):
                 if who != now:
-                    now, times, spent, total, shut = who, deque(), deque(), 0.0, -1
+                    now, times, spent, shut = who, deque(), deque(), -1
                 while times and times[0] <= t - rate_s * 1e6:
                     times.popleft()
                 while spent and spent[0][0] <= t - quota_s * 1e6:
-                    total -= spent.popleft()[1]
+                    spent.popleft()
                 if t < shut:
                     out.append("breaker")
                 elif len(times) >= most:
                     out.append("rate")
                 else:
                     times.append(t)
-                    if total >= quota:
+                    if charged(spent) >= quota:
                         shut = t + cooldown_s * 1e6
                         out.append("quota")
                     else:
                         out.append("admitted")
                         if usd > 0:
                             spent.append((t, usd))
-                            total += usd
             yield f.assign(outcome=out)
 
     rows = requests.select("tenant", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "usd").repartition("tenant").sortWithinPartitions("tenant", "us", "request_id")
