@@ -141,23 +141,31 @@ def corrective(hits: DataFrame, grades: DataFrame, fallback: DataFrame, k: int)
     return survivors.unionByName(rest).where(F.col("rank") <= k)
 
 
-def relaxed(candidates: DataFrame, constraints: list[Column], security: Column, k: int) -> DataFrame:
-    """Self-query with relaxation in one pass. ``candidates`` are scored rows (query_id, chunk_id, score, ...);
-    constraints come in order, the last is dropped first, security never. A row's level is the number of constraints
-    that must be dropped for it to pass; each query keeps the rows of its least level and ranks them. All rows take
-    part: the k first by level and score hold the k best of the least level, so no more than k a query and partition are
-    moved."""
+def relaxation(constraints: list[Column]) -> Column:
+    """A row's level: the number of constraints that must be dropped for it to pass. They come in order, the last is dropped first."""
     n = len(constraints)
     need = F.lit(0)
     for i, c in enumerate(constraints):
         need = F.when(~F.coalesce(c, F.lit(False)), F.greatest(need, F.lit(n - i))).otherwise(need)
-    rows = candidates.where(security).withColumn("level", need)
+    return need
+
+
+def least_level(rows: DataFrame, k: int) -> DataFrame:
+    """Ranks scored rows with a level by it and score; each query keeps those of the k first that are of its least level."""
     order = Window.partitionBy("query_id").orderBy("level", F.col("score").desc(), "chunk_id")
     rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     least = F.min("level").over(Window.partitionBy("query_id"))
     return rows.withColumn("least", least).where("level = least").select("query_id", "rank", "chunk_id", "score", "level")
 
 
+def relaxed(candidates: DataFrame, constraints: list[Column], security: Column, k: int) -> DataFrame:
+    """Self-query with relaxation in one pass. ``candidates`` are scored rows (query_id, chunk_id, score, ...);
+    constraints are dropped from the last, security never. Each query keeps the rows of its least level and ranks them. All rows
+    take part: the k first by level and score hold the k best of the least level, so no more than k a query and partition are
+    moved."""
+    return least_level(candidates.where(security).withColumn("level", relaxation(constraints)), k)
+
+
 # fixed values: references that select structural lookup, words, and how many other words make a topic
 REFERENCE = r"§\s*\d+(?:\.\d+)*[a-z]?|Article\s+\d+|RFC\s+\d+"
 TOPIC_WORD = r"[\p{L}\d]+"

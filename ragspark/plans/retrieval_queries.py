@@ -166,10 +166,10 @@ def crag_filter(spark, sf_dir):
 b AS (SELECT *, min(level) OVER (PARTITION BY query_id) AS best FROM c)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, round(score, 6) AS score, level FROM b WHERE level = best QUALIFY rank <= 5""")
 def self_query_relax(spark, sf_dir):
-    asked = questions(spark, sf_dir)
-    rows = lexical.Index(asked, chunks(spark, sf_dir)).scores(asked).join(corpus(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id").drop("text"), "chunk_id")
+    asked, rows = questions(spark, sf_dir), corpus(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id")
     constraints = [F.col("confidentiality") == "Internal", F.col("silo") == "src3", F.col("office") == "en", F.col("fiscal_year") > 2020]
-    return shown(retrieval.relaxed(rows, constraints, within_clearance("Restricted"), 5))
+    levels = rows.where(within_clearance("Restricted")).select("chunk_id", retrieval.relaxation(constraints).alias("level"))
+    return shown(retrieval.least_level(lexical.Index(asked, chunks(spark, sf_dir)).search(asked, 5, levels=levels), 5))
 
 
 # questions by id, and the route that each must take
