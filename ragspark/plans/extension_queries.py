@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ragspark.operators import chunking, embedding, fusion, graph, lexical, memory, operations, retrieval, routing, security, structure
 from ragspark.plans import operations_queries as O, retrieval_queries as R
 from ragspark.plans.common import POSTINGS_SQL, asked_vectors, bow_sql, bow_vectors, chunks, corpus, dense, dense_sql, hits_sql, nearest_sql, questions, rrf_sql, shown, sparse, sparse_sql, table, vectors
-from ragspark.sources.tables import CORPUS_SQL, front_matter
+from ragspark.sources.tables import CORPUS_SQL, front_matter, spread
 
 QUERIES, SQL = {}, {}
 
@@ -202,7 +202,7 @@ def front_matter_documents(spark, sf_dir):
 SELECT doc_id, CAST(0 AS INTEGER) AS chunk_index, h || chr(10) || c || ' {{ ' || f || ' ' || g || ' }}' AS text FROM p UNION ALL SELECT doc_id, 1, h || chr(10) || c || chr(10) || f FROM p UNION ALL SELECT doc_id, 2, h || chr(10) || c || chr(10) || g FROM p""".replace("{{", "{").replace("}}", "}"))
 def chunk_code_members(spark, sf_dir):
     source = F.concat(F.lit("using A;\nnamespace N;\nclass C"), "p_partkey", F.lit(" { int F"), "p_size", F.lit("(int x) { return x; } void G() { if (a) { } } }"))
-    return chunking.code_aware(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("text")), between="\n").select("doc_id", "chunk_index", "text")
+    return chunking.code_aware(spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("doc_id"), source.alias("text")), between="\n").select("doc_id", "chunk_index", "text")
 
 
 def tricky_sources(spark, sf_dir):
@@ -210,7 +210,8 @@ def tricky_sources(spark, sf_dir):
     source = piece(
         "using A;\nnamespace N\n{\n// } ", "$p_brand", " {\npublic class C", "$p_partkey", ' { string s = "}{ ', "$p_type", '"; char c = \'{\'; int F', "$p_size",
         '(int x) { var t = $"{x} {{ {G("}")}"; return x; } /* } */ string G(string a) => @"""{', "$p_name", '"; enum E { A, B } }\n}\n')
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), source.alias("text"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_name")
+    return spread(parts).select(F.col("p_partkey").alias("doc_id"), source.alias("text"))
 
 
 @query(r'''WITH p AS (SELECT p_partkey AS k, 'using A;' || chr(10) || 'namespace N;' || chr(10) AS h, 'public class C' || p_partkey AS c, '// } ' || p_brand || ' {' || chr(10) AS note,
