@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ragspark.operators import chunking, embedding, fusion, graph, lexical, memory, operations, retrieval, routing, security, structure
 from ragspark.plans import operations_queries as O, retrieval_queries as R
 from ragspark.plans.common import POSTINGS_SQL, asked_vectors, bow_sql, bow_vectors, chunks, corpus, dense, dense_sql, hits_sql, nearest_sql, questions, rrf_sql, shown, sparse, sparse_sql, table, vectors
+from ragspark.sources.shared import cut
 from ragspark.sources.tables import CORPUS_SQL, front_matter, spread
 
 QUERIES, SQL = {}, {}
@@ -32,8 +33,10 @@ def enhancements(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda i: replies.select("query_id", F.substring_index("reply", "\n", i).alias("reply"))
     c = chunks(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), "quality")
-    grades = sparse(spark, sf_dir, 5).join(labels, "chunk_id", "left").select("query_id", "chunk_id", F.when(F.col("quality") == 1, "CORRECT").otherwise("INCORRECT").alias("grade"))
-    inner = lambda asked, k: lexical.bm25(asked, c, k)
+    # one index of all words: the halves have no words but those of the questions and their pieces
+    index = lexical.Index(q.unionByName(part(-1).union(part(1)).toDF("query_id", "text")), c)
+    inner = index.search
+    grades = inner(q, 5).join(labels, "chunk_id", "left").select("query_id", "chunk_id", F.when(F.col("quality") == 1, "CORRECT").otherwise("INCORRECT").alias("grade"))
     made = {"HyDE": retrieval.enhanced(" HyDE", inner, part(-1)), "stepback": retrieval.enhanced("StepBack", inner, part(1)), "crag": retrieval.enhanced("crag", inner, grades, lambda asked, k: dense(spark, sf_dir, k))}
     rows = [shown(r(q, 5)).select(F.lit(n.lower()).alias("enhancement"), "query_id", "rank", "chunk_id", "score") for n, r in made.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
@@ -41,7 +44,10 @@ def enhancements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {dense_sql(10)}, {POSTINGS_SQL}, {sparse_sql(10)}, {rrf_sql('dense', 'sparse', 5, 'f')} SELECT 'hybrid' AS mode, * FROM ({hits_sql('f')}) UNION ALL SELECT 'dense', * FROM ({hits_sql('dense')} WHERE rank <= 5) UNION ALL SELECT 'sparse', * FROM ({hits_sql('sparse')} WHERE rank <= 5)""")
 def retriever_modes(spark, sf_dir):
-    made = {m: retrieval.by_mode(f" {m.upper()}", lambda q, k: dense(spark, sf_dir, k), lambda q, k: sparse(spark, sf_dir, k))(None, 5) for m in retrieval.MODES}
+    most = retrieval.candidate_count(5)
+    lists = [cut(find(spark, sf_dir, most)) for find in (dense, sparse)]  # shorter lists are their heads
+    first = [lambda _, k, hits=hits: hits.where(F.col("rank") <= k) for hits in lists]
+    made = {m: retrieval.by_mode(f" {m.upper()}", *first)(None, 5) for m in retrieval.MODES}
     rows = [shown(hits).select(F.lit(m).alias("mode"), "query_id", "rank", "chunk_id", "score") for m, hits in made.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
