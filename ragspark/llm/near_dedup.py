@@ -10,7 +10,8 @@ How groups of thousands of copies stay linear in rows:
 * a shingle that occurs in one candidate only cannot be shared, so with u such shingles a set of n has
   similarity of at most (n - u) / n with anything, and two sets of at most t / (t + u1 + u2),
   t = min(n1 - u1, n2 - u2). This exact bound removes the far members of a group;
-* the rest of each bucket is compared with two pivots, not with each other. Members of buckets that then still have
+* the rest of each bucket is compared with one pivot, not with each other: the member with the most others in its buckets, so
+  that a group's buckets share it and a pair of them is made once. Members of buckets that then still have
   several components are measured against one of the bucket: sets that share i1 and i2 shingles with it share
   min(i1, i2) + min(n1 - i1 - u1, n2 - i2 - u2) at most. Members that fail this bound even against the best partner that
   the bucket's extremes allow are done. The others meet new pivots, four times as many each round, which are then done as
@@ -294,10 +295,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 80) ->
     ws.drop("candidates")
 
     me = F.struct((-F.col("w")).alias("far"), "doc_id", "n", "u")
-    pivots = posted.groupBy("key").agg(
-        F.count("*").alias("c"), F.min(me).alias("first"), F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id", "n", "u")).alias("second")
-    ).where("c > 1")
-    pivots = pivots.select("key", F.explode(F.array(F.struct("first.doc_id", "first.n", "first.u"), F.struct("second.doc_id", "second.n", "second.u"))).alias("p"))
+    pivots = posted.groupBy("key").agg(F.count("*").alias("c"), F.min(me).alias("p")).where("c > 1")
     pairs = posted.join(pivots.select("key", F.col("p.doc_id").alias("b"), F.col("p.n").alias("pn"), F.col("p.u").alias("pu")).distinct(), "key")
     pairs = pairs.where((F.col("doc_id") != F.col("b")) & _may_link(percent, "n", F.col("u"), "pn", F.col("pu")))
     pairs = ws.put(pairs.select(F.col("doc_id").alias("a"), "b").distinct(), "pairs")
