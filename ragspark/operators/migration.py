@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ragspark.operators.embedding import neighbours
 from ragspark.operators.operations import cutover
 from ragspark.sources.keyed import KeyedTable, create_text, read_text
-from ragspark.sources.shared import hadoop_path
+from ragspark.sources.shared import cut, hadoop_path
 
 SCHEMA = "document_id string, chunk_id string, text string, embedding array<double>, embedding_model string"
 
@@ -74,7 +74,7 @@ class Reindex:
     def backfill(self, steps: int = 1, stop_after: int | None = None) -> int:
         """Embeds what is due in ``steps`` batches of whole documents, each committed by itself. Returns the batches made;
         ``stop_after`` ends early, as a crash between two batches would."""
-        due, model, made = self.due(), self.state()["shadow"], 0
+        due, model, made = cut(self.due().select("document_id", "chunk_id", "text")), self.state()["shadow"], 0
         for i in range(steps):
             if made == stop_after:
                 break
@@ -108,6 +108,8 @@ class Reindex:
         state = self.state()
         if state["previous"] is None:
             raise ValueError("nothing to roll back to")
-        late = self.serving().join(self.table(state["previous"]).read().select("document_id", "chunk_id", "text"), ["document_id", "chunk_id", "text"], "left_anti")
-        self.table(state["previous"]).upsert(self._made(late, state["previous"]))
+        held = lambda model: self.table(model).read().withColumn("digest", F.sha2("text", 256))
+        same = ["document_id", "chunk_id", "digest"]
+        late = held(state["serving"]).select(*same, "text").join(held(state["previous"]).select(*same), same, "left_anti")
+        self.table(state["previous"]).upsert(self._made(cut(late), state["previous"]))
         self._move(serving=state["previous"], previous=state["serving"])

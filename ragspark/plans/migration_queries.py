@@ -68,8 +68,7 @@ MODELS = {"coarse": 32, "fine": 256}
 
 def _migration(spark: SparkSession, sf_dir: str, first: str) -> tuple[Reindex, DataFrame, DataFrame, DataFrame]:
     def embed(rows: DataFrame, model: str) -> DataFrame:
-        made = bow_vectors(rows.withColumn("number", F.col("document_id").cast("long")), "number", MODELS[model])
-        return rows.join(made.select(F.col("number").cast("string").alias("document_id"), "embedding"), "document_id")
+        return bow_vectors(rows.withColumn("number", F.col("document_id").cast("long")), "number", MODELS[model], keep=tuple(rows.columns)).drop("number")
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.concat("doc_id", F.lit("#0")).alias("chunk_id"), "text")
     gold = _gold(spark, sf_dir).select("query_id", F.explode(F.col("expected").cast("array<string>")).alias("document_id"))
