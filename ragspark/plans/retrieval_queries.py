@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ragspark.functions import text as T
 from ragspark.operators import embedding, fusion, graph, lexical, retrieval, routing, structure
 from ragspark.operators.filters import within_clearance
-from ragspark.plans.common import CORPUS_SQL, POSTINGS_SQL, WORDS, asked_vectors, bow_vectors, chunks, corpus, dense, dense_sql, hits_sql, nearest_sql, questions, rrf_sql, shown, sparse, sparse_sql, table, vectors
+from ragspark.plans.common import CORPUS_SQL, POSTINGS_SQL, WORDS, asked_vectors, chunks, corpus, dense, dense_sql, hits_sql, nearest_sql, questions, rrf_sql, shown, sparse, sparse_sql, table, vectors
 
 QUERIES, SQL = {}, {}
 
@@ -112,7 +112,7 @@ def rerank_overlap(spark, sf_dir):
 @query(f"WITH {dense_sql(15)}, {POSTINGS_SQL}, {sparse_sql(15)}, {rrf_sql('dense', 'sparse', 5, 'f')} {hits_sql('f')}")
 def hybrid_rrf(spark, sf_dir):
     q, c = questions(spark, sf_dir), chunks(spark, sf_dir)
-    return shown(retrieval.hybrid(q, c, bow_vectors(q, "query_id"), bow_vectors(c, "chunk_id"), 5, times=3))
+    return shown(retrieval.hybrid(q, c, embedding.bow_blocks(q, "query_id"), embedding.bow_blocks(c, "chunk_id"), 5, times=3))
 
 
 _HALF = "length(text) // 2"
